@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._text import table
+from .labelled import fold
 
 
 def tokenizer_definition(name: str = "word_bpe_49k.json") -> str:
@@ -23,7 +24,25 @@ def op9_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_definition())
 
 
+def op7_language_byte_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    held_out = fold("doc_id", 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels"), ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language_byte_net": op7_language_byte_net,
+    "op10_quality_additive": op10_quality_additive,
     "op9_pack_best_fit": op9_pack_best_fit,
 }
 
