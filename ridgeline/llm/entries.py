@@ -24,6 +24,14 @@ def op9_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_definition())
 
 
+def op1_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    held_out = fold("doc_id", 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels"), ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_language_byte_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -41,6 +49,7 @@ def op10_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_string_kernel": op1_toxicity_string_kernel,
     "op7_language_byte_net": op7_language_byte_net,
     "op10_quality_additive": op10_quality_additive,
     "op9_pack_best_fit": op9_pack_best_fit,
