@@ -36,8 +36,9 @@ from .labelled import labelled_sample
 
 #: Labelled rows that the fit sees, at most.
 SAMPLE_ROWS = 10_000
-ORDER, DECAY, GATE = 3, 0.8, 0.7
+ORDER, DECAY, GATE = 3, 0.8, 0.85
 LANDMARKS, CLEAN_LANDMARKS = 24, 24
+SUPPORT = 0.2  # of the fifth strongest landmark's neighbours, at least
 LONGEST = 16  # letters of a landmark
 PIECE, STRIDE = 32, 16  # overlong units are cut into overlapping pieces
 
@@ -227,14 +228,14 @@ class StringKernelMachine:
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -60, 60)))
 
 
-def hinge(x: np.ndarray, y: np.ndarray, cost: float = 4.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def hinge(x: np.ndarray, y: np.ndarray, cost: float = 200.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights of a linear machine with squared hinge loss, classes weighted evenly, by Newton steps on its active rows."""
     z = np.c_[x, np.ones(len(x))]
     sign = 2 * y - 1
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     w = np.zeros(z.shape[1])
     keep = np.r_[np.ones(x.shape[1]), 1e-3]
-    for _ in range(min(steps, 30)):
+    for _ in range(steps):
         active = sign * (z @ w) < 1
         za = z[active] * weight[active, None]
         new = np.linalg.solve(np.diag(keep) + cost / len(y) * (za.T @ z[active]), cost / len(y) * (za.T @ sign[active]))
@@ -303,8 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     share = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n, mean = sum(share.values()), share.get(1, 0) / max(1, sum(share.values()))
     words = landmark_words(sample, LANDMARKS) if 0 < mean < 1 else []
-    # words whose support is far below the strongest one's are chance
-    words = [w for w in words if w[1] >= max(3, 0.1 * max(x[1] for x in words))]
+    # words whose support is far below that of the strongest ones are chance
+    words = [w for w in words if w[1] >= max(3, SUPPORT * sorted((x[1] for x in words), reverse=True)[:5][-1])]
     mean = min(max(mean, 1e-3), 1 - 1e-3) if n else 0.5
     marks = codes([w for w, _, _ in words])
     marks = marks[(marks > 0).sum(1) >= ORDER + 1] if len(marks) else marks
@@ -351,19 +352,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     k = np.zeros((len(rows), len(machine.landmarks)))
     live, found = machine.similarities(rows)
     k[live] = found
-    # a toxic document's weaker sentences may be clean: only its strongest one counts as toxic
-    strongest_row = ~got.duplicated("_id").to_numpy()
-    use = (got["y"].to_numpy() == 0) | strongest_row
+    # a toxic document's weaker sentences may be clean: only its strongest ones count as toxic
+    use = ((got["y"] == 0) | (got["near"] >= got.groupby("_id")["near"].transform("max") - 1e-9)).to_numpy()
     phi = (k @ machine.root)[back][use]
-    y = got["y"].to_numpy(float)[use]
+    y, close = got["y"].to_numpy(float)[use], got["near"].to_numpy()[use]
     for _ in range(3):
         machine.weights, machine.bias = hinge(phi, y)
         # toxic labels on sentences without any insult are noise to the machine; leave them out of the next fit
         margin = phi @ machine.weights + machine.bias
-        noise = (y > 0) & (margin < 0)
+        noise = (y > 0) & (margin < 0) & (close < 0.9)
         if not noise.any() or noise.all() or (y[~noise] > 0).sum() < 5:
             break
-        phi, y = phi[~noise], y[~noise]
+        phi, y, close = phi[~noise], y[~noise], close[~noise]
     top = got.assign(m=machine.margins(k)[back]).groupby("_id").agg(m=("m", "max"), y=("y", "first"))
     rest = {v: share.get(v, 0) - int((top["y"] == v).sum()) for v in (0, 1)}
     floor = machine.bias
