@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._text import table
 from .labelled import fold
@@ -40,6 +41,12 @@ def op7_language_byte_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import report
+
+    return report(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 50 == 0)
+
+
 def op10_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -52,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_string_kernel": op1_toxicity_string_kernel,
     "op7_language_byte_net": op7_language_byte_net,
     "op10_quality_additive": op10_quality_additive,
+    "op8_simhash_edits": op8_simhash_edits,
     "op9_pack_best_fit": op9_pack_best_fit,
 }
 
