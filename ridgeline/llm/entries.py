@@ -33,6 +33,25 @@ def op1_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels"), ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op3_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private import pseudonymise
+
+    docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.size("private").cast("long").alias("n_values"), F.transform("private", lambda v: v["kind"]).alias("kinds"))
+
+
 def op7_language_byte_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -57,10 +76,52 @@ def op10_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_string_kernel": op1_toxicity_string_kernel,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op3_mix_pareto": op3_mix_pareto,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_language_byte_net": op7_language_byte_net,
     "op10_quality_additive": op10_quality_additive,
     "op8_simhash_edits": op8_simhash_edits,
     "op9_pack_best_fit": op9_pack_best_fit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
+    "op3_mix_pareto": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w
+  FROM d GROUP BY source
+), g(step, source, source_size, w, full_up) AS (
+  SELECT 0, source, source_size, w, false FROM s
+  UNION ALL
+  SELECT step + 1, source, source_size, w,
+    full_up OR w * (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) FILTER (WHERE full_up) OVER (), 0)) / (sum(w) FILTER (WHERE NOT full_up) OVER ()) > 2.0::DOUBLE * source_size
+  FROM g WHERE step < 60
+), t AS (
+  SELECT source, source_size, CASE WHEN full_up THEN 2.0::DOUBLE * source_size
+    ELSE w * (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) FILTER (WHERE full_up) OVER (), 0)) / (sum(w) FILTER (WHERE NOT full_up) OVER ()) END AS target
+  FROM g WHERE step = 60
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+    t.target - CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END * t.source_size AS missing, d.u, d.source
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN missing > 1e-6 AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 <= missing THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+""",
+}
