@@ -45,6 +45,14 @@ def op3_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent import score
+
+    held_out = fold("doc_id", 10) == 0
+    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .private import pseudonymise
 
@@ -78,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_string_kernel": op1_toxicity_string_kernel,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_mix_pareto": op3_mix_pareto,
+    "op5_maxent_scores": op5_maxent_scores,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_language_byte_net": op7_language_byte_net,
     "op10_quality_additive": op10_quality_additive,
