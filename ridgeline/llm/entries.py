@@ -45,6 +45,12 @@ def op3_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maxent import score
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_string_kernel": op1_toxicity_string_kernel,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_mix_pareto": op3_mix_pareto,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_maxent_scores": op5_maxent_scores,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_language_byte_net": op7_language_byte_net,
@@ -132,5 +139,25 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN missing > 1e-6 AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 <= missing THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
+""",
+    "op4_near_duplicates": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d
+), n AS (
+  SELECT d.doc_id, count(s.g) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.n + ny.n - i)
+), b AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), c(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT c.doc_id, b.y FROM c JOIN b ON c.r = b.x
+)
+SELECT n.doc_id, n.n AS n_shingles, min(c.r) AS component_id, n.doc_id = min(c.r) AS kept
+FROM n JOIN c ON c.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """,
 }
