@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -158,6 +159,12 @@ def shared(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or f"file://{os.path.join(tempfile.gettempdir(), 'ridgeline-checkpoints')}")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors reach."""
+    shared(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and go on from there; the lineage before it is cut."""
     shared(df.sparkSession)

@@ -185,18 +185,21 @@ def predict(texts: pa.Array, net: ByteNet | None, score) -> tuple[list[str], np.
     return [net.languages[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)], np.where(ok, p.max(1), 0.0)
 
 
-def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of docs, lang_pred and score. learn: which rows' text and language are learnt."""
+def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, and two by `names`: the language and its probability. learn: which rows' text and language are learnt.
+
+    A column of docs that has one of the names is replaced.
+    """
     net = train(docs, learn, id_col, text_col, lang_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = net.scorer() if net else None
         for b in slices(batches, text_col):
             language, p = predict(b.column(text_col), net, score)
-            kept = [c for c in b.schema.names if c not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(language, pa.string()), pa.array(p)], names=[*kept, "lang_pred", "score"])
+            kept = [c for c in b.schema.names if c not in names]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(language, pa.string()), pa.array(p)], names=[*kept, *names])
 
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score")] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in names] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(apply, schema)
 
 

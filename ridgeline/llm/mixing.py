@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row of docs (`most`: 2 copies; other limits by whole numbers)."""
+    """doc_id, source, size, source_size, target, taken, copies and h (xxhash64 of the text) of every row of docs (`most`: 2 copies; other limits by whole numbers)."""
     sized = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"), F.xxhash64(text_col).alias("h")))
     plan = kept(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -84,4 +84,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     clear = F.when(F.col("at_fine").isNotNull(), F.col("fine") < F.col("at_fine")).otherwise(F.col("missing") > 0)
     more = placed.where(~on_cut).withColumn("one", clear.cast("int")).unionByName(placed.where(on_cut).withColumn("one", (middle <= F.col("missing")).cast("int")))
     copies = (F.col("whole") + F.col("one")).cast("int")
-    return more.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h")
+    return more.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h")

@@ -15,7 +15,8 @@
 
 Texts without words have no set, no links, and are kept. With fewer words than a
 shingle, the whole sequence is the only shingle. Rows with equal ids are rows of their
-own. Null ids: the component's id is the least id that is not null.
+own. Null ids: the component's id is the least id that is not null; where all are
+null it is null, and all its rows are kept.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, a, b (128 bits of the whole set) and sketch (its least SKETCH hashes) of each row."""
+    """id, h (the text's hash), n, a, b (128 bits of the whole set) and sketch (its least SKETCH hashes) of each row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -69,9 +70,10 @@ def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
             n = np.array([len(s) for s in sets], np.int64)
             with np.errstate(over="ignore"):
                 signs = [np.array([mix(s ^ np.uint64(seed)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), *map(pa.array, signs), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())], names=["id", "n", "a", "b", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n), *map(pa.array, signs), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())], names=["id", "h", "n", "a", "b", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(describe, "id long, n long, a long, b long, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(describe, "id long, h long, n long, a long, b long, sketch binary")
 
 
 def lists(nodes: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def open_pairs(keyed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+    """doc_id, n_shingles, component_id, kept and h (xxhash64 of the text, which tells rows with equal ids apart) of every row of docs."""
     table = kept(described(docs, words, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
     sets = table.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("id").alias("least"))
     nodes = kept(table.join(sets.select(F.col("node").alias("row"), "least"), "row").select(F.col("row").alias("node"), "id", "least", "n", "a", "b", "sketch"))
@@ -273,6 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     placed = nodes.select("node", "a", "b", "least").join(roots, "node", "left").select("a", "b", "least", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = kept(placed.join(names, "root").select("a", "b", "component_id"))
-    grouped = table.where("n > 0").select("id", "n", "a", "b").join(named, ["a", "b"]).select("id", "n", "component_id")
-    alone = table.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return grouped.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("n") == 0).alias("kept"))
+    grouped = table.where("n > 0").select("id", "h", "n", "a", "b").join(named, ["a", "b"]).select("id", "h", "n", "component_id")
+    alone = table.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"))
+    kept_one = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+    return grouped.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept_one.alias("kept"), "h")

@@ -192,11 +192,14 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with the text's values replaced, and a column `private`: an array of (kind, pseudonym) in order of place."""
+def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str = "private") -> DataFrame:
+    """docs with the text's values replaced, and a column `found_col`: an array of (kind, pseudonym) in order of place.
+
+    A column of docs that has that name is replaced.
+    """
     text = F.col(text_col)
     some = text.rlike(r"[0-9@]")
-    taken = [c for c in docs.columns if c.lower() not in ("private", "_found", "_parts")]
+    taken = [c for c in docs.columns if c.lower() not in (found_col.lower(), "_found", "_parts")]
     cut = docs.select(*taken, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("_found"), F.when(some, F.split(text, ANY, -1)).alias("_parts"))
     pairs = F.transform("_found", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     new = F.transform(pairs, lambda p: F.struct(p["kind"].alias("kind"), pseudonym(p["value"], p["kind"], key).alias("value")))
@@ -204,4 +207,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     joined = F.array_join(F.concat(F.zip_with(F.slice("_parts", F.lit(1), F.size("_found")), F.col("_found"), lambda a, v: F.concat(a, v["value"])), F.slice("_parts", F.lit(-1), F.lit(1))), "")
     kept = F.filter("_found", lambda v: v["kind"].isNotNull())
     columns = [F.when(F.col("_found").isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in taken]
-    return known.select(*columns, F.coalesce(kept, F.array().cast("array<struct<kind:string,value:string>>")).alias("private"))
+    return known.select(*columns, F.coalesce(kept, F.array().cast("array<struct<kind:string,value:string>>")).alias(found_col))
