@@ -69,5 +69,5 @@ def day_line(words: Column, temp_min: Column, temp_max: Column, wind: Column, uv
         F.concat(whole(temp_min), F.lit("-"), whole(temp_max), F.lit("°C")),
         F.concat(F.lit("wind "), whole(wind), F.lit(" km/h")),
         F.when(uv_max >= 6, F.concat(F.lit("UV "), whole(uv_max))),
-        F.when(precip > 0, F.concat(F.lit("rain "), F.format_number(precip, "0.0"), F.lit("mm"))),
+        F.when(precip > 0, F.concat(F.lit("rain "), F.format_string("%.1f", precip), F.lit("mm"))),
     )

@@ -118,7 +118,7 @@ WAYS = """ways AS (
     (['water', NULL, 'wood', 'coastline', NULL, 'cliff', 'scree'])[l_partkey % 7 + 1] AS "natural",
     ([NULL, 'forest', NULL])[l_orderkey % 3 + 1] AS landuse, (['park', NULL, NULL, NULL])[l_partkey % 4 + 1] AS leisure,
     ([NULL, 'lane', NULL, NULL])[(l_partkey + l_suppkey) % 4 + 1] AS cycleway, (['50', '30', NULL, '20', 'walk', 'RO:urban'])[l_partkey % 6 + 1] AS maxspeed,
-    ([NULL, NULL, NULL, 'hump'])[l_suppkey % 4 + 1] AS traffic_calming, (['River Way', NULL, 'Coast Path'])[l_partkey % 3 + 1] AS name, ([NULL, 'EV1', 'N2', NULL])[l_partkey % 4 + 1] AS ref
+    ([NULL, NULL, 'hump'])[l_suppkey % 3 + 1] AS traffic_calming, (['River Way', NULL, 'Coast Path'])[l_partkey % 3 + 1] AS name, ([NULL, 'EV1', 'N2', NULL])[l_partkey % 4 + 1] AS ref
   FROM lineitem
 )"""
 
