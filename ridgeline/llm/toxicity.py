@@ -9,7 +9,7 @@ where the longest common subsequence covers less than GATE of the landmark: most
 words stop there, at a few machine operations each.
 
 A sentence is a bag of units. Landmarks are words that toxic training documents hold
-far more often than others, next to many different neighbours (a copied passage has
+more often than chance explains, next to many different neighbours (a copied passage has
 always the same), and the units of clean sentences that come closest to them.
 Features are kernel values with the landmarks, put through K_landmarks**(-1/2)
 (Nystroem); each labelled sentence trains with its strongest unit. A document's
@@ -35,10 +35,10 @@ from ._text import cut_spans, hash_spans, slices, word_spans
 from .labelled import labelled_sample
 
 #: Labelled rows that the fit sees, at most.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
 ORDER, DECAY, GATE = 3, 0.8, 0.85
-LANDMARKS, CLEAN_LANDMARKS = 24, 24
-SUPPORT = 0.2  # of the fifth strongest landmark's neighbours, at least
+LANDMARKS, CLEAN_LANDMARKS = 96, 48
+EVIDENCE = 12.0  # of a landmark's log-likelihood ratio against chance; a word in hundreds of thousands reaches it by chance
 LONGEST = 16  # letters of a landmark
 PIECE, STRIDE = 32, 16  # overlong units are cut into overlapping pieces
 
@@ -47,8 +47,8 @@ _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 for _sign, _letter in zip(b"013457@$", b"oieastas", strict=True):
     _CODE[_sign] = _letter - 96
-_CODE[0xC3] = 0
-_CODE[0x80:0xC0] = 27  # the second byte of a Latin letter with a mark: some other letter
+_CODE[0x80:0xC0] = 27 + np.arange(64) % 32  # the second byte of a Latin letter with a mark, in either case: a letter of its own
+_CODES = 59
 
 
 def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def common(rows: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of each row with the landmark, by bits of whole columns."""
-    masks = np.zeros(28, np.uint32)
+    masks = np.zeros(_CODES, np.uint32)
     for k, c in enumerate(landmark):
         masks[c] |= np.uint32(1 << k)
     v = np.full(len(rows), (1 << len(landmark)) - 1, np.uint32)
@@ -260,8 +260,11 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.05)), float(b)
 
 
-def landmark_words(sample: DataFrame, most: int) -> list[tuple[str, int, int]]:
-    """Words (4 to LONGEST letters) of toxic documents by strength of association; support counts distinct left neighbours."""
+def landmark_words(sample: DataFrame, most: int, share: float) -> list[tuple[str, int, int]]:
+    """Words (4 to LONGEST bytes) of toxic documents by strength of association; support counts distinct left neighbours.
+
+    share: of toxic documents. A word that has nothing to do with the label has that share of its support in them.
+    """
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -291,8 +294,10 @@ def landmark_words(sample: DataFrame, most: int) -> list[tuple[str, int, int]]:
     rows = sample.select("text", "y").mapInArrow(seen, "word binary, neighbour long, clean long")
     by_pair = rows.groupBy("word", "neighbour").agg(F.sum("clean").alias("clean"), F.max(F.when(F.col("clean") == 0, 1).otherwise(0)).alias("near"))
     by_word = by_pair.groupBy("word").agg(F.sum("near").alias("near"), F.sum("clean").alias("clean")).where(F.col("near") >= 3)
-    strength = F.log((F.col("near") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt(F.col("near"))
-    best = by_word.where(F.col("near") > 2 * F.col("clean")).orderBy(strength.desc(), "word").limit(most).collect()
+    n = F.col("near") + F.col("clean")
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(F.lit(0.0))
+    strength = part("near", share) + part("clean", 1 - share)
+    best = by_word.where((F.col("near") > n * (share + 1) / 2) & (strength >= EVIDENCE)).orderBy(strength.desc(), "word").limit(most).collect()
     return [(bytes(r["word"]).decode("utf-8", "replace"), r["near"], r["clean"]) for r in best]
 
 
@@ -303,9 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     sample = kept(labelled_sample(docs, labels, label_col, learn, limit, id_col, text_col))
     share = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n, mean = sum(share.values()), share.get(1, 0) / max(1, sum(share.values()))
-    words = landmark_words(sample, LANDMARKS) if 0 < mean < 1 else []
-    # words whose support is far below that of the strongest ones are chance
-    words = [w for w in words if w[1] >= max(3, SUPPORT * sorted((x[1] for x in words), reverse=True)[:5][-1])]
+    words = landmark_words(sample, LANDMARKS, mean) if 0 < mean < 1 else []
     mean = min(max(mean, 1e-3), 1 - 1e-3) if n else 0.5
     marks = codes([w for w, _, _ in words])
     marks = marks[(marks > 0).sum(1) >= ORDER + 1] if len(marks) else marks
