@@ -21,7 +21,7 @@ from ridgeline.llm.packing import pack
 from ridgeline.llm.private import pseudonymise
 
 #: A document goes if its most likely language has less than this probability.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def row_key(*columns: Column) -> Column:

@@ -27,6 +27,7 @@ from ._text import ranges, raw, slices
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Training rows by language, at most; the hash of the id orders them.
 ROWS_BY_LANGUAGE = 1500
+LEAST_STEPS = 500
 UNKNOWN = "und"
 
 # a symbol per byte: 0 padding, a-z without case, white space, digits, other ASCII, and each byte of longer characters
@@ -61,12 +62,12 @@ class ByteNet:
         self.top_bias = np.zeros(len(languages), np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 96, rate: float = 0.01) -> ByteNet:
-        """Adam on the cross-entropy; only the byte places that won a filter's maximum get a gradient."""
+        """Adam on the cross-entropy; only the byte places that won a filter's maximum get a gradient. Few rows are seen more often."""
         rng = np.random.default_rng(11)
         params = [*self.weights.values(), *self.bias.values(), self.top, self.top_bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step, rows = 0, np.arange(batch)[:, None]
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS // -(-len(x) // batch)))):
             order = rng.permutation(len(x))
             for k in range(0, len(x), batch):
                 chosen = order[k : k + batch]
