@@ -21,6 +21,7 @@ null it is null, and all its rows are kept.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._text import hash_spans, kept, mix, slices, word_spans
+from ._text import hash_spans, kept, mix, ranges, raw, slices, word_spans
 
 WORDS, PERCENT = 5, 75
 SKETCH, KEYS = 64, 32
@@ -94,17 +95,28 @@ def lists(nodes: DataFrame) -> DataFrame:
     return by_node.select("node", F.explode(F.slice("keys", F.lit(1), length)).alias("key")).select(F.col("key.v").alias("v"), "node")
 
 
-def union_estimate(x: np.ndarray, y: np.ndarray) -> float:
-    """Similarity of two sets from their sketches: the share of the union's least values that both hold."""
-    both = np.concatenate([x, y])
-    both.sort()
-    double = both[1:] == both[:-1]
-    keep = np.r_[True, ~double] if len(both) else np.zeros(0, bool)
-    size = min(SKETCH, int(keep.sum())) if max(len(x), len(y)) >= SKETCH else int(keep.sum())
-    if not size:
-        return 0.0
-    last = both[keep][size - 1]
-    return float((double & (both[1:] <= last)).sum()) / size
+#: What sketches of the two sides of a pair are filled up with; no hash of a sketch is as large.
+PADS = (np.uint64(2**64 - 1), np.uint64(2**64 - 2))
+PAIRS = 1 << 13  # that are compared at a time
+
+
+def padded(sketches: pa.Array, pad: np.uint64 | np.ndarray) -> np.ndarray:
+    """A row of SKETCH values for each sketch, filled up with `pad` (one value, or one a row)."""
+    values, off = raw(sketches)
+    size = np.diff(off) // 8
+    out = np.repeat(np.broadcast_to(np.asarray(pad, np.uint64), len(size))[:, None], SKETCH, axis=1)
+    out[np.repeat(np.arange(len(size)), size), ranges(size)] = np.frombuffer(values.tobytes(), np.uint64)
+    return out
+
+
+def estimates(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Similarity of pairs of sets from their padded sketches: the share of the union's least values (`most` of them) that both hold."""
+    both = np.concatenate([x, y], axis=1)
+    both.sort(axis=1)
+    double = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < PADS[1])
+    rank = np.cumsum(np.concatenate([np.ones((len(both), 1), bool), ~double], axis=1), axis=1, dtype=np.int16)
+    size = np.minimum(most, (both < PADS[1]).sum(1) - double.sum(1))
+    return (double & (rank[:, 1:] <= size[:, None])).sum(1) / np.maximum(size, 1)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,10 +127,10 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column("sx").to_pylist(), batch.column("sy").to_pylist()
-            e = np.array([union_estimate(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(xs, ys, strict=True)])
             whole = np.maximum(batch.column("nx").to_numpy(), batch.column("ny").to_numpy()) <= SKETCH
-            ok = np.where(whole, e * 100 >= PERCENT - 1e-9, e >= LEAST_ESTIMATE) if len(e) else np.zeros(0, bool)
+            x, y = padded(batch.column("sx"), PADS[0]), padded(batch.column("sy"), PADS[1])
+            e = np.concatenate([estimates(x[k : k + PAIRS], y[k : k + PAIRS], np.where(whole[k : k + PAIRS], 2 * SKETCH, SKETCH)) for k in range(0, max(1, len(x)), PAIRS)])
+            ok = np.where(whole, e * 100 >= PERCENT - 1e-9, e >= LEAST_ESTIMATE)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(whole)], names=["x", "y", "sure"]).filter(pa.array(ok))
 
     return pairs.join(x, "x").join(y, "y").where(near).select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(estimate, "x long, y long, sure boolean")
@@ -220,44 +232,73 @@ def open_pairs(keyed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
     """x, y, sure: pairs of different components that share a list and can reach the threshold.
 
     Only lists that hold several components are looked at. In each, nodes outside its largest component (left) meet all
-    nodes (right) in cells of LEFT x RIGHT nodes.
+    nodes (right) in cells of about LEFT x RIGHT nodes; a task compares the pairs of many cells at once.
     """
     placed = keyed.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
     of_list = parts.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where(F.col("roots") > 1)
     shape = of_list.select("v", F.col("top.root").alias("top"), F.ceil((F.col("size") - F.col("top.n")) / LEFT).alias("lefts"), F.ceil(F.col("size") / RIGHT).alias("rights"))
     sketches = nodes.select("node", "n", "sketch")
-    rows = kept(placed.join(shape, "v")).join(sketches, "node")
+    rows = kept(placed.join(shape, "v").withColumn("out", F.col("root") != F.col("top"))).join(sketches, "node")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    right = rows.select("v", "node", "root", "n", "sketch", F.lit(False).alias("left"), spread(F.col("rights")).alias("j"), F.explode(F.sequence(F.lit(0), (F.col("lefts") - 1).cast("int"))).alias("i"))
-    left = rows.where(F.col("root") != F.col("top")).select("v", "node", "root", "n", "sketch", F.lit(True).alias("left"), spread(F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0), (F.col("rights") - 1).cast("int"))).alias("j"))
-
-    def meet(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b = cell[cell["left"]], cell[~cell["left"]]
-        found: list[tuple[int, int, bool]] = []
-        if len(a) and len(b):
-            sa, sb = ([np.frombuffer(s, np.uint64) for s in part["sketch"]] for part in (a, b))
-            values, code = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)
-            size = [len(s) for s in (*sa, *sb)]
-            row = np.repeat(np.arange(len(size)), size)
-            both = np.bincount(code[row < len(sa)], minlength=len(values)) * np.bincount(code[row >= len(sa)], minlength=len(values)) > 0
-            column = np.cumsum(both) - 1
-            use = both[code]
-            on = np.zeros((len(size), int(both.sum())), np.float32)
-            on[row[use], column[code[use]]] = 1
-            shared = on[: len(sa)] @ on[len(sa) :].T
-            na, nb = a["n"].to_numpy(), b["n"].to_numpy()
-            least, most = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
-            # of an estimate of LEAST_ESTIMATE, that share of the shorter sketch at least is common
-            can = (shared >= LEAST_ESTIMATE * np.minimum(least, SKETCH) * 0.9) & (least * 100 >= most * PERCENT) & (a["root"].to_numpy()[:, None] != b["root"].to_numpy()[None])
-            node_a, node_b = a["node"].to_numpy(), b["node"].to_numpy()
-            for i, j in zip(*np.nonzero(can), strict=True):
-                e, whole = union_estimate(sa[i], sb[j]), bool(most[i, j] <= SKETCH)
-                if e * 100 >= PERCENT - 1e-9 if whole else e >= LEAST_ESTIMATE:
-                    found.append((min(node_a[i], node_b[j]), max(node_a[i], node_b[j]), whole))
-        return pd.DataFrame(found, columns=["x", "y", "sure"])
-
-    return left.select(right.columns).unionByName(right).groupBy("v", "i", "j").applyInPandas(meet, "x long, y long, sure boolean").distinct()
+    columns = ("v", "i", "j", "side", "node", "root", "n", "out", "sketch")
+    right = rows.withColumn("side", F.lit(1)).withColumn("j", spread(F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("lefts") - 1).cast("int"))))
+    left = rows.where("out").withColumn("side", F.lit(0)).withColumn("i", spread(F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("rights") - 1).cast("int"))))
+    cells = left.select(*columns).unionByName(right.select(*columns)).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
+    return cells.mapInArrow(met_in_cells, "x long, y long, sure boolean").distinct()
+
+
+def met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, y, sure of each cell (v, i, j): its left nodes (side 0) against its right ones. Rows come in order of cell and side."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            waiting.append(batch)
+            if sum(w.num_rows for w in waiting) < 2 * LEFT * RIGHT // 64:
+                continue
+        if not waiting:
+            continue
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        v, i, j = (rows.column(c).to_numpy() for c in ("v", "i", "j"))
+        new = np.r_[True, (v[1:] != v[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        starts = np.flatnonzero(new)
+        if batch is not None:  # the last cell may go on
+            end = int(starts[-1])
+            if not end:
+                continue
+            waiting = rows.slice(end).to_batches()
+            rows, starts = rows.slice(0, end), starts[:-1]
+        else:
+            waiting = []
+        yield from met_in_rows(rows, starts)
+
+
+def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    side, node, root, n, out = (rows.column(c).to_numpy() for c in ("side", "node", "root", "n", "out"))
+    sketch = padded(pa.concat_arrays(rows.column("sketch").chunks), np.where(side == 0, *PADS))
+    cell = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(side)]))
+    rights = np.bincount(cell, side, len(starts)).astype(np.int64)
+    first_right = np.r_[starts[1:], len(side)] - rights
+    lefts = np.flatnonzero(side == 0)
+    partners = rights[cell[lefts]]
+    upto = np.cumsum(partners)
+    at = 0
+    while at < len(lefts):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS * 16, side="right")))
+        a = np.repeat(lefts[at:to], partners[at:to])
+        b = np.repeat(first_right[cell[lefts[at:to]]], partners[at:to]) + ranges(partners[at:to])
+        at = to
+        # two nodes outside the largest component meet twice: once is enough
+        use = (root[a] != root[b]) & ~(out[b] & (node[a] > node[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT)
+        a, b = a[use], b[use]
+        whole = np.maximum(n[a], n[b]) <= SKETCH
+        ok = np.zeros(len(a), bool)
+        for k in range(0, len(a), PAIRS):
+            p, q, w = a[k : k + PAIRS], b[k : k + PAIRS], whole[k : k + PAIRS]
+            e = estimates(sketch[p], sketch[q], np.where(w, 2 * SKETCH, SKETCH))
+            ok[k : k + PAIRS] = np.where(w, e * 100 >= PERCENT - 1e-9, e >= LEAST_ESTIMATE)
+        x, y = node[a[ok]], node[b[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(whole[ok])], names=["x", "y", "sure"])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
