@@ -35,7 +35,7 @@ CLASSES, TOP_WORDS, TOP_ENDINGS = 64, 24, 36
 BUCKETS = 2048  # of each hashed feature
 BEFORE = 4
 FEATURES = 1 + BEFORE * CLASSES + 2 * BUCKETS
-COMMON = 1 << 17  # words whose counts every task gets
+COMMON = 1 << 17  # words whose counts every task gets, at most
 BATCH, RATE = 8192, 0.2
 PARTS = (4, 1)  # a quarter of the texts trains first, the others start from its average
 END = np.uint64(0x5EED0E0D)
@@ -208,6 +208,18 @@ def train(docs: DataFrame, classes: Classes, id_col: str) -> np.ndarray:
     return start
 
 
+def common_from(binned: DataFrame) -> int:
+    """The least `bin` of counts from which on there are COMMON words at most; a thousand bins hold any counts."""
+    found = sorted(((r["bin"], r["count"]) for r in binned.groupBy("bin").count().collect()), reverse=True)
+    least, words = 1 + max((b for b, _ in found), default=0), 0
+    for b, n in found:
+        words += n
+        if words > COMMON:
+            break
+        least = b
+    return least
+
+
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; `learn` names the training rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -215,14 +227,13 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     counts = kept(count_words(learnt))
     classes = classes_of(counts)
     weights = train(learnt, classes, "id")
-    order = [F.col("n").desc(), F.col("h")]
-    common = counts.orderBy(*order).limit(COMMON).select("h", "n").toPandas()
+    binned = counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int"))
+    least = common_from(binned)
+    common = binned.where(F.col("bin") >= least).select("h", "n").toPandas()
     common_key = common["h"].to_numpy(np.int64).view(np.uint64)
     by_key = np.argsort(common_key)
     shipped = docs.sparkSession.sparkContext.broadcast((weights, common_key[by_key], common["n"].to_numpy(np.float64)[by_key]))
-    # the rest of the words: those after the last common one in the same order
-    edge = (int(common["n"].iat[-1]), int(common["h"].iat[-1])) if len(common) else (0, 0)
-    rest = counts.where((F.col("n") < edge[0]) | ((F.col("n") == edge[0]) & (F.col("h") > edge[1]))).select("h", F.col("n").alias("count"))
+    rest = binned.where(F.col("bin") < least).select("h", F.col("n").alias("count"))
     log_total = np.log10(np.maximum(classes.total, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
