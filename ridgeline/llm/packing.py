@@ -27,17 +27,19 @@ from ._bpe import WordTokens
 from ._text import kept, ranges, slices
 
 WINDOW, END_ID, BIN_ROWS = 4096, 2, 8192
+BIN_ROWS_WITH_IDS = 2048  # the ids of a bin are held at a time
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (, ids): every document's ids, cut into full windows and a rest.
 
+    ids: little-endian 32-bit numbers, compressed by zstd (they are written and shuffled).
     tokenizer: the definition (JSON text) of a word-splitting tokenizer; a few MB, shipped with the task.
     """
     fields = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words, codec = WordTokens(tokenizer), pa.Codec("zstd", compression_level=1)
         for b in slices(batches, text_col):
             ids, off = words.ids(b.column(text_col), end_id)
             n = np.diff(off)
@@ -52,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
             out = [doc, *map(pa.array, (start, length, crc, np.repeat(n, count)))]
             names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                out, names = [*out, pa.array([bytes(p) for p in parts], pa.binary())], [*names, "ids"]
+                out, names = [*out, pa.array([codec.compress(p, asbytes=True) for p in parts], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.select(id_col, text_col).mapInArrow(cut, fields)
@@ -111,13 +113,13 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return window_of, offset_of
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """The pieces of `docs` with sequence_id and offset. Sequences hold `window` tokens at most, without gaps.
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, bin_rows: int | None = None) -> DataFrame:
+    """The pieces of `docs` with sequence_id and offset (and ids, 32-bit little-endian). Sequences hold `window` tokens at most, without gaps.
 
     bin_rows: pieces that one task packs at a time; bounds its memory and leaves a part of a window unfilled per bin.
     """
     cut = kept(pieces(docs, tokenizer, window, end_id, id_col, text_col, with_ids))
-    bins = max(1, math.ceil(cut.count() / bin_rows))
+    bins = max(1, math.ceil(cut.count() / (bin_rows or (BIN_ROWS_WITH_IDS if with_ids else BIN_ROWS))))
     # rows are dealt by their place in the written table, so that repeated rows spread as others do
     dealt = cut.withColumn("_bin", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(bins)))
     fields = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
@@ -125,6 +127,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([id_col, "start", "ids_crc32"], kind="stable")
         at, offset = best_fit(rows["length"].to_numpy(), window)
+        if with_ids:
+            codec = pa.Codec("zstd")
+            rows["ids"] = [codec.decompress(i, decompressed_size=4 * n, asbytes=True) for i, n in zip(rows["ids"], rows["length"].tolist(), strict=True)]
         return rows.drop(columns="_bin").assign(sequence_id=at * bins + int(rows["_bin"].iat[0]), offset=offset)
 
     return dealt.groupBy("_bin").applyInPandas(fill, fields)
