@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +42,11 @@ class Table:
     notes: dict[str, str] = field(default_factory=dict)
 
     def versions(self) -> DataFrame | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.json(f"{self.path}/current") if fs.exists(fs_path) else None
+        """The pointers written so far; None before the first."""
+        try:
+            return self.spark.read.json(f"{self.path}/current")
+        except AnalysisException:
+            return None
 
     def current(self) -> dict[str, str]:
         found = self.versions()
