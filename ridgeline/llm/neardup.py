@@ -10,8 +10,9 @@
    The similarity is estimated from the sketch of the union; pairs that can reach the
    threshold are verified on their full sets. Verified links give components.
 4. Lists that still hold several components are finished exactly: nodes outside the
-   list's largest component meet all others, block by block, in tasks that hand on only
-   pairs of different components whose estimate can reach the threshold.
+   list's largest component meet all others, block by block. Pairs of different
+   components whose estimate can reach the threshold are verified within their block, on
+   full sets; a block hands on a forest of links, so nothing grows with its pairs.
 
 Texts without words have no set, no links, and are kept. With fewer words than a
 shingle, the whole sequence is the only shingle. Rows with equal ids are rows of their
@@ -62,6 +63,15 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+
+
+def signature(hashes: np.ndarray, seed: int) -> int:
+    """64 bits of a whole set."""
+    with np.errstate(over="ignore"):
+        return int(mix(hashes ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64))
+
+
 def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """id, h (the text's hash), n, a, b (128 bits of the whole set) and sketch (its least SKETCH hashes) of each row."""
 
@@ -69,8 +79,7 @@ def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), words)
             n = np.array([len(s) for s in sets], np.int64)
-            with np.errstate(over="ignore"):
-                signs = [np.array([mix(s ^ np.uint64(seed)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+            signs = [np.array([signature(s, seed) for s in sets], np.int64) for seed in SEEDS]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n), *map(pa.array, signs), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())], names=["id", "h", "n", "a", "b", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -185,9 +194,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, id
             for k, (p, q, ap, aq) in enumerate(zip(sx, sy, batch.column("ax").to_pylist(), batch.column("ay").to_pylist(), strict=True)):
                 if min(len(p), len(q)) * 100 < PERCENT * max(len(p), len(q)):
                     continue
-                with np.errstate(over="ignore"):  # rows with equal ids may bring other texts
-                    if any(int(mix(s ^ np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64).view(np.int64)) != sign for s, sign in ((p, ap), (q, aq))):
-                        continue
+                if any(signature(s, SEEDS[0]) != sign for s, sign in ((p, ap), (q, aq))):  # rows with equal ids may bring other texts
+                    continue
                 both_ = np.concatenate([p, q])
                 both_.sort()
                 inter = int((both_[1:] == both_[:-1]).sum())
@@ -228,60 +236,62 @@ def hub_pairs(keyed: DataFrame) -> DataFrame:
     return first.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
 
 
-def open_pairs(keyed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """x, y, sure: pairs of different components that share a list and can reach the threshold.
+def open_cells(keyed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """v, i, j, x, y, sure, near: cells of lists that hold several components, and what in them has to be verified.
 
-    Only lists that hold several components are looked at. In each, nodes outside its largest component (left) meet all
-    nodes (right) in cells of about LEFT x RIGHT nodes; a task compares the pairs of many cells at once.
+    In each list nodes outside its largest component (left) meet all nodes (right) in cells of about LEFT x RIGHT nodes; a
+    task compares the pairs of many cells at once. A pair counts in the list of its least common key alone. x, y: pairs
+    whose components differ and whose estimate reaches the threshold (sure: decided already), as bytes of 64-bit numbers,
+    one row a cell; near: their nodes.
     """
     placed = keyed.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
     of_list = parts.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where(F.col("roots") > 1)
     shape = of_list.select("v", F.col("top.root").alias("top"), F.ceil((F.col("size") - F.col("top.n")) / LEFT).alias("lefts"), F.ceil(F.col("size") / RIGHT).alias("rights"))
-    sketches = nodes.select("node", "n", "sketch")
-    rows = kept(placed.join(shape, "v").withColumn("out", F.col("root") != F.col("top"))).join(sketches, "node")
+    held = keyed.groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("keys"))
+    rows = kept(placed.join(shape, "v").withColumn("out", F.col("root") != F.col("top"))).join(nodes.select("node", "n", "sketch"), "node").join(held, "node")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    columns = ("v", "i", "j", "side", "node", "root", "n", "out", "sketch")
+    columns = ("v", "i", "j", "side", "node", "root", "n", "out", "sketch", "keys")
     right = rows.withColumn("side", F.lit(1)).withColumn("j", spread(F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("lefts") - 1).cast("int"))))
     left = rows.where("out").withColumn("side", F.lit(0)).withColumn("i", spread(F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("rights") - 1).cast("int"))))
     cells = left.select(*columns).unionByName(right.select(*columns)).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
-    return cells.mapInArrow(met_in_cells, "x long, y long, sure boolean").distinct()
+    return cells.mapInArrow(met_in_cells, "v long, i int, j int, x binary, y binary, sure binary, near array<long>")
 
 
 def met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """x, y, sure of each cell (v, i, j): its left nodes (side 0) against its right ones. Rows come in order of cell and side."""
+    """The candidates of each cell (v, i, j): its left nodes (side 0) against its right ones. Rows come in order of cell and side."""
     waiting: list[pa.RecordBatch] = []
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             waiting.append(batch)
-            if sum(w.num_rows for w in waiting) < 2 * LEFT * RIGHT // 64:
+            if sum(w.num_rows for w in waiting) < 4096:
                 continue
         if not waiting:
             continue
-        rows = pa.Table.from_batches(waiting).combine_chunks()
+        rows = pa.Table.from_batches(waiting)
         v, i, j = (rows.column(c).to_numpy() for c in ("v", "i", "j"))
-        new = np.r_[True, (v[1:] != v[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        starts = np.flatnonzero(new)
+        starts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        waiting = []
         if batch is not None:  # the last cell may go on
-            end = int(starts[-1])
-            if not end:
-                continue
-            waiting = rows.slice(end).to_batches()
-            rows, starts = rows.slice(0, end), starts[:-1]
-        else:
-            waiting = []
-        yield from met_in_rows(rows, starts)
+            waiting = rows.slice(int(starts[-1])).to_batches()
+            rows, starts = rows.slice(0, int(starts[-1])), starts[:-1]
+        if len(starts):
+            yield from met_in_rows(rows, starts)
 
 
 def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    side, node, root, n, out = (rows.column(c).to_numpy() for c in ("side", "node", "root", "n", "out"))
+    v, i, j, side, node, root, n, out = (rows.column(c).to_numpy() for c in ("v", "i", "j", "side", "node", "root", "n", "out"))
     sketch = padded(pa.concat_arrays(rows.column("sketch").chunks), np.where(side == 0, *PADS))
+    lists = pa.concat_arrays(rows.column("keys").chunks)
+    keys, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
     cell = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(side)]))
     rights = np.bincount(cell, side, len(starts)).astype(np.int64)
     first_right = np.r_[starts[1:], len(side)] - rights
+    first_key = np.cumsum(size) - size
     lefts = np.flatnonzero(side == 0)
     partners = rights[cell[lefts]]
     upto = np.cumsum(partners)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at = 0
     while at < len(lefts):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS * 16, side="right")))
@@ -297,8 +307,90 @@ def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             p, q, w = a[k : k + PAIRS], b[k : k + PAIRS], whole[k : k + PAIRS]
             e = estimates(sketch[p], sketch[q], np.where(w, 2 * SKETCH, SKETCH))
             ok[k : k + PAIRS] = np.where(w, e * 100 >= PERCENT - 1e-9, e >= LEAST_ESTIMATE)
-        x, y = node[a[ok]], node[b[ok]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(whole[ok])], names=["x", "y", "sure"])
+        a, b, whole = a[ok], b[ok], whole[ok]
+        mine = least_common(keys, first_key, size, a, b) == v[a]
+        found.append((a[mine], b[mine], whole[mine]))
+    if not found:
+        return
+    a, b, whole = (np.concatenate([f[k] for f in found]) for k in range(3))
+    at, to = np.searchsorted(cell[a], np.arange(len(starts))), np.searchsorted(cell[a], np.arange(len(starts)), side="right")
+    some = np.flatnonzero(to > at)
+    x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    part = lambda values: pa.array([values[at[k] : to[k]].tobytes() for k in some], pa.binary())
+    near = pa.array([np.unique(np.r_[x[at[k] : to[k]][~whole[at[k] : to[k]]], y[at[k] : to[k]][~whole[at[k] : to[k]]]]).tolist() for k in some], pa.list_(pa.int64()))
+    head = starts[some]
+    yield pa.RecordBatch.from_arrays([pa.array(v[head]), pa.array(i[head]), pa.array(j[head]), part(x), part(y), part(whole), near], names=["v", "i", "j", "x", "y", "sure", "near"])
+
+
+def least_common(keys: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows, the least key that both hold (each row's keys are in order)."""
+    out = np.zeros(len(a), np.int64)
+    for k in range(0, len(a), PAIRS):
+        p, q = a[k : k + PAIRS], b[k : k + PAIRS]
+        width = int(max(size[p].max(), size[q].max()))
+        place = np.arange(width)
+        take = lambda r, pad: np.where(place < size[r][:, None], keys[np.minimum(first[r][:, None] + place, len(keys) - 1)].view(np.uint64), pad)  # noqa: B023, E731
+        both = np.concatenate([take(p, PADS[0]), take(q, PADS[1])], axis=1)
+        both.sort(axis=1)
+        double = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < PADS[1])
+        values = np.where(double, both[:, 1:].view(np.int64), np.iinfo(np.int64).max)  # the least in the order of signed numbers
+        out[k : k + PAIRS] = values.min(1)
+    return out
+
+
+def linked_in_cells(cells: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """x, y: links between different components, verified on full sets. Each cell is verified as a whole, and hands on a forest of its links."""
+    wanted = kept(cells.select(*(F.col(c).alias("m" + c) for c in ("v", "i", "j")), F.explode("near").alias("node")).join(nodes.select("node", "id", "a"), "node"))
+    sets = full_sets(wanted.select("node", "id", "a").distinct(), docs, words, id_col, text_col)
+    members = wanted.select("mv", "mi", "mj", "node").join(sets, "node")
+
+    def link(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        number = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
+        held = [np.frombuffer(h, np.uint64) for h in sets.column("hashes").to_pylist()]
+        forest: dict[int, int] = {}
+
+        def top(m: int) -> int:
+            while forest.get(m, m) != m:
+                forest[m] = m = forest.get(forest[m], forest[m])
+            return m
+
+        out: list[tuple[int, int]] = []
+        for xs, ys, sure in zip(*(pairs.column(c).to_pylist() for c in ("x", "y", "sure")), strict=True):
+            of = zip(np.frombuffer(xs, np.int64).tolist(), np.frombuffer(ys, np.int64).tolist(), np.frombuffer(sure, bool).tolist(), strict=True)
+            for x, y, known in sorted(of, key=lambda p: not p[2]):
+                if top(x) == top(y):
+                    continue
+                if not known:
+                    if x not in number or y not in number:
+                        continue
+                    p, q = held[number[x]], held[number[y]]
+                    inter = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * inter < PERCENT * (len(p) + len(q) - inter):
+                        continue
+                forest[top(x)] = top(y)
+                out.append((x, y))
+        return pa.table({"x": pa.array([o[0] for o in out], pa.int64()), "y": pa.array([o[1] for o in out], pa.int64())})
+
+    return cells.select("v", "i", "j", "x", "y", "sure").groupBy("v", "i", "j").cogroup(members.groupBy("mv", "mi", "mj")).applyInArrow(link, "x long, y long").distinct()
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """node, hashes: the whole sets of the wanted nodes (node, id, a). Texts are read again, for these nodes only."""
+    shipped = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted.select("id")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
+        for batch in batches:
+            at = (mix(batch.column("id").fill_null(0).to_numpy().astype(np.uint64)) % np.uint64(BITMAP)).astype(np.int64)
+            some = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            for part in slices([some], "text"):
+                sets = shingle_sets(part.column("text"), words)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([signature(s, SEEDS[0]) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "a", "hashes"])
+
+    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(measure, "id long, a long, hashes binary")
+    # rows with equal ids may hold other texts; of rows that are equal in full one is enough
+    own = sets.withColumnsRenamed({"id": "_id", "a": "_a"})
+    return wanted.join(own, wanted["id"].eqNullSafe(own["_id"]) & (wanted["a"] == own["_a"])).groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,9 +401,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     keyed = kept(lists(nodes))
     links = kept(verified(kept(estimated(hub_pairs(keyed), nodes)), nodes, docs, words, id_col, text_col))
     roots = components(links)
-    rest = kept(open_pairs(keyed, roots, nodes))
+    rest = kept(open_cells(keyed, roots, nodes))
     if not rest.isEmpty():
-        more = verified(rest, nodes, docs, words, id_col, text_col)
+        more = linked_in_cells(rest, nodes, docs, words, id_col, text_col)
         roots = components(more.unionByName(roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))))
     placed = nodes.select("node", "a", "b", "least").join(roots, "node", "left").select("a", "b", "least", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
