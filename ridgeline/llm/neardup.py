@@ -406,7 +406,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
         more = linked_in_cells(rest, nodes, docs, words, id_col, text_col)
         roots = components(more.unionByName(roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))))
     placed = nodes.select("node", "a", "b", "least").join(roots, "node", "left").select("a", "b", "least", F.coalesce("root", "node").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = kept(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     named = kept(placed.join(names, "root").select("a", "b", "component_id"))
     grouped = table.where("n > 0").select("id", "h", "n", "a", "b").join(named, ["a", "b"]).select("id", "h", "n", "component_id")
     alone = table.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"))
