@@ -12,7 +12,7 @@ from ..functions.rounding import half_even
 from ..operators import fitness, history, planning, routes, waypoints
 from ..sources import driver_tables as tables
 from . import oracle_tables as sql
-from .rides import days, rides
+from .rides import FITNESS, days, rides
 
 HOME, TARGET_KM = (38.7, -9.14), 120.0
 RADIUS = waypoints.radius_for(TARGET_KM)
@@ -329,6 +329,12 @@ SELECT CAST(row_number() OVER (ORDER BY angle, origin, id) AS INTEGER) AS place,
   - CASE WHEN wind > 40 THEN 40 WHEN wind > 30 THEN 25 WHEN wind > 20 THEN 10 ELSE 0 END - CASE WHEN uv >= 11 THEN 25 WHEN uv >= 8 THEN 15 WHEN uv >= 6 THEN 5 ELSE 0 END
   - CASE WHEN precip > 2 THEN 40 WHEN precip > 0.5::DOUBLE THEN 20 WHEN precip > 0 THEN 5 ELSE 0 END) AS INTEGER) AS score FROM hours WHERE CAST(substr(time, 12, 2) AS INTEGER) BETWEEN 6 AND 20)
 SELECT time, score, CAST(row_number() OVER (PARTITION BY substr(time, 1, 10) ORDER BY score DESC, time) AS INTEGER) AS place FROM s""",
+    "h10_plans": f"""WITH RECURSIVE {FITNESS}, form AS (SELECT athlete_id, tsb FROM days QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY date DESC) = 1), o AS (
+  SELECT athlete_id, avg_speed_kmh AS v FROM rides WHERE sport_type = 'cycling_outdoor' AND distance_m > 5000
+), s AS (
+  SELECT athlete_id, CASE WHEN count(*) FILTER (WHERE v > 22) >= 5 THEN quantile_cont(v, 0.5) FILTER (WHERE v > 22) END AS a, quantile_cont(v, 0.5) FILTER (WHERE v > 0) AS c FROM o GROUP BY 1
+), p AS (SELECT athlete_id, tsb, {sql.r(f"150 / 60.0::DOUBLE * coalesce(nullif({sql.r('a', 1)}, 0), nullif({sql.r('c', 1)}, 0), 27.0::DOUBLE)", 1)} AS km FROM form LEFT JOIN s USING (athlete_id))
+SELECT athlete_id, km, CASE WHEN tsb <= -10 THEN {sql.r('km * 0.8::DOUBLE', 1)} ELSE km END AS fitted_km, CASE WHEN tsb > 10 THEN 'fresh' WHEN tsb > -10 THEN 'neutral' WHEN tsb IS NOT NULL THEN 'fatigued' END AS form FROM p""",
     "h12_durations": f"""{TYPED} SELECT id, CASE k % 7 WHEN 0 THEN CAST(a AS INTEGER) * 60 WHEN 1 THEN CAST(b AS INTEGER) * 60 + CAST(a AS INTEGER) WHEN 2 THEN CAST(a AS INTEGER) WHEN 3 THEN CAST(b AS INTEGER) * 60 + CAST(m AS INTEGER)
   WHEN 6 THEN CAST(b AS INTEGER) * 60 + CAST(a AS INTEGER) END AS minutes FROM t""",
     "h13_distances": f"""{TYPED} SELECT id, CASE k % 5 WHEN 0 THEN CAST(a AS DOUBLE) WHEN 1 THEN CAST(a AS DOUBLE) WHEN 2 THEN CAST(a || '.' || b AS DOUBLE) WHEN 3 THEN CAST(b AS DOUBLE) END AS km FROM t""",
