@@ -101,6 +101,12 @@ def test_other_kinds(rows):
     assert re.fullmatch(r"[0-9a-f]{40}", rows[9]["private"][1]["value"])
 
 
+def test_neighbours_are_told_apart(spark):
+    texts = ["call +1 (826) 555-4081 190.137.223.204 now", "+44 20 7946 0958 10.1.2.3", f"+44 20 7946 0958 {CARD}", f"{CARD} {CARD}", "10.1.2.3 10.1.2.4"]
+    kinds = [[v["kind"] for v in r["private"]] for r in private.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert kinds == [["phone", "ip"], ["phone", "ip"], ["phone", "card"], ["card", "card"], ["ip", "ip"]]
+
+
 def test_one_to_one_and_linked(spark):
     octets = [(f"10.0.{a}.{b}",) for a in range(16) for b in range(64)]
     out = private.pseudonymise(spark.createDataFrame(octets, "text string")).collect()
