@@ -28,6 +28,7 @@ from ._text import kept, ranges, slices
 
 WINDOW, END_ID, BIN_ROWS = 4096, 2, 8192
 BIN_ROWS_WITH_IDS = 2048  # the ids of a bin are held at a time
+SLICE_BYTES = 2 << 20  # of text that is tokenised at a time; bounds a task's memory
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -40,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, codec = WordTokens(tokenizer), pa.Codec("zstd", compression_level=1)
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE_BYTES):
             ids, off = words.ids(b.column(text_col), end_id)
             n = np.diff(off)
             count = -(-n // window)
