@@ -118,11 +118,11 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select((F.lit(38.7) + (k * 17 % 50 - 25) / F.lit(150.0)).alias("lat"), (F.lit(-9.14) + (k * 23 % 50 - 25) / F.lit(150.0)).alias("lng"), F.when(k % 3 != 0, (k * 100 + 200).cast("double")).alias("radius"))
 
 
-def route_points(spark: SparkSession, sf_dir: str, rides: int = 500) -> DataFrame:
+def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """route_id, coords, elevations: a route of the samples with a place, in order, of every user."""
     return (
         samples(spark, sf_dir)
-        .where(F.col("lat").isNotNull() & (F.col("activity_id") < rides))
+        .where(F.col("lat").isNotNull())
         .groupBy(F.col("activity_id").alias("route_id"))
         .agg(F.sort_array(F.collect_list(F.struct("time_offset", "lat", "lng", F.when(F.col("hr").isNotNull(), F.col("altitude_m")).alias("elevation")))).alias("p"))
         .select("route_id", F.transform("p", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("coords"), F.transform("p", lambda p: p["elevation"]).alias("elevations"))

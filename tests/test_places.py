@@ -1,5 +1,6 @@
 """Geometry, weather, typed texts and files on small examples."""
 
+import datetime
 import math
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from ridgeline.functions import geo, parse, weather
 from ridgeline.operators import planning, routes, waypoints
+from ridgeline.plans import places
 from ridgeline.sources import config, landed
 
 
@@ -151,3 +153,14 @@ def test_settings(spark, tmp_path, monkeypatch):
     assert (got["home"]["lat"], got["home"]["lng"], got["fitness"]["ftp"], got["fitness"]["max_hr"], got["secrets"]["password"]) == (40.5, -9.1, 250, 0, "s")
     assert tuple(config.avoid_zones(spark, got).first()) == (1.0, 2.0, None)
     assert config.secret({"password_cmd": "echo hidden"}, "password") == "hidden" and config.secret({"password_cmd": "false"}, "password") == ""
+
+
+def test_routes_of_every_user(spark, tmp_path):
+    users = (1, 499, 500, 1499)
+    kinds = ("view", "purchase")
+    rows = [(k, datetime.datetime(2024, 1, 1, 0, 0, k % 60), users[k % 4], kinds[k // 4 % 2], 10.0, f'{{"k": {k}}}') for k in range(80)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    for query in (places.d12_elevation, places.d14_wind):
+        # the wind blows from 15 on only, at these users' numbers modulo 40
+        want = {1, 499, 500, 1499} if query is places.d12_elevation else {u for u in users if u % 40 >= 15}
+        assert {r["route_id"] for r in query(spark, str(tmp_path)).collect()} == want
