@@ -3,13 +3,15 @@
 Tokens are lower-cased words and one end per text. P(token | history) is factored:
 a softmax over CLASSES classes, whose features are the classes of the four tokens
 before (near and skipped), the pair of the two before and the word before, both
-hashed; times the token's share of its class, discounted to leave room for unknown
-words. The most frequent words are classes of their own, the others belong to a class
-by their last two bytes.
+hashed; times a second softmax, of the word within its class, from the same features.
+The most frequent words are classes of their own, the others belong to a class by their
+last two bytes. The second softmax tells the OUTCOMES - 1 most frequent words of a class
+apart; its other words share one outcome, and within that have their share of its count,
+discounted to leave room for unknown words.
 
 Counts cover all training texts. The softmax is trained by gradient updates in the
 tasks, each over its own texts; the tasks' weights are averaged by how often each
-feature was seen, twice over disjoint parts of the texts. Words are known by a 64-bit
+feature was seen, twice over disjoint parts of the texts; so is the second one. Words are known by a 64-bit
 hash. Counts of the most frequent words (a fixed number) go to the tasks; all other
 words of the texts meet their counts in a join.
 
@@ -28,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._text import hash_spans, kept, mix, ranges, segment_sum, slices, word_spans
 
@@ -35,6 +38,11 @@ CLASSES, TOP_WORDS, TOP_ENDINGS = 64, 24, 36
 BUCKETS = 2048  # of each hashed feature
 BEFORE = 4
 FEATURES = 1 + BEFORE * CLASSES + 2 * BUCKETS
+OWN = 1 + TOP_WORDS  # classes of one word, the first ones
+SHARED, OUTCOMES = CLASSES - OWN, 32
+INNER_BUCKETS = 512  # of each hashed feature of the second softmax; its rows are counted by 16 bits
+INNER_FEATURES = 1 + BEFORE * CLASSES + 2 * INNER_BUCKETS
+NEVER = -1000.0  # the log odds of an outcome that no word has
 COMMON = 1 << 17  # words whose counts every task gets, at most
 BATCH, RATE = 8192, 0.2
 PARTS = (4, 1)  # a quarter of the texts trains first, the others start from its average
@@ -60,6 +68,11 @@ class Classes:
     total: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     discount: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     unknown: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # log10 of the share of unknown words
+    named: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of the words with outcomes of their own
+    named_n: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    outcome: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    outcome_n: np.ndarray = field(default_factory=lambda: np.zeros((SHARED, OUTCOMES)))  # of outcome 0: the other words
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # total without the words with outcomes of their own
     tokens: int = 0
     distinct: int = 0
 
@@ -67,6 +80,13 @@ class Classes:
         at = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
         return np.where(self.words[at] == key, self.word_class[at], self.ending_class[ending])
 
+    def outcomes(self, key: np.ndarray) -> np.ndarray:
+        """Which outcome a token has within its class."""
+        if not len(self.named):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.named, key), len(self.named) - 1)
+        return np.where(self.named[at] == key, self.outcome[at], 0).astype(np.int64)
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """h, ending, n of every distinct token of column `text`. A task adds up its slices before it hands on."""
@@ -110,9 +130,25 @@ def classes_of(counts: DataFrame) -> Classes:
     n, v, once, twice = by("n"), by("v"), by("once"), by("twice")
     found.total = n.copy()
     found.total[: len(words)] = [ends[0]["n"] if ends else 0, *(n for _, n in top)]
-    shared = np.arange(CLASSES) >= 1 + TOP_WORDS
+    # of each class the most frequent words; those seen once or twice stay with the others, whose discount they tell
+    place = F.array_position(F.array(*(F.lit(int(e)) for e in sums["ending"].head(TOP_ENDINGS))).cast("array<int>"), F.col("ending"))
+    cls = F.when(place > 0, place + TOP_WORDS).otherwise(OWN + TOP_ENDINGS + F.col("ending") % (CLASSES - OWN - TOP_ENDINGS)).cast("int")
+    by_class = Window.partitionBy("class").orderBy(F.col("n").desc(), "h")
+    first = rest.where("n > 2").select("h", "n", cls.alias("class")).withColumn("outcome", F.row_number().over(by_class)).where(F.col("outcome") < OUTCOMES).collect()
+    if first:
+        named = np.array([r["h"] for r in first], np.int64).view(np.uint64)
+        order = np.argsort(named)
+        found.named, found.named_n, found.outcome = named[order], np.array([r["n"] for r in first], float)[order], np.array([r["outcome"] for r in first], np.uint8)[order]
+    for r in first:
+        found.outcome_n[r["class"] - OWN, r["outcome"]] = r["n"]
+    found.rest = found.total.copy()
+    found.rest[OWN:] -= found.outcome_n.sum(1)
+    found.outcome_n[:, 0] = found.rest[OWN:]
+    others = v.copy()
+    others[OWN:] -= (found.outcome_n[:, 1:] > 0).sum(1)
+    shared = np.arange(CLASSES) >= OWN
     found.discount = np.where(shared, np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9), 0.0)
-    left = np.where(found.total > 0, found.discount * v / np.maximum(found.total, 1), 1.0)
+    left = np.where(found.rest > 0, found.discount * others / np.maximum(found.rest, 1), 1.0)
     found.unknown = np.log10(np.maximum(left, 1e-300))
     found.tokens = int(found.total.sum())
     found.distinct = int(v.sum()) + len(top) + bool(ends)
@@ -129,23 +165,38 @@ def features(key: np.ndarray, cls: np.ndarray, offsets: np.ndarray) -> list[np.n
     return [*(1 + k * CLASSES + c for k, c in enumerate(before)), base + pair, base + BUCKETS + (word % np.uint64(BUCKETS)).astype(np.int64)]
 
 
-def log_odds(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def inner_features(rows: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
+    """The rows of the second softmax's weights for tokens of shared classes; the last one is the class's bias."""
+    base, own = 1 + BEFORE * CLASSES, cls.astype(np.int64) - OWN
+    pair, word = ((r - base) % INNER_BUCKETS for r in rows[BEFORE:])
+    return [*(r * SHARED + own for r in (*rows[:BEFORE], base + pair, base + INNER_BUCKETS + word)), own]
+
+
+def log_odds(weights: np.ndarray, rows: list[np.ndarray], bias: bool = True) -> np.ndarray:
     z = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
         z += np.take(weights, r, axis=0)
-    z += weights[0]
+    if bias:
+        z += weights[0]
     return z
 
 
+def log_chance(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log10 of the chance of outcome y."""
+    z -= z.max(1, keepdims=True)
+    return (z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))) / math.log(10)
+
+
 class Updates:
-    """Adagrad on the class cross-entropy, in batches of tokens."""
+    """Adagrad on the cross-entropy of classes, or of outcomes within them, in batches of tokens."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray, bias: bool = True):
+        self.bias = bias
         self.weights, self.square = weights.copy(), np.full_like(weights, 1e-2)
         self.seen = np.zeros(len(weights))
 
     def step(self, rows: list[np.ndarray], y: np.ndarray) -> None:
-        p = log_odds(self.weights, rows)
+        p = log_odds(self.weights, rows, self.bias)
         p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
@@ -156,8 +207,9 @@ class Updates:
             cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
             self.move(at[cuts], np.add.reduceat(p[order], cuts, axis=0), len(y))
             self.seen[at[cuts]] += np.diff(np.r_[cuts, len(at)])
-        self.move(np.array([0]), p.sum(0, keepdims=True), len(y))
-        self.seen[0] += len(y)
+        if self.bias:
+            self.move(np.array([0]), p.sum(0, keepdims=True), len(y))
+            self.seen[0] += len(y)
 
     def move(self, at: np.ndarray, gradient: np.ndarray, n: int) -> None:
         gradient = gradient / n
@@ -166,27 +218,49 @@ class Updates:
         self.weights[at] -= RATE * gradient * math.sqrt(n) / np.sqrt(square)
 
 
-def train(docs: DataFrame, classes: Classes, id_col: str) -> np.ndarray:
-    """The averaged weights (FEATURES x CLASSES; 1 MB) of gradient updates over all of docs."""
-    start = np.zeros((FEATURES, CLASSES), np.float32)
-    start[0] = np.log(np.maximum(classes.total, 0.5) / max(classes.total.sum(), 1))
-    step = 64  # rows of the weights that are averaged together
+def train(docs: DataFrame, classes: Classes, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The averaged weights of gradient updates over all of docs: FEATURES x CLASSES (1 MB), and INNER_FEATURES * SHARED x OUTCOMES (6 MB)."""
+    outer = np.zeros((FEATURES, CLASSES), np.float32)
+    outer[0] = np.log(np.maximum(classes.total, 0.5) / max(classes.total.sum(), 1))
+    inner = np.zeros((INNER_FEATURES * SHARED, OUTCOMES), np.float32)
+    inner[:SHARED] = np.where(classes.outcome_n > 0, np.log(np.maximum(classes.outcome_n, 0.5)), NEVER)
+    inner[:SHARED, 0] = np.log(np.maximum(classes.outcome_n[:, 0], 0.5))
+    start = (outer, inner)
+    steps = (64, 1024)  # rows of the weights that are averaged together
+    pieces = [(k, a) for k, w in enumerate(start) for a in range(0, len(w), steps[k])]
     part = F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(PARTS[0]))
     for k in range(len(PARTS)):
         share = docs.where(part == 0 if k == 0 else part != 0)
 
-        def update(batches: Iterator[pa.RecordBatch], begin: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            own = Updates(begin)
+        def update(batches: Iterator[pa.RecordBatch], begin: tuple[np.ndarray, np.ndarray] = start) -> Iterator[pa.RecordBatch]:
+            own = (Updates(begin[0]), Updates(begin[1], bias=False))
             for b in slices(batches, "text"):
                 key, ending, offsets = tokens(b.column("text"))
                 cls = classes.of(key, ending)
                 rows = features(key, cls, offsets)
                 for a in range(0, len(cls), BATCH):
-                    own.step([r[a : a + BATCH] for r in rows], cls[a : a + BATCH])
-            if own.seen[0]:
-                weighted = (own.weights * own.seen[:, None]).astype(np.float32)
-                pieces = range(0, FEATURES, step)
-                yield pa.RecordBatch.from_arrays([pa.array([a // step for a in pieces], pa.int32()), pa.array([own.seen[a : a + step].tobytes() for a in pieces], pa.binary()), pa.array([weighted[a : a + step].tobytes() for a in pieces], pa.binary())], names=["piece", "seen", "weights"])
+                    own[0].step([r[a : a + BATCH] for r in rows], cls[a : a + BATCH])
+                shared = np.flatnonzero(cls >= OWN)
+                for a in range(0, len(shared), BATCH):
+                    some = shared[a : a + BATCH]
+                    own[1].step(inner_features([r[some] for r in rows], cls[some]), classes.outcomes(key[some]))
+            for n, (m, a) in enumerate(pieces):
+                seen = own[m].seen[a : a + steps[m]]
+                if seen.any():
+                    # only the rows that moved, and how far: there are as many of these as there are tasks
+                    moved = (own[m].weights[a : a + steps[m]] - begin[m][a : a + steps[m]])[seen > 0].astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([seen.tobytes()], pa.binary()), pa.array([moved.tobytes()], pa.binary())], names=["piece", "seen", "weights"])
+
+        def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+            seen, total = 0, 0
+            for s, w in zip(rows["seen"], rows["weights"], strict=True):
+                n = np.frombuffer(s, np.float64)
+                some = n > 0
+                moved = np.frombuffer(w, np.float16).reshape(some.sum(), -1)
+                weighted = np.zeros((len(n), moved.shape[1]))
+                weighted[some] = moved * n[some, None]
+                seen, total = seen + n, total + weighted
+            return pd.DataFrame({"piece": rows["piece"].head(1), "seen": [seen.tobytes()], "weights": [total.astype(np.float32).tobytes()]})
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             seen, total = 0, 0
@@ -197,14 +271,14 @@ def train(docs: DataFrame, classes: Classes, id_col: str) -> np.ndarray:
         shape = "piece int, seen binary, weights binary"
         sums = share.select("text").mapInArrow(update, shape)
         # added in two steps, so that one task never holds every task's weights
-        sums = sums.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("piece", "branch").applyInPandas(add, shape).groupBy("piece").applyInPandas(add, shape)
-        average = start.copy()
+        sums = sums.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(8))).groupBy("piece", "branch").applyInPandas(weigh, shape).groupBy("piece").applyInPandas(add, shape)
+        average = tuple(w.copy() for w in start)
         for r in sums.collect():
-            a = r["piece"] * step
+            m, a = pieces[r["piece"]]
             seen = np.frombuffer(bytes(r["seen"]), np.float64)
             some = seen > 0
-            average[a : a + len(seen)][some] = np.frombuffer(bytes(r["weights"]), np.float32).reshape(-1, CLASSES)[some] / seen[some, None]
-        start = average.astype(np.float32)
+            average[m][a : a + len(seen)][some] += np.frombuffer(bytes(r["weights"]), np.float32).reshape(len(seen), -1)[some] / seen[some, None]
+        start = tuple(w.astype(np.float32) for w in average)
     return start
 
 
@@ -230,30 +304,32 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     binned = counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int"))
     least = common_from(binned)
     common = binned.where(F.col("bin") >= least).select("h", "n").toPandas()
-    common_key = common["h"].to_numpy(np.int64).view(np.uint64)
-    by_key = np.argsort(common_key)
-    shipped = docs.sparkSession.sparkContext.broadcast((weights, common_key[by_key], common["n"].to_numpy(np.float64)[by_key]))
+    # words with outcomes of their own go along, whatever their counts
+    common_key, at = np.unique(np.r_[common["h"].to_numpy(np.int64).view(np.uint64), classes.named], return_index=True)
+    common_n = np.r_[common["n"].to_numpy(np.float64), classes.named_n][at]
+    shipped = docs.sparkSession.sparkContext.broadcast((*weights, common_key, common_n))
     rest = binned.where(F.col("bin") < least).select("h", F.col("n").alias("count"))
-    log_total = np.log10(np.maximum(classes.total, 1))
+    log_rest = np.log10(np.maximum(classes.rest, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with sums for each text, and one for each of its distinct words that is not common."""
-        w, known_key, known_n = shipped.value
+        w, inner_w, known_key, known_n = shipped.value
         for b in slices(batches, "text", 4 << 20):
             key, ending, offsets = tokens(b.column("text"))
             cls = classes.of(key, ending)
             rows_on = features(key, cls, offsets)
             class_part = np.zeros(len(cls))
             for a in range(0, len(cls), BATCH):
-                z = log_odds(w, [r[a : a + BATCH] for r in rows_on])
-                y = cls[a : a + BATCH]
-                z -= z.max(1, keepdims=True)
-                class_part[a : a + BATCH] = (z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))) / math.log(10)
+                class_part[a : a + BATCH] = log_chance(log_odds(w, [r[a : a + BATCH] for r in rows_on]), cls[a : a + BATCH])
+            outcome, shared = classes.outcomes(key), np.flatnonzero(cls >= OWN)
+            for a in range(0, len(shared), BATCH):
+                some = shared[a : a + BATCH]
+                class_part[some] += log_chance(log_odds(inner_w, inner_features([r[some] for r in rows_on], cls[some]), bias=False), outcome[some])
             at = np.minimum(np.searchsorted(known_key, key), max(len(known_key) - 1, 0))
             hit = known_key[at] == key if len(known_key) else np.zeros(len(key), bool)
             n = np.where(hit, known_n[at], 1.0) if len(known_key) else np.ones(len(key))
             base = np.where(hit, np.log10(n + 0.1), 0.0)
-            inner = np.where(hit, np.log10(np.maximum(n - classes.discount[cls], 1e-9)) - log_total[cls], 0.0)
+            inner = np.where(hit & (outcome == 0), np.log10(np.maximum(n - classes.discount[cls], 1e-9)) - log_rest[cls], 0.0)
             row = b.column("row").to_numpy()
             doc = np.repeat(np.arange(len(row)), np.diff(offsets))
             lost = np.flatnonzero(~hit)
@@ -283,7 +359,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     pick = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("class") + 1)
     found = F.col("count").isNotNull()
     pair = F.col("times") > 0
-    inner = F.when(found, F.log10(F.col("count") - pick(classes.discount)) - pick(log_total)).otherwise(pick(classes.unknown))
+    inner = F.when(found, F.log10(F.col("count") - pick(classes.discount)) - pick(log_rest)).otherwise(pick(classes.unknown))
     sums = met.select(
         "row",
         "id",

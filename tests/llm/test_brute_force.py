@@ -259,6 +259,28 @@ def test_words_beyond_the_common_ones_meet_their_counts(spark, monkeypatch):
         assert (r["n_known"], r["base_score"], r["score"]) == (w["n_known"], pytest.approx(w["base_score"]), pytest.approx(w["score"]))
 
 
+def test_history_tells_words_of_a_class_apart(spark):
+    """Two words of equal count and ending: what stands before decides which one is likely."""
+    fill = [(k, " ".join(f"w{j}" for j in range(24) for _ in range(3))) for k in range(40)]
+    rows = [*fill, *((100 + k, "red zebring") for k in range(40)), *((200 + k, "blue quading") for k in range(40)), (900, "red zebring"), (901, "red quading"), (902, "blue quading"), (903, "blue zebring"), (904, "red unseening")]
+    got = {r["doc_id"]: r["score"] for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 900).collect()}
+    assert got[900] > got[901] + 0.2 and got[902] > got[903] + 0.2 and got[904] < got[900]
+
+
+def test_chances_within_a_class_sum_to_one(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("text")
+    counts = maxent.count_words(df)
+    c = maxent.classes_of(counts)
+    words = counts.toPandas()
+    key = words["h"].to_numpy().view("uint64")
+    cls, other = c.of(key, words["ending"].to_numpy()), c.outcomes(key) == 0
+    for k in range(maxent.OWN, maxent.CLASSES):
+        n = words["n"].to_numpy()[(cls == k) & other]
+        assert n.sum() == c.rest[k] == c.outcome_n[k - maxent.OWN, 0] and c.total[k] == c.outcome_n[k - maxent.OWN].sum()
+        if len(n):
+            assert (n - c.discount[k]).sum() / c.rest[k] + 10 ** c.unknown[k] == pytest.approx(1)
+
+
 def slow_kernel(s, t, order=toxicity.ORDER, decay=toxicity.DECAY):
     spans = lambda x: [(c, x[c[-1]] and tuple(x[i] for i in c), c[-1] - c[0] + 1) for c in itertools.combinations(range(len(x)), order)]
     return sum(decay ** (a[2] + b[2]) for a in spans(s) for b in spans(t) if a[1] == b[1])
