@@ -3,7 +3,8 @@
 One pattern finds candidates; checks (Luhn, octets, calendar, mod 97, area codes) decide
 whether one is a value; a value is permuted within its format under the key, so equal
 values get equal pseudonyms in every document and no two values get the same one.
-Check digits are made anew: a card number stays a valid card number.
+Check digits are made anew: a card number stays a valid card number. Where the check of a card or
+IBAN fails, the longest valid one that it begins with, up to a group's border, is the value.
 
 A null text stays null, texts without values stay as they are. Other columns are kept.
 """
@@ -119,16 +120,21 @@ def calendar(value: Column) -> tuple[Column, Column]:
     """The date that a value writes (null if none), and its format: year first, or day first."""
     first = value.rlike(r"^\d{4}-")
     day_first = lambda y: F.try_to_date(F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, *y[0]), F.substring(value, *y[1])), "yyyy-MM-dd")
-    # dd.mm.yyyy; with slashes mm/dd/yyyy
-    found = F.when(first, F.try_to_date(value, "yyyy-MM-dd")).when(F.substring(value, 3, 1) == ".", day_first(((4, 2), (1, 2)))).otherwise(day_first(((1, 2), (4, 2))))
+    # dd.mm.yyyy; with slashes mm/dd/yyyy, or dd/mm/yyyy where the month would be above 12
+    found = F.when(first, F.try_to_date(value, "yyyy-MM-dd")).when((F.substring(value, 3, 1) == ".") | european(value), day_first(((4, 2), (1, 2)))).otherwise(day_first(((1, 2), (4, 2))))
     return found, first
 
 
+def european(value: Column) -> Column:
+    """Whether a date with slashes has its day first."""
+    return value.rlike(r"^(1[3-9]|[2-9][0-9])/")
+
+
 def date(value: Column, key: str) -> Column:
     found, first = calendar(value)
     n = F.datediff(found, F.lit("1900-01-01").cast("date")).cast("long")
     new = F.date_add(F.lit("1900-01-01").cast("date"), feistel(n, F.lit(DAYS_LEFT).cast("long"), F.lit(DAYS_RIGHT).cast("long"), "date", key).cast("int"))
-    return F.when(first, F.date_format(new, "yyyy-MM-dd")).when(F.substring(value, 3, 1) == ".", F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
+    return F.when(first, F.date_format(new, "yyyy-MM-dd")).when(F.substring(value, 3, 1) == ".", F.date_format(new, "dd.MM.yyyy")).when(european(value) & (F.dayofmonth(new) > 12), F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
 
 
 def remainder_97(text: Column) -> Column:
@@ -178,6 +184,17 @@ def kind_of(v: Column) -> Column:
     )
 
 
+def first_value(v: Column, kind: Column) -> Column:
+    """The length of the value that a candidate begins with: all of it, or where its check fails
+    that of the longest valid card or IBAN that ends at a group's border."""
+    cut = lambda n: F.substr(v, F.lit(1), n)
+    lengths = F.filter(F.sequence(F.length(v) - 1, F.lit(1), F.lit(-1)), lambda n: F.substr(v, n + 1, F.lit(1)).isin(" ", "-"))
+    is_card = lambda n: F.length(digits_of(cut(n))).between(13, 19) & (luhn(digits_of(cut(n))) % 10 == 0)
+    is_iban = lambda n: cut(n).rlike(rf"^(?:{PATTERNS['iban']})$") & (remainder_97(iban_text(cut(n))) == 1)
+    short = F.when(v.rlike("^[A-Z]{2}[0-9]{2}"), F.filter(lengths, is_iban)).when(v.rlike("^[0-9][0-9 -]{12,}$"), F.filter(lengths, is_card))
+    return F.when(kind.isNull(), F.coalesce(F.get(short, F.lit(0)), F.length(v))).otherwise(F.length(v))
+
+
 def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", email(v, key))
@@ -203,9 +220,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
     taken = [c for c in docs.columns if c.lower() not in (found_col.lower(), "_found", "_parts")]
     cut = docs.select(*taken, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("_found"), F.when(some, F.split(text, ANY, -1)).alias("_parts"))
     pairs = F.transform("_found", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    new = F.transform(pairs, lambda p: F.struct(p["kind"].alias("kind"), pseudonym(p["value"], p["kind"], key).alias("value")))
+    sized = F.transform(pairs, lambda p: F.struct(p["value"].alias("value"), p["kind"].alias("kind"), first_value(p["value"], p["kind"]).alias("n")))
+    own = lambda p: F.coalesce(p["kind"], F.when(p["n"] < F.length(p["value"]), F.when(p["value"].rlike("^[A-Z]"), "iban").otherwise("card")))
+    told = F.transform(sized, lambda p: F.struct(F.substr(p["value"], F.lit(1), p["n"]).alias("value"), own(p).alias("kind"), F.substr(p["value"], p["n"] + 1).alias("tail")))
+    new = F.transform(told, lambda p: F.struct(p["kind"].alias("kind"), pseudonym(p["value"], p["kind"], key).alias("value"), p["tail"].alias("tail")))
     known = cut.withColumn("_found", F.when(F.size("_found") > 0, new))
-    joined = F.array_join(F.concat(F.zip_with(F.slice("_parts", F.lit(1), F.size("_found")), F.col("_found"), lambda a, v: F.concat(a, v["value"])), F.slice("_parts", F.lit(-1), F.lit(1))), "")
-    kept = F.filter("_found", lambda v: v["kind"].isNotNull())
+    joined = F.array_join(F.concat(F.zip_with(F.slice("_parts", F.lit(1), F.size("_found")), F.col("_found"), lambda a, v: F.concat(a, v["value"], v["tail"])), F.slice("_parts", F.lit(-1), F.lit(1))), "")
+    kept = F.transform(F.filter("_found", lambda v: v["kind"].isNotNull()), lambda v: F.struct(v["kind"].alias("kind"), v["value"].alias("value")))
     columns = [F.when(F.col("_found").isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in taken]
     return known.select(*columns, F.coalesce(kept, F.array().cast("array<struct<kind:string,value:string>>")).alias(found_col))

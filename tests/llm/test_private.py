@@ -107,6 +107,18 @@ def test_neighbours_are_told_apart(spark):
     assert kinds == [["phone", "ip"], ["phone", "ip"], ["phone", "card"], ["card", "card"], ["ip", "ip"]]
 
 
+def test_values_that_others_follow(spark):
+    spaced, es = f"{CARD[:4]} {CARD[4:8]} {CARD[8:12]} {CARD[12:]}", "ES91 2100 0418 4502 0005 1332"
+    cases = [(spaced, " 12/27", "card"), (CARD, " 123", "card"), (es, " EUR", "iban"), ("25/12/2020", " at noon", "date")]
+    rows = private.pseudonymise(spark.createDataFrame([(k, f"of {v}{tail}.") for k, (v, tail, _) in enumerate(cases)], "k long, text string")).orderBy("k").collect()
+    for r, (value, tail, kind) in zip(rows, cases, strict=True):
+        assert [x["kind"] for x in r["private"]] == [kind]
+        new = r["private"][0]["value"]
+        assert new != value and len(new) == len(value) and r["text"] == f"of {new}{tail}."
+    assert luhn_ok(rows[0]["private"][0]["value"]) and rows[0]["private"][0]["value"].replace(" ", "") == rows[1]["private"][0]["value"]
+    assert iban_ok(rows[2]["private"][0]["value"])
+
+
 def test_one_to_one_and_linked(spark):
     octets = [(f"10.0.{a}.{b}",) for a in range(16) for b in range(64)]
     out = private.pseudonymise(spark.createDataFrame(octets, "text string")).collect()
