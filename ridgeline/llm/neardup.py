@@ -10,7 +10,7 @@
    The similarity is estimated from the sketch of the union; pairs that can reach the
    threshold are verified on their full sets. Verified links give components.
 4. Lists that still hold several components are finished exactly: nodes outside the
-   list's largest component meet all others, block by block. Pairs of different
+   list's largest component meet all others, block by block, overlaps counted by inverted lists of their sketches. Pairs of different
    components whose estimate can reach the threshold are verified within their block, on
    full sets; a block hands on a forest of links, so nothing grows with its pairs.
 
@@ -39,7 +39,8 @@ SKETCH, KEYS = 64, 32
 SHARED_KEYS = 0.375  # of KEYS that two sets over the threshold share: 12 of 32, five deviations below the mean
 LEAST_ESTIMATE = 0.50  # of SKETCH values: more than four deviations below the threshold
 HUBS = 3
-LEFT, RIGHT = 256, 512  # nodes of a block
+SIDE = 1024  # nodes of a block
+MATRIX = 4096  # pairs of a cell from which on inverted lists count its overlaps
 BITMAP = 1 << 24
 
 
@@ -229,7 +230,8 @@ def components(links: DataFrame) -> DataFrame:
 def hub_pairs(keyed: DataFrame) -> DataFrame:
     """x, y: each node with the hubs that share most of its lists; a list's hubs are its least node and the least by hash."""
     mixed = F.xxhash64(F.lit("hub"), "node")
-    of_list = keyed.groupBy("v").agg(F.min("node").alias("h1"), F.min(F.struct(mixed.alias("h"), "node"))["node"].alias("h2"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    # written, so that the join that follows can split a list with many nodes
+    of_list = kept(keyed.groupBy("v").agg(F.min("node").alias("h1"), F.min(F.struct(mixed.alias("h"), "node"))["node"].alias("h2"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
     met = keyed.join(of_list, "v").select("node", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("hub")).where(F.col("node") != F.col("hub"))
     counted = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("lists"))
     first = counted.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.col("lists").desc(), "hub"))).where(F.col("k") <= HUBS)
@@ -239,7 +241,7 @@ def hub_pairs(keyed: DataFrame) -> DataFrame:
 def open_cells(keyed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """v, i, j, x, y, sure, near: cells of lists that hold several components, and what in them has to be verified.
 
-    In each list nodes outside its largest component (left) meet all nodes (right) in cells of about LEFT x RIGHT nodes; a
+    In each list nodes outside its largest component (left) meet all nodes (right) in cells of about SIDE x SIDE nodes; a
     task compares the pairs of many cells at once. A pair counts in the list of its least common key alone. x, y: pairs
     whose components differ and whose estimate reaches the threshold (sure: decided already), as bytes of 64-bit numbers,
     one row a cell; near: their nodes.
@@ -247,17 +249,33 @@ def open_cells(keyed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
     placed = keyed.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
     of_list = parts.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where(F.col("roots") > 1)
-    shape = of_list.select("v", F.col("top.root").alias("top"), F.ceil((F.col("size") - F.col("top.n")) / LEFT).alias("lefts"), F.ceil(F.col("size") / RIGHT).alias("rights"))
-    held = keyed.groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("keys"))
-    rows = kept(placed.join(shape, "v").withColumn("out", F.col("root") != F.col("top"))).join(nodes.select("node", "n", "sketch"), "node").join(held, "node")
+    # written, so that the join that follows can split a list with many nodes
+    shape = kept(of_list.select("v", F.col("top.root").alias("top"), F.ceil((F.col("size") - F.col("top.n")) / SIDE).cast("int").alias("lefts"), F.ceil(F.col("size") / SIDE).cast("int").alias("rights")))
+    rows = placed.join(shape, "v").withColumn("out", F.col("root") != F.col("top")).join(with_marks(nodes, keyed), "node")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    columns = ("v", "i", "j", "side", "node", "root", "n", "out", "sketch", "keys")
-    right = rows.withColumn("side", F.lit(1)).withColumn("j", spread(F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("lefts") - 1).cast("int"))))
-    left = rows.where("out").withColumn("side", F.lit(0)).withColumn("i", spread(F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("rights") - 1).cast("int"))))
-    cells = left.select(*columns).unionByName(right.select(*columns)).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
+    columns = ("v", "i", "j", "side", "node", "root", "n", "out", "sketch", "marks")
+    # a right node goes to every block of left ones, a left node to every block of right ones
+    meets = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), spread(F.col("rights")).alias("j"), F.lit(1).alias("side"))),
+        F.when(F.col("out"), F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(spread(F.col("lefts")).alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
+    )
+    cells = rows.withColumn("at", F.explode(meets)).select("*", "at.i", "at.j", "at.side").select(*columns).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
     return cells.mapInArrow(met_in_cells, "v long, i int, j int, x binary, y binary, sure binary, near array<long>")
 
 
+def with_marks(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """node, n, sketch and marks: bit k tells that the node is in the list of its k-th key."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(s, np.int64)[:KEYS] for s in batch.column("sketch").to_pylist()]
+            marks = [int((np.isin(h, k).astype(np.int64) << np.arange(len(h))).sum()) for h, k in zip(held, batch.column("keys").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "sketch")), pa.array(marks, pa.int64())], names=["node", "n", "sketch", "marks"])
+
+    of_node = keyed.groupBy("node").agg(F.collect_list("v").alias("keys"))
+    return nodes.select("node", "n", "sketch").join(of_node, "node").mapInArrow(mark, "node long, n long, sketch binary, marks long")
+
+
 def met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The candidates of each cell (v, i, j): its left nodes (side 0) against its right ones. Rows come in order of cell and side."""
     waiting: list[pa.RecordBatch] = []
@@ -279,25 +297,46 @@ def met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from met_in_rows(rows, starts)
 
 
+def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values each row of x shares with each row of y (padded sketches): values are looked up in inverted lists."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    common = np.intersect1d(x, y)
+    if not len(common):
+        return out
+    xs, ys = np.searchsorted(common, x), np.searchsorted(common, y)
+    xs[common[np.minimum(xs, len(common) - 1)] != x] = -1
+    ys[common[np.minimum(ys, len(common) - 1)] != y] = -1
+    (xr, xc), (yr, yc) = np.nonzero(xs >= 0), np.nonzero(ys >= 0)
+    xv, yv = xs[xr, xc], ys[yr, yc]
+    nx, ny = np.bincount(xv, minlength=len(common)), np.bincount(yv, minlength=len(common))
+    often = np.flatnonzero(nx * ny > 64)
+    for k in range(0, len(often), 4096):  # long lists: a product of incidence matrices
+        place = np.full(len(common), -1)
+        place[often[k : k + 4096]] = np.arange(len(often[k : k + 4096]))
+        a, b = (np.zeros((n, min(4096, len(often) - k)), np.float32) for n in (len(x), len(y)))
+        for m, row, value in ((a, xr, xv), (b, yr, yv)):
+            some = place[value] >= 0
+            m[row[some], place[value][some]] = 1
+        out += a @ b.T
+    rare = (nx * ny <= 64)[xv]  # short lists: their pairs one by one
+    order = np.argsort(yv, kind="stable")
+    first = np.cumsum(ny) - ny
+    times = ny[xv[rare]]
+    right = yr[order][np.repeat(first[xv[rare]], times) + ranges(times)]
+    out += np.bincount(np.repeat(xr[rare], times) * len(y) + right, minlength=out.size).reshape(out.shape)
+    return out
+
+
 def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    v, i, j, side, node, root, n, out = (rows.column(c).to_numpy() for c in ("v", "i", "j", "side", "node", "root", "n", "out"))
+    v, i, j, side, node, root, n, out, marks = (rows.column(c).to_numpy() for c in ("v", "i", "j", "side", "node", "root", "n", "out", "marks"))
     sketch = padded(pa.concat_arrays(rows.column("sketch").chunks), np.where(side == 0, *PADS))
-    lists = pa.concat_arrays(rows.column("keys").chunks)
-    keys, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
     cell = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(side)]))
     rights = np.bincount(cell, side, len(starts)).astype(np.int64)
     first_right = np.r_[starts[1:], len(side)] - rights
-    first_key = np.cumsum(size) - size
-    lefts = np.flatnonzero(side == 0)
-    partners = rights[cell[lefts]]
-    upto = np.cumsum(partners)
+    large = (first_right - starts) * rights > MATRIX
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at = 0
-    while at < len(lefts):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS * 16, side="right")))
-        a = np.repeat(lefts[at:to], partners[at:to])
-        b = np.repeat(first_right[cell[lefts[at:to]]], partners[at:to]) + ranges(partners[at:to])
-        at = to
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
         # two nodes outside the largest component meet twice: once is enough
         use = (root[a] != root[b]) & ~(out[b] & (node[a] > node[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT)
         a, b = a[use], b[use]
@@ -308,11 +347,31 @@ def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             e = estimates(sketch[p], sketch[q], np.where(w, 2 * SKETCH, SKETCH))
             ok[k : k + PAIRS] = np.where(w, e * 100 >= PERCENT - 1e-9, e >= LEAST_ESTIMATE)
         a, b, whole = a[ok], b[ok], whole[ok]
-        mine = least_common(keys, first_key, size, a, b) == v[a]
+        mine = least_common(sketch[:, :KEYS], marks, a, b) == v[a].view(np.uint64)
         found.append((a[mine], b[mine], whole[mine]))
+
+    for c in np.flatnonzero(large):
+        a, b = np.arange(starts[c], first_right[c]), np.arange(first_right[c], first_right[c] + rights[c])
+        for k in range(0, len(a), SIDE):
+            p = a[k : k + SIDE]
+            shared = overlaps(sketch[p], sketch[b])
+            # what any pair over the threshold shares: of whole sets 3/7 of both sizes, of sketches the least estimate
+            least = np.where(np.maximum(n[p][:, None], n[b]) <= SKETCH, (n[p][:, None] + n[b]) * (PERCENT / (100 + PERCENT)) - 1e-3, LEAST_ESTIMATE * SKETCH)
+            left, right = np.nonzero((shared >= least) & (root[p][:, None] != root[b]))
+            keep(p[left], b[right])
+    lefts = np.flatnonzero((side == 0) & ~large[cell])
+    partners = rights[cell[lefts]]
+    upto = np.cumsum(partners)
+    at = 0
+    while at < len(lefts):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS * 16, side="right")))
+        keep(np.repeat(lefts[at:to], partners[at:to]), np.repeat(first_right[cell[lefts[at:to]]], partners[at:to]) + ranges(partners[at:to]))
+        at = to
     if not found:
         return
     a, b, whole = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.argsort(cell[a], kind="stable")
+    a, b, whole = a[order], b[order], whole[order]
     at, to = np.searchsorted(cell[a], np.arange(len(starts))), np.searchsorted(cell[a], np.arange(len(starts)), side="right")
     some = np.flatnonzero(to > at)
     x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
@@ -322,19 +381,16 @@ def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(v[head]), pa.array(i[head]), pa.array(j[head]), part(x), part(y), part(whole), near], names=["v", "i", "j", "x", "y", "sure", "near"])
 
 
-def least_common(keys: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For pairs of rows, the least key that both hold (each row's keys are in order)."""
-    out = np.zeros(len(a), np.int64)
+def least_common(keys: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows, the least key that is marked in both (each row's keys are in order)."""
+    out = np.zeros(len(a), np.uint64)
+    place = np.arange(keys.shape[1])
     for k in range(0, len(a), PAIRS):
-        p, q = a[k : k + PAIRS], b[k : k + PAIRS]
-        width = int(max(size[p].max(), size[q].max()))
-        place = np.arange(width)
-        take = lambda r, pad: np.where(place < size[r][:, None], keys[np.minimum(first[r][:, None] + place, len(keys) - 1)].view(np.uint64), pad)  # noqa: B023, E731
-        both = np.concatenate([take(p, PADS[0]), take(q, PADS[1])], axis=1)
+        take = lambda r, pad: np.where(marks[r][:, None] >> place & 1, keys[r], pad)
+        both = np.concatenate([take(a[k : k + PAIRS], PADS[0]), take(b[k : k + PAIRS], PADS[1])], axis=1)
         both.sort(axis=1)
         double = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < PADS[1])
-        values = np.where(double, both[:, 1:].view(np.int64), np.iinfo(np.int64).max)  # the least in the order of signed numbers
-        out[k : k + PAIRS] = values.min(1)
+        out[k : k + PAIRS] = np.where(double, both[:, 1:], PADS[0]).min(1)
     return out
 
 
@@ -362,7 +418,7 @@ def linked_in_cells(cells: DataFrame, nodes: DataFrame, docs: DataFrame, words:
                     continue
                 if not known:
                     if x not in number or y not in number:
-                        continue
+                        raise ValueError(f"the texts of nodes {x} and {y} were not found again: the documents changed between two passes")
                     p, q = held[number[x]], held[number[y]]
                     inter = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * inter < PERCENT * (len(p) + len(q) - inter):

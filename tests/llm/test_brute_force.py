@@ -71,13 +71,72 @@ def test_near_duplicates(spark, seed):
 def test_cells_alone_find_the_links(spark, monkeypatch):
     """Without the comparison with hubs all links have to come from the cells."""
     monkeypatch.setattr(neardup, "hub_pairs", lambda keyed: keyed.select(F.col("node").alias("x"), F.col("node").alias("y")).limit(0))
-    monkeypatch.setattr(neardup, "LEFT", 8)
-    monkeypatch.setattr(neardup, "RIGHT", 8)
+    monkeypatch.setattr(neardup, "SIDE", 8)
     t = texts(9, 40)
     got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["component_id"] for r in got] == groups([shingles(x) for x in t])
 
 
+def sketch_of(values):
+    return np.sort(np.array(sorted(values), np.uint64))[: neardup.SKETCH]
+
+
+def test_overlaps_are_counts_of_common_values():
+    rng = np.random.default_rng(4)
+    x, y = (neardup.padded(pa.array([np.sort(rng.choice(400, rng.integers(1, 65), replace=False).astype(np.uint64)).tobytes() for _ in range(n)], pa.binary()), pad) for n, pad in ((30, neardup.PADS[0]), (50, neardup.PADS[1])))
+    assert neardup.overlaps(x, y).astype(int).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+
+
+@pytest.mark.parametrize("sizes", [(5, 40), (60, 70), (90, 400)])
+def test_large_cells_find_what_small_cells_find(monkeypatch, sizes):
+    """Inverted lists of a cell only spare pairs that the comparison of all pairs refuses too."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, sizes[1] + 20, dtype=np.int64).view(np.uint64)
+        for _ in range(12):
+            n = rng.integers(sizes[0], sizes[1])
+            sets.append(np.unique(np.r_[np.uint64(7), rng.choice(base, n, replace=False) if rng.random() < 0.5 else base[:n]]))
+    sketches = [sketch_of(s) for s in sets]
+    both = [(side, k) for side in (0, 1) for k in range(len(sets))]
+    rows = pa.RecordBatch.from_pydict(
+        {
+            "v": pa.array([7] * len(both), pa.int64()),
+            **{c: pa.array([0] * len(both), pa.int32()) for c in ("i", "j")},
+            "side": pa.array([b[0] for b in both], pa.int32()),
+            "node": pa.array([b[1] for b in both], pa.int64()),
+            "root": pa.array([b[1] for b in both], pa.int64()),
+            "n": pa.array([len(sets[b[1]]) for b in both], pa.int64()),
+            "out": pa.array([True] * len(both)),
+            "sketch": pa.array([sketches[b[1]].tobytes() for b in both], pa.binary()),
+            "marks": pa.array([1] * len(both), pa.int64()),
+        }
+    )
+    found = []
+    for pairs in (0, 1 << 40):
+        monkeypatch.setattr(neardup, "MATRIX", pairs)
+        got = list(neardup.met_in_cells(iter([rows])))
+        found.append({p for b in got for r in b.to_pylist() for p in zip(np.frombuffer(r["x"], np.int64).tolist(), np.frombuffer(r["y"], np.int64).tolist(), np.frombuffer(r["sure"], bool).tolist(), strict=True)})
+    assert found[0] == found[1] and found[0]
+    near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert near <= {p[:2] for p in found[0]}
+
+
+@pytest.mark.parametrize("n", [80, 400, 4000])
+def test_gates_lose_no_pair_just_over_the_threshold(n):
+    """Sets whose similarity is 0.75 share enough keys, and their estimate is high enough: equal sizes, and a set within the other."""
+    rng = np.random.default_rng(n)
+    for k in range(1500):
+        within = k % 2
+        union = rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+        inter = -(-3 * n // 4)
+        half = (n - inter) // 2
+        x, y = (union[:inter], union) if within else (union[: inter + half], union[np.r_[0:inter, inter + half : n]])
+        a, b = sketch_of(x), sketch_of(y)
+        assert len(np.intersect1d(a[: neardup.KEYS], b[: neardup.KEYS])) >= neardup.SHARED_KEYS * neardup.KEYS
+        assert neardup.estimates(a[None], b[None], np.array([neardup.SKETCH]))[0] >= neardup.LEAST_ESTIMATE
+
+
 def test_estimates():
     rng = np.random.default_rng(3)
     for n, common in ((40, 30), (300, 250), (300, 20)):
