@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -151,24 +151,24 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[np.zeros(1, values.dtype), np.cumsum(values)][offsets])
 
 
-def shared(spark: SparkSession) -> None:
-    """Make checkpoint() usable: keep the cluster's folder, choose one only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"file://{os.path.join(tempfile.gettempdir(), 'ridgeline-checkpoints')}")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors reach."""
-    shared(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which the driver and all executors reach.
+
+    Where none is set, a session that runs in one process takes a temporary folder; on a cluster that is an error.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/ridgeline-shared"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and go on from there; the lineage before it is cut."""
-    shared(df.sparkSession)
-    return df.checkpoint()
+    """Write df once to the shared folder, as Parquet, and go on from the table; the lineage before it is cut."""
+    folder = shared_folder(df.sparkSession, "kept")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -451,7 +451,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and h (xxhash64 of the text, which tells rows with equal ids apart) of every row of docs."""
-    table = kept(described(docs, words, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
+    table = kept(described(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     sets = table.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("id").alias("least"))
     nodes = kept(table.join(sets.select(F.col("node").alias("row"), "least"), "row").select(F.col("row").alias("node"), "id", "least", "n", "a", "b", "sketch"))
     keyed = kept(lists(nodes))
