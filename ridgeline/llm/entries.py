@@ -19,6 +19,11 @@ def tokenizer_definition(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's `ridgeline.pseudonym.key`; the queries' tables are invented, so they do with a public one."""
+    return spark.conf.get("ridgeline.pseudonym.key", "key for invented tables")
+
+
 def op9_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -62,7 +67,7 @@ def op5_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .private import pseudonymise
 
-    docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
     return docs.select("doc_id", "text", F.size("private").cast("long").alias("n_values"), F.transform("private", lambda v: v["kind"]).alias("kinds"))
 
 
@@ -133,12 +138,26 @@ WITH RECURSIVE d AS (
   FROM g WHERE step = 60
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
-    t.target - CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END * t.source_size AS missing, d.u, d.source
+    t.target - CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END * t.source_size AS missing, d.u, d.source, floor(4.0::DOUBLE * sqrt(d.size::DOUBLE)) AS measure
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), m AS (
+  SELECT source, measure, any_value(missing) AS missing, sum(size)::DOUBLE AS words FROM r WHERE size > 0 AND missing > 1e-6 GROUP BY source, measure
+), p AS (
+  SELECT source, measure, coalesce(sum(words) OVER (PARTITION BY source ORDER BY measure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS certain, missing,
+    sum(measure * words) OVER (PARTITION BY source ORDER BY measure DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM m
+), i AS (
+  SELECT source, arg_max((missing - certain) / rest, measure) AS step, arg_max(certain, measure) AS certain FROM p WHERE (missing - certain) / rest * measure < 1 GROUP BY source
+), c AS (
+  SELECT r.doc_id, r.size, r.source_size, r.target, r.whole, r.source, r.u, r.missing - coalesce(i.certain, 0) AS missing, least(1.0::DOUBLE, coalesce(i.step, 0) * r.measure) AS part
+  FROM r LEFT JOIN i ON i.source IS NOT DISTINCT FROM r.source
+), o AS (
+  SELECT *, CASE WHEN part > 0 AND part < 1 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM c
 )
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN missing > 1e-6 AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 <= missing THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r
+  (size * (whole + CASE WHEN odds IS NULL THEN (part >= 1)::INTEGER
+    WHEN coalesce(sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds / (1 + odds) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 <= missing THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o
 """,
     "op4_near_duplicates": """
 WITH RECURSIVE d AS (

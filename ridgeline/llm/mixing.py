@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source's target is its share of the wanted words. Each of its documents is taken
-whole copies first (the whole part of target / size); for the rest, documents are
-ranked by the odds of a random number divided by the odds of their inclusion, and the
-first ones are taken until their words come nearest to what is missing. Inclusion
-differs between sources, so ranks of different sources can be compared.
+whole copies first (the whole part of target / size). For the words that are missing
+then, documents have inclusion probabilities that grow with the square root of their
+size, so that they add up to the missing words; documents whose probability reaches 1
+are taken for certain. The others are ranked by the odds of a random number divided by
+the odds of their inclusion, and the first ones are taken until their words come
+nearest to what is still missing.
 
 The random number is a hash of the id: reruns agree. A document's size is its number
-of words, null and empty texts have size 0. A null source is a source of its own and
-comes last. Rows with equal ids are put in order by a hash of their text.
+of words; null and empty texts have size 0, get whole copies only, and carry no words.
+A null source is a source of its own and comes last. Equal ranks, such as those of rows
+with equal ids and sizes, are put in order by id, then by a hash of the text. Repeated
+rows are rows of their own. Other columns than id, text and source are not returned.
 
 The cut is found from sums by narrow ranges of rank, twice refined; only the last
 range's documents are put in order, so that a source may hold any share of the rows.
@@ -39,31 +43,70 @@ def uniform(id_col: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes and `place`: the place of each source, from 0, in order of code points, null last.
+
+    Sources are dealt out by ranges; only the ranges' counts come to the driver.
+    """
+    by_name = F.col("source").asc_nulls_last()
+    dealt = kept(sizes.repartitionByRange(by_name).withColumn("range", F.spark_partition_id()))
+    counts = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
+    before, offsets = 0, []
+    for k in range(max(counts, default=0) + 1):
+        offsets.append(F.lit(before))
+        before += counts.get(k, 0)
+    within = F.row_number().over(Window.partitionBy("range").orderBy(by_name)) - 1
+    return dealt.select("source", "source_size", (F.get(F.array(*offsets), F.col("range")) + within).alias("place"))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """source, source_size -> also target: weights repeat over the sources in order; no target is above most * size.
 
-    Sources reach their limit in the order of limit / weight, so the level at which the targets add up is found from sums in that order.
+    What sources at their limit leave is shared by weight among the others, in rounds of one sum each, until none is above.
+    """
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("place"), F.lit(len(weights))).cast("int"))
+    rows = kept(numbered(sizes).select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("most")))
+    full, level = -1, 0.0
+    while True:
+        over = F.col("weight") * F.lit(level) > F.col("most")
+        r = rows.agg(F.sum("source_size").alias("words"), F.sum(F.when(over, F.col("most"))).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("weights"), F.count_if(over).alias("full")).first()
+        if not r["weights"] or r["full"] == full:
+            return rows.select("source", "source_size", F.when(over, F.col("most")).otherwise(F.least(F.col("most"), F.lit(level) * F.col("weight"))).alias("target"))
+        full, level = r["full"], (share * r["words"] - (r["given"] or 0.0)) / r["weights"]
+
+
+def inclusion(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan and, by source, `step` (inclusion probability by unit of measure) and `certain` (words of the documents that are taken for certain).
+
+    Documents are added up by measure first, of which a source has as many as the square root of its largest size, at most.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    filled = sizes.withColumn("weight", weight).withColumn("most", F.lit(float(most)) * F.col("source_size"))
-    by_limit = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after, everything = by_limit.rowsBetween(Window.unboundedPreceding, -1), by_limit.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    # the first source that stays below its limit sets the level for all that follow
-    free = filled.withColumn("level", level).withColumn("level", F.first(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level")), ignorenulls=True).over(by_limit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return free.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    sums = sized.where("size > 0").groupBy("source", "measure").agg(F.sum("size").alias("words"))
+    placed = sums.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).where("missing > 1e-6")
+    larger = Window.partitionBy("source").orderBy(F.col("measure").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy("source").orderBy(F.col("measure").desc()).rowsBetween(0, Window.unboundedFollowing)
+    before, rest = F.coalesce(F.sum("words").over(larger), F.lit(0)), F.sum(F.col("measure") * F.col("words")).over(smaller)
+    steps = placed.select("source", "measure", before.alias("before"), ((F.col("missing") - before) / rest).alias("step")).where(F.col("step") * F.col("measure") < 1)
+    first = kept(steps.groupBy(F.col("source").alias("_source")).agg(F.max_by("step", "measure").alias("step"), F.max_by("before", "measure").alias("certain")))
+    return plan.join(first, F.col("source").eqNullSafe(F.col("_source")), "left").select(*plan.columns, F.coalesce("step", F.lit(0.0)).alias("step"), F.coalesce("certain", F.lit(0)).alias("certain"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies and h (xxhash64 of the text) of every row of docs (`most`: 2 copies; other limits by whole numbers)."""
-    sized = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"), F.xxhash64(text_col).alias("h")))
+    """doc_id, source, size, source_size, target, taken, copies, expected and h (xxhash64 of the text) of every row of docs.
+
+    copies: whole numbers, `most` at most (a whole number too); expected: whole copies and the inclusion probability of one more.
+    """
+    sized = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"), F.xxhash64(text_col).alias("h")).withColumn("measure", F.floor(F.lit(4.0) * F.sqrt(F.col("size").cast("double")))))
     plan = kept(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)).withColumn("missing", F.col("target") - F.floor(rate) * F.col("source_size"))
+    plan = plan.withColumn("whole", F.floor(rate)).withColumn("missing", F.col("target") - F.floor(rate) * F.col("source_size"))
+    plan = kept(inclusion(sized, plan))
+    part = F.least(F.lit(1.0), F.col("step") * F.col("measure"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     same = sized["source"].eqNullSafe(plan["source"])
-    rows = sized.join(plan, same).select(sized["*"], "source_size", "target", "whole", "part", "missing", F.when(F.col("part") > 0, odds / (1 + odds)).otherwise(F.col("u")).alias("rank"))
+    met = sized.join(plan, same).select(sized["*"], "source_size", "target", "whole", (F.col("missing") - F.col("certain")).alias("missing"), part.alias("part"))
+    everything = met.withColumn("rank", F.when((F.col("part") > 0) & (F.col("part") < 1), odds / (1 + odds)))
+    rows = everything.where("rank IS NOT NULL")
+    sure = everything.where("rank IS NULL").withColumn("one", (F.col("part") >= 1).cast("int"))
     fine = F.least(F.floor(F.col("rank") * (RANGES * RANGES)), F.lit(RANGES * RANGES - 1)).cast("long")
     rows = rows.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / RANGES))
 
@@ -82,6 +125,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     middle = F.col("before_fine") + F.coalesce(F.sum("size").over(in_order), F.lit(0)) + F.col("size") / 2
     # without a cut the missing words are never passed: all are taken, unless nothing is missing
     clear = F.when(F.col("at_fine").isNotNull(), F.col("fine") < F.col("at_fine")).otherwise(F.col("missing") > 0)
-    more = placed.where(~on_cut).withColumn("one", clear.cast("int")).unionByName(placed.where(on_cut).withColumn("one", (middle <= F.col("missing")).cast("int")))
+    more = placed.where(~on_cut).withColumn("one", clear.cast("int")).unionByName(placed.where(on_cut).withColumn("one", (middle <= F.col("missing")).cast("int"))).unionByName(sure, allowMissingColumns=True)
     copies = (F.col("whole") + F.col("one")).cast("int")
-    return more.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h")
+    return more.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), (F.col("whole") + F.col("part")).alias("expected"), "h")

@@ -183,25 +183,65 @@ def test_targets(spark):
     assert got == pytest.approx(want)
 
 
+def inclusions(sizes, missing):
+    """The square roots' multiple, at most 1, whose expected words are the missing ones."""
+    measure = [math.floor(4 * math.sqrt(n)) for n in sizes]
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        step = (low + high) / 2
+        if sum(n * min(1, step * m) for n, m in zip(sizes, measure, strict=True)) < missing:
+            low = step
+        else:
+            high = step
+    return [min(1.0, low * m) for m in measure]
+
+
+def uniform(doc):
+    return (int(hashlib.md5(f"mix:{doc}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
 def test_mix_agrees_with_order_sampling(spark):
     rng = random.Random(2)
-    docs = [(k, " ".join(["w"] * rng.randrange(1, 60)), f"s{k % 4 if k % 3 else 0}") for k in range(900)]
+    docs = [(k, " ".join(["w"] * (rng.randrange(1, 60) if k % 50 else 900)), f"s{k % 4 if k % 3 else 0}") for k in range(900)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
-    by = {}
+    by, other_order, certain = {}, 0, 0
     for r in rows:
         by.setdefault(r["source"], []).append(r)
     for members in by.values():
         target, total = members[0]["target"], sum(r["size"] for r in members)
-        assert members[0]["source_size"] == total and abs(sum(r["taken"] for r in members) - target) <= max(r["size"] for r in members)
+        assert members[0]["source_size"] == total and abs(sum(r["taken"] for r in members) - target) <= 60
         whole = math.floor(target / total)
-        u = lambda r: (int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        missing, before = target - whole * total, 0
-        for r in sorted(members, key=u):  # within a source, odds by odds keep the order of u
-            one = before + r["size"] / 2 <= missing if missing > 1e-6 else False
-            assert r["copies"] == whole + one and r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+        missing = target - whole * total
+        part = dict(zip((r["doc_id"] for r in members), inclusions([r["size"] for r in members], missing) if missing > 1e-6 else [0.0] * len(members), strict=True))
+        assert [r["expected"] for r in members] == pytest.approx([whole + part[r["doc_id"]] for r in members], abs=1e-6)
+        sure = [r for r in members if part[r["doc_id"]] > 1 - 1e-9]
+        drawn = [r for r in members if 0 < part[r["doc_id"]] <= 1 - 1e-9]
+        odds = lambda r: (uniform(r["doc_id"]) / (1 - uniform(r["doc_id"]))) / (part[r["doc_id"]] / (1 - part[r["doc_id"]]))  # noqa: B023, E731
+        certain += len(sure)
+        assert all(r["copies"] == whole + 1 for r in sure)
+        missing, before = missing - sum(r["size"] for r in sure), 0
+        for r in sorted(drawn, key=odds):
+            assert r["copies"] == whole + (before + r["size"] / 2 <= missing) and r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
             before += r["size"]
+        taken = {r["doc_id"] for r in drawn if r["copies"] > whole}
+        other_order += taken != {r["doc_id"] for r in sorted(drawn, key=lambda r: uniform(r["doc_id"]))[: len(taken)]}
+    assert other_order and certain
+
+
+def test_documents_are_included_as_often_as_they_should(spark):
+    """The same 24 documents in 600 sources, each with random numbers of its own."""
+    sizes = [4, 4, 9, 9, 16, 16, 25, 25, 36, 36, 49, 49, 64, 64, 81, 81, 100, 100, 144, 144, 196, 196, 900, 900]
+    docs = [(s * 24 + k, " ".join(["w"] * n), f"s{s:03}") for s in range(600) for k, n in enumerate(sizes)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    for weight in (2, 1):
+        of = [r for r in rows if (5, 2, 1)[int(r["source"][1:]) % 3] == weight]
+        target, whole = of[0]["target"], math.floor(of[0]["target"] / sum(sizes))
+        want = inclusions(sizes, target - whole * sum(sizes))
+        for k in range(0, len(sizes), 2):
+            mine = [r["copies"] - whole for r in of if r["doc_id"] % 24 in (k, k + 1)]
+            assert sum(mine) / len(mine) == pytest.approx(want[k], abs=0.09), (weight, sizes[k])
 
 
 @pytest.fixture(scope="module")

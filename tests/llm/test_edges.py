@@ -50,7 +50,7 @@ OPERATORS = {
     "mixing": (lambda d, x: mixing.mix(d), ("doc_id", "size", "source_size", "target", "taken")),
     "neardup": (lambda d, x: neardup.near_duplicates(d), ("doc_id", "n_shingles", "component_id", "kept")),
     "maxent": (lambda d, x: maxent.score(d, F.lit(True)), ("n_tokens", "n_known", "train_tokens", "base_score", "score")),
-    "private": (lambda d, x: private.pseudonymise(d), ("text", "private")),
+    "private": (lambda d, x: private.pseudonymise(d, "key"), ("text", "private")),
     "simhash": (lambda d, x: simhash.with_edits(d), ("n_chars", "edited_sha256", "fingerprint", "near_edited")),
 }
 

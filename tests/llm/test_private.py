@@ -5,7 +5,7 @@ import re
 import pytest
 from ridgeline.llm import private
 
-KEY = private.KEY
+KEY = "a key for tests"
 
 
 def noise(tweak, m, k, i, b):
@@ -60,7 +60,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def rows(spark):
     docs = spark.createDataFrame([(k, t, "a", "kept") for k, t in enumerate(TEXTS)], "doc_id long, text string, lang string, `private` string")
-    return [r.asDict() for r in private.pseudonymise(docs).orderBy("doc_id").collect()]
+    return [r.asDict() for r in private.pseudonymise(docs, KEY).orderBy("doc_id").collect()]
 
 
 def test_shapes_stay_and_values_go(rows):
@@ -68,7 +68,7 @@ def test_shapes_stay_and_values_go(rows):
         if before is None:
             assert r["text"] is None and r["private"] == []
             continue
-        assert len(r["text"]) == len(before)
+        assert len(r["text"]) == len(before) or before.startswith("host")
         assert re.sub(r"[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", r["text"]))) == re.sub(r"[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", before))) or "." in before
         if not r["private"]:
             assert r["text"] == before
@@ -103,14 +103,14 @@ def test_other_kinds(rows):
 
 def test_neighbours_are_told_apart(spark):
     texts = ["call +1 (826) 555-4081 190.137.223.204 now", "+44 20 7946 0958 10.1.2.3", f"+44 20 7946 0958 {CARD}", f"{CARD} {CARD}", "10.1.2.3 10.1.2.4"]
-    kinds = [[v["kind"] for v in r["private"]] for r in private.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    kinds = [[v["kind"] for v in r["private"]] for r in private.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string"), KEY).collect()]
     assert kinds == [["phone", "ip"], ["phone", "ip"], ["phone", "card"], ["card", "card"], ["ip", "ip"]]
 
 
 def test_values_that_others_follow(spark):
     spaced, es = f"{CARD[:4]} {CARD[4:8]} {CARD[8:12]} {CARD[12:]}", "ES91 2100 0418 4502 0005 1332"
     cases = [(spaced, " 12/27", "card"), (CARD, " 123", "card"), (es, " EUR", "iban"), ("25/12/2020", " at noon", "date")]
-    rows = private.pseudonymise(spark.createDataFrame([(k, f"of {v}{tail}.") for k, (v, tail, _) in enumerate(cases)], "k long, text string")).orderBy("k").collect()
+    rows = private.pseudonymise(spark.createDataFrame([(k, f"of {v}{tail}.") for k, (v, tail, _) in enumerate(cases)], "k long, text string"), KEY).orderBy("k").collect()
     for r, (value, tail, kind) in zip(rows, cases, strict=True):
         assert [x["kind"] for x in r["private"]] == [kind]
         new = r["private"][0]["value"]
@@ -119,15 +119,61 @@ def test_values_that_others_follow(spark):
     assert iban_ok(rows[2]["private"][0]["value"])
 
 
+CASES = [
+    ("2.1.1990", "date", r"\d{1,2}\.\d{1,2}\.\d{4}"),
+    ("3/4/1985", "date", r"\d{1,2}/\d{1,2}/\d{4}"),
+    ("25/12/1990", "date", r"\d\d/\d\d/\d{4}"),
+    ("0a1b2c3d" * 4, "secret", "[0-9a-f]{32}"),
+    ("0a1b2c3d" * 9, "secret", "[0-9a-f]{72}"),
+    ("n" * 70 + "@corp.example", "email", r"[a-z]{70}@corp\.example"),
+    ("b@corp.example", "email", r"[a-z]@corp\.example"),
+    ("sk-" + "Ab1" * 12, "token", r"sk-(?:[A-Z][a-z]\d){12}"),
+    ("ghp_" + "xY9" * 12, "token", r"ghp_(?:[a-z][A-Z]\d){12}"),
+]
+
+
+@pytest.mark.parametrize("before", ["", "line\n", "of "])
+def test_values_that_were_missed(spark, before):
+    rows = private.pseudonymise(spark.createDataFrame([(k, before + v) for k, (v, _, _) in enumerate(CASES)], "k long, text string"), KEY).orderBy("k").collect()
+    for r, (value, kind, shape) in zip(rows, CASES, strict=True):
+        assert [v["kind"] for v in r["private"]] == [kind], value
+        new = r["private"][0]["value"]
+        assert new != value and re.fullmatch(shape, new) and r["text"] == before + new
+
+
+def test_numbers_stay_valid_and_distinct(spark):
+    social = [f"{a:03}-{g:02}-{a * 7 % 9999 + 1:04}" for a in range(1, 900) if a != 666 for g in (1, 99)]
+    out = [r["text"] for r in private.pseudonymise(spark.createDataFrame([(t,) for t in social], "text string"), KEY).collect()]
+    assert len(set(out)) == len(social) and not any(re.match("000|666|9", t) or "-00-" in t or t.endswith("-0000") for t in out)
+    phones = [f"({a}) {e}-{(a * e) % 10000:04}" for a in range(200, 1000, 7) for e in (200, 555, 999)]
+    out = [r["text"] for r in private.pseudonymise(spark.createDataFrame([(t,) for t in phones], "text string"), KEY).collect()]
+    assert len(set(out)) == len(phones) and all(re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", t) for t in out)
+    letters = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = [r["text"][0] for r in private.pseudonymise(spark.createDataFrame([(t,) for t in letters], "text string"), KEY).collect()]
+    assert sorted(out) == sorted("abcdefghijklmnopqrstuvwxyz") and len({(ord(o) - ord(c[0])) % 26 for o, c in zip(out, letters, strict=True)}) > 5
+
+
+def test_card_within_a_longer_run(spark):
+    spaced = f"{CARD[:4]} {CARD[4:8]} {CARD[8:12]} {CARD[12:]}"
+    r = private.pseudonymise(spark.createDataFrame([(f"no 17 {spaced} 99",)], "text string"), KEY).first()
+    assert [v["kind"] for v in r["private"]] == ["card"] and luhn_ok(r["private"][0]["value"]) and r["text"] == f"no 17 {r['private'][0]['value']} 99"
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, f"card {CARD}", "a", "b", "c", "d")], "doc_id long, text string, found string, parts string, _found string, value string")
+    r = private.pseudonymise(docs, KEY).first()
+    assert (r["found"], r["parts"], r["_found"], r["value"]) == ("a", "b", "c", "d")
+
+
 def test_one_to_one_and_linked(spark):
     octets = [(f"10.0.{a}.{b}",) for a in range(16) for b in range(64)]
-    out = private.pseudonymise(spark.createDataFrame(octets, "text string")).collect()
+    out = private.pseudonymise(spark.createDataFrame(octets, "text string"), KEY).collect()
     assert len({r["text"] for r in out}) == len(octets)
     mails = [(f"ab{k}@x.org",) for k in range(100, 1000)]
-    assert len({r["text"] for r in private.pseudonymise(spark.createDataFrame(mails, "text string")).collect()}) == len(mails)
-    again = private.pseudonymise(spark.createDataFrame(octets[:3] * 2, "text string"), key="other").collect()
+    assert len({r["text"] for r in private.pseudonymise(spark.createDataFrame(mails, "text string"), KEY).collect()}) == len(mails)
+    again = private.pseudonymise(spark.createDataFrame(octets[:3] * 2, "text string"), "other").collect()
     assert len({r["text"] for r in again}) == 3 and {r["text"] for r in again} != {r["text"] for r in out[:3]}
 
 
 def test_empty_table(spark):
-    assert private.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert private.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).collect() == []
