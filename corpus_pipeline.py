@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.llm._text import shared_folder
-from ridgeline.llm.entries import tokenizer_definition
+from ridgeline.llm._text import fresh, shared_folder
+from ridgeline.llm.entries import pseudonym_key, tokenizer_definition
 from ridgeline.llm.language import UNKNOWN, identify
 from ridgeline.llm.mixing import mix
 from ridgeline.llm.neardup import near_duplicates
@@ -34,34 +34,37 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null texts, texts without a letter and undecided ones go.
     """
-    found = identify(docs, F.lit(True), names=("_lang_pred", "_lang_score"))
-    clear = (F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)
-    return found.where(clear).withColumn("lang", F.coalesce("lang", "_lang_pred")).select(docs.columns)
+    language, score = fresh(docs.columns, "language", "score")
+    found = identify(docs, F.lit(True), names=(language, score))
+    clear = (F.col(language) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)
+    return found.where(clear).withColumn("lang", F.coalesce("lang", language)).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of near copies; of rows that agree in id and text, one."""
+    key, wanted_key = fresh(docs.columns, "key", "wanted_key")
     found = near_duplicates(docs.select("doc_id", "text"))
-    wanted = found.where("kept").select(row_key(F.col("doc_id"), F.col("h")).alias("_key"))
-    marked = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
-    return marked.join(wanted, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    wanted = found.where("kept").select(row_key(F.col("doc_id"), F.col("h")).alias(wanted_key))
+    marked = docs.withColumn(key, row_key(F.col("doc_id"), F.xxhash64("text")))
+    return marked.join(wanted, F.col(key) == F.col(wanted_key), "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def without_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their private values replaced by pseudonyms of the same length."""
-    return pseudonymise(docs, found_col="_private").select(docs.columns)
+    """All documents, their private values replaced by pseudonyms of the same format, under the session's key."""
+    return pseudonymise(docs, pseudonym_key(spark), found_col=fresh(docs.columns, "private")[0]).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: never, once or twice."""
+    key, taken_key, copies, rows, row, copy = fresh(docs.columns, "key", "taken_key", "copies", "rows", "row", "copy")
     found = mix(docs.select("doc_id", "text", "source"))
-    taken = found.groupBy(row_key(F.col("doc_id"), F.col("h"), F.col("source")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    marked = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text"), F.col("source")))
+    taken = found.groupBy(row_key(F.col("doc_id"), F.col("h"), F.col("source")).alias(taken_key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    marked = docs.withColumn(key, row_key(F.col("doc_id"), F.xxhash64("text"), F.col("source")))
     # rows with one key share its copies
-    placed = marked.join(taken.where("_copies > 0"), "_key").withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    upto = lambda k: F.floor(F.col("_copies") * k / F.col("_rows"))
-    times = (upto(F.col("_row")) - upto(F.col("_row") - 1)).cast("int")
-    return placed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
+    placed = marked.join(taken.where(F.col(copies) > 0), F.col(key) == F.col(taken_key)).withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    upto = lambda k: F.floor(F.col(copies) * k / F.col(rows))
+    times = (upto(F.col(row)) - upto(F.col(row) - 1)).cast("int")
+    return placed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
