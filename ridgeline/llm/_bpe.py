@@ -25,6 +25,16 @@ ODD[33:127], ODD[ord("<")], ODD[0x80:0xC0], ODD[0xC3], ODD[0xC5] = False, True,
 NONE = np.int32(1 << 30)
 
 
+def invalid(body: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which words are not UTF-8."""
+    view = body.tobytes()
+    try:
+        view.decode("utf-8")
+        return np.zeros(len(off) - 1, bool)
+    except UnicodeDecodeError:
+        return np.array(["\ufffd" in view[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+
+
 class WordTokens:
     """ids(texts) for one tokenizer definition whose words are split at white space, which it drops."""
 
@@ -36,6 +46,8 @@ class WordTokens:
         model = json.loads(definition)["model"]
         vocab = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if max(vocab.values(), default=0) >= 1 << 16:
+            raise ValueError("ids are held in 16 bits: the tokenizer's vocabulary has to have 65,536 entries at most")
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.uint32)
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order.astype(np.int32)
@@ -98,8 +110,8 @@ class WordTokens:
         return sym[order], np.bincount(piece, minlength=len(off) - 1)
 
     def encode(self, body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the given words and the number of ids of each."""
-        odd = np.add.reduceat(ODD[body], off[:-1]) > 0
+        """Ids of the given words and the number of ids of each. Bytes that are no UTF-8 count as the replacement character."""
+        odd = (np.add.reduceat(ODD[body], off[:-1]) > 0) | invalid(body, off)
         if odd.any():
             n = np.diff(off)
             ids, count = [None, None], np.zeros(len(n), np.int64)

@@ -1,9 +1,10 @@
 """Exact search for the highest integer inner products.
 
-Vectors are packed into blocks. Tiles of queries and shards of vectors meet by a join
-on (tile, group of shards); each pair is one matrix product, of which every query
-keeps its best by partial selection. Lists are merged by group first, then over all
-groups.
+Vectors are packed into blocks: tiles of queries, shards of all vectors. A group of
+tiles meets a group of shards in one cell; a task holds the cell's tiles and streams its
+shards past them, so a block is sent once for each group of the other side. Each tile and
+shard are one matrix product, of which every query keeps its best by partial selection.
+A query's lists are merged within its cell, then over cells as a tree of FAN_IN branches.
 
 Rows whose vector is null, or holds null or non-finite components, take no part.
 Only vectors of equal length are compared. Ties go to the smaller id. Rows that carry
@@ -24,7 +25,9 @@ from pyspark.sql.window import Window
 
 from ._text import kept
 
-SHARD_ROWS, TILE_ROWS, SHARDS_IN_GROUP = 4096, 1024, 8
+SHARD_ROWS, TILE_ROWS = 4096, 1024
+SHARDS_IN_GROUP, TILES_IN_GROUP = 32, 16
+FAN_IN = 64  # lists of a query that are merged at a time
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -94,37 +97,72 @@ def best(score: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> t
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def top_k(vectors: DataFrame, asked: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of all other rows for each row that `asked` names."""
-    queries = usable(vectors.where(asked), id_col, vector_col, scale).dropDuplicates(["id", "v"])
-    shards = kept(blocks(usable(vectors, id_col, vector_col, scale), SHARD_ROWS))
-    n_queries, n_shards = queries.count(), shards.count()
-    groups = max(1, math.ceil(n_shards / SHARDS_IN_GROUP))
-    tiles = kept(blocks(queries.repartition(max(1, math.ceil(n_queries / TILE_ROWS))), TILE_ROWS).select("dim", F.col("ids").alias("q_ids"), F.col("numbers").alias("q_numbers"), F.monotonically_increasing_id().alias("tile")))
-    n_tiles = tiles.select("tile", "dim")
-    placed = shards.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int"))
-    # every tile goes once to each group of shards, every shard once to each tile of its length
-    numbered = n_tiles.groupBy("dim").agg(F.collect_list("tile").alias("tile_list"))
-    left = placed.join(numbered, "dim").withColumn("tile", F.explode("tile_list")).drop("tile_list")
-    right = tiles.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = left.join(right, ["dim", "tile", "group"])
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                one = {c: b.column(c)[r].as_py() for c in b.schema.names}
-                q_ids, q = unpack(one["q_ids"], one["q_numbers"], one["dim"])
-                ids, v = unpack(one["ids"], one["numbers"], one["dim"])
+def first_of_each(tile: np.ndarray, place: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The rows of each query's (tile, place) k best, ties to the smaller id."""
+    order = np.lexsort((ids, np.invert(score), place, tile))  # ~score falls where score rises, without overflow
+    new = np.r_[True, (np.diff(tile[order]) != 0) | (np.diff(place[order]) != 0)] if len(order) else np.zeros(0, bool)
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[rank < k]
+
+
+def met_in_cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Each cell's k best for each of its queries. Rows come in order of cell, tiles (side 0) before shards."""
+    cell, tiles, lists = None, [], []
+
+    def merged() -> None:
+        if len(lists) > 1:
+            columns = [np.concatenate([x[c] for x in lists]) for c in range(5)]
+            keep = first_of_each(columns[0], columns[1], columns[3], columns[4], k)
+            lists[:] = [tuple(c[keep] for c in columns)]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        merged()
+        for tile, place, query, score, ids in lists:
+            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(place), pa.array(np.full(len(tile), cell[2], np.int32)), pa.array(query), pa.array(ids), pa.array(score)], names=["tile", "place", "group", "query_id", "vec_id", "score"])
+        lists.clear()
+
+    for b in batches:
+        for r in range(b.num_rows):
+            one = {c: b.column(c)[r].as_py() for c in b.schema.names}
+            if cell != (one["dim"], one["tiles"], one["group"]):
+                yield from out()
+                cell, tiles = (one["dim"], one["tiles"], one["group"]), []
+            if one["side"] == 0:
+                tiles.append((one["tile"], *unpack(one["ids"], one["numbers"], one["dim"])))
+                continue
+            ids, v = unpack(one["ids"], one["numbers"], one["dim"])
+            for tile, q_ids, q in tiles:
                 for a in range(0, len(q), 128):
                     score = products(q[a : a + 128], v)
                     row, column = best(score, q_ids[a : a + 128], ids, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), one["tile"])), pa.array((row + a).astype(np.int32)), pa.array(np.full(len(row), one["group"], np.int32)), pa.array(q_ids[a : a + 128][row]), pa.array(ids[column]), pa.array(score[row, column])],
-                        names=["tile", "place", "group", "query_id", "vec_id", "score"],
-                    )
+                    lists.append((np.full(len(row), tile), (row + a).astype(np.int32), q_ids[a : a + 128][row], score[row, column], ids[column]))
+            if len(lists) > 1024:
+                merged()
+    yield from out()
 
-    lists = pairs.mapInArrow(multiply, "tile long, place int, group int, query_id long, vec_id long, score long")
+
+def top_k(vectors: DataFrame, asked: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of all other rows for each row that `asked` names."""
+    queries = usable(vectors.where(asked), id_col, vector_col, scale).dropDuplicates(["id", "v"])
+    block = F.monotonically_increasing_id()
+    shards = kept(blocks(usable(vectors, id_col, vector_col, scale), SHARD_ROWS).withColumn("block", block))
+    tiles = kept(blocks(queries.repartition(max(1, math.ceil(queries.count() / TILE_ROWS))), TILE_ROWS).withColumn("block", block))
+    # a group count for each length of vectors
+    groups = lambda of, size: {r["dim"]: math.ceil(r["count"] / size) for r in of.groupBy("dim").count().collect()}
+    tile_groups, shard_groups = groups(tiles, TILES_IN_GROUP), groups(shards, SHARDS_IN_GROUP)
+    count = lambda by: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for item in by.items() for x in item)), F.col("dim")), F.lit(0)) if by else F.lit(0)
+    own = lambda by: F.pmod(F.xxhash64("block"), F.greatest(count(by), F.lit(1))).cast("int")
+    every = lambda by: F.explode(F.when(count(by) > 0, F.sequence(F.lit(0), count(by) - 1)).otherwise(F.array().cast("array<int>")))
+    columns = ("dim", "tiles", "group", "side", "tile", "ids", "numbers")
+    left = tiles.withColumn("tiles", own(tile_groups)).withColumn("group", every(shard_groups)).withColumn("side", F.lit(0)).withColumn("tile", F.col("block"))
+    right = shards.withColumn("group", own(shard_groups)).withColumn("tiles", every(tile_groups)).withColumn("side", F.lit(1)).withColumn("tile", F.lit(-1).cast("long"))
+    cells = left.select(*columns).unionByName(right.select(*columns)).repartition("dim", "tiles", "group").sortWithinPartitions("dim", "tiles", "group", "side")
+    lists = cells.mapInArrow(lambda batches: met_in_cells(batches, k), "tile long, place int, group int, query_id long, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id")]
-    by_group = lists.withColumn("r", F.row_number().over(Window.partitionBy("tile", "place", "group").orderBy(*order))).where(F.col("r") <= k)
-    merged = by_group.withColumn("rank", F.row_number().over(Window.partitionBy("tile", "place").orderBy(*order))).where(F.col("rank") <= k)
-    return merged.select("query_id", "rank", "vec_id", "score")
+    branches = max(shard_groups.values(), default=1)
+    while branches > 1:
+        branches = math.ceil(branches / FAN_IN)
+        lists = lists.withColumn("group", F.floor(F.col("group") / FAN_IN).cast("int"))
+        lists = lists.withColumn("r", F.row_number().over(Window.partitionBy("tile", "place", "group").orderBy(*order))).where(F.col("r") <= k).drop("r")
+    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("tile", "place").orderBy(*order)))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

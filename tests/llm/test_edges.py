@@ -51,6 +51,7 @@ OPERATORS = {
     "neardup": (lambda d, x: neardup.near_duplicates(d), ("doc_id", "n_shingles", "component_id", "kept")),
     "maxent": (lambda d, x: maxent.score(d, F.lit(True)), ("n_tokens", "n_known", "train_tokens", "base_score", "score")),
     "private": (lambda d, x: private.pseudonymise(d, "key"), ("text", "private")),
+    "simhash report": (lambda d, x: simhash.report(d.select("doc_id", "text"), F.col("doc_id") % 2 == 0), ("n_chars", "fingerprint", "n_within")),
     "simhash": (lambda d, x: simhash.with_edits(d), ("n_chars", "edited_sha256", "fingerprint", "near_edited")),
 }
 
@@ -70,6 +71,24 @@ def test_no_rows(none, labels, name):
     assert set(columns) <= set(got.columns) and got.count() == 0
 
 
+def test_repeated_rows_agree_and_nulls_are_defined(docs, labels):
+    """Values of odd rows, not only their number: rows 1 and 1 are equal; 2 has no text, 3 an empty one; the ids of two rows are null."""
+    by_id = lambda rows, i: [tuple(v for k, v in r.asDict().items() if k not in ("sequence_id",)) for r in rows if r["doc_id"] == i]
+    for name in ("toxicity", "quality", "language", "maxent", "private", "neardup"):
+        rows = OPERATORS[name][0](docs, labels).collect()
+        same = by_id(rows, 1)
+        assert len(same) == 3 and len(set(map(repr, same))) == 2, name
+    near = {(r["doc_id"], r["n_shingles"]): r for r in neardup.near_duplicates(docs).collect()}
+    assert near[1, 2]["component_id"] == 1 and near[1, 2]["kept"] and near[2, 0]["component_id"] == 2 and near[3, 0]["kept"]
+    assert near[None, 0]["component_id"] is None and near[None, 0]["kept"] and near[None, 1]["kept"]
+    mixed = [r for r in mixing.mix(docs).collect()]
+    assert [r["size"] for r in mixed if r["doc_id"] in (2, 3, 4)] == [0, 0, 0] and sum(r["size"] for r in mixed if r["source"] is None) == 0
+    assert all(r["taken"] == r["size"] * r["copies"] and r["copies"] in (0, 1, 2) for r in mixed)
+    assert {r["doc_id"]: r["text"] for r in private.pseudonymise(docs, "key").where("doc_id in (2, 3)").collect()} == {2: None, 3: ""}
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.with_edits(docs).where("doc_id in (2, 3, 4)").collect()}
+    assert set(prints.values()) == {"0" * 32}
+
+
 def test_scores_are_defined(docs, labels):
     for name in ("toxicity", "quality", "language"):
         for r in OPERATORS[name][0](docs, labels).collect():

@@ -80,6 +80,16 @@ def test_run_is_the_stages_in_turn(spark):
     assert got.where("start = 0").count() == last.count()
 
 
+@pytest.mark.parametrize("stage", ["language", "near_duplicates", "private", "mix"])
+def test_columns_of_any_name_keep_their_values(spark, stage):
+    """No stage reads, changes or trips over a column that has a name of its own."""
+    names = ("key", "wanted_key", "taken_key", "language", "score", "private", "found", "parts", "copies", "rows", "row", "copy", "h", "n", "id", "size", "_key", "_row", "_copies", "_private")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    got = STAGES[stage](spark, docs, DATA)
+    assert got.columns == docs.columns and got.count() > 0
+    assert got.where(" OR ".join(f"`{c}` IS DISTINCT FROM concat('{c}', doc_id)" for c in names)).count() == 0
+
+
 def test_empty_corpus(spark, docs):
     for name in ("language", "near_duplicates", "private", "mix"):
         assert STAGES[name](spark, docs.limit(0), DATA).count() == 0
