@@ -22,15 +22,27 @@ def zone(share: Column, limits: Sequence[float]) -> Column:
     return F.when(share.isNotNull(), sum((F.when(share > limit, 1).otherwise(0) for limit in limits), F.lit(1)))
 
 
-def cards(rides: DataFrame, as_of: Column, days: int = 30, by: str = "athlete_id") -> DataFrame:
-    """Totals of the last `days` days up to as_of, and the changes (`delta_...`) against the same number of days before."""
+def cards(rides: DataFrame, as_of: Column, days: int = 30, sports: Sequence[str] | None = None, by: str = "athlete_id") -> DataFrame:
+    """Twelve values of the last `days` days up to as_of, and eight changes (`delta_...`) against the same number of days before.
+
+    sports: rides of these alone.
+    """
     on = F.to_date("date")
     now = (on > F.date_sub(as_of, days)) & (on <= as_of)
     before = (on > F.date_sub(as_of, 2 * days)) & (on <= F.date_sub(as_of, days))
     measures = {"rides": F.lit(1), "distance_m": F.col("distance_m"), "duration_s": F.col("duration_s"), "elevation_m": F.col("elevation_m"), "calories": F.coalesce("calories", F.lit(0)), "tss": F.col("tss")}
     total = lambda c, when: F.coalesce(F.sum(F.when(when, c.cast("double"))), F.lit(0.0))
-    sums = rides.where(on > F.date_sub(as_of, 2 * days)).groupBy(by).agg(*(half_even(total(c, now), 1).alias(n) for n, c in measures.items()), *(half_even(total(c, now) - total(c, before), 1).alias("delta_" + n) for n, c in measures.items()), half_even(F.avg(F.when(now, F.col("avg_hr"))), 1).alias("avg_hr"), F.max(F.when(now, F.col("max_hr"))).alias("max_hr"))
-    return sums
+    active = lambda when: F.count_distinct(F.when(when, on)).cast("double")
+    longest = lambda when: F.coalesce(F.max(F.when(when, F.col("distance_m"))), F.lit(0.0))
+    counted = {**{n: (total(c, now), total(c, before)) for n, c in measures.items()}, "active_days": (active(now), active(before)), "longest_m": (longest(now), longest(before))}
+    means = {"avg_hr": F.avg, "avg_power": F.avg, "avg_speed_kmh": F.avg}
+    mine = rides.where(F.col("sport_type").isin(*sports)) if sports else rides
+    return mine.where(on > F.date_sub(as_of, 2 * days)).groupBy(by).agg(
+        *(half_even(a, 1).alias(n) for n, (a, _) in counted.items()),
+        *(half_even(a - b, 1).alias("delta_" + n) for n, (a, b) in counted.items()),
+        *(half_even(f(F.when(now, F.col(c))), 1).alias(c) for c, f in means.items()),
+        F.max(F.when(now, F.col("max_hr"))).alias("max_hr"),
+    )
 
 
 def streaks(rides: DataFrame, as_of: Column, by: str = "athlete_id") -> DataFrame:
@@ -53,6 +65,12 @@ def type_mix(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
     return rides.groupBy(by, F.to_date(F.trunc("date", "month")).alias("month")).pivot("sport_type", list(SPORTS)).agg(F.count(F.lit(1))).na.fill(0, list(SPORTS))
 
 
+def daily_by_type(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
+    """athlete_id, date, and the kilometres of each sport on that day."""
+    rows = rides.groupBy(by, F.to_date("date").alias("date")).pivot("sport_type", list(SPORTS)).agg(F.sum("distance_m"))
+    return rows.select(by, "date", *(half_even(F.coalesce(F.col(s), F.lit(0.0)) / F.lit(1000.0), 3).alias(s) for s in SPORTS))
+
+
 def weekday_frequency(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
     return rides.groupBy(by, F.weekday("date").alias("weekday")).agg(F.count(F.lit(1)).alias("rides"))
 
@@ -70,14 +88,20 @@ def with_km(samples: DataFrame) -> DataFrame:
     return samples.withColumn("km", F.floor(F.sum(F.coalesce("speed_kmh", F.lit(0.0))).over(order) / F.lit(3600.0)))
 
 
-def zones_by_km(samples: DataFrame, ftp: Column, threshold_hr: Column) -> DataFrame:
-    """activity_id, km, measure, zone, seconds."""
-    rows = with_km(samples)
+def zones_by_km(samples: DataFrame, ftp: Column, threshold_hr: Column, overall: bool = False) -> DataFrame:
+    """activity_id, km, measure, zone, seconds; overall: of whole rides, `km` is null."""
+    rows = samples.withColumn("km", F.lit(None).cast("long")) if overall else with_km(samples)
     power = rows.select("activity_id", "km", F.lit("power").alias("measure"), zone(F.col("power") / ftp.cast("double"), POWER_ZONES).alias("zone"))
     hr = rows.select("activity_id", "km", F.lit("hr").alias("measure"), zone(F.col("hr") / threshold_hr.cast("double"), HR_ZONES).alias("zone"))
     return power.unionByName(hr).where(F.col("zone").isNotNull()).groupBy("activity_id", "km", "measure", "zone").agg(F.count(F.lit(1)).alias("seconds"))
 
 
+def power_against_hr(samples: DataFrame) -> DataFrame:
+    """activity_id, power, hr, seconds: the scatter of both over a ride, coasting included."""
+    both = samples.where(F.col("power").isNotNull() & F.col("hr").isNotNull())
+    return both.groupBy("activity_id", "power", "hr").agg(F.count(F.lit(1)).alias("seconds"))
+
+
 def decoupling(samples: DataFrame) -> DataFrame:
     """activity_id, ef_first, ef_second, drift_pct: power by heart rate in both halves of a ride, coasting included."""
     both = samples.where(F.col("power").isNotNull() & F.col("hr").isNotNull())
@@ -115,10 +139,27 @@ def polarization(rides: DataFrame, thresholds: DataFrame, by: str = "athlete_id"
     return rows.groupBy(by, F.to_date(F.trunc("date", "month")).alias("month")).agg(hours(1, 2).alias("low"), hours(3, 3).alias("middle"), hours(4, 5).alias("high"))
 
 
-def cumulative(daily: DataFrame, by: str = "athlete_id") -> DataFrame:
-    """Running totals by day."""
+def cumulative(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
+    """Six running totals by day with a ride."""
+    measures = {"rides": F.count(F.lit(1)), **{c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in ("distance_m", "duration_s", "elevation_m", "calories", "tss")}}
+    daily = rides.groupBy(by, F.to_date("date").alias("date")).agg(*(m.alias(n) for n, m in measures.items()))
     upto = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select(by, "date", *(half_even(F.sum(c).over(upto), 4).alias("total_" + c) for c in ("tss", "distance_m", "elevation_m")))
+    return daily.select(by, "date", *(half_even(F.sum(c).over(upto), 4).alias("total_" + c) for c in measures))
+
+
+def annual(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
+    """athlete_id, year, rides, km, hours, elevation_m."""
+    return rides.groupBy(by, F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("rides"), half_even(F.sum("distance_m") / F.lit(1000.0), 3).alias("km"), half_even(F.sum("duration_s") / F.lit(3600.0), 3).alias("hours"), half_even(F.sum("elevation_m"), 1).alias("elevation_m"))
+
+
+def monthly_power(rides: DataFrame, peaks: DataFrame, by: str = "athlete_id") -> DataFrame:
+    """athlete_id, month, ftp (95 % of the best full 20 minutes of its rides; null without) and the month's best 1, 5 and 20 minutes.
+
+    peaks: activity_id and best_60, best_300, best_1200 of rides, as of metrics.best_means.
+    """
+    rows = rides.join(peaks, rides["id"] == peaks["activity_id"])
+    month = rows.groupBy(by, F.to_date(F.trunc("date", "month")).alias("month")).agg(*(F.max(f"best_{n}").alias(f"best_{n}") for n in (60, 300, 1200)))
+    return month.select(by, "month", F.rint(F.col("best_1200") * F.lit(0.95)).cast("int").alias("ftp"), *(half_even(F.col(f"best_{n}"), 6).alias(f"best_{n}") for n in (60, 300, 1200)))
 
 
 def monthly(rides: DataFrame, by: str = "athlete_id") -> DataFrame:

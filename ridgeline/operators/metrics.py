@@ -1,4 +1,4 @@
-"""Metrics of rides from their samples, thresholds, and stress. One shuffle of the samples by ride serves all of them."""
+"""Metrics of rides from their samples, thresholds, and stress. `derived` reads and shuffles the samples once, by ride."""
 
 from __future__ import annotations
 
@@ -19,17 +19,41 @@ def in_ride(key: str = "activity_id") -> Window:
     return Window.partitionBy(key).orderBy("time_offset")
 
 
+def with_means(power: DataFrame, rows: Sequence[int], order: Window | None = None) -> DataFrame:
+    """power with `k` (the row's number in its ride) and for each number of rows n the sum of the last n rows' power (`sum_n`).
+
+    Sums are differences of one running sum of whole numbers, so they are exact and cost the same for any n.
+    """
+    order = order if order is not None else in_ride()
+    running = power.withColumn("k", F.row_number().over(order)).withColumn("upto", F.sum(F.col("power").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return running.withColumns({f"sum_{n}": F.col("upto") - F.coalesce(F.lag("upto", n).over(order), F.lit(0)) for n in rows}).drop("upto")
+
+
+def best(n: int, full: bool) -> Column:
+    """The best mean of n rows; not full: the first rows' shorter windows count too."""
+    mean = F.col(f"sum_{n}") / F.least(F.col("k"), F.lit(n))
+    return F.max(F.when(F.col("k") >= n, mean) if full else mean)
+
+
+def raw_np() -> Column:
+    """The fourth root of the mean fourth power of 30-row means, which divide by 30 from the first row on."""
+    return F.pow(F.avg(F.pow(F.col("sum_30") / F.lit(30.0), F.lit(4.0))), F.lit(0.25))
+
+
+def with_power_metrics(rides: DataFrame, least: int) -> DataFrame:
+    """np and work_kj of rides with n, raw and joule; null up to `least` samples, and where the normalised power is 0."""
+    np = F.when(F.col("n") > least, half_even(F.col("raw"), 1))
+    return rides.withColumn("np", F.when(np > 0, np)).withColumn("work_kj", F.when(np > 0, half_even(F.col("joule") / F.lit(1000.0), 1)))
+
+
 def power_metrics(samples: DataFrame, least: int = 30) -> DataFrame:
     """activity_id, np, work_kj of every ride with more than `least` power samples.
 
-    Normalised power: the fourth root of the mean fourth power of 30-row means, which divide by 30 from the first row on.
-    Null where it is 0; the work is then null as well.
+    Normalised power is null where it is 0; the work is then null as well.
     """
     power = samples.where(F.col("power").isNotNull()).select("activity_id", "time_offset", "power")
-    mean = F.sum("power").over(in_ride().rowsBetween(-29, 0)) / F.lit(30.0)
-    rides = power.withColumn("m", mean).groupBy("activity_id").agg(F.count(F.lit(1)).alias("n"), F.pow(F.avg(F.pow("m", F.lit(4.0))), F.lit(0.25)).alias("raw"), F.sum("power").alias("joule"))
-    np = half_even(F.col("raw"), 1)
-    return rides.where(F.col("n") > least).select("activity_id", F.when(np > 0, np).alias("np"), F.when(np > 0, half_even(F.col("joule") / F.lit(1000.0), 1)).alias("work_kj"))
+    rides = with_means(power, (30,)).groupBy("activity_id").agg(F.count(F.lit(1)).alias("n"), raw_np().alias("raw"), F.sum("power").alias("joule"))
+    return with_power_metrics(rides, least).where(F.col("n") > least).select("activity_id", "np", "work_kj")
 
 
 def heart_rate_loads(samples: DataFrame, max_hr: Column, resting_hr: Column) -> DataFrame:
@@ -43,17 +67,57 @@ def best_means(samples: DataFrame, rows: Sequence[int] = (TWENTY_MINUTES,), full
     full: windows of fewer rows do not count; else the first rows' shorter windows do. One sort serves all windows.
     """
     power = samples.where(F.col("power").isNotNull()).select("activity_id", "time_offset", "power")
-    for n in rows:
-        frame = in_ride().rowsBetween(1 - n, 0)
-        mean = F.avg("power").over(frame)
-        power = power.withColumn(f"m_{n}", F.when(F.count(F.lit(1)).over(frame) >= n, mean) if full else mean)
-    return power.groupBy("activity_id").agg(*(F.max(f"m_{n}").alias(f"best_{n}") for n in rows))
+    return with_means(power, rows).groupBy("activity_id").agg(*(best(n, full).alias(f"best_{n}") for n in rows))
 
 
-def threshold_hr(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
-    """athlete_id, threshold_hr: the 95th percentile of the rides' maxima, cut to a whole number; the default without any."""
+def profiles(samples: DataFrame, rides: DataFrame, resting_hr: int, least: int = 30) -> DataFrame:
+    """activity_id, np, work_kj, best (full windows of 20 minutes), first (shorter ones too) and trimp of each of the rides.
+
+    rides: activity_id and threshold_hr. The samples meet their ride once; windows and sums then stay within the ride.
+    """
+    met = samples.select("activity_id", "time_offset", "power", "hr").join(rides, "activity_id")
+    powered = F.col("power").isNotNull()
+    rows = with_means(met.withColumn("powered", powered), (30, TWENTY_MINUTES), Window.partitionBy("activity_id", "powered").orderBy("time_offset"))
+    of = lambda c: F.when(F.col("powered"), c)
+    mean = F.col(f"sum_{TWENTY_MINUTES}") / F.least(F.col("k"), F.lit(TWENTY_MINUTES))
+    fourth = F.pow(F.col("sum_30") / F.lit(30.0), F.lit(4.0))
+    load = F.when(F.col("hr").isNotNull(), tr.heart_rate_load(F.col("hr"), F.col("threshold_hr"), F.lit(resting_hr)))
+    sums = rows.groupBy("activity_id").agg(
+        F.count_if("powered").alias("n"),
+        F.pow(F.avg(of(fourth)), F.lit(0.25)).alias("raw"),
+        F.sum("power").alias("joule"),
+        F.max(of(F.when(F.col("k") >= TWENTY_MINUTES, mean))).alias("best"),
+        F.max(of(mean)).alias("first"),
+        half_even(F.sum(load), 1).alias("trimp"),
+    )
+    return with_power_metrics(sums, least).select("activity_id", "np", "work_kj", "best", "first", "trimp")
+
+
+def measured_limit() -> Column:
+    """The 95th percentile of the rides' maximum heart rates, cut to a whole number; the default without any."""
     p = F.percentile(F.when(F.col("max_hr") > 0, F.col("max_hr")), F.lit(0.95)).cast("int")
-    return rides.groupBy(by).agg(F.when(p > 0, p).otherwise(tr.DEFAULT_THRESHOLD_HR).alias("threshold_hr"))
+    return F.when(p > 0, p).otherwise(tr.DEFAULT_THRESHOLD_HR)
+
+
+def threshold_hr(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
+    """athlete_id, threshold_hr."""
+    return rides.groupBy(by).agg(measured_limit().alias("threshold_hr"))
+
+
+def limits(rides: DataFrame, max_hr: int | None = None, by: str = "athlete_id") -> DataFrame:
+    """athlete_id, threshold_hr and usual, the 95th percentile of the rides' mean power, cut to a whole number."""
+    usual = F.percentile(F.when(F.col("avg_power") > 0, F.col("avg_power")), F.lit(0.95)).cast("int")
+    return rides.groupBy(by).agg((F.lit(max_hr) if max_hr else measured_limit()).alias("threshold_hr"), usual.alias("usual"))
+
+
+def is_recent(as_of: Column, days: int) -> Column:
+    return (F.col("avg_power") > 0) & (F.col("date") >= F.date_sub(as_of, days).cast("timestamp"))
+
+
+def estimated_ftp(peak: Column, usual: Column) -> Column:
+    """95 % of the best mean; else the usual power, else the default."""
+    watts = F.rint(peak * F.lit(0.95)).cast("int")
+    return F.when(watts > 0, watts).when(usual > 0, usual).otherwise(tr.DEFAULT_FTP)
 
 
 def threshold_power(rides: DataFrame, samples: DataFrame, as_of: Column, days: int = LOOK_BACK_DAYS, by: str = "athlete_id") -> DataFrame:
@@ -62,13 +126,15 @@ def threshold_power(rides: DataFrame, samples: DataFrame, as_of: Column, days: i
     Short windows count (a ride's first samples too), as published. Without samples the 95th percentile of the rides'
     mean power, without that the default.
     """
-    powered = F.col("avg_power") > 0
-    recent = rides.where(powered & (F.col("date") >= F.date_sub(as_of, days).cast("timestamp"))).select(F.col("id").alias("activity_id"), by)
+    recent = rides.where(is_recent(as_of, days)).select(F.col("id").alias("activity_id"), by)
     peaks = best_means(samples.join(recent, "activity_id", "left_semi"), full=False).join(recent, "activity_id")
-    found = peaks.groupBy(by).agg(F.rint(F.max(f"best_{TWENTY_MINUTES}") * F.lit(0.95)).cast("int").alias("peak"))
-    usual = rides.groupBy(by).agg(F.percentile(F.when(powered, F.col("avg_power")), F.lit(0.95)).cast("int").alias("usual"))
-    ftp = F.when(F.col("peak") > 0, F.col("peak")).when(F.col("usual") > 0, F.col("usual")).otherwise(tr.DEFAULT_FTP)
-    return usual.join(found, by, "left").select(by, ftp.alias("ftp"))
+    found = peaks.groupBy(by).agg(F.max(f"best_{TWENTY_MINUTES}").alias("peak"))
+    return limits(rides, by=by).join(found, by, "left").select(by, estimated_ftp(F.col("peak"), F.col("usual")).alias("ftp"))
+
+
+def before_ride(days: int, by: str) -> Window:
+    """The athlete's rides from `days` days to one day before a ride; rides have `at`, their start in microseconds."""
+    return Window.partitionBy(by).orderBy("at").rangeBetween(-days * DAY_MICROS, -DAY_MICROS)
 
 
 def ride_threshold_power(rides: DataFrame, samples: DataFrame, fallback: DataFrame, days: int = LOOK_BACK_DAYS, by: str = "athlete_id") -> DataFrame:
@@ -77,13 +143,16 @@ def ride_threshold_power(rides: DataFrame, samples: DataFrame, fallback: DataFra
     Every ride's samples are windowed once; the look-back runs over one row a ride.
     """
     peaks = best_means(samples)
-    at = micros("date")
-    before = Window.partitionBy(by).orderBy("at").rangeBetween(-days * DAY_MICROS, -DAY_MICROS)
-    dated = rides.where(F.col("date").isNotNull()).select("id", by, at.alias("at"))
-    found = dated.join(peaks, dated["id"] == peaks["activity_id"], "left").withColumn("best", F.max(f"best_{TWENTY_MINUTES}").over(before))
+    dated = rides.where(F.col("date").isNotNull()).select("id", by, micros("date").alias("at"))
+    found = dated.join(peaks, dated["id"] == peaks["activity_id"], "left").withColumn("best", F.max(f"best_{TWENTY_MINUTES}").over(before_ride(days, by)))
     return found.join(fallback, by, "left").select("id", F.coalesce(F.rint(F.col("best") * F.lit(0.95)), F.col("ftp"), F.lit(tr.DEFAULT_FTP)).cast("double").alias("ride_ftp"))
 
 
+def lacking_threshold(rides: DataFrame, by: str = "athlete_id") -> DataFrame:
+    """athlete_id, n: how many of the rides with a date have no threshold power yet."""
+    return rides.groupBy(by).agg(F.count_if(F.col("ride_ftp").isNull() & F.col("date").isNotNull()).alias("n"))
+
+
 def with_stress(rides: DataFrame) -> DataFrame:
     """tss and intensity_factor of rides with np, avg_power, avg_hr, duration_s, ride_ftp, ftp and threshold_hr.
 
@@ -105,13 +174,22 @@ def derived(rides: DataFrame, samples: DataFrame, as_of: Column, ftp: int | None
     ftp, max_hr: configured values take the place of estimates for every athlete.
     """
     dated = rides.where(F.col("date").isNotNull())
-    hr = dated.select(by).distinct().withColumn("threshold_hr", F.lit(max_hr)) if max_hr else threshold_hr(dated, by)
-    power = dated.select(by).distinct().withColumn("ftp", F.lit(ftp)) if ftp else threshold_power(dated, samples, as_of, by=by)
-    limits = hr.join(power, by)
-    own = dated.select(F.col("id").alias("activity_id"), by)
-    loads = heart_rate_loads(samples.join(own, "activity_id").join(hr, by), F.col("threshold_hr"), F.lit(resting_hr))
-    before = dated.select("id", F.lit(float(ftp)).alias("ride_ftp")) if ftp else ride_threshold_power(dated, samples, power, by=by)
-    full = dated.join(power_metrics(samples).withColumnRenamed("activity_id", "id"), "id", "left").join(loads.withColumnRenamed("activity_id", "id"), "id", "left").join(before, "id").join(limits, by)
-    full = full.withColumn("ef", tr.ratio(F.col("np"), F.col("avg_hr"))).withColumn("variability_index", tr.ratio(F.col("np"), F.col("avg_power")))
-    elevation = F.col("elevation_m") if "elevation_m" in rides.columns else F.lit(0.0)
-    return with_stress(full).select("id", by, "date", "distance_m", elevation.alias("elevation_m"), "np", "ef", "work_kj", "variability_index", "ride_ftp", "tss", "intensity_factor", "trimp")
+    own = limits(dated, max_hr, by)
+    ridden = dated.select(F.col("id").alias("activity_id"), by).join(own.select(by, "threshold_hr"), by).drop(by)
+    found = profiles(samples, ridden, resting_hr).withColumnRenamed("activity_id", "id")
+    return with_thresholds(dated.join(found, "id", "left").join(own, by), as_of, ftp, by)
+
+
+def with_thresholds(full: DataFrame, as_of: Column, ftp: int | None = None, by: str = "athlete_id") -> DataFrame:
+    """`derived` from rides with their profiles, threshold_hr and usual; a ride_ftp that a ride has already stays."""
+    if ftp:
+        rows = full.withColumn("ftp", F.lit(ftp)).withColumn("own_ftp", F.lit(float(ftp)))
+    else:
+        everything = Window.partitionBy(by)
+        peak = F.max(F.when(is_recent(as_of, LOOK_BACK_DAYS), F.col("first"))).over(everything)
+        rows = full.withColumn("ftp", estimated_ftp(peak, F.col("usual"))).withColumn("at", micros("date"))
+        rows = rows.withColumn("own_ftp", F.coalesce(F.rint(F.max("best").over(before_ride(LOOK_BACK_DAYS, by)) * F.lit(0.95)), F.col("ftp")).cast("double"))
+    rows = rows.withColumn("ride_ftp", F.coalesce("ride_ftp", "own_ftp") if "ride_ftp" in full.columns else F.col("own_ftp"))
+    rows = rows.withColumn("ef", tr.ratio(F.col("np"), F.col("avg_hr"))).withColumn("variability_index", tr.ratio(F.col("np"), F.col("avg_power")))
+    elevation = F.col("elevation_m") if "elevation_m" in full.columns else F.lit(0.0)
+    return with_stress(rows).select("id", by, "date", "distance_m", elevation.alias("elevation_m"), "np", "ef", "work_kj", "variability_index", "ride_ftp", "tss", "intensity_factor", "trimp", "best", "first")

@@ -11,7 +11,7 @@ def floor_long(x: str) -> str:
 
 
 def samples(by_days: bool = False, name: str = "samples") -> str:
-    ride = "CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 432000.0::DOUBLE) AS BIGINT)" if by_days else "user_id"
+    ride = "CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 432000.0::DOUBLE) AS BIGINT) + user_id // 500 * 1000" if by_days else "user_id"
     return f"""{name} AS (
   SELECT activity_id, CAST(row_number() OVER (PARTITION BY activity_id ORDER BY ts, event_id) - 1 AS INTEGER) AS time_offset,
     CASE WHEN event_type <> 'error' THEN k + 90 END AS hr,
@@ -107,12 +107,12 @@ ROUTES = (
     samples()
     + """, routes AS (
   SELECT activity_id AS route_id, list(lat ORDER BY time_offset) AS lats, list(lng ORDER BY time_offset) AS lngs, list(CASE WHEN hr IS NOT NULL THEN altitude_m END ORDER BY time_offset) AS elevations
-  FROM samples WHERE lat IS NOT NULL AND activity_id < 500 GROUP BY activity_id
+  FROM samples WHERE lat IS NOT NULL GROUP BY activity_id
 )"""
 )
 
 WAYS = """ways AS (
-  SELECT l_orderkey // 10 AS route_id,
+  SELECT DISTINCT l_orderkey // 10 AS route_id, (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey * 101 + l_suppkey AS element_id,
     (['residential', 'cycleway', 'path', 'track', 'living_street', 'primary'])[l_partkey % 6 + 1] AS highway,
     (['asphalt', 'gravel', 'dirt', NULL, 'concrete', 'rock', 'sett', 'compacted'])[(l_partkey + l_orderkey) % 8 + 1] AS surface,
     (['water', NULL, 'wood', 'coastline', NULL, 'cliff', 'scree'])[l_partkey % 7 + 1] AS "natural",

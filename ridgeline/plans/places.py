@@ -108,7 +108,8 @@ def h18_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d10_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.surfaces(tables.ways(spark, sf_dir), "gravel")
+    shares = F.array_join(F.transform("surfaces", lambda p: F.concat(p["surface"], F.lit(" "), p["pct"].cast("string"), F.lit("%"))), ", ")
+    return routes.surfaces(tables.ways(spark, sf_dir), "gravel").select("route_id", "match_pct", shares.alias("surfaces"), "warning")
 
 
 def d11_scenic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +204,8 @@ def a19_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h22_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the documents' first lines, as they hold letters with marks."""
-    return tables.table(spark, sf_dir, "documents").select("doc_id", parse.slug(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,éèàâêîôûçñüöäáíóú-]", "-"), 1, 120)).alias("slug"))
+    """Of the documents' texts, as they hold letters with marks."""
+    return tables.table(spark, sf_dir, "documents").select("doc_id", parse.slug(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,éèàâêîôûçñüöäáíóú-]", "-")).alias("slug"))
 
 
 def h23_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +270,7 @@ def scores(explore: bool) -> str:
 FREE = f"NOT EXISTS (SELECT 1 FROM zones z WHERE {away('c.lat', 'c.lng', 'z.lat', 'z.lng')} * 1000.0::DOUBLE < z.radius)"
 APART = f"abs(((c.angle - {{o}}.angle + {PI}) - floor((c.angle - {{o}}.angle + {PI}) / {2 * math.pi!r}::DOUBLE) * {2 * math.pi!r}::DOUBLE) - {PI}) >= {math.radians(45)!r}::DOUBLE"
 
-WAYS_SURFACE = f"""{sql.WAYS}, counts AS (SELECT route_id, coalesce(surface, 'unknown') AS surface, count(*) AS n FROM ways GROUP BY 1, 2), tops AS (
-  SELECT route_id, surface, n FROM counts QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY n DESC, surface) = 1
-), sums AS (
+WAYS_SURFACE = f"""{sql.WAYS}, counts AS (SELECT route_id, coalesce(surface, 'unknown') AS surface, count(*) AS n FROM ways GROUP BY 1, 2), sums AS (
   SELECT route_id, sum(n) AS total, coalesce(sum(n) FILTER (WHERE surface IN ('gravel', 'compacted', 'fine_gravel', 'dirt', 'earth', 'ground', 'grass', 'sand', 'unpaved')), 0) AS fit FROM counts GROUP BY 1
 )"""
 
@@ -290,8 +289,10 @@ SELECT id, '06:' || m AS clock, CASE zone WHEN '+02:00' THEN 2.0::DOUBLE WHEN '-
     "c9_avoid_zones": f"WITH {CANDIDATES}, {sql.ZONES} SELECT origin, id FROM candidates c WHERE {FREE}",
     "d9_density": f"WITH {CELLS} SELECT * FROM cells",
     "k5_heatmap": f"WITH {sql.samples()} SELECT {CELL}, count(*) AS n FROM samples WHERE time_offset % 30 = 0 AND {box(20.0)} GROUP BY 1, 2",
-    "d10_surface": f"""WITH {WAYS_SURFACE} SELECT route_id, match_pct, surface AS top_surface, top_pct, CASE WHEN match_pct < 50 THEN 'mismatch' WHEN match_pct < 75 THEN 'mixed' END AS warning FROM (
-  SELECT route_id, surface, CAST({sql.r('fit / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS match_pct, CAST({sql.r('n / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS top_pct FROM sums JOIN tops USING (route_id))""",
+    "d10_surface": f"""WITH {WAYS_SURFACE}, shares AS (
+  SELECT route_id, surface, n, CAST({sql.r('fit / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS match_pct, CAST({sql.r('n / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS pct FROM sums JOIN counts USING (route_id)
+), told AS (SELECT route_id, any_value(match_pct) AS match_pct, list(surface || ' ' || pct || '%' ORDER BY n DESC, surface) AS parts, first(surface || ' (' || pct || '%)' ORDER BY n DESC, surface) AS top FROM shares GROUP BY 1)
+SELECT route_id, match_pct, array_to_string(parts, ', ') AS surfaces, CASE WHEN match_pct < 50 THEN 'Route is mostly ' || top || ' — requested gravel' WHEN match_pct < 75 THEN 'Mixed surface: ' || array_to_string(parts[1:3], ', ') END AS warning FROM told""",
     "d11_scenic": f"""WITH {sql.WAYS}, tags AS (SELECT route_id, unnest(["natural", landuse, leisure]) AS feature FROM ways), counts AS (SELECT route_id, feature, count(*) AS n FROM tags WHERE feature IS NOT NULL GROUP BY 1, 2)
 SELECT route_id, CAST(least(100, sum(CASE feature WHEN 'coastline' THEN 15 WHEN 'water' THEN 12 WHEN 'beach' THEN 10 WHEN 'cliff' THEN 10 WHEN 'peak' THEN 8 WHEN 'forest' THEN 8 WHEN 'wood' THEN 8 WHEN 'park' THEN 6 ELSE 3 END * least(n, 3))) AS INTEGER) AS scenic_score,
   array_to_string((list(feature || ' (' || n || ')' ORDER BY n DESC, feature))[1:5], ', ') AS features FROM counts GROUP BY 1""",
@@ -354,6 +355,6 @@ FROM p WHERE sqrt(pow(y * 111.0::DOUBLE, 2) + pow(x * 111.0::DOUBLE * f, 2)) >=
     "h19_scores_familiar": f"WITH {scores(False)} SELECT origin, id, {sql.r('score', 6)} AS score FROM scored",
     "h21_day_lines": f"""WITH {sql.FORECAST} SELECT date, concat_ws(', ', weather, CAST(temp_min AS INTEGER) || '-' || CAST(temp_max AS INTEGER) || '°C', 'wind ' || CAST(wind AS INTEGER) || ' km/h', CASE WHEN uv_max >= 6 THEN 'UV ' || CAST(uv_max AS INTEGER) END,
   CASE WHEN precip > 0 THEN 'rain ' || printf('%.1f', precip) || 'mm' END) AS line FROM day_scores""",
-    "h22_slugs": """SELECT doc_id, left(trim(regexp_replace(regexp_replace(lower(strip_accents(left(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,éèàâêîôûçñüöäáíóú-]', '-', 'g'), 120))), '[^a-z0-9]+', '-', 'g'), '-+', '-', 'g'), '-'), 80) AS slug FROM documents""",
+    "h22_slugs": """SELECT doc_id, left(trim(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,éèàâêîôûçñüöäáíóú-]', '-', 'g'))), '[^a-z0-9]+', '-', 'g'), '-+', '-', 'g'), '-'), 80) AS slug FROM documents""",
     "h23_epochs": f"WITH {sql.RAW} SELECT id, CAST(epoch(start) AS BIGINT) AS epoch FROM raw",
 }

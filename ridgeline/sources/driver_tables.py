@@ -15,9 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str, by_days: bool = False) -> DataFrame:
-    """One sample per event. A ride is a user's events, or with by_days those of five days (long rides)."""
+    """One sample per event. A ride is a user's events, or with by_days those of five hundred users on five days (long rides)."""
     e = table(spark, sf_dir, "events")
-    ride = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / F.lit(432000)) if by_days else F.col("user_id")
+    ride = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / F.lit(432000)) + F.floor(F.col("user_id") / 500) * 1000 if by_days else F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     offset = F.row_number().over(Window.partitionBy("activity_id").orderBy("ts", "event_id")) - 1
     kind = F.col("event_type")
@@ -130,7 +130,10 @@ def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """route_id, element_id and tags: the map elements near each route; one per line item of an order."""
+    """route_id, element_id and tags: the map elements near each route; one per line item of an order.
+
+    Elements with a surface come twice, as from two selectors of one search.
+    """
     li = table(spark, sf_dir, "lineitem")
     k, p = F.col("l_orderkey"), F.col("l_partkey")
     pick = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
@@ -146,7 +149,9 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name": pick(p, "River Way", None, "Coast Path"),
         "ref": pick(p, None, "EV1", "N2", None),
     }
-    return li.select(F.floor(k / 10).alias("route_id"), *(v.alias(n) for n, v in tags.items()))
+    element = (k * 10 + F.col("l_linenumber")) * 1000003 + p * 101 + F.col("l_suppkey")
+    rows = li.select(F.floor(k / 10).alias("route_id"), element.alias("element_id"), *(v.alias(n) for n, v in tags.items()))
+    return rows.unionByName(rows.where(F.col("surface").isNotNull()))
 
 
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
