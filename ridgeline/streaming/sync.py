@@ -31,6 +31,15 @@ class Thresholds:
     def fingerprint(self) -> str:
         return f"{METRICS_VERSION}:{self.ftp}:{self.max_hr}:{self.resting_hr}"
 
+    def changes(self, fingerprint: str | None) -> tuple[bool, bool, bool]:
+        """Whether the version, the threshold power, or any threshold differs from those of a fingerprint."""
+        before, now = (fingerprint or "").split(":"), self.fingerprint().split(":")
+        return before[:1] != now[:1], before[1:2] != now[1:2], before[1:] != now[1:]
+
+
+#: The columns of the table of derived metrics. best, first: the ride's best 20 minutes, full windows only, and shorter ones too.
+DERIVED = "id long, athlete_id long, date timestamp, distance_m double, elevation_m double, np double, ef double, work_kj double, variability_index double, ride_ftp double, tss double, intensity_factor double, trimp double, best double, first double"
+
 
 @dataclass
 class Table:
@@ -83,6 +92,12 @@ def merged(table: DataFrame, new: DataFrame) -> DataFrame:
     return ingest.deduplicated(ingest.upserted(table, new.select(table.columns)))
 
 
+def merged_batch(table: DataFrame, new: DataFrame) -> DataFrame:
+    """merged(), where only athletes with new rides are compared and merged; other rides pass as they are."""
+    riders = new.select("athlete_id").distinct()
+    return table.join(riders, "athlete_id", "left_anti").select(table.columns).unionByName(merged(table.join(riders, "athlete_id", "left_semi").select(table.columns), new))
+
+
 def sync_batch(rides: Table, raw: DataFrame, batch: int, lateness_s: int | None = 0) -> None:
     """One micro-batch into the ride table. lateness_s None: late rides are never dropped.
 
@@ -95,7 +110,28 @@ def sync_batch(rides: Table, raw: DataFrame, batch: int, lateness_s: int | None
     new = arrived(raw, F.lit(before) if before is not None and lateness_s is not None else None, lateness_s or 0)
     latest = raw.agg(F.max(F.unix_timestamp(F.try_to_timestamp("start_date"))).alias("t")).first()["t"]
     mark = max(x for x in (before, latest, 0) if x is not None)
-    rides.write(merged(rides.read(), new), batch=str(batch), bookmark=str(mark))
+    rides.write(merged_batch(rides.read(), new), batch=str(batch), bookmark=str(mark))
+
+
+def backfill(rides: Table, raw: DataFrame, as_of: Column, months: int = 12) -> None:
+    """All listed rides of the last `months` months of 30 days into the table, whatever the bookmark says; it moves on, never back."""
+    now = rides.current()
+    since = F.unix_timestamp(as_of.cast("timestamp")) - months * 30 * 86_400
+    latest = raw.agg(F.max(F.unix_timestamp(F.try_to_timestamp("start_date"))).alias("t")).first()["t"]
+    mark = max(x for x in (int(now.get("bookmark", 0)), latest) if x is not None)
+    rides.write(merged_batch(rides.read(), arrived(raw, since)), batch=str(now.get("batch", -1)), bookmark=str(mark))
+
+
+def reclassified(rides: DataFrame, listed: DataFrame) -> DataFrame:
+    """The ride table after a new look at the service's types (id, type, trainer): rides that are no cycling go, others get their class anew.
+
+    Rides that the service does not list any more stay as they are.
+    """
+    now = listed.select(F.col("id").alias("_id"), F.coalesce("type", F.lit("")).alias("_type"), F.coalesce("trainer", F.lit(False)).alias("_trainer"))
+    both = rides.join(now, F.col("id") == F.col("_id"), "left")
+    unknown = both.where(F.col("_id").isNull()).select(rides.columns)
+    known = both.where(F.col("_id").isNotNull()).withColumns({"service_type": F.col("_type"), "trainer": F.col("_trainer")}).select(rides.columns)
+    return unknown.unionByName(ingest.classified(ingest.cycling_only(known)).select(rides.columns))
 
 
 def sync(spark: SparkSession, folder: str, table: str, checkpoint: str, lateness_s: int | None = 0, every: str | None = None):
@@ -106,23 +142,28 @@ def sync(spark: SparkSession, folder: str, table: str, checkpoint: str, lateness
 
 
 def recompute(rides: DataFrame, samples: DataFrame, derived: Table, limits: Thresholds, as_of: Column) -> DataFrame:
-    """Derived metrics after new rides: np, ef, work, trimp and ride_ftp of rides that have none, stress of all.
+    """Derived metrics after new rides. Only rides that are not known have their samples read; stress is made anew for all.
 
-    A changed fingerprint (version or thresholds) starts from nothing. What a ride has keeps its value: a threshold
-    power, once given, does not move with later rides.
+    What a ride has keeps its value: a threshold power, once given, does not move with later rides. Another version starts
+    from nothing. Changed thresholds make loads anew for all rides, which reads their samples; a changed threshold power
+    makes the rides' own ones anew too.
     """
-    known = derived.read() if derived.current().get("fingerprint") == limits.fingerprint() else derived.read().limit(0)
-    todo = rides.join(known.where(F.col("ride_ftp").isNotNull()).select("id"), "id", "left_anti")
-    full = metrics.derived(rides, samples, as_of, limits.ftp or None, limits.max_hr or None, limits.resting_hr or 50)
-    fresh = full.join(todo.select("id"), "id", "left_semi")
-    sticky = ("np", "ef", "work_kj", "variability_index", "ride_ftp", "trimp")
-    kept = known.select("id", *(F.col(c).alias("_" + c) for c in sticky))
-    both = full.join(kept, "id", "left").join(fresh.select("id", F.lit(True).alias("_new")), "id", "left")
-    own = both.withColumns({c: F.when(F.col("_new").isNull(), F.coalesce("_" + c, c)).otherwise(F.col(c)) for c in sticky})
-    base = own.select("id", *sticky).join(rides.select("id", "athlete_id", "date", "distance_m", "elevation_m", "duration_s", "avg_hr", "avg_power"), "id")
-    hr = metrics.threshold_hr(rides) if not limits.max_hr else rides.select("athlete_id").distinct().withColumn("threshold_hr", F.lit(limits.max_hr))
-    stressed = metrics.with_stress(base.join(hr, "athlete_id").withColumn("ftp", F.lit(limits.ftp or 150)))
-    return stressed.select("id", "athlete_id", "date", "distance_m", "elevation_m", "np", "ef", "work_kj", "variability_index", "ride_ftp", "tss", "intensity_factor", "trimp")
+    now = derived.current()
+    version, power, any_limit = limits.changes(now.get("fingerprint"))
+    known = derived.read().limit(0) if version else derived.read()
+    known = known.select("id", "np", "work_kj", "best", "first", F.lit(None).cast("double").alias("ride_ftp") if power else F.col("ride_ftp"), "trimp")
+    dated = rides.where(F.col("date").isNotNull())
+    own = metrics.limits(dated, limits.max_hr or None)
+    todo = dated if any_limit else dated.join(known, "id", "left_anti")
+    ridden = todo.select(F.col("id").alias("activity_id"), "athlete_id").join(own.select("athlete_id", "threshold_hr"), "athlete_id").drop("athlete_id")
+    found = metrics.profiles(samples, ridden, limits.resting_hr or 50).withColumnRenamed("activity_id", "id")
+    if any_limit:  # powers stay where they are known, loads do not
+        old = known.select("id", *(F.col(c).alias("_" + c) for c in ("np", "work_kj", "best", "first", "ride_ftp")))
+        both = found.join(old, "id", "full_outer")
+        profile = both.select("id", *(F.coalesce("_" + c, c).alias(c) for c in ("np", "work_kj", "best", "first")), F.col("_ride_ftp").alias("ride_ftp"), "trimp")
+    else:
+        profile = known.unionByName(found.withColumn("ride_ftp", F.lit(None).cast("double")).select(known.columns))
+    return metrics.with_thresholds(dated.join(profile, "id", "left").join(own, "athlete_id"), as_of, limits.ftp or None).select([c.split()[0] for c in DERIVED.split(", ")])
 
 
 def refresh(rides: DataFrame, samples: DataFrame, derived: Table, days: Table, limits: Thresholds, as_of: Column) -> None:

@@ -3,7 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
-from ridgeline.operators import ingest
+from ridgeline.operators import ingest, metrics
 from ridgeline.plans.rides import rides
 from ridgeline.sources import driver_tables as tables
 from ridgeline.sources import schema
@@ -45,7 +45,7 @@ def test_two_batches_are_one(spark, tmp_path):
 def test_metrics_follow(spark, tmp_path):
     samples = tables.samples(spark, DATA).where("activity_id < 6")
     r = tables.sample_rides(samples).withColumn("elevation_m", F.lit(10.0))
-    derived = sync.Table(spark, str(tmp_path / "derived"), "id long, athlete_id long, date timestamp, distance_m double, elevation_m double, np double, ef double, work_kj double, variability_index double, ride_ftp double, tss double, intensity_factor double, trimp double")
+    derived = sync.Table(spark, str(tmp_path / "derived"), sync.DERIVED)
     days = sync.Table(spark, str(tmp_path / "days"), "athlete_id long, date date")
     as_of = F.lit("2024-02-15").cast("date")
     sync.refresh(r.where("id < 4"), samples, derived, days, sync.Thresholds(), as_of)
@@ -53,9 +53,42 @@ def test_metrics_follow(spark, tmp_path):
     sync.refresh(r, samples, derived, days, sync.Thresholds(), as_of)
     after = {x["id"]: x["ride_ftp"] for x in derived.read().collect()}
     assert before.items() <= after.items() and len(after) == 6
-    # thresholds that change start everything anew
+    # a resting heart rate that changes makes loads anew, and keeps threshold powers
+    loads = {x["id"]: x["trimp"] for x in derived.read().collect()}
+    sync.refresh(r, samples, derived, days, sync.Thresholds(resting_hr=60), as_of)
+    assert {x["id"]: x["ride_ftp"] for x in derived.read().collect()} == after
+    assert any(x["trimp"] != loads[x["id"]] for x in derived.read().collect())
+    # a threshold power that changes makes the rides' own ones anew
     sync.refresh(r, samples, derived, days, sync.Thresholds(ftp=300), as_of)
     assert {x["ride_ftp"] for x in derived.read().collect()} == {300.0}
     assert days.read().agg(F.max("date").alias("d")).first()["d"].isoformat() == "2024-02-15"
     sync.reset(derived)
     assert derived.read().where("ride_ftp is not null or tss is not null").count() == 0
+
+
+def test_known_rides_are_not_read_again(spark, tmp_path):
+    samples = tables.samples(spark, DATA).where("activity_id < 6")
+    r = tables.sample_rides(samples).withColumn("elevation_m", F.lit(10.0))
+    derived = sync.Table(spark, str(tmp_path / "derived"), sync.DERIVED)
+    days = sync.Table(spark, str(tmp_path / "days"), "athlete_id long, date date")
+    as_of = F.lit("2024-02-15").cast("date")
+    sync.refresh(r.where("id < 4"), samples, derived, days, sync.Thresholds(), as_of)
+    before = {x["id"]: x.asDict() for x in derived.read().collect()}
+    # without the samples of known rides
+    sync.refresh(r, samples.where("activity_id >= 4"), derived, days, sync.Thresholds(), as_of)
+    after = {x["id"]: x.asDict() for x in derived.read().collect()}
+    assert all(after[k][c] == v[c] for k, v in before.items() for c in ("np", "work_kj", "ride_ftp", "trimp", "best"))
+    whole = {x["id"]: x.asDict() for x in metrics.derived(r, samples, as_of).collect()}
+    assert all(after[k][c] == whole[k][c] for k in (4, 5) for c in ("np", "work_kj", "trimp", "best", "first"))
+
+
+def test_backfill_ignores_the_bookmark(spark, tmp_path):
+    raw = tables.raw_rides(spark, DATA)
+    table = sync.Table(spark, str(tmp_path / "rides"), sync.ddl(schema.RIDE))
+    sync.sync_batch(table, raw.where("start_date >= '1998'"), 0)
+    late, mark = table.read().count(), table.current()["bookmark"]
+    sync.backfill(table, raw, F.lit("1998-06-01").cast("date"), months=12)
+    now = table.read()
+    assert now.count() > late and now.where("date < '1997-06-06'").count() == 0 and table.current()["bookmark"] == mark
+    sync.backfill(table, raw, F.lit("1998-06-01").cast("date"), months=12)
+    assert table.read().select("id").exceptAll(now.select("id")).count() == 0 and table.read().count() == now.count()
