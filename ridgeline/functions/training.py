@@ -51,9 +51,14 @@ def form_word(tsb: Column) -> Column:
 DEFAULT_SPEEDS = {"road": 27.0, "gravel": 22.0, "mtb": 17.0}
 
 
-def planned_distance(minutes: Column, surface: Column, speed: Column) -> Column:
-    """Kilometres in that time at the rider's speed, or the surface's usual one."""
+def usual_speed(surface: Column, speed: Column) -> Column:
+    """The rider's speed, or the surface's usual one."""
     usual = F.lit(22.0)
     for name, v in DEFAULT_SPEEDS.items():
         usual = F.when(surface == name, F.lit(v)).otherwise(usual)
-    return half_even(minutes / F.lit(60.0) * F.coalesce(present(speed), usual), 1)
+    return F.coalesce(present(speed), usual)
+
+
+def planned_distance(minutes: Column, surface: Column, speed: Column) -> Column:
+    """Kilometres in that time at the rider's speed, or the surface's usual one."""
+    return half_even(minutes / F.lit(60.0) * usual_speed(surface, speed), 1)

@@ -29,10 +29,37 @@ def radius_for(target_km: float) -> float:
 
 
 def tagged_places(elements: DataFrame, kinds: tuple[str, ...] = tuple(PLACE_WEIGHTS)) -> DataFrame:
-    """lat, lng, name, type of map elements (tag, value, name); a place without a name is called by its kind."""
-    kind = F.concat(F.col("tag"), F.lit("="), F.col("value"))
-    title = F.initcap(F.replace(F.col("value"), F.lit("_"), F.lit(" ")))
-    return elements.withColumn("type", kind).where(F.col("type").isin(*kinds)).select("id", "lat", "lng", F.coalesce(F.when(F.col("name") != "", F.col("name")), title).alias("name"), "type")
+    """id, lat, lng, name, type of map elements (id, lat, lng, name and the map `tags`).
+
+    The first tag that is one of the kinds gives the type; elements without any are left out. A place without a name is
+    called by its type.
+    """
+    known = F.filter(F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit("="), t["value"])), lambda t: t.isin(*kinds))
+    rows = elements.withColumn("type", F.get(known, F.lit(0))).where(F.col("type").isNotNull())
+    title = F.initcap(F.replace(F.substring_index("type", "=", -1), F.lit("_"), F.lit(" ")))
+    return rows.select("id", "lat", "lng", F.coalesce(F.when(F.col("name") != "", F.col("name")), title).alias("name"), "type")
+
+
+def places_around(elements: DataFrame, lat: float, lng: float, radius_km: float, kinds: tuple[str, ...] = tuple(PLACE_WEIGHTS)) -> DataFrame:
+    """tagged_places() within a radius; a box of degrees comes first, so that the scan can skip what lies outside."""
+    dlat, dlng = radius_km / 111.0 * 1.01, radius_km / (111.0 * math.cos(math.radians(abs(lat) + radius_km / 111.0))) * 1.01
+    near = elements.where(geo.in_box(F.col("lat"), F.col("lng"), lat, lng, dlat, dlng))
+    return tagged_places(near, kinds).where(geo.distance_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng")) <= radius_km)
+
+
+def located(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """id, lat, lng, name: the place of the gazetteer (id, name, lat, lng) that each row asks for (id, place, near_lat, near_lng).
+
+    Names are compared without case and outer blanks. Of places with one name those within a degree come first, then the
+    nearest, then the least id. Rows without a place are left out.
+    """
+    tidy = lambda c: F.lower(F.trim(c))
+    known = gazetteer.select(F.col("id").alias("_place"), F.col("lat"), F.col("lng"), F.col("name"), tidy(F.col("name")).alias("_name"))
+    met = asked.join(known, tidy(F.col("place")) == F.col("_name"))
+    far = ~((F.abs(F.col("lat") - F.col("near_lat")) <= 1) & (F.abs(F.col("lng") - F.col("near_lng")) <= 1))
+    order = F.struct(far.alias("far"), geo.distance_km(F.col("near_lat"), F.col("near_lng"), F.col("lat"), F.col("lng")).alias("km"), "_place")
+    best = met.groupBy("id").agg(F.min_by(F.struct("lat", "lng", "name"), order).alias("p"))
+    return best.select("id", "p.lat", "p.lng", "p.name")
 
 
 def distinct_highlights(found: DataFrame) -> DataFrame:

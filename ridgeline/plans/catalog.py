@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import increments, panels, places, rides
+from . import increments, journeys, panels, places, rides
 
-PARTS = (rides, places, panels, increments)
+PARTS = (rides, places, panels, increments, journeys)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for part in PARTS for k, s in part.ORACLE_SQL.items()}

@@ -78,8 +78,8 @@ RIDES = (
 PLACES = """places AS (
   SELECT p_partkey AS id, 38.7::DOUBLE + (p_partkey * 41 % 600 - 300) / 1500.0::DOUBLE AS lat, -9.14::DOUBLE + (p_partkey * 67 % 600 - 300) / 1500.0::DOUBLE AS lng,
     CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS name,
-    (['tourism', 'natural', 'amenity', 'amenity', 'amenity', 'shop'])[p_partkey % 6 + 1] AS tag,
-    (['viewpoint', 'peak', 'cafe', 'drinking_water', 'bicycle_repair_station', 'books'])[p_partkey % 6 + 1] AS value FROM part
+    CASE WHEN p_partkey % 6 = 5 AND p_partkey % 5 = 0 THEN 'natural' ELSE (['tourism', 'natural', 'amenity', 'amenity', 'amenity', 'shop'])[p_partkey % 6 + 1] END AS tag,
+    CASE WHEN p_partkey % 6 = 5 AND p_partkey % 5 = 0 THEN 'peak' ELSE (['viewpoint', 'peak', 'cafe', 'drinking_water', 'bicycle_repair_station', 'books'])[p_partkey % 6 + 1] END AS value FROM part
 ), pois AS (
   SELECT id, lat, lng, coalesce(name, CASE value WHEN 'viewpoint' THEN 'Viewpoint' WHEN 'peak' THEN 'Peak' WHEN 'cafe' THEN 'Cafe' WHEN 'drinking_water' THEN 'Drinking Water' ELSE 'Bicycle Repair Station' END) AS name,
     tag || '=' || value AS type FROM places WHERE value <> 'books'

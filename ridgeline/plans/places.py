@@ -39,8 +39,7 @@ def all_scored(spark: SparkSession, sf_dir: str, explore: bool = True) -> DataFr
 
 
 def a13_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = waypoints.tagged_places(tables.places(spark, sf_dir))
-    return p.where(geo.distance_km(F.lit(HOME[0]), F.lit(HOME[1]), F.col("lat"), F.col("lng")) <= 15)
+    return waypoints.places_around(tables.places(spark, sf_dir), *HOME, 15.0)
 
 
 def a14_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,19 +76,20 @@ def raw_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of interest: one per part; about a sixth of the tags are none that riders look for."""
+    """Points of interest: one per part. About a sixth have a first tag that riders do not look for, some of these a second that they do."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     keys = F.array(*map(F.lit, ("tourism", "natural", "amenity", "amenity", "amenity", "shop")))
     values = F.array(*map(F.lit, ("viewpoint", "peak", "cafe", "drinking_water", "bicycle_repair_station", "books")))
     at = (k % 6 + 1).cast("int")
+    first = F.struct(F.element_at(keys, at).alias("key"), F.element_at(values, at).alias("value"))
+    second = F.struct(F.lit("natural").alias("key"), F.lit("peak").alias("value"))
     return p.select(
         k.alias("id"),
         (F.lit(38.7) + (k * 41 % 600 - 300) / F.lit(1500.0)).alias("lat"),
         (F.lit(-9.14) + (k * 67 % 600 - 300) / F.lit(1500.0)).alias("lng"),
         F.when(k % 7 != 0, F.col("p_name")).alias("name"),
-        F.element_at(keys, at).alias("tag"),
-        F.element_at(values, at).alias("value"),
+        F.map_from_entries(F.when((k % 5 == 0) & (k % 6 != 1), F.array(first, second)).otherwise(F.array(first))).alias("tags"),
     )
 
 
@@ -179,3 +180,29 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("time", (s % 45).cast("double").alias("temp"), (s * 7 % 50).cast("double").alias("wind"), (s * 3 % 13).cast("double").alias("uv"), F.when(s % 3 == 0, s % 9 / F.lit(3.0)).otherwise(F.lit(0.0)).alias("precip"))
 
 
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for rides, one per order, with the order's day as `as_of`; every eighth gives neither time nor length nor place."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    pick = lambda by, *names: F.element_at(F.array(*names), (by % len(names) + 1).cast("int"))
+    place = lambda lat, lng: F.struct(lat.alias("lat"), lng.alias("lng"))
+    there = place(F.lit(38.7) + (k * 29 % 500 - 250) / F.lit(1250.0), F.lit(-9.14) + (k * 43 % 500 - 250) / F.lit(1250.0))
+    return o.select(
+        k.alias("id"),
+        (c % ATHLETES).alias("athlete_id"),
+        F.when((k % 4 == 0) | (k % 8 == 3), F.concat(text(k % 5 + 1), F.lit("h"), text(k % 60), F.lit("m"))).alias("duration"),
+        F.when(k % 4 == 1, F.concat(text(k % 80 + 10), F.lit("km"))).alias("distance"),
+        pick(k, *map(F.lit, ("road", "gravel", "mtb", "city"))).alias("surface"),
+        pick(c, F.lit("today"), F.lit("Tomorrow"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("some day")).alias("day"),
+        pick(c + k, *map(F.lit, ("14:00", "2pm", "9h", "dawn"))).alias("clock"),
+        place(F.lit(38.7), F.lit(-9.14)).alias("start"),
+        F.when((k % 4 == 2) | (k % 8 == 3), there).alias("destination"),
+        F.concat(F.lit("Place "), text(k % 100)).alias("destination_name"),
+        F.when(k % 6 == 0, F.lit(True)).alias("loop"),
+        (k % 11 / F.lit(10.0)).alias("safety"),
+        F.when(k % 10 == 0, F.array(place(F.lit(38.8), F.lit(-9.2)))).alias("waypoints"),
+        F.to_date("o_orderdate").alias("as_of"),
+    )
