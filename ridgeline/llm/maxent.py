@@ -11,11 +11,13 @@ discounted to leave room for unknown words.
 
 Counts cover all training texts. The softmax is trained by gradient updates in the
 tasks, each over its own texts; the tasks' weights are averaged by how often each
-feature was seen, twice over disjoint parts of the texts; so is the second one. Words are known by a 64-bit
-hash. Counts of the most frequent words (a fixed number) go to the tasks; all other
+feature was seen, twice over disjoint parts of the texts; so is the second one. So scores
+depend a little on how the rows are partitioned; the same partitions give the same scores.
+Words are known by a 64-bit hash. Counts of the most frequent words (a fixed number) go to the tasks; all other
 words of the texts meet their counts in a join.
 
-Null texts count as empty (one token, the end). Without training texts all classes
+Repeated rows are learnt and scored as rows of their own, with equal scores; other columns
+than id and text are not returned. Null texts count as empty (one token, the end). Without training texts all classes
 are equally likely and every word is unknown.
 """
 
@@ -45,6 +47,7 @@ INNER_FEATURES = 1 + BEFORE * CLASSES + 2 * INNER_BUCKETS
 NEVER = -1000.0  # the log odds of an outcome that no word has
 COMMON = 1 << 17  # words whose counts every task gets, at most
 BATCH, RATE = 8192, 0.2
+FAN_IN = 64  # tasks whose weights are added at a time
 PARTS = (4, 1)  # a quarter of the texts trains first, the others start from its average
 END = np.uint64(0x5EED0E0D)
 
@@ -260,7 +263,7 @@ def train(docs: DataFrame, classes: Classes, id_col: str) -> tuple[np.ndarray, n
                 weighted = np.zeros((len(n), moved.shape[1]))
                 weighted[some] = moved * n[some, None]
                 seen, total = seen + n, total + weighted
-            return pd.DataFrame({"piece": rows["piece"].head(1), "seen": [seen.tobytes()], "weights": [total.astype(np.float32).tobytes()]})
+            return pd.DataFrame({"piece": rows["piece"].head(1), "seen": [seen.tobytes()], "weights": [total.astype(np.float32).tobytes()], "branch": rows["task"].head(1) // FAN_IN})
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             seen, total = 0, 0
@@ -270,8 +273,10 @@ def train(docs: DataFrame, classes: Classes, id_col: str) -> tuple[np.ndarray, n
 
         shape = "piece int, seen binary, weights binary"
         sums = share.select("text").mapInArrow(update, shape)
-        # added in two steps, so that one task never holds every task's weights
-        sums = sums.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(8))).groupBy("piece", "branch").applyInPandas(weigh, shape).groupBy("piece").applyInPandas(add, shape)
+        # added as a tree, FAN_IN tasks at a time, so that no task holds the weights of more
+        branch = lambda k: F.floor(F.col("task") / FAN_IN**k).cast("int")
+        sums = sums.withColumn("task", F.spark_partition_id()).groupBy("piece", branch(1).alias("branch")).applyInPandas(weigh, shape + ", branch int")
+        sums = sums.groupBy("piece", F.floor(F.col("branch") / FAN_IN).alias("above")).applyInPandas(add, shape).groupBy("piece").applyInPandas(add, shape)
         average = tuple(w.copy() for w in start)
         for r in sums.collect():
             m, a = pieces[r["piece"]]

@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     What sources at their limit leave is shared by weight among the others, in rounds of one sum each, until none is above.
     """
     weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("place"), F.lit(len(weights))).cast("int"))
-    rows = kept(numbered(sizes).select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("most")))
+    rows = numbered(sizes).select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("most"))
     full, level = -1, 0.0
     while True:
         over = F.col("weight") * F.lit(level) > F.col("most")
@@ -75,18 +75,17 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         full, level = r["full"], (share * r["words"] - (r["given"] or 0.0)) / r["weights"]
 
 
-def inclusion(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def inclusion(sums: DataFrame, plan: DataFrame) -> DataFrame:
     """plan and, by source, `step` (inclusion probability by unit of measure) and `certain` (words of the documents that are taken for certain).
 
-    Documents are added up by measure first, of which a source has as many as the square root of its largest size, at most.
+    sums: the words of each source by measure, of which it has four times the square root of its largest size, at most.
     """
-    sums = sized.where("size > 0").groupBy("source", "measure").agg(F.sum("size").alias("words"))
-    placed = sums.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).where("missing > 1e-6")
+    placed = sums.where("measure > 0").join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).where("missing > 1e-6")
     larger = Window.partitionBy("source").orderBy(F.col("measure").desc()).rowsBetween(Window.unboundedPreceding, -1)
     smaller = Window.partitionBy("source").orderBy(F.col("measure").desc()).rowsBetween(0, Window.unboundedFollowing)
     before, rest = F.coalesce(F.sum("words").over(larger), F.lit(0)), F.sum(F.col("measure") * F.col("words")).over(smaller)
     steps = placed.select("source", "measure", before.alias("before"), ((F.col("missing") - before) / rest).alias("step")).where(F.col("step") * F.col("measure") < 1)
-    first = kept(steps.groupBy(F.col("source").alias("_source")).agg(F.max_by("step", "measure").alias("step"), F.max_by("before", "measure").alias("certain")))
+    first = steps.groupBy(F.col("source").alias("_source")).agg(F.max_by("step", "measure").alias("step"), F.max_by("before", "measure").alias("certain"))
     return plan.join(first, F.col("source").eqNullSafe(F.col("_source")), "left").select(*plan.columns, F.coalesce("step", F.lit(0.0)).alias("step"), F.coalesce("certain", F.lit(0)).alias("certain"))
 
 
@@ -96,10 +95,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     copies: whole numbers, `most` at most (a whole number too); expected: whole copies and the inclusion probability of one more.
     """
     sized = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"), F.xxhash64(text_col).alias("h")).withColumn("measure", F.floor(F.lit(4.0) * F.sqrt(F.col("size").cast("double")))))
-    plan = kept(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    sums = kept(sized.groupBy("source", "measure").agg(F.sum("size").alias("words")))
+    plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(rate)).withColumn("missing", F.col("target") - F.floor(rate) * F.col("source_size"))
-    plan = kept(inclusion(sized, plan))
+    plan = kept(inclusion(sums, plan))
     part = F.least(F.lit(1.0), F.col("step") * F.col("measure"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     same = sized["source"].eqNullSafe(plan["source"])

@@ -7,7 +7,8 @@ are boosted the same way afterwards. A score is the sum of the looked-up values,
 through the logistic function.
 
 Null texts count as empty. Without both labels in the sample all scores are the mean
-label. Only the text is an input of a score.
+label. Only the text is an input of a score: repeated rows get equal scores. All other
+columns are returned; `score` and `predicted` are replaced.
 """
 
 from __future__ import annotations

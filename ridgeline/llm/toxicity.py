@@ -16,7 +16,8 @@ Features are kernel values with the landmarks, put through K_landmarks**(-1/2)
 score is its strongest unit's margin, calibrated on the training documents.
 
 Null and empty texts hold no unit and get the lowest score. Without both labels in
-the sample every score is the mean label. Only the text is an input of a score.
+the sample every score is the mean label. Only the text is an input of a score: repeated
+rows get equal scores. All other columns are returned; `score` and `predicted` are replaced.
 """
 
 from __future__ import annotations
