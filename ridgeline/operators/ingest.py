@@ -107,14 +107,15 @@ def recordings(samples: DataFrame) -> DataFrame:
 def duplicate_pairs(existing: DataFrame, new: DataFrame, tolerance_s: int = 300) -> DataFrame:
     """existing_id, new_id: rides of one athlete that start within tolerance_s and agree in duration or distance.
 
-    The limits are parts of the existing ride's values, so the test is not symmetric. Starts are cut into buckets of
-    tolerance_s; a new ride looks into its own bucket and both neighbours, so the join is an equi-join.
+    The limits are parts of the existing ride's values, so the test is not symmetric. Starts are cut into buckets of four
+    times tolerance_s; a new ride looks into the one or two buckets that lie within the tolerance, so the join is an equi-join.
     """
     columns = ("id", "athlete_id", "date", "duration_s", "distance_m")
     old = existing.select(*(F.col(c).alias("e_" + c) for c in columns))
-    bucket = lambda c: F.floor(micros(c) / F.lit(tolerance_s * 1_000_000)).cast("long")
+    reach = tolerance_s * 1_000_000
+    bucket = lambda c, by=0: F.floor((micros(c) + by) / F.lit(4 * reach)).cast("long")
     fresh = new.select(*(F.col(c).alias("n_" + c) for c in columns))
-    near = fresh.withColumn("n_bucket", F.explode(F.array(*(bucket("n_date") + k for k in (-1, 0, 1)))))
+    near = fresh.withColumn("n_bucket", F.explode(F.sequence(bucket("n_date", -reach), bucket("n_date", reach))))
     both = old.withColumn("e_bucket", bucket("e_date")).join(near, (F.col("e_athlete_id") == F.col("n_athlete_id")) & (F.col("e_bucket") == F.col("n_bucket")))
     starts = F.abs(micros("e_date") - micros("n_date")) < tolerance_s * 1_000_000
     lasts = F.abs(F.col("e_duration_s") - F.col("n_duration_s")) < F.greatest(F.lit(300.0), F.col("e_duration_s") * F.lit(0.15))
@@ -189,7 +190,7 @@ def deduplicated(rides: DataFrame, tolerance_s: int = 300) -> DataFrame:
         return F.when(found.isNull(), F.concat(kept, F.array(n))).otherwise(F.transform(kept, lambda e, i: F.when(i == found, merged(e, n)).otherwise(e)))
 
     empty = F.slice("rides", 1, 0)
-    folded = lists.select("athlete_id", F.explode(F.aggregate("rides", empty, arrive)).alias("r"))
+    folded = lists.select("athlete_id", F.explode(F.when(F.size("rides") == 1, F.col("rides")).otherwise(F.aggregate("rides", empty, arrive))).alias("r"))
     return folded.select("athlete_id", "r.*").select(rides.columns)
 
 

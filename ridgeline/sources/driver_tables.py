@@ -152,7 +152,8 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     element = (k * 10 + F.col("l_linenumber")) * 1000003 + p * 101 + F.col("l_suppkey")
     rows = li.select(F.floor(k / 10).alias("route_id"), element.alias("element_id"), *(v.alias(n) for n, v in tags.items()))
-    return rows.unionByName(rows.where(F.col("surface").isNotNull()))
+    times = F.when(F.col("surface").isNotNull(), 2).otherwise(1)
+    return rows.withColumn("time", F.explode(F.array_repeat(F.lit(0), times))).drop("time")
 
 
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
