@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ._text import kept
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2.0
-RANGES = 4096
+RANGES = 1024
 
 
 def words(text: Column) -> Column:
