@@ -190,6 +190,29 @@ def log_chance(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))) / math.log(10)
 
 
+#: Codes of the tokens (below 65,536), and the features whose rows each code tells.
+Groups = list[tuple[np.ndarray, tuple[int, ...]]]
+
+
+def outer_groups(rows: list[np.ndarray]) -> Groups:
+    """The two classes before tell their pair's bucket too."""
+    place = lambda k: rows[k] - 1 - k * CLASSES
+    return [(place(0) * CLASSES + place(1), (0, 1, 4)), (place(2) * CLASSES + place(3), (2, 3)), (rows[5], (5,))]
+
+
+def inner_groups(rows: list[np.ndarray]) -> Groups:
+    """The first feature's row tells the class."""
+    return [(rows[0], (0, 6)), *((rows[k], (k,)) for k in range(1, 6))]
+
+
+def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the codes, where each one begins in it, and how often it occurs."""
+    order = np.argsort(code.astype(np.uint16), kind="stable")
+    at = code[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
+    return order, cuts, np.diff(np.r_[cuts, len(at)])
+
+
 class Updates:
     """Adagrad on the cross-entropy of classes, or of outcomes within them, in batches of tokens."""
 
@@ -198,18 +221,26 @@ class Updates:
         self.weights, self.square = weights.copy(), np.full_like(weights, 1e-2)
         self.seen = np.zeros(len(weights))
 
-    def step(self, rows: list[np.ndarray], y: np.ndarray) -> None:
+    def step(self, rows: list[np.ndarray], y: np.ndarray, groups: Groups) -> None:
+        """One batch. groups: each token's code, and the features whose rows the code tells; gradients are added up by code first."""
         p = log_odds(self.weights, rows, self.bias)
         p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        for r in rows:
-            order = np.argsort(r.astype(np.uint16), kind="stable")
-            at = r[order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
-            self.move(at[cuts], np.add.reduceat(p[order], cuts, axis=0), len(y))
-            self.seen[at[cuts]] += np.diff(np.r_[cuts, len(at)])
+        for code, of in groups:
+            order, cuts, count = grouped(code)
+            total, tokens_of = np.add.reduceat(p[order], cuts, axis=0), order[cuts]
+            for f in of:
+                at = rows[f][tokens_of]
+                if len(of) == 1:
+                    self.move(at, total, len(y))
+                    self.seen[at] += count
+                    continue
+                again, edges, _ = grouped(at)
+                at = at[again[edges]]
+                self.move(at, np.add.reduceat(total[again], edges, axis=0), len(y))
+                self.seen[at] += np.add.reduceat(count[again], edges)
         if self.bias:
             self.move(np.array([0]), p.sum(0, keepdims=True), len(y))
             self.seen[0] += len(y)
@@ -242,11 +273,13 @@ def train(docs: DataFrame, classes: Classes, id_col: str) -> tuple[np.ndarray, n
                 cls = classes.of(key, ending)
                 rows = features(key, cls, offsets)
                 for a in range(0, len(cls), BATCH):
-                    own[0].step([r[a : a + BATCH] for r in rows], cls[a : a + BATCH])
+                    part = [r[a : a + BATCH] for r in rows]
+                    own[0].step(part, cls[a : a + BATCH], outer_groups(part))
                 shared = np.flatnonzero(cls >= OWN)
                 for a in range(0, len(shared), BATCH):
                     some = shared[a : a + BATCH]
-                    own[1].step(inner_features([r[some] for r in rows], cls[some]), classes.outcomes(key[some]))
+                    part = inner_features([r[some] for r in rows], cls[some])
+                    own[1].step(part, classes.outcomes(key[some]), inner_groups(part))
             for n, (m, a) in enumerate(pieces):
                 seen = own[m].seen[a : a + steps[m]]
                 if seen.any():

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from ridgeline.llm import entries, language, quality, toxicity
+from ridgeline.llm import entries, language, maxent, quality, toxicity
 from ridgeline.llm._bpe import WordTokens
 
 from .test_brute_force import slow_kernel
@@ -143,3 +143,17 @@ def test_tokens_of_bytes_that_are_no_text():
     raw = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 9], np.int32).tobytes()), pa.py_buffer(b"ab \xc3( cde")])
     ids, off = words.ids(raw, 2)
     assert ids.tolist() == [*words.tokenizer.encode("ab �( cde", add_special_tokens=False).ids, 2] and off.tolist() == [0, len(ids)]
+
+
+def test_gradients_added_up_by_group_are_those_of_each_feature():
+    n = 500
+    cls = RNG.integers(0, maxent.CLASSES, n).astype(np.uint8)
+    rows = maxent.features(RNG.integers(0, 2**62, n).astype(np.uint64), cls, np.array([0, 200, n]))
+    shared = np.flatnonzero(cls >= maxent.OWN)
+    inner = maxent.inner_features([r[shared] for r in rows], cls[shared])
+    for shape, x, y, groups, bias in (((maxent.FEATURES, maxent.CLASSES), rows, cls, maxent.outer_groups(rows), True), ((maxent.INNER_FEATURES * maxent.SHARED, maxent.OUTCOMES), inner, cls[shared] % maxent.OUTCOMES, maxent.inner_groups(inner), False)):
+        fast, plain = (maxent.Updates(np.zeros(shape, np.float32), bias) for _ in range(2))
+        for _ in range(3):
+            fast.step(x, y, groups)
+            plain.step(x, y, [(r, (k,)) for k, r in enumerate(x)])
+        assert np.allclose(fast.weights, plain.weights, atol=1e-5) and (fast.seen == plain.seen).all() and fast.seen.sum() == 3 * len(y) * (len(x) + bias)
