@@ -168,7 +168,20 @@ def kept(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder, as Parquet, and go on from the table; the lineage before it is cut."""
     folder = shared_folder(df.sparkSession, "kept")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table.kept_in = folder
+    return table
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Remove tables of kept(), once all that was made of them has been written."""
+    for df in tables:
+        remove(df.sparkSession, df.kept_in)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:

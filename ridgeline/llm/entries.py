@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from ._text import table
 from .labelled import fold
 
@@ -93,6 +94,24 @@ def op10_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels"), ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_string_kernel": op1_toxicity_string_kernel,
     "op2_exact_top_k": op2_exact_top_k,
@@ -104,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_additive": op10_quality_additive,
     "op8_simhash_edits": op8_simhash_edits,
     "op9_pack_best_fit": op9_pack_best_fit,
+    "op11_heap_lloyd": op11_heap_lloyd,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_exact_duplicates": op13_exact_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -179,4 +201,7 @@ WITH RECURSIVE d AS (
 SELECT n.doc_id, n.n AS n_shingles, min(c.r) AS component_id, n.doc_id = min(c.r) AS kept
 FROM n JOIN c ON c.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """,
+    "op11_heap_lloyd": sql.CODES,
+    "op12_merkle_manifest": sql.MERKLE,
+    "op13_exact_duplicates": sql.EXACT,
 }
