@@ -53,6 +53,13 @@ def density(samples: DataFrame, rides: DataFrame, lat: float, lng: float, radius
     return mine.groupBy(geo.cell(F.col("lat")).alias("cell_lat"), geo.cell(F.col("lng")).alias("cell_lng")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ridden_cells(samples: DataFrame, rides: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """athlete_id, cell_lat, cell_lng, n: density() by athlete, wherever they have ridden."""
+    seen = samples.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & (F.col("time_offset") % 30 == 0)).select("activity_id", "lat", "lng")
+    recent = rides.where(F.col("date") >= F.date_sub(as_of, days).cast("timestamp")).select(F.col("id").alias("activity_id"), "athlete_id")
+    return seen.join(recent, "activity_id").groupBy("athlete_id", geo.cell(F.col("lat")).alias("cell_lat"), geo.cell(F.col("lng")).alias("cell_lng")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def with_density(places: DataFrame, cells: DataFrame) -> DataFrame:
     """`density` of each place: 0 to 1, ten visits to its cell are 1."""
     keyed = places.withColumn("cell_lat", geo.cell(F.col("lat"))).withColumn("cell_lng", geo.cell(F.col("lng")))

@@ -92,13 +92,10 @@ def costing(surface: Column, safety: Column) -> Column:
     return F.struct(F.coalesce(of(0), F.lit("bicycle")).alias("costing"), of(1).alias("bicycle_type"), roads.alias("use_roads"), of(2).cast("double").alias("use_hills"))
 
 
-def planned(requests: DataFrame, form: DataFrame, speeds: DataFrame, days: DataFrame, as_of: Column, by: str = "athlete_id") -> DataFrame:
-    """Requests for a ride, worked out: distance, time, day, weather, name, and what the routing service is asked for.
+def sized(requests: DataFrame, form: DataFrame, speeds: DataFrame, by: str = "athlete_id") -> DataFrame:
+    """Requests with target_km (as asked), km (cut for the tired), minutes, loop and straight (km to the destination).
 
-    requests: id, athlete_id, duration, distance, surface, day, clock (texts), start and destination (struct<lat, lng>),
-    destination_name, loop, safety, waypoints (array<struct<lat, lng>>, null without). form: athlete_id, tsb. speeds: as of
-    usual_speeds. days: scored days. A distance counts before a duration, a duration before a destination alone; without
-    any of them `error` tells so. Towards a destination that is nearer than the wanted distance the route makes detours.
+    A distance counts before a duration, a duration before a destination alone; without any of them target_km is null.
     """
     minutes, km = F.col("_minutes"), F.col("_km")
     surface, destination = F.col("surface"), F.col("destination")
@@ -111,20 +108,44 @@ def planned(requests: DataFrame, form: DataFrame, speeds: DataFrame, days: DataF
     there = half_even(straight * F.lit(ROAD_FACTOR), 1)
     target = F.coalesce(km, training.planned_distance(minutes, surface, own), there * turns)
     lasts = F.coalesce(F.floor(km / F.col("_speed") * 60), F.when(km.isNull(), minutes), F.floor(there / F.col("_speed") * 60) * turns)
-    rows = rows.withColumn("target_km", target).withColumn("minutes", lasts.cast("int")).withColumn("km", training.fitted_distance(F.col("target_km"), F.col("tsb")))
-    baseline = straight * F.lit(ROAD_FACTOR)
-    detours = geo.corridor_points((F.col("start.lat"), F.col("start.lng")), (F.col("destination.lat"), F.col("destination.lng")), F.col("km"), baseline)
-    points = F.coalesce("waypoints", F.when(destination.isNotNull(), detours))
+    return rows.withColumn("target_km", target).withColumn("minutes", lasts.cast("int")).withColumn("km", training.fitted_distance(F.col("target_km"), F.col("tsb"))).withColumn("straight", straight)
+
+
+def waypoint_arrays(chosen: DataFrame) -> DataFrame:
+    """request, points (array<struct<lat, lng>>), names: the waypoints of for_requests() by request, in their order."""
+    lists = chosen.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("place", "lat", "lng", "name"))).alias("p"))
+    return lists.select("request", F.transform("p", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("points"), F.transform("p", lambda p: p["name"]).alias("names"))
+
+
+def planned(requests: DataFrame, form: DataFrame, speeds: DataFrame, days: DataFrame, as_of: Column, by: str = "athlete_id", chosen: DataFrame | None = None) -> DataFrame:
+    """Requests for a ride, worked out: distance, time, day, weather, name, and what the routing service is asked for.
+
+    requests: id, athlete_id, duration, distance, surface, day, clock (texts), start and destination (struct<lat, lng>),
+    destination_name, loop, safety, waypoints (array<struct<lat, lng>>, null without). form: athlete_id, tsb. speeds: as of
+    usual_speeds. days: scored days. Without a distance, duration or destination `error` tells so. chosen: the waypoints of
+    waypoints.for_requests(), for requests that name none. Towards a destination that is nearer than the wanted distance the
+    route makes detours instead. The waypoints' names end the ride's name.
+    """
+    surface, destination = F.col("surface"), F.col("destination")
+    rows = sized(requests, form, speeds, by)
+    detours = geo.corridor_points((F.col("start.lat"), F.col("start.lng")), (F.col("destination.lat"), F.col("destination.lng")), F.col("km"), F.col("straight") * F.lit(ROAD_FACTOR))
+    points = F.when(destination.isNotNull(), detours)
+    via = F.lit("")
+    if chosen is not None:
+        rows = rows.join(waypoint_arrays(chosen), F.col("id") == F.col("request"), "left")
+        points = F.coalesce(F.when(F.size(points) > 0, points), F.col("points"))
+        via = F.when(F.col("waypoints").isNull() & (F.size("names") > 0), F.concat(F.lit(" via "), F.array_join("names", ", "))).otherwise("")
+    points = F.coalesce("waypoints", points)
     title = F.initcap(surface)
     named = F.coalesce(
         F.when(destination.isNotNull(), F.concat(title, F.lit(" to "), F.col("destination_name"))),
-        F.when(km.isNotNull(), F.concat(F.rint(km).cast("long").cast("string"), F.lit("km "), title)),
-        F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit("m "), title),
+        F.when(F.col("_km").isNotNull(), F.concat(F.rint("_km").cast("long").cast("string"), F.lit("km "), title)),
+        F.concat(F.floor(F.col("_minutes") / 60).cast("string"), F.lit("h"), F.lpad((F.col("_minutes") % 60).cast("string"), 2, "0"), F.lit("m "), title),
     )
     error = F.when(F.col("target_km").isNull(), "give a duration, a distance or a destination")
     rows = rows.select(
         "id", by, "target_km", "km", "minutes", training.form_word(F.col("tsb")).alias("form"), parse.ride_day(F.col("day"), as_of).alias("ride_date"), parse.clock_time(F.col("clock")).alias("clock"),
-        named.alias("name"), F.when(error.isNull(), locations(F.col("start"), points, destination, F.col("loop"), F.col("km"))).alias("locations"), costing(surface, F.col("safety")).alias("costing"), error.alias("error"),
+        F.concat(named, via).alias("name"), F.when(error.isNull(), locations(F.col("start"), points, destination, F.col("loop"), F.col("km"))).alias("locations"), costing(surface, F.col("safety")).alias("costing"), error.alias("error"),
     )
     return with_forecast(rows, days)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..sources.scratch import settled
+from . import nearby
 from .history import with_density
 
 #: How much riders like a kind of place; 0.5 for others.
@@ -74,16 +76,28 @@ def popular_segments(segments: DataFrame, lat: float, lng: float, radius_km: flo
     return near.orderBy(F.col("athlete_count").desc(), "id").limit(n)
 
 
+def as_candidates(origin: int, found: DataFrame, *more: str) -> DataFrame:
+    """origin (1 places, 2 segments, 3 highlights), id, lat, lng, name, reason, kind (a weight from 0 to 1), and more of the source's columns."""
+    spaced = F.replace(F.col("category"), F.lit("_"), F.lit(" ")) if origin == 3 else None
+    reason, kind = {
+        1: lambda: (F.concat(F.lit("POI: "), F.substring_index("type", "=", -1)), looked_up(F.col("type"), PLACE_WEIGHTS)),
+        2: lambda: (F.concat(F.lit("Popular segment ("), F.col("athlete_count").cast("string"), F.lit(" cyclists)")), F.least(F.lit(1.0), F.col("athlete_count") / F.lit(500.0))),
+        3: lambda: (F.concat(F.lit("Highlight: "), spaced), looked_up(F.col("category"), HIGHLIGHT_WEIGHTS)),
+    }[origin]()
+    return found.select(F.lit(origin).alias("origin"), F.col("id").cast("long").alias("id"), "lat", "lng", "name", reason.alias("reason"), kind.alias("kind"), *more)
+
+
 def candidates(places: DataFrame, segments: DataFrame, highlights: DataFrame) -> DataFrame:
-    """origin, id, lat, lng, name, reason, kind (a weight from 0 to 1), mix (by origin) of all three sources."""
-    spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
-    parts = [
-        (1, places, F.concat(F.lit("POI: "), F.substring_index("type", "=", -1)), looked_up(F.col("type"), PLACE_WEIGHTS)),
-        (2, segments, F.concat(F.lit("Popular segment ("), F.col("athlete_count").cast("string"), F.lit(" cyclists)")), F.least(F.lit(1.0), F.col("athlete_count") / F.lit(500.0))),
-        (3, highlights, F.concat(F.lit("Highlight: "), spaced(F.col("category"))), looked_up(F.col("category"), HIGHLIGHT_WEIGHTS)),
-    ]
-    rows = [df.select(F.lit(k).alias("origin"), F.col("id").cast("long").alias("id"), "lat", "lng", "name", reason.alias("reason"), kind.alias("kind")) for k, df, reason, kind in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    """as_candidates() of all three sources."""
+    return as_candidates(1, places).unionByName(as_candidates(2, segments)).unionByName(as_candidates(3, highlights))
+
+
+def mixed_score(near: Column, past: Column, ridden: Column) -> Column:
+    """A candidate's score from how near it is to the ideal distance, its kind and the past; without any ridden cell the past is left out."""
+    mixes = {1: PLACE_MIX, 2: SEGMENT_MIX, 3: HIGHLIGHT_MIX}
+    weight = lambda part, k: F.element_at(F.create_map(*(F.lit(x) for o, m in mixes.items() for x in (o, m[part][k]))), F.col("origin"))
+    full = near * weight(0, 0) + F.col("kind") * weight(0, 1) + past * weight(0, 2)
+    return F.when(ridden, full).otherwise(near * weight(1, 0) + F.col("kind") * weight(1, 1))
 
 
 def scored(found: DataFrame, lat: float, lng: float, radius_km: float, cells: DataFrame | None, explore: bool = True) -> DataFrame:
@@ -94,16 +108,12 @@ def scored(found: DataFrame, lat: float, lng: float, radius_km: float, cells: Da
     far = geo.distance_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
     rows = found.withColumn("distance_km", far).where(F.col("distance_km") <= radius_km * 1.5)
     near = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("distance_km") - F.lit(radius_km * 0.7)) / F.lit(radius_km))
-    mixes = {1: PLACE_MIX, 2: SEGMENT_MIX, 3: HIGHLIGHT_MIX}
-    weight = lambda part, k: F.element_at(F.create_map(*(F.lit(x) for o, m in mixes.items() for x in (o, m[part][k]))), F.col("origin"))
-    plain = near * weight(1, 0) + F.col("kind") * weight(1, 1)
     if cells is None:
-        rows = rows.withColumn("score", plain)
+        rows = rows.withColumn("score", mixed_score(near, F.lit(0.0), F.lit(False)))
     else:
         some = cells.limit(1).agg(F.count(F.lit(1)).alias("ridden"))  # one row
         past = F.lit(1.0) - F.col("density") if explore else F.col("density")
-        full = near * weight(0, 0) + F.col("kind") * weight(0, 1) + past * weight(0, 2)
-        rows = with_density(rows, cells).crossJoin(F.broadcast(some)).withColumn("score", F.when(F.col("ridden") > 0, full).otherwise(plain)).drop("density", "ridden")
+        rows = with_density(rows, cells).crossJoin(F.broadcast(some)).withColumn("score", mixed_score(near, past, F.col("ridden") > 0)).drop("density", "ridden")
     return rows.withColumn("angle", F.atan2(F.col("lat") - F.lit(lat), F.col("lng") - F.lit(lng))).drop("kind")
 
 
@@ -126,18 +136,57 @@ def outside(found: DataFrame, zones: DataFrame) -> DataFrame:
 def spread_out(found: DataFrame, n: int = 3, by: str | None = None) -> DataFrame:
     """At most n candidates, the best first, each at least 45 degrees from those chosen; in order of angle (`place`).
 
-    `by`: a column that divides the candidates. Each of the n rounds is one aggregate over the candidates that are left.
+    `by`: a column that divides the candidates. They are written once, dealt by it; each of the n rounds reads that table once
+    and is one aggregate over it. What was chosen so far is one row for each value of `by`.
     """
     columns = ("origin", "id", "lat", "lng", "name", "reason", "score", "angle")
+    keys = [by] if by else []
     order = F.struct((-F.col("score")).alias("s"), *(c for c in ("origin", "id", "angle", "lat", "lng", "name", "reason", "score")))
-    keys, rest, rounds = [by] if by else [], found, []
-    for _ in range(n):
-        best = rest.groupBy(*keys).agg(F.min(order).alias("_best")).where(F.col("_best").isNotNull())
-        rounds.append(best.select(*keys, *(F.col(f"_best.{c}").alias(c) for c in columns)))
-        left = rest.join(best, by) if by else rest.crossJoin(F.broadcast(best))  # one row
-        rest = left.where(geo.angle_apart(F.col("angle"), F.col("_best.angle"), 2 * math.pi) >= F.lit(APART)).select(*rest.columns)
-    chosen = rounds[0]
-    for more in rounds[1:]:
-        chosen = chosen.unionByName(more)
+    rows = settled(found.select(*keys, *columns), *keys)
+    chosen = rows.groupBy(*keys).agg(F.min(order).alias("_best")).where(F.col("_best").isNotNull()).select(*keys, F.array("_best").alias("_chosen"))
+    for _ in range(n - 1):
+        both = rows.join(chosen, by) if by else rows.crossJoin(F.broadcast(chosen))  # one row
+        free = F.forall("_chosen", lambda c: geo.angle_apart(F.col("angle"), c["angle"], 2 * math.pi) >= F.lit(APART))
+        best = both.groupBy(*keys).agg(F.min(F.when(free, order)).alias("_best"), F.first("_chosen").alias("_chosen"))
+        chosen = best.select(*keys, F.when(F.col("_best").isNull(), F.col("_chosen")).otherwise(F.concat("_chosen", F.array("_best"))).alias("_chosen"))
+    listed = chosen.select(*keys, F.explode("_chosen").alias("_c")).select(*keys, *(F.col(f"_c.{c}").alias(c) for c in columns))
     around = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("angle", "origin", "id")
-    return chosen.withColumn("place", F.row_number().over(around)).select(*keys, "place", *columns)
+    return listed.withColumn("place", F.row_number().over(around)).select(*keys, "place", *columns)
+
+
+CELL, REACH, SEGMENTS = 0.25, 1.5, 10
+
+
+def for_requests(requests: DataFrame, places: DataFrame, segments: DataFrame, highlights: DataFrame, ridden: DataFrame, zones: DataFrame, n: int = 3) -> DataFrame:
+    """request, place, origin, id, lat, lng, name, reason, score, angle: at most n waypoints of each request, spread around its start.
+
+    requests: request, athlete_id, lat, lng (the start), km, explore (ridden places count less, else more). places: map elements
+    with tags, within a radius for km; segments: the ten that most athletes have ridden in the box of the radius; highlights:
+    distinct by name; nothing lies farther than 1.5 radii or in one of the zones. ridden: athlete_id, cell_lat, cell_lng, n.
+    Requests meet what lies around by grid cells that their own radius covers; all requests are chosen for at once.
+    """
+    asks = requests.select("request", "athlete_id", F.col("lat").alias("at_lat"), F.col("lng").alias("at_lng"), (F.col("km") / F.lit(2 * math.pi) * F.lit(1.2)).alias("radius"), "explore").where(F.col("radius") > 0)
+    high, wide = nearby.widened(F.col("at_lat"), F.col("radius") * REACH)
+    around, here = nearby.cells((F.col("at_lat"), high), (F.col("at_lng"), wide), CELL), nearby.cell(F.col("lat"), F.col("lng"), CELL)
+    spots = outside(as_candidates(1, tagged_places(places)).unionByName(as_candidates(3, distinct_highlights(highlights))), zones)
+    far = geo.distance_km(F.col("at_lat"), F.col("at_lng"), F.col("lat"), F.col("lng"))
+    near = nearby.met(asks, around, spots, here, ["request"], ["origin", "id"]).withColumn("distance_km", far).where(F.col("distance_km") <= F.when(F.col("origin") == 1, F.col("radius")).otherwise(F.col("radius") * REACH))
+    # segments: the most ridden of the box come before zones and distances are looked at
+    dlat, dlng = F.col("radius") / F.lit(geo.KM_PER_DEGREE), F.col("radius") / (F.lit(geo.KM_PER_DEGREE) * F.cos(F.radians("at_lat")))
+    boxed = nearby.met(asks, around, as_candidates(2, segments, "athlete_count"), here, ["request"], ["id"]).where((F.abs(F.col("lat") - F.col("at_lat")) <= dlat) & (F.abs(F.col("lng") - F.col("at_lng")) <= dlng))
+    popular = boxed.withColumn("_n", F.row_number().over(Window.partitionBy("request").orderBy(F.col("athlete_count").desc(), "id"))).where(F.col("_n") <= SEGMENTS)
+    popular = outside(popular.drop("_n", "athlete_count").withColumn("distance_km", far), zones).where(F.col("distance_km") <= F.col("radius") * REACH)
+    # has the athlete ridden anywhere in the box?
+    box_lat, box_lng = F.col("radius") * F.lit(REACH) / F.lit(geo.KM_PER_DEGREE), F.col("radius") * F.lit(REACH) / F.lit(80.0)
+    box = asks.withColumn("_cell", F.explode(nearby.cells((F.col("at_lat"), box_lat), (F.col("at_lng"), box_lng), CELL)))
+    c_lat, c_lng = F.col("cell_lat") * F.lit(geo.CELL), F.col("cell_lng") * F.lit(geo.CELL)
+    own = ridden.select(F.col("athlete_id").alias("_athlete"), c_lat.alias("c_lat"), c_lng.alias("c_lng"), nearby.cell(c_lat, c_lng, CELL).alias("_at"))
+    inside = (F.abs(F.col("c_lat") - F.col("at_lat")) < box_lat) & (F.abs(F.col("c_lng") - F.col("at_lng")) < box_lng)
+    known = box.join(own, (F.col("athlete_id") == F.col("_athlete")) & (F.col("_cell") == F.col("_at")) & inside, "left_semi").select(F.col("request").alias("_request")).distinct()
+    found = near.unionByName(popular).join(known, F.col("request") == F.col("_request"), "left")
+    keyed = found.withColumn("cell_lat", geo.cell(F.col("lat"))).withColumn("cell_lng", geo.cell(F.col("lng")))
+    seen = keyed.join(ridden, ["athlete_id", "cell_lat", "cell_lng"], "left").withColumn("density", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.lit(10.0)))
+    ideal = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("distance_km") - F.col("radius") * F.lit(0.7)) / F.col("radius"))
+    past = F.when(F.col("explore"), F.lit(1.0) - F.col("density")).otherwise(F.col("density"))
+    scores = seen.withColumn("score", mixed_score(ideal, past, F.col("_request").isNotNull())).withColumn("angle", F.atan2(F.col("lat") - F.col("at_lat"), F.col("lng") - F.col("at_lng")))
+    return spread_out(scores, n, "request")

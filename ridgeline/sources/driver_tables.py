@@ -181,8 +181,6 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("time", (s % 45).cast("double").alias("temp"), (s * 7 % 50).cast("double").alias("wind"), (s * 3 % 13).cast("double").alias("uv"), F.when(s % 3 == 0, s % 9 / F.lit(3.0)).otherwise(F.lit(0.0)).alias("precip"))
 
 
-
-
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for rides, one per order, with the order's day as `as_of`; every eighth gives neither time nor length nor place."""
     o = table(spark, sf_dir, "orders")
@@ -207,3 +205,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 0, F.array(place(F.lit(38.8), F.lit(-9.2)))).alias("waypoints"),
         F.to_date("o_orderdate").alias("as_of"),
     )
+
+
+def travelling_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests() of athletes who start from places of their own, up to 1.5 degrees from home; two of three want to explore."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    start = F.struct((F.lit(38.7) + (c * 37 % 300 - 150) / F.lit(100.0)).alias("lat"), (F.lit(-9.14) + (c * 53 % 300 - 150) / F.lit(100.0)).alias("lng"))
+    starts = table(spark, sf_dir, "orders").select(k.alias("id"), start.alias("start"), (k % 3 != 0).alias("explore"))
+    return requests(spark, sf_dir).drop("start").join(starts, "id")
