@@ -34,7 +34,7 @@ from ._text import kept, let_go, remove, shared_folder
 
 FAN = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-NODES_BY_TASK = 1 << 16
+NODES_BY_TASK = 1 << 14
 
 
 def sha(digests: bytes) -> bytes:
@@ -75,7 +75,7 @@ class Supersteps:
         return self.spark.sparkContext.pickleFile(folder)
 
     def tasks(self, nodes: float) -> int:
-        return max(1, min(self.spark.sparkContext.defaultParallelism * 64, math.ceil(nodes / NODES_BY_TASK)))
+        return max(1, math.ceil(nodes / NODES_BY_TASK))
 
     def up(self, leaves: RDD, most: int, count: int) -> list[RDD]:
         """Levels above leaves ((tree, place), (n, digest, data)): ((tree, place), (n, digest, children's digests, their data)).
@@ -96,7 +96,7 @@ class Supersteps:
 
 
 def parents(nodes: RDD, tasks: int) -> RDD:
-    """One superstep upwards."""
+    """One superstep upwards. Small levels have few tasks, whatever the number of partitions they are shuffled by."""
 
     def message(node):
         (tree, place), (n, digest, data) = node
@@ -112,7 +112,7 @@ def parents(nodes: RDD, tasks: int) -> RDD:
         data = None if children[0][3] is None else [c[3] for c in children]
         return (tree, place), (math.ceil(n / FAN), sha(digests), digests, data)
 
-    return nodes.filter(lambda v: v[1][0] > 1).map(message).reduceByKey(lambda a, b: a + b, tasks).map(complete)
+    return nodes.filter(lambda v: v[1][0] > 1).map(message).reduceByKey(lambda a, b: a + b, tasks).coalesce(tasks).map(complete)
 
 
 def others(digests: bytes, slot: int) -> bytes:
@@ -127,7 +127,7 @@ def paths_down(level: RDD, inbox: RDD, tasks: int) -> RDD:
         for slot in range(len(digests) // 32):
             yield (tree, FAN * place + slot), (of, [(slot, others(digests, slot)), *path])
 
-    return level.join(inbox, tasks).flatMap(tell)
+    return level.join(inbox, tasks).coalesce(tasks).flatMap(tell)
 
 
 def starts_at(starts: RDD, height: int) -> RDD:
@@ -167,7 +167,7 @@ def manifest(docs: DataFrame, changed: Column, fields: Sequence[str] = FIELDS, i
 
     steps = Supersteps(spark)
     raw = bytes.fromhex
-    leaves = rows.select("tree", "place", "n", "leaf", "id", "now").rdd.map(lambda r: ((r[0], r[1]), (r[2], raw(r[3]), (r[4], raw(r[5]) if r[5] else None))))
+    leaves = rows.select("tree", "place", "n", "leaf", "id", "now").coalesce(steps.tasks(size["count"])).rdd.map(lambda r: ((r[0], r[1]), (r[2], raw(r[3]), (r[4], raw(r[5]) if r[5] else None))))
     levels = steps.up(leaves, size["most"], size["count"])
     single = leaves.filter(lambda v: v[1][0] == 1)
     roots = spark.sparkContext.union([single.map(lambda v: (v[0][0], 0, v[1][1].hex()))] + [x.filter(lambda v: v[1][0] == 1).map(lambda v, h=h: (v[0][0], h, v[1][1].hex())) for h, x in enumerate(levels, 1)])
@@ -175,14 +175,14 @@ def manifest(docs: DataFrame, changed: Column, fields: Sequence[str] = FIELDS, i
     # one more tree, of the subroots in order of language
     top = numbered(spark.createDataFrame(roots, "name string, height int, digest string").withColumn("tree", F.lit("")), "tree", ["name"])
     trees = top.count()
-    subroots = top.rdd.map(lambda r: ((r["tree"], r["place"]), (r["n"], raw(r["digest"]), (r["name"], r["height"]))))
+    subroots = top.coalesce(steps.tasks(trees)).rdd.map(lambda r: ((r["tree"], r["place"]), (r["n"], raw(r["digest"]), (r["name"], r["height"]))))
     top_levels = steps.up(subroots, trees, trees)
     root = (top_levels[-1].filter(lambda v: v[1][0] == 1) if top_levels else subroots).first()[1][1]
 
     inbox = starts_at(spark.sparkContext.parallelize([("", (len(top_levels), (None, [])))], 1), len(top_levels))
     for k, level in zip(range(len(top_levels), 0, -1), reversed(top_levels), strict=True):
         inbox = paths_down(level, inbox, steps.tasks(trees / FAN**k))
-    told = subroots.join(inbox, steps.tasks(trees))
+    told = subroots.join(inbox, steps.tasks(trees)).coalesce(steps.tasks(trees))
     # (tree, (height, (subroot, path)))
     starts = steps.settled(told.map(lambda v: (v[1][0][2][0], (v[1][0][2][1], (v[1][0][1], v[1][1][1])))))
 
@@ -202,8 +202,9 @@ def manifest(docs: DataFrame, changed: Column, fields: Sequence[str] = FIELDS, i
         inbox = here if inbox is None else inbox.union(here)
         if k > 1:
             inbox = steps.settled(paths_down(levels[k - 1], inbox, steps.tasks(size["count"] / FAN**k)))
-    alone = single.join(starts_at(starts, 0), steps.tasks(trees)).map(lambda v: shown(v[1][1][0], v[1][0][1], v[1][0][2], v[1][1][1]))
-    grouped = levels[0].join(inbox, steps.tasks(size["count"] / FAN)).map(lambda v: ((v[0], v[1][0]), v[1][1])).flatMap(leaves_of) if levels else None
+    alone = single.join(starts_at(starts, 0), steps.tasks(trees)).coalesce(steps.tasks(trees)).map(lambda v: shown(v[1][1][0], v[1][0][1], v[1][0][2], v[1][1][1]))
+    groups = steps.tasks(size["count"] / FAN)
+    grouped = levels[0].join(inbox, groups).coalesce(groups).map(lambda v: ((v[0], v[1][0]), v[1][1])).flatMap(leaves_of) if levels else None
     found = kept(spark.createDataFrame(alone if grouped is None else alone.union(grouped), shape))
     steps.done()
     let_go(rows, top)
