@@ -19,6 +19,16 @@ def distance_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return F.sqrt(dlat * dlat + dlng * dlng)
 
 
+def piece_distance_km(at: Sequence[Column], a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """From a place to the nearest point of a straight piece (a and b may be the same), on the plane around the place."""
+    shrink = F.cos(F.radians(at[0])) * F.lit(KM_PER_DEGREE)
+    y, x = (at[0] - a[0]) * F.lit(KM_PER_DEGREE), (at[1] - a[1]) * shrink
+    dy, dx = (b[0] - a[0]) * F.lit(KM_PER_DEGREE), (b[1] - a[1]) * shrink
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x * dx + y * dy) / square))).otherwise(F.lit(0.0))
+    return F.sqrt((x - t * dx) * (x - t * dx) + (y - t * dy) * (y - t * dy))
+
+
 def cell(degrees: Column, size: float = CELL) -> Column:
     """The whole number of the grid line next to a coordinate (ties to even)."""
     return F.rint(degrees / F.lit(size)).cast("long")

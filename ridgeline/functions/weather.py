@@ -71,3 +71,16 @@ def day_line(words: Column, temp_min: Column, temp_max: Column, wind: Column, uv
         F.when(uv_max >= 6, F.concat(F.lit("UV "), whole(uv_max))),
         F.when(precip > 0, F.concat(F.lit("rain "), F.format_string("%.1f", precip), F.lit("mm"))),
     )
+
+
+def day_warnings(wind: Column, precip: Column, uv: Column, temp_max: Column, air: Column) -> Column:
+    """array<string>: what to mind on a day; air is the air quality index. Limits and texts."""
+    whole = lambda c: F.format_string("%d", F.rint(c).cast("long"))
+    texts = [
+        F.when(wind > 30, "High wind — consider a sheltered route"),
+        F.when(precip > 5, "Rain expected — check conditions"),
+        F.when(uv >= 8, F.concat(F.lit("Very high UV ("), whole(uv), F.lit(") — wear sunscreen, ride early or late"))).when(uv >= 6, F.concat(F.lit("High UV ("), whole(uv), F.lit(") — sunscreen recommended"))),
+        F.when(temp_max > 35, "Extreme heat — ride before 9am or after 6pm").when(temp_max > 30, "Hot day — consider an early morning ride"),
+        F.when(air > 100, F.concat(F.lit("Poor air quality (AQI "), whole(air), F.lit(") — consider indoor ride"))).when(air > 50, F.concat(F.lit("Moderate air quality (AQI "), whole(air), F.lit(")"))),
+    ]
+    return F.array_compact(F.array(*texts))

@@ -33,21 +33,24 @@ def cell(lat: Column, lng: Column, size: float) -> Column:
     return F.struct(F.floor(lat / F.lit(size)).alias("i"), F.floor(lng / F.lit(size)).alias("j"))
 
 
-def met(listed: DataFrame, around: Column, placed: DataFrame, at: Column, listed_key: Sequence[str], placed_key: Sequence[str], crowded: int = CROWDED) -> DataFrame:
+def met(listed: DataFrame, around: Column, placed: DataFrame, at: Column, listed_key: Sequence[str], placed_key: Sequence[str], crowded: int = CROWDED, same: Sequence[str] = ()) -> DataFrame:
     """Rows of both sides that share a cell: `around` lists a row's cells, `at` is the one cell of a placed row.
 
+    `same`: columns of both sides that must agree too.
+
     A cell with more than `crowded` rows of a side is cut: its rows are dealt over pieces by the hash of their key, and go to
     every piece of the other side. Column names of the sides must differ; rows without a place meet nothing.
     """
     spread = lambda df: df.withColumn("_i", F.col("_cell.i")).withColumn("_j", F.col("_cell.j")).drop("_cell")
     a = spread(listed.withColumn("_cell", F.explode(around))).where(F.col("_i").isNotNull() & F.col("_j").isNotNull())
     b = spread(placed.withColumn("_cell", at)).where(F.col("_i").isNotNull() & F.col("_j").isNotNull())
-    busy = lambda df, name: df.groupBy("_i", "_j").agg(F.ceil(F.count(F.lit(1)) / F.lit(crowded)).cast("int").alias(name))
+    keys = ["_i", "_j", *same]
+    busy = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(crowded)).cast("int").alias(name))
     # a cell that only one side holds has no pairs; one row for each crowded cell
-    cut = busy(a, "_m").join(busy(b, "_n"), ["_i", "_j"]).where((F.col("_m") > 1) | (F.col("_n") > 1))
+    cut = busy(a, "_m").join(busy(b, "_n"), keys).where((F.col("_m") > 1) | (F.col("_n") > 1))
     some = lambda c: F.coalesce(F.col(c), F.lit(1))
     own = lambda key, c: F.pmod(F.xxhash64(*key), some(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), some(c) - 1))
-    a = a.join(cut, ["_i", "_j"], "left").withColumn("_a", own(listed_key, "_m")).withColumn("_b", every("_n")).drop("_m", "_n")
-    b = b.join(cut, ["_i", "_j"], "left").withColumn("_b", own(placed_key, "_n")).withColumn("_a", every("_m")).drop("_m", "_n")
-    return a.join(b, ["_i", "_j", "_a", "_b"]).drop("_i", "_j", "_a", "_b")
+    a = a.join(cut, keys, "left").withColumn("_a", own(listed_key, "_m")).withColumn("_b", every("_n")).drop("_m", "_n")
+    b = b.join(cut, keys, "left").withColumn("_b", own(placed_key, "_n")).withColumn("_a", every("_m")).drop("_m", "_n")
+    return a.join(b, [*keys, "_a", "_b"]).drop("_i", "_j", "_a", "_b")

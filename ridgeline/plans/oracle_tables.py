@@ -122,6 +122,18 @@ WAYS = """ways AS (
   FROM lineitem
 )"""
 
+ELEMENTS = """elements AS (
+  SELECT *, CASE WHEN kind = 'node' THEN a_lat ELSE a_lat + (e * 7 % 41 - 20) / 10000.0::DOUBLE END AS b_lat, CASE WHEN kind = 'node' THEN a_lng ELSE a_lng + (e * 11 % 41 - 20) / 10000.0::DOUBLE END AS b_lng FROM (
+    SELECT e, e AS element_id, CASE WHEN e % 5 = 0 THEN 'node' WHEN e % 7 = 0 THEN 'relation' ELSE 'way' END AS kind, 38.7::DOUBLE + (e * 31 % 4800 - 2400) / 20000.0::DOUBLE AS a_lat, -9.14::DOUBLE + (e * 47 % 4801 - 2400) / 20000.0::DOUBLE AS a_lng,
+      (['residential', 'cycleway', 'path', 'track', 'living_street', 'primary', NULL])[l_partkey % 7 + 1] AS highway,
+      (['asphalt', 'gravel', 'dirt', NULL, 'concrete', 'rock', 'sett', 'compacted'])[(l_partkey + e) % 8 + 1] AS surface,
+      (['water', NULL, 'wood', 'coastline', NULL, 'cliff', 'scree', 'beach', 'peak'])[l_partkey % 9 + 1] AS "natural",
+      ([NULL, 'forest', NULL])[e % 3 + 1] AS landuse, (['park', NULL, NULL, NULL])[l_partkey % 4 + 1] AS leisure, (['bicycle', 'hiking'])[l_partkey % 2 + 1] AS route,
+      ([NULL, 'lane', NULL, NULL])[(l_partkey + l_suppkey) % 4 + 1] AS cycleway, (['50', '30', NULL, '20', 'walk', 'RO:urban'])[l_partkey % 6 + 1] AS maxspeed,
+      ([NULL, NULL, 'hump'])[l_suppkey % 3 + 1] AS traffic_calming, (['River Way', NULL, 'Coast Path'])[e % 3 + 1] AS name, ([NULL, 'EV1', 'N2', NULL])[l_partkey % 4 + 1] AS ref
+    FROM (SELECT *, (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey * 101 + l_suppkey AS e FROM lineitem))
+)"""
+
 FORECAST = """forecast AS (
   SELECT date, CAST(s % 45 AS DOUBLE) AS temp_max, CAST(s % 45 - 8 AS DOUBLE) AS temp_min, CASE WHEN s % 3 = 0 THEN (s % 30) / 2.0::DOUBLE ELSE 0.0::DOUBLE END AS precip,
     CAST(s * 7 % 55 AS DOUBLE) AS wind, CAST(s * 3 % 13 AS DOUBLE) AS uv_max, ([0, 1, 2, 3, 45, 51, 61, 63, 71, 80, 95, 100])[(s + n) % 12 + 1] AS code

@@ -116,7 +116,7 @@ def d11_scenic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d12_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.climbs(tables.route_points(spark, sf_dir))
+    return routes.climbs(routes.thinned(tables.route_points(spark, sf_dir)))
 
 
 def d13_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +124,28 @@ def d13_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d14_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.wind(tables.route_points(spark, sf_dir), (F.col("route_id") * 37 % 360).cast("double"), (F.col("route_id") % 40).cast("double"))
+    return routes.wind(routes.thinned(tables.route_points(spark, sf_dir)), (F.col("route_id") * 37 % 360).cast("double"), (F.col("route_id") % 40).cast("double"))
 
 
 def d15_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.trails(tables.ways(spark, sf_dir))
 
 
+def g2_along_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map elements near every route, by search."""
+    return routes.along(tables.route_points(spark, sf_dir), tables.map_elements(spark, sf_dir)).select("search", "route_id", "element_id", "kind")
+
+
+def l_route_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.report(tables.route_points(spark, sf_dir), tables.map_elements(spark, sf_dir), "gravel", (F.col("route_id") * 37 % 360).cast("double"), (F.col("route_id") % 40).cast("double"))
+
+
+def l_day_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = planning.scored_days(tables.forecast(spark, sf_dir))
+    air = (F.dayofyear("date") * 7 % 130).cast("double")
+    return d.select("date", F.array_join(weather.day_warnings(F.col("wind"), F.col("precip"), F.col("uv_max"), F.col("temp_max"), air), "; ").alias("warnings"))
+
+
 def h6_day_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.scored_days(tables.forecast(spark, sf_dir)).select("date", "score", "weather")
 
@@ -216,7 +231,7 @@ def a22_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), geo.decoded_line(F.translate("p_name", " ", "_")).alias("line")).select("id", F.posexplode("line").alias("k", "p")).select("id", "k", "p.lat", "p.lng")
 
 
-QUERIES = {f.__name__: f for f in (a13_places, a14_segments, a15_highlights, a15_tiles, a19_offsets, a22_polyline, c8_density_at, c9_avoid_zones, d9_density, d10_surface, d11_scenic, d12_elevation, d13_safety, d14_wind, d15_trails, f6_ride_days, f7_waypoints, g1_candidates, h5_distance, h6_day_score, h7_best_hours, h10_plans, h12_durations, h13_distances, h14_times, h15_dates, h16_locations, h17_loop, h18_corridor, h19_scores, h19_scores_familiar, h21_day_lines, h22_slugs, h23_epochs, k5_heatmap)}
+QUERIES = {f.__name__: f for f in (a13_places, a14_segments, a15_highlights, a15_tiles, a19_offsets, a22_polyline, c8_density_at, c9_avoid_zones, d9_density, d10_surface, d11_scenic, d12_elevation, d13_safety, d14_wind, d15_trails, f6_ride_days, f7_waypoints, g1_candidates, g2_along_route, l_route_report, l_day_warnings, h5_distance, h6_day_score, h7_best_hours, h10_plans, h12_durations, h13_distances, h14_times, h15_dates, h16_locations, h17_loop, h18_corridor, h19_scores, h19_scores_familiar, h21_day_lines, h22_slugs, h23_epochs, k5_heatmap)}
 
 
 PI = f"{math.pi!r}::DOUBLE"
@@ -269,10 +284,65 @@ def scores(explore: bool) -> str:
 FREE = f"NOT EXISTS (SELECT 1 FROM zones z WHERE {away('c.lat', 'c.lng', 'z.lat', 'z.lng')} * 1000.0::DOUBLE < z.radius)"
 APART = f"abs(((c.angle - {{o}}.angle + {PI}) - floor((c.angle - {{o}}.angle + {PI}) / {2 * math.pi!r}::DOUBLE) * {2 * math.pi!r}::DOUBLE) - {PI}) >= {math.radians(45)!r}::DOUBLE"
 
-WAYS_SURFACE = f"""{sql.WAYS}, counts AS (SELECT route_id, coalesce(surface, 'unknown') AS surface, count(*) AS n FROM ways GROUP BY 1, 2), sums AS (
+SURFACE_SQL = f""", counts AS (SELECT route_id, coalesce(surface, 'unknown') AS surface, count(*) AS n FROM ways GROUP BY 1, 2), sums AS (
   SELECT route_id, sum(n) AS total, coalesce(sum(n) FILTER (WHERE surface IN ('gravel', 'compacted', 'fine_gravel', 'dirt', 'earth', 'ground', 'grass', 'sand', 'unpaved')), 0) AS fit FROM counts GROUP BY 1
+), shares AS (
+  SELECT route_id, surface, n, CAST({sql.r('fit / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS match_pct, CAST({sql.r('n / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS pct FROM sums JOIN counts USING (route_id)
+), told AS (SELECT route_id, any_value(match_pct) AS match_pct, list(surface || ' ' || pct || '%' ORDER BY n DESC, surface) AS parts, first(surface || ' (' || pct || '%)' ORDER BY n DESC, surface) AS top FROM shares GROUP BY 1)
+SELECT route_id, match_pct, array_to_string(parts, ', ') AS surfaces, CASE WHEN match_pct < 50 THEN 'Route is mostly ' || top || ' — requested gravel' WHEN match_pct < 75 THEN 'Mixed surface: ' || array_to_string(parts[1:3], ', ') END AS warning FROM told"""
+
+SCENIC_SQL = f""", tags AS (SELECT route_id, unnest(["natural", landuse, leisure]) AS feature FROM ways), counts AS (SELECT route_id, feature, count(*) AS n FROM tags WHERE feature IS NOT NULL GROUP BY 1, 2)
+SELECT route_id, CAST(least(100, sum(CASE feature WHEN 'coastline' THEN 15 WHEN 'water' THEN 12 WHEN 'beach' THEN 10 WHEN 'cliff' THEN 10 WHEN 'peak' THEN 8 WHEN 'forest' THEN 8 WHEN 'wood' THEN 8 WHEN 'park' THEN 6 ELSE 3 END * least(n, 3))) AS INTEGER) AS scenic_score,
+  array_to_string((list(feature || ' (' || n || ')' ORDER BY n DESC, feature))[1:5], ', ') AS features FROM counts GROUP BY 1"""
+
+SAFETY_SQL = f""", s AS (
+  SELECT route_id, count(*) FILTER (WHERE cycleway IS NOT NULL OR highway IN ('cycleway', 'path', 'track')) / count(*)::DOUBLE * 100.0::DOUBLE AS b, count(*) FILTER (WHERE try_cast(maxspeed AS INTEGER) <= 30) / count(*)::DOUBLE * 100.0::DOUBLE AS s,
+    count(*) FILTER (WHERE traffic_calming IS NOT NULL OR highway = 'living_street') / count(*)::DOUBLE * 100.0::DOUBLE AS c FROM ways GROUP BY 1)
+SELECT route_id, CAST(least(100, floor(b * 0.5::DOUBLE + s * 0.3::DOUBLE + c * 0.2::DOUBLE)) AS INTEGER) AS safety_score, CAST({sql.r('b')} AS INTEGER) AS bike_pct, CAST({sql.r('s')} AS INTEGER) AS slow_pct, CAST({sql.r('c')} AS INTEGER) AS calm_pct FROM s"""
+
+TRAILS_SQL = f""" SELECT route_id, string_agg(label, ', ' ORDER BY label) AS trails FROM (SELECT DISTINCT route_id, coalesce(name || ' (' || ref || ')', name, ref) AS label FROM ways) WHERE label IS NOT NULL GROUP BY 1"""
+
+CLIMBS_SQL = f""", p AS (
+  SELECT route_id, len(lats) AS size, i, lats[i + 1] AS lat, lngs[i + 1] AS lng, elevations[i + 1] AS e FROM (SELECT *, unnest(range(0, len(lats))) AS i FROM routes) WHERE i % greatest(1, len(lats) // 50) = 0
+), q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY i) <= 50), k AS (
+  SELECT *, lag(e) OVER w AS e0, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM q WHERE e IS NOT NULL AND size >= 10 WINDOW w AS (PARTITION BY route_id ORDER BY i)
+), g AS (SELECT route_id, e - e0 AS rise, {away('lat0', 'lng0', 'lat', 'lng')} * 1000.0::DOUBLE AS run FROM k WHERE e0 IS NOT NULL), s AS (
+  SELECT route_id, sum(greatest(rise, 0)) AS up, sum(greatest(-rise, 0)) AS down, max(CASE WHEN run > 10 THEN abs(rise) / run * 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS steep FROM g GROUP BY 1)
+SELECT route_id, CAST({sql.r('coalesce(up, 0)')} AS BIGINT) AS total_climb, CAST({sql.r('coalesce(down, 0)')} AS BIGINT) AS total_descent, coalesce({sql.r('steep', 1)}, 0.0::DOUBLE) AS max_gradient FROM routes LEFT JOIN s USING (route_id)"""
+
+WIND_SQL = f""", w AS (SELECT *, CAST(route_id * 37 % 360 AS DOUBLE) AS d, CAST(route_id % 40 AS DOUBLE) AS v, greatest(1, len(lats) // 50) AS step FROM routes WHERE len(lats) >= 10), e AS (
+  SELECT route_id, d, v, lats[i + 1] AS lat1, lngs[i + 1] AS lng1, lats[i + step + 1] AS lat2, lngs[i + step + 1] AS lng2 FROM (SELECT *, unnest(range(0, len(lats))) AS i FROM w WHERE v >= 15) WHERE i % step = 0 AND i + step < len(lats)
+), t AS (SELECT route_id, d, v, degrees(atan2(lng2 - lng1, lat2 - lat1)) - d + 180.0::DOUBLE AS x FROM e WHERE abs(lng2 - lng1) >= 1e-7 OR abs(lat2 - lat1) >= 1e-7), a AS (
+  SELECT route_id, d, v, abs(x - floor(x / 360.0::DOUBLE) * 360.0::DOUBLE - 180.0::DOUBLE) AS a FROM t
+), s AS (SELECT route_id, any_value(d) AS d, any_value(v) AS v, count(*) FILTER (WHERE a < 45) / count(*)::DOUBLE * 100.0::DOUBLE AS h, count(*) FILTER (WHERE a BETWEEN 45 AND 135) / count(*)::DOUBLE * 100.0::DOUBLE AS c FROM a GROUP BY 1), u AS (
+  SELECT *, concat_ws(', ', CASE WHEN h > 40 AND v > 25 THEN 'strong headwind' WHEN h > 30 AND v > 20 THEN 'headwind' END, CASE WHEN c > 50 AND v > 25 THEN 'exposed crosswind' END) AS said FROM s)
+SELECT route_id, {sql.r('h', 1)} AS head_pct, {sql.r('c', 1)} AS cross_pct,
+  CASE WHEN said <> '' THEN 'from ' || (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[CAST(floor(((d + 22.5::DOUBLE) - floor((d + 22.5::DOUBLE) / 360) * 360) / 45) AS INTEGER) + 1] || ': ' || said END AS warning FROM u"""
+
+#: Points of a route that a search looks around, and the elements near them; both in cells of 0.02 degrees.
+ALONG = """stops AS (
+  SELECT search, route_id, lats[i + 1] AS y, lngs[i + 1] AS x, reach FROM (SELECT *, unnest(range(0, len(lats))) AS i FROM routes WHERE len(lats) >= 10), (VALUES ('surface', 30, 0.03::DOUBLE), ('scenery', 15, 0.2::DOUBLE), ('trails', 10, 0.1::DOUBLE), ('safety', 20, 0.03::DOUBLE)) q(search, most, reach)
+  WHERE i % greatest(1, len(lats) // most) = 0 AND i < greatest(1, len(lats) // most) * most
+), listed AS (
+  SELECT *, unnest(range(CAST(floor((least(a_lat, b_lat) - 0.003::DOUBLE) * 50) AS BIGINT), CAST(floor((greatest(a_lat, b_lat) + 0.003::DOUBLE) * 50) AS BIGINT) + 1)) AS ci FROM elements
+), cells AS (
+  SELECT *, unnest(range(CAST(floor((least(a_lng, b_lng) - 0.004::DOUBLE) * 50) AS BIGINT), CAST(floor((greatest(a_lng, b_lng) + 0.004::DOUBLE) * 50) AS BIGINT) + 1)) AS cj FROM listed
+), met AS (
+  SELECT s.*, c.*, (y - a_lat) * 111.0::DOUBLE AS v, (x - a_lng) * 111.0::DOUBLE * cos(radians(y)) AS u, (b_lat - a_lat) * 111.0::DOUBLE AS dv, (b_lng - a_lng) * 111.0::DOUBLE * cos(radians(y)) AS du
+  FROM stops s JOIN cells c ON ci = CAST(floor(y * 50) AS BIGINT) AND cj = CAST(floor(x * 50) AS BIGINT)
+  WHERE CASE search WHEN 'trails' THEN kind = 'relation' AND route = 'bicycle' WHEN 'scenery' THEN coalesce(kind = 'node' AND "natural" IN ('water', 'beach', 'cliff', 'peak'), false) OR (kind = 'way' AND (coalesce("natural" IN ('water', 'coastline', 'wood'), false) OR coalesce(landuse = 'forest', false) OR coalesce(leisure = 'park', false)))
+    ELSE kind = 'way' AND highway IS NOT NULL END
+), along AS (
+  SELECT DISTINCT search, route_id, element_id, kind, highway, surface, "natural", landuse, leisure, cycleway, maxspeed, traffic_calming, name, ref
+  FROM (SELECT *, CASE WHEN du * du + dv * dv > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (u * du + v * dv) / (du * du + dv * dv))) ELSE 0.0::DOUBLE END AS t FROM met)
+  WHERE sqrt((u - t * du) * (u - t * du) + (v - t * dv) * (v - t * dv)) <= reach
 )"""
 
+
+def found(search: str) -> str:
+    return f"ways AS (SELECT * FROM along WHERE search = '{search}')"
+
+
 ORACLE_SQL = {
     "a13_places": f"WITH {sql.PLACES} SELECT id, lat, lng, name, type FROM pois WHERE {FROM_HOME} <= 15",
     "a14_segments": f"WITH {sql.SEGMENTS} {near_segments(10.0)}",
@@ -288,33 +358,12 @@ SELECT id, '06:' || m AS clock, CASE zone WHEN '+02:00' THEN 2.0::DOUBLE WHEN '-
     "c9_avoid_zones": f"WITH {CANDIDATES}, {sql.ZONES} SELECT origin, id FROM candidates c WHERE {FREE}",
     "d9_density": f"WITH {CELLS} SELECT * FROM cells",
     "k5_heatmap": f"WITH {sql.samples()} SELECT {CELL}, count(*) AS n FROM samples WHERE time_offset % 30 = 0 AND {box(20.0)} GROUP BY 1, 2",
-    "d10_surface": f"""WITH {WAYS_SURFACE}, shares AS (
-  SELECT route_id, surface, n, CAST({sql.r('fit / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS match_pct, CAST({sql.r('n / total::DOUBLE * 100.0::DOUBLE')} AS INTEGER) AS pct FROM sums JOIN counts USING (route_id)
-), told AS (SELECT route_id, any_value(match_pct) AS match_pct, list(surface || ' ' || pct || '%' ORDER BY n DESC, surface) AS parts, first(surface || ' (' || pct || '%)' ORDER BY n DESC, surface) AS top FROM shares GROUP BY 1)
-SELECT route_id, match_pct, array_to_string(parts, ', ') AS surfaces, CASE WHEN match_pct < 50 THEN 'Route is mostly ' || top || ' — requested gravel' WHEN match_pct < 75 THEN 'Mixed surface: ' || array_to_string(parts[1:3], ', ') END AS warning FROM told""",
-    "d11_scenic": f"""WITH {sql.WAYS}, tags AS (SELECT route_id, unnest(["natural", landuse, leisure]) AS feature FROM ways), counts AS (SELECT route_id, feature, count(*) AS n FROM tags WHERE feature IS NOT NULL GROUP BY 1, 2)
-SELECT route_id, CAST(least(100, sum(CASE feature WHEN 'coastline' THEN 15 WHEN 'water' THEN 12 WHEN 'beach' THEN 10 WHEN 'cliff' THEN 10 WHEN 'peak' THEN 8 WHEN 'forest' THEN 8 WHEN 'wood' THEN 8 WHEN 'park' THEN 6 ELSE 3 END * least(n, 3))) AS INTEGER) AS scenic_score,
-  array_to_string((list(feature || ' (' || n || ')' ORDER BY n DESC, feature))[1:5], ', ') AS features FROM counts GROUP BY 1""",
-    "d12_elevation": f"""WITH {sql.ROUTES}, p AS (
-  SELECT route_id, len(lats) AS size, i, lats[i + 1] AS lat, lngs[i + 1] AS lng, elevations[i + 1] AS e FROM (SELECT *, unnest(range(0, len(lats))) AS i FROM routes) WHERE i % greatest(1, len(lats) // 50) = 0
-), q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY i) <= 50), k AS (
-  SELECT *, lag(e) OVER w AS e0, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM q WHERE e IS NOT NULL AND size >= 10 WINDOW w AS (PARTITION BY route_id ORDER BY i)
-), g AS (SELECT route_id, e - e0 AS rise, {away('lat0', 'lng0', 'lat', 'lng')} * 1000.0::DOUBLE AS run FROM k WHERE e0 IS NOT NULL), s AS (
-  SELECT route_id, sum(greatest(rise, 0)) AS up, sum(greatest(-rise, 0)) AS down, max(CASE WHEN run > 10 THEN abs(rise) / run * 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS steep FROM g GROUP BY 1)
-SELECT route_id, CAST({sql.r('coalesce(up, 0)')} AS BIGINT) AS total_climb, CAST({sql.r('coalesce(down, 0)')} AS BIGINT) AS total_descent, coalesce({sql.r('steep', 1)}, 0.0::DOUBLE) AS max_gradient FROM routes LEFT JOIN s USING (route_id)""",
-    "d13_safety": f"""WITH {sql.WAYS}, s AS (
-  SELECT route_id, count(*) FILTER (WHERE cycleway IS NOT NULL OR highway IN ('cycleway', 'path', 'track')) / count(*)::DOUBLE * 100.0::DOUBLE AS b, count(*) FILTER (WHERE try_cast(maxspeed AS INTEGER) <= 30) / count(*)::DOUBLE * 100.0::DOUBLE AS s,
-    count(*) FILTER (WHERE traffic_calming IS NOT NULL OR highway = 'living_street') / count(*)::DOUBLE * 100.0::DOUBLE AS c FROM ways GROUP BY 1)
-SELECT route_id, CAST(least(100, floor(b * 0.5::DOUBLE + s * 0.3::DOUBLE + c * 0.2::DOUBLE)) AS INTEGER) AS safety_score, CAST({sql.r('b')} AS INTEGER) AS bike_pct, CAST({sql.r('s')} AS INTEGER) AS slow_pct, CAST({sql.r('c')} AS INTEGER) AS calm_pct FROM s""",
-    "d14_wind": f"""WITH {sql.ROUTES}, w AS (SELECT *, CAST(route_id * 37 % 360 AS DOUBLE) AS d, CAST(route_id % 40 AS DOUBLE) AS v, greatest(1, len(lats) // 50) AS step FROM routes WHERE len(lats) >= 10), e AS (
-  SELECT route_id, d, v, lats[i + 1] AS lat1, lngs[i + 1] AS lng1, lats[i + step + 1] AS lat2, lngs[i + step + 1] AS lng2 FROM (SELECT *, unnest(range(0, len(lats))) AS i FROM w WHERE v >= 15) WHERE i % step = 0 AND i + step < len(lats)
-), t AS (SELECT route_id, d, v, degrees(atan2(lng2 - lng1, lat2 - lat1)) - d + 180.0::DOUBLE AS x FROM e WHERE abs(lng2 - lng1) >= 1e-7 OR abs(lat2 - lat1) >= 1e-7), a AS (
-  SELECT route_id, d, v, abs(x - floor(x / 360.0::DOUBLE) * 360.0::DOUBLE - 180.0::DOUBLE) AS a FROM t
-), s AS (SELECT route_id, any_value(d) AS d, any_value(v) AS v, count(*) FILTER (WHERE a < 45) / count(*)::DOUBLE * 100.0::DOUBLE AS h, count(*) FILTER (WHERE a BETWEEN 45 AND 135) / count(*)::DOUBLE * 100.0::DOUBLE AS c FROM a GROUP BY 1), u AS (
-  SELECT *, concat_ws(', ', CASE WHEN h > 40 AND v > 25 THEN 'strong headwind' WHEN h > 30 AND v > 20 THEN 'headwind' END, CASE WHEN c > 50 AND v > 25 THEN 'exposed crosswind' END) AS said FROM s)
-SELECT route_id, {sql.r('h', 1)} AS head_pct, {sql.r('c', 1)} AS cross_pct,
-  CASE WHEN said <> '' THEN 'from ' || (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[CAST(floor(((d + 22.5::DOUBLE) - floor((d + 22.5::DOUBLE) / 360) * 360) / 45) AS INTEGER) + 1] || ': ' || said END AS warning FROM u""",
-    "d15_trails": f"""WITH {sql.WAYS} SELECT route_id, string_agg(label, ', ' ORDER BY label) AS trails FROM (SELECT DISTINCT route_id, coalesce(name || ' (' || ref || ')', name, ref) AS label FROM ways) WHERE label IS NOT NULL GROUP BY 1""",
+    "d10_surface": f"WITH {sql.WAYS}{SURFACE_SQL}",
+    "d11_scenic": f"WITH {sql.WAYS}{SCENIC_SQL}",
+    "d12_elevation": f"WITH {sql.ROUTES}{CLIMBS_SQL}",
+    "d13_safety": f"WITH {sql.WAYS}{SAFETY_SQL}",
+    "d14_wind": f"WITH {sql.ROUTES}{WIND_SQL}",
+    "d15_trails": f"WITH {sql.WAYS}{TRAILS_SQL}",
     "f6_ride_days": f"""WITH {sql.FORECAST}, week AS (SELECT * FROM day_scores WHERE date >= DATE '{WEEK}' AND date < DATE '{WEEK}' + INTERVAL 7 DAYS), good AS (SELECT date, score, weather, 'good day' AS advice FROM week WHERE score >= 60 ORDER BY date LIMIT 3)
 SELECT * FROM good UNION ALL (SELECT date, score, weather, 'least bad' FROM week WHERE NOT EXISTS (SELECT 1 FROM good) ORDER BY score DESC, date LIMIT 1)""",
     "f7_waypoints": f"""WITH {scores(True)}, {sql.ZONES}, free AS (SELECT * FROM scored c WHERE {FREE}),
@@ -322,6 +371,17 @@ one AS (SELECT * FROM free ORDER BY score DESC, origin, id LIMIT 1),
 two AS (SELECT c.* FROM free c, one WHERE {APART.format(o='one')} ORDER BY c.score DESC, c.origin, c.id LIMIT 1),
 three AS (SELECT c.* FROM free c, one, two WHERE {APART.format(o='one')} AND {APART.format(o='two')} ORDER BY c.score DESC, c.origin, c.id LIMIT 1)
 SELECT CAST(row_number() OVER (ORDER BY angle, origin, id) AS INTEGER) AS place, origin, id, name, reason, {sql.r('score', 6)} AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)""",
+    "g2_along_route": f"WITH {sql.ROUTES}, {sql.ELEMENTS}, {ALONG} SELECT search, route_id, element_id, kind FROM along",
+    "l_route_report": f"""WITH {sql.ROUTES}, {sql.ELEMENTS}, {ALONG}
+SELECT r.route_id, len(lats) AS points, coalesce(match_pct, 100) AS match_pct, coalesce(surfaces, '') AS surfaces, s.warning AS surface_warning, coalesce(scenic_score, 0) AS scenic_score, coalesce(features, '') AS features, coalesce(trails, '') AS trails,
+  coalesce(safety_score, 0) AS safety_score, coalesce(bike_pct, 0) AS bike_pct, coalesce(slow_pct, 0) AS slow_pct, coalesce(calm_pct, 0) AS calm_pct, total_climb, total_descent, max_gradient, head_pct, cross_pct, w.warning AS wind_warning
+FROM routes r LEFT JOIN (WITH {found('surface')}{SURFACE_SQL}) s USING (route_id) LEFT JOIN (WITH {found('scenery')}{SCENIC_SQL}) c USING (route_id) LEFT JOIN (WITH {found('trails')}{TRAILS_SQL}) t USING (route_id)
+  LEFT JOIN (WITH {found('safety')}{SAFETY_SQL}) f USING (route_id) LEFT JOIN (WITH none AS (SELECT 1){CLIMBS_SQL}) e USING (route_id) LEFT JOIN (WITH none AS (SELECT 1){WIND_SQL}) w USING (route_id)""",
+    "l_day_warnings": f"""WITH {sql.FORECAST}, d AS (SELECT *, dayofyear(date) * 7 % 130 AS air FROM forecast)
+SELECT date, concat_ws('; ', CASE WHEN wind > 30 THEN 'High wind — consider a sheltered route' END, CASE WHEN precip > 5 THEN 'Rain expected — check conditions' END,
+  CASE WHEN uv_max >= 8 THEN 'Very high UV (' || CAST(uv_max AS BIGINT) || ') — wear sunscreen, ride early or late' WHEN uv_max >= 6 THEN 'High UV (' || CAST(uv_max AS BIGINT) || ') — sunscreen recommended' END,
+  CASE WHEN temp_max > 35 THEN 'Extreme heat — ride before 9am or after 6pm' WHEN temp_max > 30 THEN 'Hot day — consider an early morning ride' END,
+  CASE WHEN air > 100 THEN 'Poor air quality (AQI ' || air || ') — consider indoor ride' WHEN air > 50 THEN 'Moderate air quality (AQI ' || air || ')' END) AS warnings FROM d""",
     "g1_candidates": f"WITH {CANDIDATES} SELECT origin, id, name, reason, kind FROM candidates",
     "h5_distance": f"WITH {sql.PLACES} SELECT id, {sql.r(FROM_HOME, 6)} AS km FROM places",
     "h6_day_score": f"WITH {sql.FORECAST} SELECT date, score, weather FROM day_scores",

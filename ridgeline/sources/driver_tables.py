@@ -120,13 +120,35 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """route_id, coords, elevations: a route of the samples with a place, in order, of every user."""
-    return (
-        samples(spark, sf_dir)
-        .where(F.col("lat").isNotNull())
-        .groupBy(F.col("activity_id").alias("route_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("time_offset", "lat", "lng", F.when(F.col("hr").isNotNull(), F.col("altitude_m")).alias("elevation")))).alias("p"))
-        .select("route_id", F.transform("p", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("coords"), F.transform("p", lambda p: p["elevation"]).alias("elevations"))
+    """route_id, seq, lat, lng, elevation: the located samples of every user, a route each."""
+    s = samples(spark, sf_dir).where(F.col("lat").isNotNull())
+    return s.select(F.col("activity_id").alias("route_id"), F.col("time_offset").alias("seq"), "lat", "lng", F.when(F.col("hr").isNotNull(), F.col("altitude_m")).alias("elevation"))
+
+
+def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """element_id, kind, line and tags of a map: one element per line item; nodes have one place, others two, 300 m apart at most."""
+    li = table(spark, sf_dir, "lineitem")
+    p = F.col("l_partkey")
+    e = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000003 + p * 101 + F.col("l_suppkey")
+    pick = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+    lat, lng = F.lit(38.7) + (e * 31 % 4800 - 2400) / F.lit(20000.0), F.lit(-9.14) + (e * 47 % 4801 - 2400) / F.lit(20000.0)
+    place = lambda y, x: F.struct(y.alias("lat"), x.alias("lng"))
+    kind = F.when(e % 5 == 0, "node").when(e % 7 == 0, "relation").otherwise("way")
+    return li.select(
+        e.alias("element_id"),
+        kind.alias("kind"),
+        F.when(e % 5 == 0, F.array(place(lat, lng))).otherwise(F.array(place(lat, lng), place(lat + (e * 7 % 41 - 20) / F.lit(10000.0), lng + (e * 11 % 41 - 20) / F.lit(10000.0)))).alias("line"),
+        pick(p, "residential", "cycleway", "path", "track", "living_street", "primary", None).alias("highway"),
+        pick(p + e, "asphalt", "gravel", "dirt", None, "concrete", "rock", "sett", "compacted").alias("surface"),
+        pick(p, "water", None, "wood", "coastline", None, "cliff", "scree", "beach", "peak").alias("natural"),
+        pick(e, None, "forest", None).alias("landuse"),
+        pick(p, "park", None, None, None).alias("leisure"),
+        pick(p, "bicycle", "hiking").alias("route"),
+        pick(p + F.col("l_suppkey"), None, "lane", None, None).alias("cycleway"),
+        pick(p, "50", "30", None, "20", "walk", "RO:urban").alias("maxspeed"),
+        pick(F.col("l_suppkey"), None, None, "hump").alias("traffic_calming"),
+        pick(e, "River Way", None, "Coast Path").alias("name"),
+        pick(p, None, "EV1", "N2", None).alias("ref"),
     )
 
 
