@@ -151,49 +151,6 @@ def merged_pairs(pairs: DataFrame, rides: DataFrame) -> DataFrame:
     return both.select("existing_id", "new_id", F.when(wins, F.col("n_id")).otherwise(F.col("e_id")).alias("id"), wins.alias("new_wins"), *map(value, measures))
 
 
-def deduplicated(rides: DataFrame, tolerance_s: int = 300) -> DataFrame:
-    """Rides after arrival in order of (date, id): each one meets the ride that its athlete kept last.
-
-    The state of an athlete's fold is the list of kept rides; a ride is compared with the earliest kept one that still
-    starts within the tolerance. Runs as one fold per athlete and stretch of rides whose starts follow each other within
-    the tolerance: other rides cannot match, so stretches are small however many rides an athlete has.
-    """
-    by_start = Window.partitionBy("athlete_id").orderBy("date", "id")
-    gap = micros("date") - micros(F.lag("date").over(by_start))
-    stretch = F.sum(F.when(gap < tolerance_s * 1_000_000, 0).otherwise(1)).over(by_start)
-    kept_columns = [c for c in rides.columns if c not in ("athlete_id",)]
-    ordered = ["date", "id", *(c for c in kept_columns if c not in ("date", "id"))]
-    lists = rides.withColumn("_stretch", stretch).groupBy("athlete_id", "_stretch").agg(F.sort_array(F.collect_list(F.struct(*ordered))).alias("rides"))
-    zero = F.lit(0)
-
-    def rated(r: Column, names: tuple[str, ...]) -> Column:
-        full = ("avg_power", "avg_hr", "distance_m", "avg_cadence", "calories", "elevation_m")
-        return richness(*(F.coalesce(r[n], zero) if n in names else zero for n in full))
-
-    def similar(e: Column, n: Column) -> Column:
-        lasts = F.abs(e["duration_s"] - n["duration_s"]) < F.greatest(F.lit(300.0), e["duration_s"] * F.lit(0.15))
-        goes = (e["distance_m"] > 0) & (n["distance_m"] > 0) & (F.abs(e["distance_m"] - n["distance_m"]) < e["distance_m"] * F.lit(0.10))
-        starts = F.abs(micros(e["date"]) - micros(n["date"])) < tolerance_s * 1_000_000
-        return F.coalesce(starts & (lasts | goes) & (n["duration_s"] != 0), F.lit(False))
-
-    def merged(e: Column, n: Column) -> Column:
-        wins = rated(n, ("avg_power", "avg_hr", "distance_m", "avg_cadence", "calories", "elevation_m")) >= rated(e, ("avg_power", "avg_hr", "distance_m"))
-        fill = ("avg_hr", "avg_power", "distance_m")
-        keep = ("suffer_score", "calories", "avg_hr", "avg_power", "max_hr", "max_power", "avg_cadence")
-        new = F.struct(*((F.coalesce(present(n[c]), present(e[c]), n[c]) if c in fill else n[c]).alias(c) for c in ordered))
-        old = F.struct(*((F.coalesce(e[c], n[c]) if c in keep else e[c]).alias(c) for c in ordered))
-        return F.when(wins, new).otherwise(old)
-
-    def arrive(kept: Column, n: Column) -> Column:
-        places = F.filter(F.transform(kept, lambda e, i: F.when(similar(e, n), i)), lambda i: i.isNotNull())
-        found = F.get(places, F.lit(0))
-        return F.when(found.isNull(), F.concat(kept, F.array(n))).otherwise(F.transform(kept, lambda e, i: F.when(i == found, merged(e, n)).otherwise(e)))
-
-    empty = F.slice("rides", 1, 0)
-    folded = lists.select("athlete_id", F.explode(F.when(F.size("rides") == 1, F.col("rides")).otherwise(F.aggregate("rides", empty, arrive))).alias("r"))
-    return folded.select("athlete_id", "r.*").select(rides.columns)
-
-
 def upserted(table: DataFrame, new: DataFrame, key: str = "id", keep: tuple[str, ...] = ("date",)) -> DataFrame:
     """`table` with `new` merged in by key: known keys take the new row but keep the columns of `keep`, others are added.
 

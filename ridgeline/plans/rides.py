@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import training
 from ..functions.rounding import half_even
-from ..operators import fitness, history, ingest, metrics
+from ..operators import arrival, fitness, history, ingest, metrics
 from ..sources import driver_tables as tables
 from . import oracle_tables as sql
 
@@ -92,7 +92,7 @@ def h9_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i5_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.deduplicated(rides(spark, sf_dir), 7200).groupBy("athlete_id").agg(F.count(F.lit(1)).alias("n"), F.sum("avg_hr").alias("hr"), F.sum("avg_power").alias("power"))
+    return arrival.deduplicated(rides(spark, sf_dir), 7200).groupBy("athlete_id").agg(F.count(F.lit(1)).alias("n"), F.sum("avg_hr").alias("hr"), F.sum("avg_power").alias("power"))
 
 
 # ---- metrics

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fitness, ingest, metrics
+from ..operators import arrival, fitness, ingest, metrics
 from ..sources import schema
 from ..sources.landed import listed_rides_stream
 
@@ -89,7 +89,7 @@ def arrived(raw: DataFrame, bookmark: Column | None, lateness_s: int = 0) -> Dat
 
 def merged(table: DataFrame, new: DataFrame) -> DataFrame:
     """The table after a batch: known ids are updated (their date stays), near-duplicates merged by athlete."""
-    return ingest.deduplicated(ingest.upserted(table, new.select(table.columns)))
+    return arrival.deduplicated(ingest.upserted(table, new.select(table.columns)))
 
 
 def merged_batch(table: DataFrame, new: DataFrame) -> DataFrame:

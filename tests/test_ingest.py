@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
-from ridgeline.operators import ingest
+from ridgeline.operators import arrival, ingest
 from ridgeline.plans.rides import rides
 from ridgeline.sources import schema
 
@@ -90,7 +90,7 @@ def fold(rows, tolerance):
 
 def test_arrival_by_brute_force(spark):
     r = rides(spark, DATA).withColumn("athlete_id", F.col("athlete_id") % 4)
-    got = sorted((x.asDict() for x in ingest.deduplicated(r, 40_000).collect()), key=lambda x: x["id"])
+    got = sorted((x.asDict() for x in arrival.deduplicated(r, 40_000).collect()), key=lambda x: x["id"])
     by = {}
     for x in r.collect():
         by.setdefault(x["athlete_id"], []).append(x.asDict())

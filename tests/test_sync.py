@@ -3,7 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
-from ridgeline.operators import ingest, metrics
+from ridgeline.operators import arrival, ingest, metrics
 from ridgeline.plans.rides import rides
 from ridgeline.sources import driver_tables as tables
 from ridgeline.sources import schema
@@ -31,7 +31,7 @@ def test_two_batches_are_one(spark, tmp_path):
     land(spark, tmp_path / "in", "b.json", "start_date >= '1998'")
     land(spark, tmp_path / "in", "late.json", "start_date < '1998' and id % 50 = 0")
     table = run(spark, tmp_path)
-    want = ingest.deduplicated(rides(spark, DATA))
+    want = arrival.deduplicated(rides(spark, DATA))
     assert 0 < early < table.read().count() == want.count()
     assert table.read().select("id", "avg_hr", "avg_power").exceptAll(want.select("id", "avg_hr", "avg_power")).count() == 0
     now = table.current()
