@@ -6,7 +6,10 @@ The search cuts fingerprints into blocks; two fingerprints within the radius agr
 enough whole blocks, so permuted tables keyed by combinations of blocks find them all.
 
 Null texts count as empty; texts without words have the fingerprint of 32 zeros.
-Rows with equal ids are put in order by text; null ids come first.
+Rows with equal ids are put in order by text; null ids come first, in order of a hash of
+their texts. Repeated rows give as many rows. Bytes that are no UTF-8 are read as
+replacement characters. An empty table gives no rows; columns other than the id and the text are
+not looked at.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from ._text import hash_spans, kept, mix, slices, word_spans
 
 BITS = 128
-ROWS_BY_RANGE, MOST_RANGES = 4096, 1 << 16
+ROWS_BY_RANGE = 4096
 RADIUS, BLOCKS = 3, 5
+HEAVY = 1024  # fingerprints under one block key before it is cut
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -56,6 +60,16 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     return np.packbits(votes > 0, axis=1)
 
 
+def readable(texts: pa.Array) -> pa.Array:
+    """Texts without nulls, as UTF-8."""
+    texts = pc.fill_null(texts, "")
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in texts.cast(pa.binary()).to_pylist()], pa.string())
+    return texts
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """1 minus the share of differing bits."""
     return 1 - np.bitwise_count(a ^ b).sum(1) / BITS
@@ -65,30 +79,32 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Fingerprints of every text and of its edited text (its last quarter replaced by the beginning of the next document).
 
     Ranges of ids, from a pass over the ids alone, are the unit of work: each range holds its rows in order and a copy
-    of the row that follows its last. The texts are shuffled once.
+    of the row that follows its last. The texts are shuffled once. Rows with null ids have ranges of their own, by a
+    hash of their texts, from a pass over these rows. The number of ranges follows the rows.
     """
-    ids = docs.select(id_col)
-    rows = ids.count()
-    ranges = max(1, min(MOST_RANGES, math.ceil(rows / ROWS_BY_RANGE)))
-    dealt = ids.where(F.col(id_col).isNotNull()).repartitionByRange(ranges, id_col)
-    least = sorted(r[0] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(id_col).alias("least")).select("least").collect())
-    least = least or [0]
-    bounds = np.array(least, np.int64)
-    last = len(bounds) - 1
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    number = lambda rows: max(1, math.ceil(rows / ROWS_BY_RANGE))
+    ids, nulls = keyed.select("id").where(F.col("id").isNotNull()), keyed.where(F.col("id").isNull()).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"))
+    begins_at = lambda of, n: sorted(r[0] for r in of.repartitionByRange(n, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("least")).select("least").collect())
+    n_nulls = nulls.count()
+    first = np.array(begins_at(nulls, number(n_nulls)) if n_nulls else [], np.int64)
+    then = np.array(begins_at(ids, number(ids.count())), np.int64)
+    ranges = max(1, len(first) + len(then))
+    last = ranges - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            doc = b.column("id")
-            value = pc.fill_null(doc, int(bounds[0])).to_numpy()
-            home = np.maximum(np.searchsorted(bounds, value, side="right") - 1, 0)
-            # the rows that begin a range are also wanted at the end of the range before it, or of the last one
+            doc, key = b.column("id"), b.column("key").to_numpy()
             null = np.array(doc.is_null())
-            begins = np.flatnonzero((value == bounds[home]) | null)
+            home = np.where(null, np.searchsorted(first, key, side="right") - 1, len(first) + np.searchsorted(then, key, side="right") - 1)
+            # the rows that begin a range are also wanted at the end of the range before it, or of the last one
+            begins = np.flatnonzero(key == np.r_[first, then][home])
             take = pa.array(np.r_[np.arange(len(doc)), begins])
-            print_ = pa.array([p.tobytes() for p in fingerprints(b.column("text"))], pa.binary())
+            text = readable(b.column("text"))
+            print_ = pa.array([p.tobytes() for p in fingerprints(text)], pa.binary())
             place = np.r_[home, np.where(home[begins] > 0, home[begins] - 1, last)]
             tail = np.r_[np.zeros(len(doc), bool), np.ones(len(begins), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(tail), doc.take(take), pc.fill_null(b.column("text"), "").take(take), print_.take(take)], names=["place", "tail", "id", "text", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(tail), b.column("key").take(take), doc.take(take), text.take(take), print_.take(take)], names=["place", "tail", "key", "id", "text", "print"])
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -119,8 +135,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    placed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(deal, "place int, tail boolean, id long, text string, print binary")
-    in_order = placed.repartition(ranges, "place").sortWithinPartitions("place", "tail", "id", "text")
+    placed = keyed.withColumn("key", F.coalesce("id", F.xxhash64(F.coalesce("text", F.lit(""))))).mapInArrow(deal, "place int, tail boolean, key long, id long, text string, print binary")
+    in_order = placed.repartition(ranges, "place").sortWithinPartitions("place", "tail", "key", "text")
     return in_order.mapInArrow(edit, f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -138,15 +154,26 @@ def distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(half(a, k).bitwiseXOR(half(b, k))) for k in range(BITS // 32)), F.lit(0))
 
 
-def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def finer_keys(key: Column, fingerprint: Column, radius: int = RADIUS) -> Column:
+    """Keys below a crowded one: the fingerprint in radius + 1 pieces. Two within the radius agree on one of them."""
+    digits, n = BITS // 4, radius + 1
+    cuts = [k * digits // n for k in range(n + 1)]
+    return F.array(*(F.concat(key, F.lit(f"/{k}:"), F.substring(fingerprint, a + 1, b - a)) for k, (a, b) in enumerate(itertools.pairwise(cuts))))
+
+
+def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, heavy: int = HEAVY) -> DataFrame:
     """query (distinct), n: how many rows of `prints` lie within the radius. Both inputs have one column `fingerprint`.
 
-    Equal fingerprints are counted before the tables are built, so a large group of copies is one entry.
+    Equal fingerprints are counted before the tables are built, so a large group of copies is one entry. A block key with more
+    than `heavy` entries is cut by finer keys, which lose no pair.
     """
+    keys = lambda c: F.explode(block_keys(F.col(c), radius, blocks)).alias("key")
     counted = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
-    table = counted.select("fingerprint", "copies", F.explode(block_keys(F.col("fingerprint"), radius, blocks)).alias("key"))
-    asked = queries.distinct().select(F.col("fingerprint").alias("query"), F.explode(block_keys(F.col("fingerprint"), radius, blocks)).alias("key"))
-    near = asked.join(table, "key").where(distance(F.col("query"), F.col("fingerprint")) <= radius)
+    table = counted.select("fingerprint", "copies", keys("fingerprint"))
+    crowded = table.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).where(F.col("entries") > heavy).select(F.col("key").alias("crowded"))
+    finer = lambda df, c: df.join(crowded, F.col("key") == F.col("crowded"), "left").withColumn("key", F.explode(F.when(F.col("crowded").isNull(), F.array("key")).otherwise(finer_keys(F.col("key"), F.col(c), radius)))).drop("crowded")
+    asked = queries.distinct().select(F.col("fingerprint").alias("query"), keys("fingerprint"))
+    near = finer(asked, "query").join(finer(table, "fingerprint"), "key").where(distance(F.col("query"), F.col("fingerprint")) <= radius)
     return near.groupBy("query", "fingerprint").agg(F.first("copies").alias("copies")).groupBy("query").agg(F.sum("copies").alias("n"))
 
 

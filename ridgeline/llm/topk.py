@@ -84,17 +84,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def best(score: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (query row, column) of each query's k best; columns are in order of id, so earlier ones win ties."""
     own = ids[None] == query_ids[:, None]
-    rows, columns = [], []
     n = len(ids)
     take = min(n, k + int(own.sum(1).max(initial=0)))
     cut = np.partition(score, n - take, axis=1)[:, n - take]
-    for q in range(len(score)):
-        at = np.flatnonzero(score[q] >= cut[q])
-        at = at[~own[q][at]]
-        at = at[np.lexsort((at, -score[q][at]))][:k]
-        rows.append(np.full(len(at), q))
-        columns.append(at)
-    return np.concatenate(rows), np.concatenate(columns)
+    rows, columns = np.nonzero((score >= cut[:, None]) & ~own)
+    keep = first_of_each(rows, rows, score[rows, columns], columns, k)
+    return rows[keep], columns[keep]
 
 
 def first_of_each(tile: np.ndarray, place: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

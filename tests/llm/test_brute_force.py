@@ -307,6 +307,24 @@ def test_edits(spark):
         assert got[i]["near_edited"] == like(print_of(t), print_of(edited)) and got[i]["near_next"] == like(print_of(t), print_of(after))
 
 
+def test_edits_with_null_ids(spark, monkeypatch):
+    """Half of the ids are null: these come first, in ranges of their own; every row is edited by the one that follows it."""
+    monkeypatch.setattr(simhash, "ROWS_BY_RANGE", 7)
+    rows = [(None if k % 2 else k, f"text number {k % 40} of some words") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else hashes[r[1]], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()))
+    placed = simhash.with_edits(df.repartition(5))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in placed.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    used = placed.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(used) > 5 and max(r["count"] for r in used) < 60
+
+
 def test_fingerprints_by_votes():
     text = "the quick brown fox jumps over it"
     from ridgeline.llm._text import hash_spans, mix, word_spans
@@ -328,6 +346,8 @@ def test_radius_search_by_brute_force(spark):
     prints = [f"{b ^ sum(1 << rng.randrange(128) for _ in range(rng.randrange(7))):032x}" for b in base for _ in range(8)]
     df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
     got = {r["query"]: r["n"] for r in simhash.within(df, df).collect()}
+    # every key is crowded, and is cut: nothing is lost, nothing counted twice
+    assert got == {r["query"]: r["n"] for r in simhash.within(df, df, heavy=0).collect()}
     want = {p: sum((int(p, 16) ^ int(q, 16)).bit_count() <= simhash.RADIUS for q in prints) for p in prints}
     assert got == want
 

@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import re
+import time
 
 import pytest
 from ridgeline.llm import private
@@ -141,6 +142,43 @@ def test_values_that_were_missed(spark, before):
         assert new != value and re.fullmatch(shape, new) and r["text"] == before + new
 
 
+ALONE = {
+    "email": "write to bosbt@mail.example.com", "ip": "42.144.35.254", "iban": IBAN, "date": "1984-02-29", "social": "123-45-6789", "phone": "(212) 555-1234", "card": CARD,
+    "key": "AKIA" + "ABCDEFGHIJKLMNOP", "token": "sk-" + "abcdefghijklmnopqr", "secret": "abcdef" * 6,
+}
+
+
+def test_every_kind_is_found_in_a_text_that_holds_nothing_else(spark):
+    assert set(ALONE) == set(private.PATTERNS) == set(private.HINTS)
+    more = [*ALONE.items(), ("secret", "ABCDEF" * 6), ("token", "xoxb-" + "abcdefghijklmnopqr"), ("token", "ghp_" + "abcdefghijklmnopqr")]
+    rows = private.pseudonymise(spark.createDataFrame([(k, v) for k, (_, v) in enumerate(more)], "k long, text string"), KEY).orderBy("k").collect()
+    assert [[v["kind"] for v in r["private"]] for r in rows] == [[kind] for kind, _ in more]
+    assert all(r["text"] != v for r, (_, v) in zip(rows, more, strict=True))
+
+
+def test_long_values_take_seconds(spark):
+    """A network over 100,000 characters, by a plain one; its cost grows with the length."""
+    value = "0a1b2c3d4e" * 10_000
+    start = time.monotonic()
+    r = private.pseudonymise(spark.createDataFrame([(f"dump {value} end",), ("n" * 50_000 + "@corp.example",)], "text string"), KEY).collect()
+    assert time.monotonic() - start < 60
+    assert r[0]["text"] == f"dump {plain_text(value, 'secret', 6)} end" and r[1]["text"] == plain_text("n" * 50_000, "email") + "@corp.example"
+
+
+def plain_text(text, tweak, letters=26):
+    a, b = [ord(c) for c in text[: len(text) // 2]], [ord(c) for c in text[len(text) // 2 :]]
+    for i in range(1, private.ROUNDS + 1):
+        half = hashlib.sha256("|".join([KEY, tweak, str(i), ",".join(map(str, b))]).encode()).hexdigest()
+        blocks = [hashlib.sha256(f"{half}|{k}".encode()).hexdigest() for k in range(len(a) // 16 + 1)]
+        new = []
+        for j, c in enumerate(a):
+            by = int(blocks[j // 16][j % 16 * 4 : j % 16 * 4 + 4], 16)
+            low, n = (48, 10) if 48 <= c <= 57 else (65, letters) if 65 <= c < 65 + letters else (97, letters) if 97 <= c < 97 + letters else (c, 1)
+            new.append(low + (c - low + by) % n)
+        a, b = b, new
+    return "".join(map(chr, a + b))
+
+
 def test_numbers_stay_valid_and_distinct(spark):
     social = [f"{a:03}-{g:02}-{a * 7 % 9999 + 1:04}" for a in range(1, 900) if a != 666 for g in (1, 99)]
     out = [r["text"] for r in private.pseudonymise(spark.createDataFrame([(t,) for t in social], "text string"), KEY).collect()]
