@@ -1,21 +1,21 @@
 """Rides that arrive: a stream of listed rides into the ride table, with a bookmark, duplicates merged, metrics kept up.
 
-Tables are Parquet folders, one per version; a version is written whole before the pointer in `current` names it,
-so a job that dies leaves the last version in use. Batches of the stream are idempotent: a batch that is
-repeated finds its own number in the table and changes nothing.
+Tables are in parts by athlete (tables.py): a batch reads and writes the parts of the athletes that it has rides of. Batches
+of the stream are idempotent: a batch that is repeated finds its own number in the table and changes nothing.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arrival, fitness, ingest, metrics
 from ..sources import schema
+from ..sources.scratch import settled
 from ..sources.landed import listed_rides_stream
+from .tables import BUCKETS, Table, bucket
 
 METRICS_VERSION = "1"
 
@@ -41,42 +41,6 @@ class Thresholds:
 DERIVED = "id long, athlete_id long, date timestamp, distance_m double, elevation_m double, np double, ef double, work_kj double, variability_index double, ride_ftp double, tss double, intensity_factor double, trimp double, best double, first double"
 
 
-@dataclass
-class Table:
-    """A Parquet table that is replaced as a whole; `state` holds the batch it belongs to and other notes."""
-
-    spark: SparkSession
-    path: str
-    empty: str
-    notes: dict[str, str] = field(default_factory=dict)
-
-    def versions(self) -> DataFrame | None:
-        """The pointers written so far; None before the first."""
-        try:
-            return self.spark.read.json(f"{self.path}/current")
-        except AnalysisException:
-            return None
-
-    def current(self) -> dict[str, str]:
-        found = self.versions()
-        if found is None:
-            return {}
-        rows = found.orderBy(F.col("number").desc()).limit(1).collect()
-        return {k: v for k, v in rows[0].asDict().items() if v is not None} if rows else {}
-
-    def read(self) -> DataFrame:
-        now = self.current()
-        if not now:
-            return self.spark.createDataFrame([], self.empty)
-        return self.spark.read.parquet(f"{self.path}/v{now['number']}")
-
-    def write(self, df: DataFrame, **notes: str) -> None:
-        """The next version; `notes` stay with it. The pointer is appended after the data."""
-        number = int(self.current().get("number", -1)) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        self.spark.createDataFrame([(number, *notes.values())], "number long" + "".join(f", {k} string" for k in notes)).coalesce(1).write.mode("append").json(f"{self.path}/current")
-
-
 def ddl(struct) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in struct.fields)
 
@@ -110,7 +74,13 @@ def sync_batch(rides: Table, raw: DataFrame, batch: int, lateness_s: int | None
     new = arrived(raw, F.lit(before) if before is not None and lateness_s is not None else None, lateness_s or 0)
     latest = raw.agg(F.max(F.unix_timestamp(F.try_to_timestamp("start_date"))).alias("t")).first()["t"]
     mark = max(x for x in (before, latest, 0) if x is not None)
-    rides.write(merged_batch(rides.read(), new), batch=str(batch), bookmark=str(mark))
+    write_merged(rides, new, batch=str(batch), bookmark=str(mark))
+
+
+def write_merged(rides: Table, new: DataFrame, **notes: str) -> None:
+    """New rides into the parts of their athletes; other parts are neither read nor written."""
+    parts = rides.parts_of(new)
+    rides.write(merged_batch(rides.read(parts), new), parts, **notes)
 
 
 def backfill(rides: Table, raw: DataFrame, as_of: Column, months: int = 12) -> None:
@@ -119,7 +89,7 @@ def backfill(rides: Table, raw: DataFrame, as_of: Column, months: int = 12) -> N
     since = F.unix_timestamp(as_of.cast("timestamp")) - months * 30 * 86_400
     latest = raw.agg(F.max(F.unix_timestamp(F.try_to_timestamp("start_date"))).alias("t")).first()["t"]
     mark = max(x for x in (int(now.get("bookmark", 0)), latest) if x is not None)
-    rides.write(merged_batch(rides.read(), arrived(raw, since)), batch=str(now.get("batch", -1)), bookmark=str(mark))
+    write_merged(rides, arrived(raw, since), batch=str(now.get("batch", -1)), bookmark=str(mark))
 
 
 def reclassified(rides: DataFrame, listed: DataFrame) -> DataFrame:
@@ -166,10 +136,29 @@ def recompute(rides: DataFrame, samples: DataFrame, derived: Table, limits: Thre
     return metrics.with_thresholds(dated.join(profile, "id", "left").join(own, "athlete_id"), as_of, limits.ftp or None).select([c.split()[0] for c in DERIVED.split(", ")])
 
 
+def day_part() -> Column:
+    """The part of a day: the athlete's bucket and the block of days, so that later days leave the files of earlier blocks alone."""
+    return bucket() + F.floor(F.col("n") / fitness.BLOCK) * BUCKETS
+
+
 def refresh(rides: DataFrame, samples: DataFrame, derived: Table, days: Table, limits: Thresholds, as_of: Column) -> None:
-    """Derived metrics and days after a sync; also the nightly run, as fitness decays on days without rides."""
+    """Derived metrics and days after a sync; also the nightly run, as fitness decays on days without rides.
+
+    days: a table of fitness.STORED in parts by day_part(). It is continued from the block of the first day that changed.
+    """
     derived.write(recompute(rides, samples, derived, limits, as_of), fingerprint=limits.fingerprint())
-    days.write(fitness.fitness(fitness.daily(derived.read()), as_of), fingerprint=limits.fingerprint())
+    continue_days(days, fitness.daily(derived.read()), as_of, fingerprint=limits.fingerprint())
+
+
+def continue_days(days: Table, now: DataFrame, as_of: Column, **notes: str) -> None:
+    """Writes the parts of blocks that have changed days; their other athletes' rows stay as they are."""
+    stored = days.read()
+    resumed = settled(fitness.resumed_from(stored, now, as_of), "athlete_id")
+    new = settled(fitness.continued(stored, now, resumed, as_of), "athlete_id")
+    gone = stored.join(resumed, "athlete_id").where(F.col("n") >= F.col("from_n"))
+    parts = sorted(set(days.parts_of(new)) | set(days.parts_of(gone)))
+    others = days.read(parts).join(resumed, "athlete_id", "left").where(F.col("from_n").isNull() | (F.col("n") < F.col("from_n"))).select(new.columns)
+    days.write(others.unionByName(new), parts, **notes)
 
 
 def reset(derived: Table) -> None:
