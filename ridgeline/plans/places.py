@@ -11,6 +11,7 @@ from ..functions import geo, parse, weather
 from ..functions.rounding import half_even
 from ..operators import fitness, history, planning, routes, waypoints
 from ..sources import driver_tables as tables
+from ..sources import tiles
 from . import oracle_tables as sql
 from .rides import FITNESS, days, rides
 
@@ -52,6 +53,16 @@ def a15_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("name", "category", x.alias("x"), y.alias("y"))
 
 
+def a15_tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlights read from the bytes of vector tiles, one by name."""
+    return waypoints.distinct_highlights(tiles.highlights(tiles.decoded(tables.tile_bytes(spark, sf_dir)))).select("id", "name", "category", six("lat").alias("lat"), six("lng").alias("lng"))
+
+
+def a15_tile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tiles.decoded(tables.tile_bytes(spark, sf_dir))
+    return found.groupBy("tile_id").agg(F.count("id").alias("n"), F.count("error").alias("malformed"))
+
+
 def a15_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = geo.tiles_around(F.col("lat"), F.col("lng"), F.lit(32.0))
     return tables.segments(spark, sf_dir).select("id", F.explode(around).alias("t")).select("id", "t.x", "t.y")
@@ -231,7 +242,7 @@ def a22_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), geo.decoded_line(F.translate("p_name", " ", "_")).alias("line")).select("id", F.posexplode("line").alias("k", "p")).select("id", "k", "p.lat", "p.lng")
 
 
-QUERIES = {f.__name__: f for f in (a13_places, a14_segments, a15_highlights, a15_tiles, a19_offsets, a22_polyline, c8_density_at, c9_avoid_zones, d9_density, d10_surface, d11_scenic, d12_elevation, d13_safety, d14_wind, d15_trails, f6_ride_days, f7_waypoints, g1_candidates, g2_along_route, l_route_report, l_day_warnings, h5_distance, h6_day_score, h7_best_hours, h10_plans, h12_durations, h13_distances, h14_times, h15_dates, h16_locations, h17_loop, h18_corridor, h19_scores, h19_scores_familiar, h21_day_lines, h22_slugs, h23_epochs, k5_heatmap)}
+QUERIES = {f.__name__: f for f in (a15_tile_features, a15_tile_errors, a13_places, a14_segments, a15_highlights, a15_tiles, a19_offsets, a22_polyline, c8_density_at, c9_avoid_zones, d9_density, d10_surface, d11_scenic, d12_elevation, d13_safety, d14_wind, d15_trails, f6_ride_days, f7_waypoints, g1_candidates, g2_along_route, l_route_report, l_day_warnings, h5_distance, h6_day_score, h7_best_hours, h10_plans, h12_durations, h13_distances, h14_times, h15_dates, h16_locations, h17_loop, h18_corridor, h19_scores, h19_scores_familiar, h21_day_lines, h22_slugs, h23_epochs, k5_heatmap)}
 
 
 PI = f"{math.pi!r}::DOUBLE"
@@ -348,6 +359,8 @@ ORACLE_SQL = {
     "a14_segments": f"WITH {sql.SEGMENTS} {near_segments(10.0)}",
     "a15_highlights": f"""WITH {sql.HIGHLIGHTS} SELECT name, category, CAST(trunc((lng + 180.0::DOUBLE) / 360.0::DOUBLE * 2048.0::DOUBLE) AS BIGINT) AS x,
   CAST(trunc((1.0::DOUBLE - ln(tan(radians(lat)) + 1.0::DOUBLE / cos(radians(lat))) / {PI}) / 2.0::DOUBLE * 2048.0::DOUBLE) AS BIGINT) AS y FROM highlights""",
+    "a15_tile_features": f"""WITH {sql.HIGHLIGHTS} SELECT id, name, category, {sql.r('lat', 6)} AS lat, {sql.r('lng', 6)} AS lng FROM highlights0 WHERE (id // 50) % 7 <> 3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY id) = 1""",
+    "a15_tile_errors": f"""WITH {sql.HIGHLIGHTS} SELECT id // 50 AS tile_id, count(*) FILTER (WHERE (id // 50) % 7 <> 3) AS n, CAST(max((id // 50) % 7 = 3)::INTEGER AS BIGINT) AS malformed FROM highlights0 GROUP BY 1""",
     "a15_tiles": f"""WITH {sql.SEGMENTS}, t AS (SELECT id, CAST(trunc((lng + 180.0::DOUBLE) / 360.0::DOUBLE * 2048.0::DOUBLE) AS BIGINT) AS x,
   CAST(trunc((1.0::DOUBLE - ln(tan(radians(lat)) + 1.0::DOUBLE / cos(radians(lat))) / {PI}) / 2.0::DOUBLE * 2048.0::DOUBLE) AS BIGINT) AS y FROM segments)
 SELECT id, x + i AS x, y + j AS y FROM t, range(-2, 3) a(i), range(-2, 3) b(j)""",

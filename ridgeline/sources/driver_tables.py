@@ -3,6 +3,9 @@
 Everything is arithmetic on keys, so that SQL can say the same.
 """
 
+import struct
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,6 +115,36 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tile_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tile_id, data: vector tiles of fifty highlights each, with name, category and place as tags; every seventh breaks off."""
+
+    def number(n: int) -> bytes:
+        out = b""
+        while n >= 128:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def part(field: int, body: bytes) -> bytes:
+        return number(field << 3 | 2) + number(len(body)) + body
+
+    def tile(rows: list[dict]) -> bytes:
+        keys, values, made = ["name", "category", "lat", "lng"], {}, []
+        for r in rows:
+            own = [part(1, r["name"].encode()), part(1, r["category"].encode()), number(3 << 3 | 1) + struct.pack("<d", r["lat"]), number(3 << 3 | 1) + struct.pack("<d", r["lng"])]
+            tags = b"".join(number(k) + number(values.setdefault(v, len(values))) for k, v in enumerate(own))
+            made.append(number(1 << 3) + number(r["id"]) + part(2, tags))
+        layer = part(1, b"highlights") + b"".join(part(2, f) for f in made) + b"".join(part(3, k.encode()) for k in keys) + b"".join(part(4, v) for v in values)
+        return part(3, layer)
+
+    def encode(batches):
+        for b in batches:
+            data = [tile(rows)[: -7 if t % 7 == 3 else None] for t, rows in zip(b.column("tile_id").to_pylist(), b.column("rows").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("tile_id"), pa.array(data, pa.binary())], names=["tile_id", "data"])
+
+    lists = highlights(spark, sf_dir).groupBy(F.floor(F.col("id") / 50).alias("tile_id")).agg(F.sort_array(F.collect_list(F.struct("id", "name", "category", "lat", "lng"))).alias("rows"))
+    return lists.mapInArrow(encode, "tile_id long, data binary")
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places to avoid; without a radius for every third."""
     n = table(spark, sf_dir, "nation")

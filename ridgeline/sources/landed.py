@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import schema
 
@@ -19,14 +20,22 @@ FORECAST_ANSWER = (
 )
 
 
+#: The column that holds the text of a line that is no ride.
+BROKEN = "_broken"
+
+
+def with_broken() -> StructType:
+    return StructType([*schema.RAW_RIDE.fields, StructField(BROKEN, StringType())])
+
+
 def listed_rides(spark: SparkSession, path: str) -> DataFrame:
-    """Listed rides, one JSON object a line. Broken lines are left out."""
-    return spark.read.schema(schema.RAW_RIDE).option("mode", "DROPMALFORMED").json(path)
+    """Listed rides, one JSON object a line; a line that is none has its text in `_broken`."""
+    return spark.read.schema(with_broken()).option("columnNameOfCorruptRecord", BROKEN).json(path)
 
 
 def listed_rides_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """The same folder as a stream, at most `files` new files at a time."""
-    return spark.readStream.schema(schema.RAW_RIDE).option("maxFilesPerTrigger", files).json(path)
+    return spark.readStream.schema(with_broken()).option("columnNameOfCorruptRecord", BROKEN).option("maxFilesPerTrigger", files).json(path)
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -89,3 +98,15 @@ def preview_cards(routes: DataFrame) -> DataFrame:
     path = F.array_join(F.transform(F.filter("coords", lambda _, i: i % 5 == 0), lambda p: F.concat(F.lit("["), p["lat"].cast("string"), F.lit(","), p["lng"].cast("string"), F.lit("]"))), ",")
     html = F.concat(F.lit('<section class="route"><h1>'), escaped(F.col("name")), F.lit('</h1><div class="map" data-path="['), path, F.lit(']"></div></section>'))
     return routes.select("name", F.concat(slug(F.col("name")), F.lit(".html")).alias("file"), html.alias("html"))
+
+
+def preview_page(name: Column, coords: Column, waypoints: Column) -> Column:
+    """An HTML page of a route: its name, every fifth place as a line's points, and a marker for each waypoint with name and reason."""
+    place = lambda p: F.concat(F.lit("["), p["lat"].cast("string"), F.lit(","), p["lng"].cast("string"), F.lit("]"))
+    path = F.array_join(F.transform(F.filter(coords, lambda _, i: i % 5 == 0), place), ",")
+    marker = lambda w: F.concat(F.lit('<li class="waypoint" data-at="'), place(w), F.lit('"><b>'), escaped(F.coalesce(w["name"], F.lit(""))), F.lit("</b> "), escaped(F.coalesce(w["reason"], F.lit(""))), F.lit("</li>"))
+    listed = F.coalesce(F.array_join(F.transform(waypoints, marker), ""), F.lit(""))
+    title = escaped(name)
+    return F.concat(
+        F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), title, F.lit('</title></head><body><h1>'), title, F.lit('</h1><div class="map" data-path="['), path, F.lit(']"></div><ul>'), listed, F.lit("</ul></body></html>\n")
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import arrival, fitness, ingest, metrics
 from ..sources import schema
 from ..sources.scratch import settled
-from ..sources.landed import listed_rides_stream
+from ..sources.landed import BROKEN, listed_rides_stream
 from .tables import BUCKETS, Table, bucket
 
 METRICS_VERSION = "1"
@@ -56,25 +56,51 @@ def merged(table: DataFrame, new: DataFrame) -> DataFrame:
     return arrival.deduplicated(ingest.upserted(table, new.select(table.columns)))
 
 
+def arrivals(table: DataFrame, new: DataFrame) -> DataFrame:
+    """All rides of the athletes with new rides, before near-duplicates are merged."""
+    riders = new.select("athlete_id").distinct()
+    return ingest.upserted(table.join(riders, "athlete_id", "left_semi").select(table.columns), new.select(table.columns))
+
+
 def merged_batch(table: DataFrame, new: DataFrame) -> DataFrame:
     """merged(), where only athletes with new rides are compared and merged; other rides pass as they are."""
     riders = new.select("athlete_id").distinct()
     return table.join(riders, "athlete_id", "left_anti").select(table.columns).unionByName(merged(table.join(riders, "athlete_id", "left_semi").select(table.columns), new))
 
 
-def sync_batch(rides: Table, raw: DataFrame, batch: int, lateness_s: int | None = 0) -> None:
+def sync_batch(rides: Table, raw: DataFrame, batch: int, lateness_s: int | None = 0, samples: Table | None = None) -> None:
     """One micro-batch into the ride table. lateness_s None: late rides are never dropped.
 
-    The bookmark is the latest start of all listed rides, those that are no cycling included.
+    The bookmark is the latest start of all listed rides, those that are no cycling included. Lines that are no rides are counted
+    (`broken` of the table's notes). samples: a table in parts by_ride(), whose samples follow merged rides.
     """
     now = rides.current()
     if int(now.get("batch", -1)) >= batch:
         return
     before = int(now["bookmark"]) if "bookmark" in now else None
-    new = arrived(raw, F.lit(before) if before is not None and lateness_s is not None else None, lateness_s or 0)
-    latest = raw.agg(F.max(F.unix_timestamp(F.try_to_timestamp("start_date"))).alias("t")).first()["t"]
-    mark = max(x for x in (before, latest, 0) if x is not None)
-    write_merged(rides, new, batch=str(batch), bookmark=str(mark))
+    sound = raw.where(F.col(BROKEN).isNull()) if BROKEN in raw.columns else raw
+    new = arrived(sound, F.lit(before) if before is not None and lateness_s is not None else None, lateness_s or 0)
+    broken = F.count(BROKEN) if BROKEN in raw.columns else F.lit(0)
+    seen = raw.agg(F.max(F.unix_timestamp(F.try_to_timestamp("start_date"))).alias("latest"), broken.alias("broken")).first()
+    mark = max(x for x in (before, seen["latest"], 0) if x is not None)
+    lost = int(now.get("broken", 0)) + seen["broken"]
+    if samples is not None and int(samples.current().get("batch", -1)) < batch:
+        follow(samples, arrival.lineage(arrivals(rides.read(rides.parts_of(new)), new)), batch=str(batch))
+    write_merged(rides, new, batch=str(batch), bookmark=str(mark), broken=str(lost))
+
+
+def follow(samples: Table, moves: DataFrame, **notes: str) -> None:
+    """Samples (in parts by activity_id) after a merge (arrival.lineage()); parts without a merged ride stay as they are."""
+    moved = settled(moves.where((F.col("ride_id") != F.col("first_id")) | (F.col("ride_id") != F.col("final_id"))))
+    places = settled(moves.join(moved.select("first_id").distinct(), "first_id", "left_semi").select("ride_id", "first_id", "final_id"))
+    ids = places.select(F.col("ride_id").alias("activity_id")).unionByName(places.select(F.col("final_id").alias("activity_id")))
+    parts = samples.parts_of(ids)
+    samples.write(arrival.followed(samples.read(parts), places), parts, **notes)
+
+
+def by_ride() -> Column:
+    """The part of a sample."""
+    return bucket("activity_id")
 
 
 def write_merged(rides: Table, new: DataFrame, **notes: str) -> None:
