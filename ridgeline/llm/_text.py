@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -164,19 +166,47 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of tables that kept() has written since the innermost passing() began.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder, as Parquet, and go on from the table; the lineage before it is cut."""
     folder = shared_folder(df.sparkSession, "kept")
     df.write.parquet(folder)
     table = df.sparkSession.read.schema(df.schema).parquet(folder)
     table.kept_in = folder
+    if (folders := _PASSING.get()) is not None:
+        folders.append(folder)
     return table
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that kept() writes within are removed at the end. What is yielded writes a result that stays."""
+    folders: list[str] = []
+    before = _PASSING.set(folders)
+
+    def result(df: DataFrame) -> DataFrame:
+        table = kept(df)
+        folders.remove(table.kept_in)
+        return table
+
+    try:
+        yield result
+    finally:
+        _PASSING.reset(before)
+        for folder in folders:
+            remove(spark, folder)
+
+
 def let_go(*tables: DataFrame) -> None:
     """Remove tables of kept(), once all that was made of them has been written."""
+    folders = _PASSING.get()
     for df in tables:
         remove(df.sparkSession, df.kept_in)
+        if folders is not None and df.kept_in in folders:
+            folders.remove(df.kept_in)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -23,16 +23,17 @@ null it is null, and all its rows are kept.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._text import hash_spans, kept, mix, ranges, raw, slices, word_spans
+from ._text import hash_spans, kept, let_go, mix, passing, ranges, raw, slices, word_spans
 
 WORDS, PERCENT = 5, 75
 SKETCH, KEYS = 64, 32
@@ -42,6 +43,7 @@ HUBS = 3
 SIDE = 1024  # nodes of a block
 MATRIX = 4096  # pairs of a cell from which on inverted lists count its overlaps
 BITMAP = 1 << 24
+CELL_HASHES = 4 << 20  # of full sets that one group of a cell's pairs is verified on
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -87,7 +89,7 @@ def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(describe, "id long, h long, n long, a long, b long, sketch binary")
 
 
-def lists(nodes: DataFrame) -> DataFrame:
+def lists(nodes: DataFrame, shared_keys: float = SHARED_KEYS) -> DataFrame:
     """v, node: each node's keys that its rare-first prefix holds and that some other node has too."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def lists(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", "sketch").mapInArrow(keys, "v long, node long, m int")
     common = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     by_node = rows.join(common, "v").groupBy("node").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("keys"))
-    wanted = F.col("m") - F.greatest(F.lit(1), F.floor(F.col("m") * SHARED_KEYS)) + 1  # the prefix; keys of this node alone come first in it
+    wanted = F.col("m") - F.greatest(F.lit(1), F.floor(F.col("m") * shared_keys)) + 1  # the prefix; keys of this node alone come first in it
     length = F.greatest(F.lit(0), wanted - (F.col("m") - F.size("keys"))).cast("int")
     return by_node.select("node", F.explode(F.slice("keys", F.lit(1), length)).alias("key")).select(F.col("key.v").alias("v"), "node")
 
@@ -129,7 +131,7 @@ def estimates(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
     return (double & (rank[:, 1:] <= size[:, None])).sum(1) / np.maximum(size, 1)
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, nodes: DataFrame, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
     """x, y, sure: pairs that can reach the threshold. sure: decided already, as both sketches are whole sets."""
     x = nodes.select(F.col("node").alias("x"), F.col("sketch").alias("sx"), F.col("n").alias("nx"))
     y = nodes.select(F.col("node").alias("y"), F.col("sketch").alias("sy"), F.col("n").alias("ny"))
@@ -140,7 +142,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             whole = np.maximum(batch.column("nx").to_numpy(), batch.column("ny").to_numpy()) <= SKETCH
             x, y = padded(batch.column("sx"), PADS[0]), padded(batch.column("sy"), PADS[1])
             e = np.concatenate([estimates(x[k : k + PAIRS], y[k : k + PAIRS], np.where(whole[k : k + PAIRS], 2 * SKETCH, SKETCH)) for k in range(0, max(1, len(x)), PAIRS)])
-            ok = np.where(whole, e * 100 >= PERCENT - 1e-9, e >= LEAST_ESTIMATE)
+            ok = np.where(whole, e * 100 >= PERCENT - 1e-9, e >= least_estimate)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(whole)], names=["x", "y", "sure"]).filter(pa.array(ok))
 
     return pairs.join(x, "x").join(y, "y").where(near).select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(estimate, "x long, y long, sure boolean")
@@ -220,8 +222,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = kept(small.distinct())
-        now = same(edges)
+        new = kept(small.distinct())
+        let_go(edges)
+        edges, now = new, same(new)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
@@ -238,29 +241,51 @@ def hub_pairs(keyed: DataFrame) -> DataFrame:
     return first.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
 
 
-def open_cells(keyed: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """v, i, j, x, y, sure, near: cells of lists that hold several components, and what in them has to be verified.
+def band(n: Column) -> Column:
+    """Sets whose sizes allow the threshold lie in one band or in neighbouring ones."""
+    return F.floor(F.ln(n) / F.lit(math.log(100 / PERCENT))).cast("int")
+
+
+def open_cells(keyed: DataFrame, roots: DataFrame, nodes: DataFrame, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
+    """v, s, i, j, part, x, y, sure, near: cells of lists that hold several components, and what in them has to be verified.
 
     In each list nodes outside its largest component (left) meet all nodes (right) in cells of about SIDE x SIDE nodes; a
-    task compares the pairs of many cells at once. A pair counts in the list of its least common key alone. x, y: pairs
-    whose components differ and whose estimate reaches the threshold (sure: decided already), as bytes of 64-bit numbers,
-    one row a cell; near: their nodes.
+    task compares the pairs of many cells at once. A list with more nodes is cut by bands of sizes first (s): right nodes are in
+    their own band, left ones in their own and the two beside it. A pair counts in the list of its least common key alone. x, y:
+    pairs whose components differ and whose estimate reaches the threshold (sure: decided already), as bytes of 64-bit
+    numbers; near: their nodes. A cell whose nodes' full sets are large has several rows (part).
     """
+    side = SIDE
     placed = keyed.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
-    of_list = parts.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where(F.col("roots") > 1)
+    parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
+    of_list = parts.groupBy("v").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top")).where(F.col("roots") > 1)
     # written, so that the join that follows can split a list with many nodes
-    shape = kept(of_list.select("v", F.col("top.root").alias("top"), F.ceil((F.col("size") - F.col("top.n")) / SIDE).cast("int").alias("lefts"), F.ceil(F.col("size") / SIDE).cast("int").alias("rights")))
-    rows = placed.join(shape, "v").withColumn("out", F.col("root") != F.col("top")).join(with_marks(nodes, keyed), "node")
+    shape = kept(of_list.select("v", F.col("top.root").alias("top"), (F.col("size") > side).alias("cut"), (F.col("size") - F.col("top.c")).alias("outside"), "size"))
+    rows = placed.join(shape, "v").withColumn("out", F.col("root") != F.col("top"))
+    # how many nodes of each band a cut list has: a row for each list and band
+    own = band(F.col("n"))
+    sized = rows.where("cut").join(nodes.select("node", "n"), "node").groupBy("v", own.alias("b")).agg(F.count(F.lit(1)).alias("rights"), F.count_if("out").alias("outs"))
+    beside = Window.partitionBy("v").orderBy("b").rangeBetween(-1, 1)
+    bands = kept(sized.withColumn("lefts", F.sum("outs").over(beside)).groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct(F.ceil(F.col("lefts") / side).cast("int").alias("lefts"), F.ceil(F.col("rights") / side).cast("int").alias("rights"))))).alias("bands")))
+    whole = F.struct(F.ceil(F.col("outside") / side).cast("int").alias("lefts"), F.ceil(F.col("size") / side).cast("int").alias("rights"))
+    rows = rows.join(bands, "v", "left").join(with_marks(nodes, keyed), "node")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    columns = ("v", "i", "j", "side", "node", "root", "n", "out", "sketch", "marks")
+    columns = ("v", "s", "i", "j", "side", "node", "root", "n", "out", "sketch", "marks")
+    cell = lambda s, i, j, which: F.struct(s.alias("s"), i.alias("i"), j.alias("j"), F.lit(which).alias("side"))
+
     # a right node goes to every block of left ones, a left node to every block of right ones
-    meets = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), spread(F.col("rights")).alias("j"), F.lit(1).alias("side"))),
-        F.when(F.col("out"), F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(spread(F.col("lefts")).alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
-    )
-    cells = rows.withColumn("at", F.explode(meets)).select("*", "at.i", "at.j", "at.side").select(*columns).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
-    return cells.mapInArrow(met_in_cells, "v long, i int, j int, x binary, y binary, sure binary, near array<long>")
+    def right(s: Column, size: Column) -> Column:
+        return F.when(size["lefts"] > 0, F.transform(F.sequence(F.lit(0), size["lefts"] - 1), lambda i: cell(s, i, spread(size["rights"]), 1)))
+
+    def left(s: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), size["rights"] - 1), lambda j: cell(s, spread(size["lefts"]), j, 0))
+
+    none, no_band = F.array().cast("array<struct<s:int,i:int,j:int,side:int>>"), F.lit(-1)
+    of_band = lambda k: F.try_element_at("bands", own + k)
+    in_bands = F.concat(*(F.coalesce(left(own + k, of_band(k)), none) for k in (-1, 0, 1)))
+    meets = F.when(F.col("cut"), F.concat(F.coalesce(right(own, of_band(0)), none), F.when(F.col("out"), in_bands).otherwise(none))).otherwise(F.concat(F.coalesce(right(no_band, whole), none), F.when(F.col("out"), left(no_band, whole)).otherwise(none)))
+    cells = rows.withColumn("at", F.explode(meets)).select("*", "at.s", "at.i", "at.j", "at.side").select(*columns).repartition("v", "s", "i", "j").sortWithinPartitions("v", "s", "i", "j", "side")
+    return cells.mapInArrow(lambda batches: met_in_cells(batches, least_estimate), "v long, s int, i int, j int, part int, x binary, y binary, sure binary, near array<long>")
 
 
 def with_marks(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -276,8 +301,8 @@ def with_marks(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "sketch").join(of_node, "node").mapInArrow(mark, "node long, n long, sketch binary, marks long")
 
 
-def met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The candidates of each cell (v, i, j): its left nodes (side 0) against its right ones. Rows come in order of cell and side."""
+def met_in_cells(batches: Iterator[pa.RecordBatch], least_estimate: float = LEAST_ESTIMATE) -> Iterator[pa.RecordBatch]:
+    """The candidates of each cell (v, s, i, j): its left nodes (side 0) against its right ones. Rows come in order of cell and side."""
     waiting: list[pa.RecordBatch] = []
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -287,14 +312,14 @@ def met_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not waiting:
             continue
         rows = pa.Table.from_batches(waiting)
-        v, i, j = (rows.column(c).to_numpy() for c in ("v", "i", "j"))
-        starts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        keys = [rows.column(c).to_numpy() for c in ("v", "s", "i", "j")]
+        starts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
         waiting = []
         if batch is not None:  # the last cell may go on
             waiting = rows.slice(int(starts[-1])).to_batches()
             rows, starts = rows.slice(0, int(starts[-1])), starts[:-1]
         if len(starts):
-            yield from met_in_rows(rows, starts)
+            yield from met_in_rows(rows, starts, least_estimate)
 
 
 def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -327,8 +352,8 @@ def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    v, i, j, side, node, root, n, out, marks = (rows.column(c).to_numpy() for c in ("v", "i", "j", "side", "node", "root", "n", "out", "marks"))
+def met_in_rows(rows: pa.Table, starts: np.ndarray, least_estimate: float = LEAST_ESTIMATE) -> Iterator[pa.RecordBatch]:
+    v, s, i, j, side, node, root, n, out, marks = (rows.column(c).to_numpy() for c in ("v", "s", "i", "j", "side", "node", "root", "n", "out", "marks"))
     sketch = padded(pa.concat_arrays(rows.column("sketch").chunks), np.where(side == 0, *PADS))
     cell = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(side)]))
     rights = np.bincount(cell, side, len(starts)).astype(np.int64)
@@ -345,7 +370,7 @@ def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(a), PAIRS):
             p, q, w = a[k : k + PAIRS], b[k : k + PAIRS], whole[k : k + PAIRS]
             e = estimates(sketch[p], sketch[q], np.where(w, 2 * SKETCH, SKETCH))
-            ok[k : k + PAIRS] = np.where(w, e * 100 >= PERCENT - 1e-9, e >= LEAST_ESTIMATE)
+            ok[k : k + PAIRS] = np.where(w, e * 100 >= PERCENT - 1e-9, e >= least_estimate)
         a, b, whole = a[ok], b[ok], whole[ok]
         mine = least_common(sketch[:, :KEYS], marks, a, b) == v[a].view(np.uint64)
         found.append((a[mine], b[mine], whole[mine]))
@@ -356,7 +381,7 @@ def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             p = a[k : k + SIDE]
             shared = overlaps(sketch[p], sketch[b])
             # what any pair over the threshold shares: of whole sets 3/7 of both sizes, of sketches the least estimate
-            least = np.where(np.maximum(n[p][:, None], n[b]) <= SKETCH, (n[p][:, None] + n[b]) * (PERCENT / (100 + PERCENT)) - 1e-3, LEAST_ESTIMATE * SKETCH)
+            least = np.where(np.maximum(n[p][:, None], n[b]) <= SKETCH, (n[p][:, None] + n[b]) * (PERCENT / (100 + PERCENT)) - 1e-3, least_estimate * SKETCH)
             left, right = np.nonzero((shared >= least) & (root[p][:, None] != root[b]))
             keep(p[left], b[right])
     lefts = np.flatnonzero((side == 0) & ~large[cell])
@@ -370,15 +395,36 @@ def met_in_rows(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not found:
         return
     a, b, whole = (np.concatenate([f[k] for f in found]) for k in range(3))
-    order = np.argsort(cell[a], kind="stable")
-    a, b, whole = a[order], b[order], whole[order]
-    at, to = np.searchsorted(cell[a], np.arange(len(starts))), np.searchsorted(cell[a], np.arange(len(starts)), side="right")
-    some = np.flatnonzero(to > at)
-    x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-    part = lambda values: pa.array([values[at[k] : to[k]].tobytes() for k in some], pa.binary())
-    near = pa.array([np.unique(np.r_[x[at[k] : to[k]][~whole[at[k] : to[k]]], y[at[k] : to[k]][~whole[at[k] : to[k]]]]).tolist() for k in some], pa.list_(pa.int64()))
-    head = starts[some]
-    yield pa.RecordBatch.from_arrays([pa.array(v[head]), pa.array(i[head]), pa.array(j[head]), part(x), part(y), part(whole), near], names=["v", "i", "j", "x", "y", "sure", "near"])
+    if not len(a):
+        return
+    x, y = np.where(node[a] < node[b], (a, b), (b, a))  # rows of the lesser and the greater node
+    group = parted(cell[a], node[x], node[y], np.where(whole, 0, n[x]), np.where(whole, 0, n[y]))
+    order = np.lexsort((group, cell[a]))
+    a, x, y, whole, group = a[order], x[order], y[order], whole[order], group[order]
+    at = np.flatnonzero(np.r_[True, (cell[a][1:] != cell[a][:-1]) | (group[1:] != group[:-1])])
+    to = np.r_[at[1:], len(a)]
+    bytes_of = lambda values: pa.array([values[p:q].tobytes() for p, q in zip(at, to, strict=True)], pa.binary())
+    near = pa.array([np.unique(np.r_[node[x[p:q]][~whole[p:q]], node[y[p:q]][~whole[p:q]]]).tolist() for p, q in zip(at, to, strict=True)], pa.list_(pa.int64()))
+    head = starts[cell[a[at]]]
+    yield pa.RecordBatch.from_arrays([pa.array(v[head]), pa.array(s[head]), pa.array(i[head]), pa.array(j[head]), pa.array(group[at].astype(np.int32)), bytes_of(node[x]), bytes_of(node[y]), bytes_of(whole), near], names=["v", "s", "i", "j", "part", "x", "y", "sure", "near"])
+
+
+def parted(cell: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Groups of the pairs of each cell: both sides' nodes are taken in order, and a group's distinct nodes have at most about `most` hashes a side."""
+    most = most or CELL_HASHES // 2
+
+    def chunks(nodes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        order = np.lexsort((size, nodes, cell))
+        c, d, n = cell[order], nodes[order], size[order]
+        last = np.r_[(c[1:] != c[:-1]) | (d[1:] != d[:-1]), True]  # of a node's rows in a cell, the one with its size
+        total = np.cumsum(np.where(last, n, 0)) - np.where(last, n, 0)
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        total -= np.repeat(total[first], np.diff(np.r_[first, len(c)]))
+        out = np.zeros(len(nodes), np.int64)
+        out[order] = total // most
+        return out
+
+    return chunks(x, nx) * (1 << 15) + chunks(y, ny)
 
 
 def least_common(keys: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -394,11 +440,14 @@ def least_common(keys: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarr
     return out
 
 
+CELL = ("v", "s", "i", "j", "part")
+
+
 def linked_in_cells(cells: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """x, y: links between different components, verified on full sets. Each cell is verified as a whole, and hands on a forest of its links."""
-    wanted = kept(cells.select(*(F.col(c).alias("m" + c) for c in ("v", "i", "j")), F.explode("near").alias("node")).join(nodes.select("node", "id", "a"), "node"))
+    """x, y: links between different components, verified on full sets. Each part of a cell hands on a forest of its links."""
+    wanted = kept(cells.select(*(F.col(c).alias("m" + c) for c in CELL), F.explode("near").alias("node")).join(nodes.select("node", "id", "a"), "node"))
     sets = full_sets(wanted.select("node", "id", "a").distinct(), docs, words, id_col, text_col)
-    members = wanted.select("mv", "mi", "mj", "node").join(sets, "node")
+    members = wanted.select(*("m" + c for c in CELL), "node").join(sets, "node")
 
     def link(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
         number = {m: k for k, m in enumerate(sets.column("node").to_pylist())}
@@ -427,7 +476,7 @@ def linked_in_cells(cells: DataFrame, nodes: DataFrame, docs: DataFrame, words:
                 out.append((x, y))
         return pa.table({"x": pa.array([o[0] for o in out], pa.int64()), "y": pa.array([o[1] for o in out], pa.int64())})
 
-    return cells.select("v", "i", "j", "x", "y", "sure").groupBy("v", "i", "j").cogroup(members.groupBy("mv", "mi", "mj")).applyInArrow(link, "x long, y long").distinct()
+    return cells.select(*CELL, "x", "y", "sure").groupBy(*CELL).cogroup(members.groupBy(*("m" + c for c in CELL))).applyInArrow(link, "x long, y long").distinct()
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -449,22 +498,29 @@ def full_sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_
     return wanted.join(own, wanted["id"].eqNullSafe(own["_id"]) & (wanted["a"] == own["_a"])).groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and h (xxhash64 of the text, which tells rows with equal ids apart) of every row of docs."""
-    table = kept(described(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    sets = table.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("id").alias("least"))
-    nodes = kept(table.join(sets.select(F.col("node").alias("row"), "least"), "row").select(F.col("row").alias("node"), "id", "least", "n", "a", "b", "sketch"))
-    keyed = kept(lists(nodes))
-    links = kept(verified(kept(estimated(hub_pairs(keyed), nodes)), nodes, docs, words, id_col, text_col))
-    roots = components(links)
-    rest = kept(open_cells(keyed, roots, nodes))
-    if not rest.isEmpty():
-        more = linked_in_cells(rest, nodes, docs, words, id_col, text_col)
-        roots = components(more.unionByName(roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))))
-    placed = nodes.select("node", "a", "b", "least").join(roots, "node", "left").select("a", "b", "least", F.coalesce("root", "node").alias("root"))
-    names = kept(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = kept(placed.join(names, "root").select("a", "b", "component_id"))
-    grouped = table.where("n > 0").select("id", "h", "n", "a", "b").join(named, ["a", "b"]).select("id", "h", "n", "component_id")
-    alone = table.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"))
-    kept_one = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
-    return grouped.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept_one.alias("kept"), "h")
+def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and h (xxhash64 of the text, which tells rows with equal ids apart) of every row of docs.
+
+    exact: both gates are open - one common key is enough, and all pairs that have one are verified, whatever their estimate. An
+    empty table gives no rows; columns besides the id and the text are not looked at. Of the tables that are written
+    on the way only the result stays.
+    """
+    shared, least = (0.0, 0.0) if exact else (SHARED_KEYS, LEAST_ESTIMATE)
+    with passing(docs.sparkSession) as result:
+        table = kept(described(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+        sets = table.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("id").alias("least"))
+        nodes = kept(table.join(sets.select(F.col("node").alias("row"), "least"), "row").select(F.col("row").alias("node"), "id", "least", "n", "a", "b", "sketch"))
+        keyed = kept(lists(nodes, shared))
+        links = kept(verified(kept(estimated(hub_pairs(keyed), nodes, least)), nodes, docs, words, id_col, text_col))
+        roots = components(links)
+        rest = kept(open_cells(keyed, roots, nodes, least))
+        if not rest.isEmpty():
+            more = linked_in_cells(rest, nodes, docs, words, id_col, text_col)
+            roots = components(more.unionByName(roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))))
+        placed = nodes.select("node", "a", "b", "least").join(roots, "node", "left").select("a", "b", "least", F.coalesce("root", "node").alias("root"))
+        names = kept(placed.groupBy("root").agg(F.min("least").alias("component_id")))
+        named = kept(placed.join(names, "root").select("a", "b", "component_id"))
+        grouped = table.where("n > 0").select("id", "h", "n", "a", "b").join(named, ["a", "b"]).select("id", "h", "n", "component_id")
+        alone = table.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"))
+        kept_one = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+        return result(grouped.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept_one.alias("kept"), "h"))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from ridgeline.llm import entries, maxent, mixing, neardup, packing, simhash, topk, toxicity
 from ridgeline.llm._bpe import WordTokens
+from ridgeline.llm._text import shared_folder
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,6 +79,39 @@ def test_cells_alone_find_the_links(spark, monkeypatch):
     assert [r["component_id"] for r in got] == groups([shingles(x) for x in t])
 
 
+@pytest.mark.parametrize("side", [4, 1024])
+def test_open_gates_find_the_same(spark, monkeypatch, side):
+    """The exact setting, with lists cut by bands of sizes and without; only the result's table stays."""
+    monkeypatch.setattr(neardup, "SIDE", side)
+    t = texts(11, 25)
+    folder = Path(re.sub("^file:/*", "/", shared_folder(spark, "x"))).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), exact=True).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == groups([shingles(x) for x in t])
+    assert len(set(folder.iterdir()) - before) == 1
+
+
+def test_bands_of_sizes_keep_pairs_together(spark):
+    n = spark.range(1, 3000).select(F.col("id").alias("n"))
+    bands = {r["n"]: r["b"] for r in n.select("n", neardup.band(F.col("n")).alias("b")).collect()}
+    for a in range(1, 2250):
+        assert bands[min(2999, a * 4 // 3)] - bands[a] in (0, 1)
+
+
+def test_large_cells_are_verified_in_parts():
+    """Every pair has one group of its cell; the distinct nodes of a group's side hold no more hashes than asked, but for one node."""
+    rng = np.random.default_rng(2)
+    cell, x, y = np.sort(rng.integers(0, 3, 500)), rng.integers(0, 40, 500), rng.integers(40, 90, 500)
+    size = rng.integers(1, 100, 90)
+    sure = rng.random(500) < 0.3
+    group = neardup.parted(cell, x, y, np.where(sure, 0, size[x]), np.where(sure, 0, size[y]), most=300)
+    assert len(set(zip(cell.tolist(), group.tolist(), strict=True))) > 10
+    for c, g in set(zip(cell.tolist(), group.tolist(), strict=True)):
+        mine = (cell == c) & (group == g) & ~sure
+        assert size[np.unique(x[mine])].sum() < 400 and size[np.unique(y[mine])].sum() < 400
+    assert len(np.unique(neardup.parted(cell, x, y, size[x], size[y], most=1 << 30))) == 1
+
+
 def sketch_of(values):
     return np.sort(np.array(sorted(values), np.uint64))[: neardup.SKETCH]
 
@@ -102,7 +137,7 @@ def test_large_cells_find_what_small_cells_find(monkeypatch, sizes):
     rows = pa.RecordBatch.from_pydict(
         {
             "v": pa.array([7] * len(both), pa.int64()),
-            **{c: pa.array([0] * len(both), pa.int32()) for c in ("i", "j")},
+            **{c: pa.array([0] * len(both), pa.int32()) for c in ("s", "i", "j")},
             "side": pa.array([b[0] for b in both], pa.int32()),
             "node": pa.array([b[1] for b in both], pa.int64()),
             "root": pa.array([b[1] for b in both], pa.int64()),
