@@ -6,7 +6,9 @@ documents. All but the last return the columns of their input.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +51,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return marked.join(wanted, F.col(key) == F.col(wanted_key), "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
-def without_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their private values replaced by pseudonyms of the same format, under the session's key."""
-    return pseudonymise(docs, pseudonym_key(spark), found_col=fresh(docs.columns, "private")[0]).select(docs.columns)
+def without_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str, key: str | None = None) -> DataFrame:
+    """All documents, their private values replaced by pseudonyms of the same format, under the key given or the session's.
+
+    Without any a public key is used, which is right for invented tables only; a warning says so.
+    """
+    if key is None and spark.conf.get("ridgeline.pseudonym.key", None) is None:
+        warnings.warn("no ridgeline.pseudonym.key is set: pseudonyms under a public key can be undone by anyone", stacklevel=2)
+    return pseudonymise(docs, key or pseudonym_key(spark), found_col=fresh(docs.columns, "private")[0]).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +79,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_definition(), with_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+Stages = list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]]
+
+
+def stages(key: str) -> Stages:
+    """The stages for a corpus of one's own, with pseudonyms under this key."""
+    return [(name, partial(stage, key=key) if name == "private" else stage) for name, stage in STAGES]
+
+
+STAGES: Stages = [
     ("language", known_language),
     ("near_duplicates", one_of_each_group),
     ("private", without_private_values),
@@ -84,11 +99,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, steps: Stages | None = None) -> DataFrame:
     """The last stage's rows for the table `documents`."""
+    steps = steps or STAGES
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark, "corpus")
-    for name, stage in STAGES[:-1]:
+    for name, stage in steps[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return steps[-1][1](spark, docs, sf_dir)
