@@ -5,9 +5,11 @@ a softmax over CLASSES classes, whose features are the classes of the four token
 before (near and skipped), the pair of the two before and the word before, both
 hashed; times a second softmax, of the word within its class, from the same features.
 The most frequent words are classes of their own, the others belong to a class by their
-last two bytes. The second softmax tells the OUTCOMES - 1 most frequent words of a class
-apart; its other words share one outcome, and within that have their share of its count,
-discounted to leave room for unknown words.
+last two bytes. The second softmax tells the NAMED most frequent words of a class apart,
+hashes its other frequent words into TAILS - 1 outcomes, and has one for rare and
+unknown words; so the chance of every word depends on the history. Within such an
+outcome a word has its share of the outcome's count, that of rare words discounted to
+leave room for unknown ones. Rare are words seen once, and those beyond the COMMON ones.
 
 Counts cover all training texts. The softmax is trained by gradient updates in the
 tasks, each over its own texts; the tasks' weights are averaged by how often each
@@ -42,6 +44,9 @@ BEFORE = 4
 FEATURES = 1 + BEFORE * CLASSES + 2 * BUCKETS
 OWN = 1 + TOP_WORDS  # classes of one word, the first ones
 SHARED, OUTCOMES = CLASSES - OWN, 32
+TAIL_BITS = 20  # of a word's hash that are left out
+TAILS = 8  # the first outcomes: rare and unknown words, and hashed ones
+NAMED = OUTCOMES - TAILS
 INNER_BUCKETS = 512  # of each hashed feature of the second softmax; its rows are counted by 16 bits
 INNER_FEATURES = 1 + BEFORE * CLASSES + 2 * INNER_BUCKETS
 NEVER = -1000.0  # the log odds of an outcome that no word has
@@ -70,12 +75,13 @@ class Classes:
     ending_class: np.ndarray = field(default_factory=lambda: (1 + TOP_WORDS + TOP_ENDINGS + np.arange(1 << 16) % (CLASSES - 1 - TOP_WORDS - TOP_ENDINGS)).astype(np.uint8))
     total: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     discount: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
-    unknown: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # log10 of the share of unknown words
+    unknown: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # log10 of the share of unknown words in outcome 0
+    frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of the words that are not rare
     named: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of the words with outcomes of their own
     named_n: np.ndarray = field(default_factory=lambda: np.zeros(0))
     outcome: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
-    outcome_n: np.ndarray = field(default_factory=lambda: np.zeros((SHARED, OUTCOMES)))  # of outcome 0: the other words
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # total without the words with outcomes of their own
+    outcome_n: np.ndarray = field(default_factory=lambda: np.zeros((SHARED, OUTCOMES)))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, TAILS)))  # counts of the words of an outcome without words of its own
     tokens: int = 0
     distinct: int = 0
 
@@ -85,10 +91,21 @@ class Classes:
 
     def outcomes(self, key: np.ndarray) -> np.ndarray:
         """Which outcome a token has within its class."""
+        out = np.where(held(self.frequent, key), hashed(key), 0)
         if not len(self.named):
-            return np.zeros(len(key), np.int64)
+            return out
         at = np.minimum(np.searchsorted(self.named, key), len(self.named) - 1)
-        return np.where(self.named[at] == key, self.outcome[at], 0).astype(np.int64)
+        return np.where(self.named[at] == key, self.outcome[at], out).astype(np.int64)
+
+
+def held(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys are among the known ones, which are in order."""
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+
+
+def hashed(key: np.ndarray) -> np.ndarray:
+    """The outcome of a frequent word without one of its own."""
+    return 1 + (key >> np.uint64(TAIL_BITS)).astype(np.int64) % (TAILS - 1)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -115,14 +132,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, ending int, n long").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def classes_of(counts: DataFrame) -> Classes:
-    """From the counts: the top words, and sums by ending (65,536 rows at most, by their number of values)."""
+def classes_of(counts: DataFrame, frequent: Column, known: np.ndarray) -> Classes:
+    """From the counts: the top words, and sums by ending (65,536 rows at most, by their number of values).
+
+    frequent: the words that are not rare; known: their hashes, in order.
+    """
     top = [(r["h"], r["n"]) for r in counts.where(F.col("h") != int(END.view(np.int64))).orderBy(F.col("n").desc(), "h").limit(TOP_WORDS).collect()]
     own = {h for h, _ in top} | {int(END.view(np.int64))}
     rest = counts.where(~F.col("h").isin(*own))
     sums = rest.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).toPandas().sort_values(["n", "ending"], ascending=[False, True])
     ends = counts.where(F.col("h") == int(END.view(np.int64))).select("n").collect()
-    found = Classes()
+    found = Classes(frequent=known)
     for k, e in enumerate(sums["ending"].head(TOP_ENDINGS)):
         found.ending_class[e] = 1 + TOP_WORDS + k
     words = np.array([END, *(np.int64(h).view(np.uint64) for h, _ in top)], np.uint64)
@@ -137,21 +157,27 @@ def classes_of(counts: DataFrame) -> Classes:
     place = F.array_position(F.array(*(F.lit(int(e)) for e in sums["ending"].head(TOP_ENDINGS))).cast("array<int>"), F.col("ending"))
     cls = F.when(place > 0, place + TOP_WORDS).otherwise(OWN + TOP_ENDINGS + F.col("ending") % (CLASSES - OWN - TOP_ENDINGS)).cast("int")
     by_class = Window.partitionBy("class").orderBy(F.col("n").desc(), "h")
-    first = rest.where("n > 2").select("h", "n", cls.alias("class")).withColumn("outcome", F.row_number().over(by_class)).where(F.col("outcome") < OUTCOMES).collect()
+    first = rest.where("n > 2").select("h", "n", cls.alias("class")).withColumn("outcome", F.row_number().over(by_class)).where(F.col("outcome") <= NAMED).collect()
+    found.outcome_n = np.zeros((SHARED, OUTCOMES))
     if first:
         named = np.array([r["h"] for r in first], np.int64).view(np.uint64)
         order = np.argsort(named)
-        found.named, found.named_n, found.outcome = named[order], np.array([r["n"] for r in first], float)[order], np.array([r["outcome"] for r in first], np.uint8)[order]
+        found.named, found.named_n, found.outcome = named[order], np.array([r["n"] for r in first], float)[order], np.array([TAILS - 1 + r["outcome"] for r in first], np.uint8)[order]
+    # counts and distinct words by class and outcome, words with outcomes of their own included
+    place = F.when(frequent, 1 + F.shiftrightunsigned("h", TAIL_BITS) % (TAILS - 1)).otherwise(0).cast("int")
+    found.rest = np.repeat(found.total[:, None], TAILS, axis=1)
+    found.rest[OWN:], others = 0.0, np.zeros((CLASSES, TAILS))
+    for r in rest.groupBy(cls.alias("class"), place.alias("outcome")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        found.rest[r["class"], r["outcome"]], others[r["class"], r["outcome"]] = r["n"], r["v"]
     for r in first:
-        found.outcome_n[r["class"] - OWN, r["outcome"]] = r["n"]
-    found.rest = found.total.copy()
-    found.rest[OWN:] -= found.outcome_n.sum(1)
-    found.outcome_n[:, 0] = found.rest[OWN:]
-    others = v.copy()
-    others[OWN:] -= (found.outcome_n[:, 1:] > 0).sum(1)
+        key = np.array([r["h"]], np.int64).view(np.uint64)
+        of = (r["class"], int(hashed(key)[0]) if held(known, key)[0] else 0)
+        found.rest[of], others[of] = found.rest[of] - r["n"], others[of] - 1
+        found.outcome_n[r["class"] - OWN, TAILS - 1 + r["outcome"]] = r["n"]
+    found.outcome_n[:, :TAILS] = found.rest[OWN:]
     shared = np.arange(CLASSES) >= OWN
     found.discount = np.where(shared, np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9), 0.0)
-    left = np.where(found.rest > 0, found.discount * others / np.maximum(found.rest, 1), 1.0)
+    left = np.where(found.rest[:, 0] > 0, found.discount * others[:, 0] / np.maximum(found.rest[:, 0], 1), 1.0)
     found.unknown = np.log10(np.maximum(left, 1e-300))
     found.tokens = int(found.total.sum())
     found.distinct = int(v.sum()) + len(top) + bool(ends)
@@ -258,7 +284,7 @@ def train(docs: DataFrame, classes: Classes, id_col: str) -> tuple[np.ndarray, n
     outer[0] = np.log(np.maximum(classes.total, 0.5) / max(classes.total.sum(), 1))
     inner = np.zeros((INNER_FEATURES * SHARED, OUTCOMES), np.float32)
     inner[:SHARED] = np.where(classes.outcome_n > 0, np.log(np.maximum(classes.outcome_n, 0.5)), NEVER)
-    inner[:SHARED, 0] = np.log(np.maximum(classes.outcome_n[:, 0], 0.5))
+    inner[:SHARED, :TAILS] = np.log(np.maximum(classes.outcome_n[:, :TAILS], 0.5))
     start = (outer, inner)
     steps = (64, 1024)  # rows of the weights that are averaged together
     pieces = [(k, a) for k, w in enumerate(start) for a in range(0, len(w), steps[k])]
@@ -337,11 +363,12 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     learnt = rows.where("learn")
     counts = kept(count_words(learnt))
-    classes = classes_of(counts)
-    weights = train(learnt, classes, "id")
     binned = counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int"))
     least = common_from(binned)
     common = binned.where(F.col("bin") >= least).select("h", "n").toPandas()
+    frequent = np.sort(common["h"].to_numpy(np.int64)[common["n"].to_numpy() > 1].view(np.uint64))
+    classes = classes_of(binned, (F.col("bin") >= least) & (F.col("n") > 1), frequent)
+    weights = train(learnt, classes, "id")
     # words with outcomes of their own go along, whatever their counts
     common_key, at = np.unique(np.r_[common["h"].to_numpy(np.int64).view(np.uint64), classes.named], return_index=True)
     common_n = np.r_[common["n"].to_numpy(np.float64), classes.named_n][at]
@@ -367,7 +394,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             hit = known_key[at] == key if len(known_key) else np.zeros(len(key), bool)
             n = np.where(hit, known_n[at], 1.0) if len(known_key) else np.ones(len(key))
             base = np.where(hit, np.log10(n + 0.1), 0.0)
-            inner = np.where(hit & (outcome == 0), np.log10(np.maximum(n - classes.discount[cls], 1e-9)) - log_rest[cls], 0.0)
+            inner = np.where(hit & (outcome < TAILS), np.log10(np.maximum(n - np.where(outcome == 0, classes.discount[cls], 0.0), 1e-9)) - log_rest[cls, np.minimum(outcome, TAILS - 1)], 0.0)
             row = b.column("row").to_numpy()
             doc = np.repeat(np.arange(len(row)), np.diff(offsets))
             lost = np.flatnonzero(~hit)
@@ -397,7 +424,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     pick = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("class") + 1)
     found = F.col("count").isNotNull()
     pair = F.col("times") > 0
-    inner = F.when(found, F.log10(F.col("count") - pick(classes.discount)) - pick(log_rest)).otherwise(pick(classes.unknown))
+    inner = F.when(found, F.log10(F.col("count") - pick(classes.discount)) - pick(log_rest[:, 0])).otherwise(pick(classes.unknown))
     sums = met.select(
         "row",
         "id",
