@@ -12,6 +12,11 @@ def part(text: Column, pattern: str, group: int) -> Column:
     return F.when(found != "", found)
 
 
+#: The forms in which riders type durations and times; other forms are unreadable.
+DURATION_UNITS, DURATION_CLOCK = r"^(?:(\d+)h)?(?:(\d+)m(?:in)?)?$", r"^(\d+):(\d{2})$"
+TIME_EXACT, TIME_SPOKEN = r"^(\d{1,2}):(\d{2})$", r"^(\d{1,2})\s*(am|pm|h)$"
+
+
 def tidy(text: Column) -> Column:
     return F.lower(F.trim(text))
 
@@ -19,7 +24,7 @@ def tidy(text: Column) -> Column:
 def minutes(text: Column) -> Column:
     """2h, 1h30m, 90min, 1:30."""
     s = tidy(text)
-    units, clock = r"^(?:(\d+)h)?(?:(\d+)m(?:in)?)?$", r"^(\d+):(\d{2})$"
+    units, clock = DURATION_UNITS, DURATION_CLOCK
     number = lambda p, g: part(s, p, g).cast("int")
     by_units = F.when(s.rlike(units) & (s != ""), F.coalesce(number(units, 1), F.lit(0)) * 60 + F.coalesce(number(units, 2), F.lit(0)))
     return F.coalesce(by_units, number(clock, 1) * 60 + number(clock, 2))
@@ -33,7 +38,7 @@ def kilometres(text: Column) -> Column:
 def clock_time(text: Column) -> Column:
     """HH:MM of 14:00, 2pm, 9am, 14h. Hours above 23 are unreadable, but not in the form with minutes."""
     s = tidy(text)
-    exact, spoken = r"^(\d{1,2}):(\d{2})$", r"^(\d{1,2})\s*(am|pm|h)$"
+    exact, spoken = TIME_EXACT, TIME_SPOKEN
     hour, suffix = part(s, spoken, 1).cast("int"), part(s, spoken, 2)
     turned = F.when((suffix == "pm") & (hour < 12), hour + 12).when((suffix == "am") & (hour == 12), 0).otherwise(hour)
     padded = lambda h: F.lpad(h.cast("string"), 2, "0")

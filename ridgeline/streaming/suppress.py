@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.arrival import Arrival
 
@@ -88,8 +90,20 @@ def suppressed(rides: DataFrame, tolerance_s: int = 300, late: str = "1 hour") -
     """The stream of changes of the ride table; of the rows of a place (`first_id`) the last one counts.
 
     rides: a stream with the columns of a ride. `late`: how much older than the latest start a ride may be to meet the rides of
-    its time. Set spark.sql.streaming.stateStore.providerClass to STORE.
+    its time; older ones are dropped, and counted (arrival_counts()). Set spark.sql.streaming.stateStore.providerClass to STORE.
     """
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rides.schema])
     shape = T.StructType([*schema.fields, T.StructField("first_id", T.LongType()), T.StructField("gone_id", T.LongType())])
-    return rides.withWatermark("date", late).groupBy("athlete_id").transformWithStateInPandas(Suppressor(schema, tolerance_s), shape, "Update", "EventTime")
+    landed = rides.observe(LANDED, F.count(F.lit(1)).alias("n")).withWatermark("date", late)
+    kept = landed.groupBy("athlete_id").transformWithStateInPandas(Suppressor(schema, tolerance_s), shape, "Update", "EventTime")
+    return kept.observe(KEPT, F.count(F.lit(1)).alias("n"))
+
+
+#: Names under which a stream's progress tells how many rides landed and how many were not too late.
+LANDED, KEPT = "rides_landed", "rides_kept"
+
+
+def arrival_counts(query: StreamingQuery) -> dict[str, int]:
+    """landed, kept and dropped (too late) rides of the micro-batches that the query remembers."""
+    seen = {name: sum(p.observedMetrics[name]["n"] for p in query.recentProgress if name in p.observedMetrics) for name in (LANDED, KEPT)}
+    return {"landed": seen[LANDED], "kept": seen[KEPT], "dropped": seen[LANDED] - seen[KEPT]}

@@ -92,3 +92,18 @@ def test_stream_is_the_fold(spark, tmp_path, state_store):
     assert sorted(places.values()) == sorted(r["id"] for r in want)
     assert gone - {None} == {r["id"] for r in rows} - set(places.values())
     assert len({b for b, _ in seen}) == 3
+
+
+def test_late_rides_are_counted(spark, tmp_path, state_store):
+    """Rides behind the watermark are dropped, and the counts say how many; those within the allowed lateness are kept."""
+    (tmp_path / "in").mkdir()
+    files = [[ride(1, 0), ride(2, 600)], [ride(3, 630), ride(9, 640)], [ride(4, 10), ride(5, 20), ride(6, 610), ride(7, 700)]]
+    for k, rows in enumerate(files):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps(r | {"date": r["date"].isoformat()}) + "\n" for r in rows))
+    stream = spark.readStream.schema(schema.RIDE).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path / "in"))
+    seen = []
+    query = suppress.suppressed(stream, late="1 hour").writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(r["id"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    counts = suppress.arrival_counts(query)
+    assert counts == {"landed": 8, "kept": 6, "dropped": 2} and sorted(seen) == [1, 2, 3, 6, 7, 9]
+    assert sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators) == 2
