@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame, *keys: str) -> DataFrame:
     """df, dealt out by the keys, in the checkpoint folder: it is evaluated once, and what follows by these keys is not dealt out again.
 
-    Where the session names no folder, one that runs in one process takes a temporary one; on a cluster that is an error.
+    Spark removes the files with the DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set, else they stay until
+    the folder is emptied. Where the session names no folder, one that runs in one process takes a temporary one; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
