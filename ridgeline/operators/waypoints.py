@@ -137,11 +137,12 @@ def spread_out(found: DataFrame, n: int = 3, by: str | None = None) -> DataFrame
     """At most n candidates, the best first, each at least 45 degrees from those chosen; in order of angle (`place`).
 
     `by`: a column that divides the candidates. They are written once, dealt by it; each of the n rounds reads that table once
-    and is one aggregate over it. What was chosen so far is one row for each value of `by`.
+    and is one aggregate over it. What was chosen so far is one row for each value of `by`. Of the columns lat, lng, name and reason
+    those that `found` has are kept.
     """
-    columns = ("origin", "id", "lat", "lng", "name", "reason", "score", "angle")
+    columns = [c for c in ("origin", "id", "lat", "lng", "name", "reason", "score", "angle") if c in found.columns]
     keys = [by] if by else []
-    order = F.struct((-F.col("score")).alias("s"), *(c for c in ("origin", "id", "angle", "lat", "lng", "name", "reason", "score")))
+    order = F.struct((-F.col("score")).alias("s"), "origin", "id", "angle", *(c for c in columns if c not in ("origin", "id", "angle")))
     rows = settled(found.select(*keys, *columns), *keys)
     chosen = rows.groupBy(*keys).agg(F.min(order).alias("_best")).where(F.col("_best").isNotNull()).select(*keys, F.array("_best").alias("_chosen"))
     for _ in range(n - 1):
@@ -189,4 +190,7 @@ def for_requests(requests: DataFrame, places: DataFrame, segments: DataFrame, hi
     ideal = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("distance_km") - F.col("radius") * F.lit(0.7)) / F.col("radius"))
     past = F.when(F.col("explore"), F.lit(1.0) - F.col("density")).otherwise(F.col("density"))
     scores = seen.withColumn("score", mixed_score(ideal, past, F.col("_request").isNotNull())).withColumn("angle", F.atan2(F.col("lat") - F.col("at_lat"), F.col("lng") - F.col("at_lng")))
-    return spread_out(scores, n, "request")
+    # pairs are written without texts and places; these come back for what was chosen
+    chosen = spread_out(scores.select("request", "origin", "id", "score", "angle"), n, "request")
+    known = candidates(tagged_places(places), segments, distinct_highlights(highlights)).drop("kind")
+    return chosen.join(known, ["origin", "id"]).select("request", "place", "origin", "id", "lat", "lng", "name", "reason", "score", "angle")
