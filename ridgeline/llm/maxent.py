@@ -52,6 +52,10 @@ INNER_FEATURES = 1 + BEFORE * CLASSES + 2 * INNER_BUCKETS
 NEVER = -1000.0  # the log odds of an outcome that no word has
 COMMON = 1 << 17  # words whose counts every task gets, at most
 BATCH, RATE = 8192, 0.2
+MOST_ODDS = 60.0  # whose exponentials are added up as they are
+FEW_ROWS = 600  # that are added up at once
+FIRST = 1 << 16  # ranges of hashes whose most frequent word is found at once
+FIRST_BITS = np.uint64(48)
 FAN_IN = 64  # tasks whose weights are added at a time
 PARTS = (4, 1)  # a quarter of the texts trains first, the others start from its average
 END = np.uint64(0x5EED0E0D)
@@ -66,6 +70,37 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(key, of_doc[1:], END), np.insert(ending, of_doc[1:], 0), of_doc + np.arange(len(of_doc))
 
 
+@dataclass
+class Known:
+    """Words that tasks know, in the order of their hashes. Most tokens are found without a search: `first` tells where the
+    most frequent word of each of FIRST ranges of hashes is."""
+
+    key: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
+    n: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    outcome: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint8))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(FIRST, np.int32))
+
+    @classmethod
+    def of(cls, key: np.ndarray, n: np.ndarray, outcome: np.ndarray) -> Known:
+        """key: distinct hashes in order."""
+        if not len(key):
+            return cls()
+        first, by_count = np.zeros(FIRST, np.int32), np.argsort(n, kind="stable")
+        first[key[by_count] >> FIRST_BITS] = by_count
+        return cls(key, n, outcome.astype(np.uint8), first)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is held at all."""
+        at = self.first.take(key >> FIRST_BITS)
+        hit = self.key.take(at) == key
+        others = np.flatnonzero(~hit)
+        wanted = key[others]
+        place = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        at[others], hit[others] = place, self.key.take(place) == wanted
+        # a table without words has one that no token is
+        return (at, hit) if self.n.any() else (at, np.zeros(len(key), bool))
+
+
 @dataclass
 class Classes:
     """Which class a token has, and what is known of each class."""
@@ -82,6 +117,7 @@ class Classes:
     outcome: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
     outcome_n: np.ndarray = field(default_factory=lambda: np.zeros((SHARED, OUTCOMES)))
     rest: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, TAILS)))  # counts of the words of an outcome without words of its own
+    known: Known = field(default_factory=Known)
     tokens: int = 0
     distinct: int = 0
 
@@ -210,10 +246,22 @@ def log_odds(weights: np.ndarray, rows: list[np.ndarray], bias: bool = True) ->
     return z
 
 
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """e to the power of z less each row's highest value, the rows' sums, and these values: 0 where nothing is too large or too small as it is."""
+    if len(z) and z.max() < MOST_ODDS:
+        e = np.exp(z)
+        sums = np.einsum("ij->i", e)
+        if sums.min() > math.exp(-MOST_ODDS):
+            return e, sums, 0.0
+    highest = z.max(1)
+    e = np.exp(z - highest[:, None])
+    return e, np.einsum("ij->i", e), highest
+
+
 def log_chance(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log10 of the chance of outcome y."""
-    z -= z.max(1, keepdims=True)
-    return (z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))) / math.log(10)
+    _, sums, highest = exponentials(z)
+    return (z[np.arange(len(y)), y] - highest - np.log(sums)) / math.log(10)
 
 
 #: Codes of the tokens (below 65,536), and the features whose rows each code tells.
@@ -239,6 +287,27 @@ def grouped(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, cuts, np.diff(np.r_[cuts, len(at)])
 
 
+def run_sums(x: np.ndarray, order: np.ndarray, cuts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the rows x[order] by runs. Many short runs are halved, row by row; a sum of each column by run costs far more."""
+    if len(order) > 16 * len(cuts):
+        return np.add.reduceat(x.take(order, 0), cuts, axis=0)
+    total = np.zeros((len(cuts), x.shape[1]), x.dtype)
+    at, begin, n, run = order, cuts, count, np.arange(len(cuts))
+    while len(at) > FEW_ROWS:
+        odd = np.flatnonzero(n & 1)
+        total[run[odd]] += x.take(at[begin[odd] + n[odd] - 1], 0)
+        more = np.flatnonzero(n > 1)
+        run, begin, n = run[more], begin[more], n[more] >> 1
+        left = np.repeat(begin - 2 * (np.cumsum(n) - n), n)
+        left += np.arange(0, 2 * len(left), 2)
+        pairs = x.take(at[left], 0)
+        pairs += x.take(at[left + 1], 0)
+        x, at, begin = pairs, np.arange(len(pairs)), np.cumsum(n) - n
+    if len(run):
+        total[run] += np.add.reduceat(x.take(at, 0), begin, axis=0)
+    return total
+
+
 class Updates:
     """Adagrad on the cross-entropy of classes, or of outcomes within them, in batches of tokens."""
 
@@ -249,33 +318,38 @@ class Updates:
 
     def step(self, rows: list[np.ndarray], y: np.ndarray, groups: Groups) -> None:
         """One batch. groups: each token's code, and the features whose rows the code tells; gradients are added up by code first."""
-        p = log_odds(self.weights, rows, self.bias)
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        p, sums, _ = exponentials(log_odds(self.weights, rows, self.bias))
+        p /= sums[:, None]
         p[np.arange(len(y)), y] -= 1
         for code, of in groups:
             order, cuts, count = grouped(code)
-            total, tokens_of = np.add.reduceat(p[order], cuts, axis=0), order[cuts]
+            total, tokens_of = run_sums(p, order, cuts, count), order[cuts]
             for f in of:
                 at = rows[f][tokens_of]
                 if len(of) == 1:
                     self.move(at, total, len(y))
                     self.seen[at] += count
                     continue
-                again, edges, _ = grouped(at)
+                again, edges, n = grouped(at)
                 at = at[again[edges]]
-                self.move(at, np.add.reduceat(total[again], edges, axis=0), len(y))
+                self.move(at, run_sums(total, again, edges, n), len(y))
                 self.seen[at] += np.add.reduceat(count[again], edges)
         if self.bias:
-            self.move(np.array([0]), p.sum(0, keepdims=True), len(y))
+            self.move(np.array([0]), np.einsum("ij->j", p)[None], len(y))
             self.seen[0] += len(y)
 
     def move(self, at: np.ndarray, gradient: np.ndarray, n: int) -> None:
-        gradient = gradient / n
-        square = self.square[at] + gradient * gradient * n
+        """One step for the rows `at`, each named once; the gradient's array is used up."""
+        gradient *= np.float32(1 / n)
+        square = gradient * gradient
+        square *= np.float32(n)
+        square += self.square.take(at, 0)
         self.square[at] = square
-        self.weights[at] -= RATE * gradient * math.sqrt(n) / np.sqrt(square)
+        gradient *= np.float32(RATE * math.sqrt(n))
+        gradient /= np.sqrt(square, out=square)
+        moved = self.weights.take(at, 0)
+        moved -= gradient
+        self.weights[at] = moved
 
 
 def train(docs: DataFrame, classes: Classes, id_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -302,10 +376,12 @@ def train(docs: DataFrame, classes: Classes, id_col: str) -> tuple[np.ndarray, n
                     part = [r[a : a + BATCH] for r in rows]
                     own[0].step(part, cls[a : a + BATCH], outer_groups(part))
                 shared = np.flatnonzero(cls >= OWN)
+                at, hit = classes.known.find(key[shared])
+                outcome = np.where(hit, classes.known.outcome[at], 0).astype(np.int64)
                 for a in range(0, len(shared), BATCH):
                     some = shared[a : a + BATCH]
                     part = inner_features([r[some] for r in rows], cls[some])
-                    own[1].step(part, classes.outcomes(key[some]), inner_groups(part))
+                    own[1].step(part, outcome[a : a + BATCH], inner_groups(part))
             for n, (m, a) in enumerate(pieces):
                 seen = own[m].seen[a : a + steps[m]]
                 if seen.any():
@@ -368,17 +444,18 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     common = binned.where(F.col("bin") >= least).select("h", "n").toPandas()
     frequent = np.sort(common["h"].to_numpy(np.int64)[common["n"].to_numpy() > 1].view(np.uint64))
     classes = classes_of(binned, (F.col("bin") >= least) & (F.col("n") > 1), frequent)
-    weights = train(learnt, classes, "id")
     # words with outcomes of their own go along, whatever their counts
     common_key, at = np.unique(np.r_[common["h"].to_numpy(np.int64).view(np.uint64), classes.named], return_index=True)
     common_n = np.r_[common["n"].to_numpy(np.float64), classes.named_n][at]
-    shipped = docs.sparkSession.sparkContext.broadcast((*weights, common_key, common_n))
+    classes.known = Known.of(common_key, common_n, classes.outcomes(common_key))
+    weights = train(learnt, classes, "id")
+    shipped = docs.sparkSession.sparkContext.broadcast(weights)
     rest = binned.where(F.col("bin") < least).select("h", F.col("n").alias("count"))
     log_rest = np.log10(np.maximum(classes.rest, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with sums for each text, and one for each of its distinct words that is not common."""
-        w, inner_w, known_key, known_n = shipped.value
+        w, inner_w = shipped.value
         for b in slices(batches, "text", 4 << 20):
             key, ending, offsets = tokens(b.column("text"))
             cls = classes.of(key, ending)
@@ -386,13 +463,12 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             class_part = np.zeros(len(cls))
             for a in range(0, len(cls), BATCH):
                 class_part[a : a + BATCH] = log_chance(log_odds(w, [r[a : a + BATCH] for r in rows_on]), cls[a : a + BATCH])
-            outcome, shared = classes.outcomes(key), np.flatnonzero(cls >= OWN)
+            at, hit = classes.known.find(key)
+            outcome, shared = np.where(hit, classes.known.outcome[at], 0).astype(np.int64), np.flatnonzero(cls >= OWN)
             for a in range(0, len(shared), BATCH):
                 some = shared[a : a + BATCH]
                 class_part[some] += log_chance(log_odds(inner_w, inner_features([r[some] for r in rows_on], cls[some]), bias=False), outcome[some])
-            at = np.minimum(np.searchsorted(known_key, key), max(len(known_key) - 1, 0))
-            hit = known_key[at] == key if len(known_key) else np.zeros(len(key), bool)
-            n = np.where(hit, known_n[at], 1.0) if len(known_key) else np.ones(len(key))
+            n = np.where(hit, classes.known.n[at], 1.0)
             base = np.where(hit, np.log10(n + 0.1), 0.0)
             inner = np.where(hit & (outcome < TAILS), np.log10(np.maximum(n - np.where(outcome == 0, classes.discount[cls], 0.0), 1e-9)) - log_rest[cls, np.minimum(outcome, TAILS - 1)], 0.0)
             row = b.column("row").to_numpy()

@@ -157,3 +157,33 @@ def test_gradients_added_up_by_group_are_those_of_each_feature():
             fast.step(x, y, groups)
             plain.step(x, y, [(r, (k,)) for k, r in enumerate(x)])
         assert np.allclose(fast.weights, plain.weights, atol=1e-5) and (fast.seen == plain.seen).all() and fast.seen.sum() == 3 * len(y) * (len(x) + bias)
+
+
+@pytest.mark.parametrize("codes", [1, 3, 40, 700, 5000])
+def test_sums_of_runs(codes):
+    rng = np.random.default_rng(codes)
+    code, x = rng.zipf(1.2, 6000) % codes, rng.normal(size=(6000, 5))
+    order, cuts, count = maxent.grouped(code)
+    got = maxent.run_sums(x, order, cuts, count)
+    for c, s in zip(code[order[cuts]], got, strict=True):
+        assert s == pytest.approx(x[code == c].sum(0), abs=1e-9)
+
+
+def test_known_words_are_found():
+    rng = np.random.default_rng(7)
+    # many hashes share the range of another one
+    key = np.unique(np.r_[rng.integers(0, 1 << 63, 500, np.uint64), np.uint64(5) << np.uint64(50) | rng.integers(0, 1 << 40, 300, np.uint64)])
+    known = maxent.Known.of(key, rng.integers(1, 50, len(key)).astype(float), np.arange(len(key)) % 200)
+    asked = np.r_[key, key + np.uint64(1), np.uint64(0), ~np.uint64(0)]
+    at, hit = known.find(asked)
+    assert (hit == np.isin(asked, key)).all() and (key[at[hit]] == asked[hit]).all()
+    assert not maxent.Known.of(key[:0], key[:0], key[:0]).find(asked)[1].any() and len(known.find(key[:0])[0]) == 0
+
+
+@pytest.mark.parametrize("shift", [0.0, 500.0, -500.0])
+def test_chances_of_large_and_small_odds(shift):
+    z = np.random.default_rng(1).normal(size=(9, 4)) * 3
+    z[:, 2] = maxent.NEVER
+    want = [(r[k % 2] - np.log(np.exp(r).sum())) / np.log(10) for k, r in enumerate(z)]
+    z[::2] += shift
+    assert maxent.log_chance(z, np.arange(9) % 2) == pytest.approx(want)
