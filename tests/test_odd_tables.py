@@ -25,7 +25,7 @@ def compared(spark, folder, name, **tables):
 CLASHING = {"l_orderkey": [k for k in range(40) for _ in range(3)], "l_linenumber": pa.array([1, 2, 4] * 40, pa.int32()), "l_partkey": [p for k in range(40) for p in (9901 + 7 * k, 7 * k, k)], "l_suppkey": [s for k in range(40) for s in (k + 2, k, k)]}
 
 
-@pytest.mark.parametrize("name", ["d10_surface", "d11_scenic", "d13_safety"])
+@pytest.mark.parametrize("name", ["d10_surface", "d11_scenic", "d13_safety", "d15_trails"])
 def test_elements_of_one_id_with_different_tags(spark, tmp_path, name):
     got, want = compared(spark, tmp_path, name, lineitem=CLASHING)
     assert got == want and len(want) == 4
