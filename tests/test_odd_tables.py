@@ -29,3 +29,15 @@ CLASHING = {"l_orderkey": [k for k in range(40) for _ in range(3)], "l_linenumbe
 def test_elements_of_one_id_with_different_tags(spark, tmp_path, name):
     got, want = compared(spark, tmp_path, name, lineitem=CLASHING)
     assert got == want and len(want) == 4
+
+
+def test_elements_meet_each_place_once(spark):
+    """Routes that stop at the same places share their distances: what meets grows with the places, not with routes."""
+    from ridgeline.operators import routes
+
+    points = spark.createDataFrame([(r, k, k * 0.01, 0.0) for r in range(200) for k in range(12)], "route_id long, seq int, lat double, lng double")
+    rows = [(e, "way", [(e % 12 * 0.01, 0.0), (e % 12 * 0.01, 0.0001)], "path", None, None, None, "hiking") for e in range(600)]
+    elements = spark.createDataFrame(rows, "element_id long, kind string, line array<struct<lat:double,lng:double>>, highway string, `natural` string, landuse string, leisure string, route string")
+    covered, members = routes.grouped_along(points, elements)
+    assert covered.count() == 2 * 200 * 12 and members.count() == 2 * 600 and members.select("search", "group").distinct().count() == 2 * 12
+    assert routes.along(points, elements).count() == 2 * 200 * 600
