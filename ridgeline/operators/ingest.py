@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,13 +106,12 @@ def recordings(samples: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_pairs(existing: DataFrame, new: DataFrame, tolerance_s: int = 300) -> DataFrame:
-    """existing_id, new_id: rides of one athlete that start within tolerance_s and agree in duration or distance.
+def close_rides(existing: DataFrame, new: DataFrame, tolerance_s: int, columns: Sequence[str]) -> DataFrame:
+    """The columns, as e_ and n_, of rides of one athlete that start within tolerance_s and agree in duration or distance.
 
     The limits are parts of the existing ride's values, so the test is not symmetric. Starts are cut into buckets of four
     times tolerance_s; a new ride looks into the one or two buckets that lie within the tolerance, so the join is an equi-join.
     """
-    columns = ("id", "athlete_id", "date", "duration_s", "distance_m")
     old = existing.select(*(F.col(c).alias("e_" + c) for c in columns))
     reach = tolerance_s * 1_000_000
     bucket = lambda c, by=0: F.floor((micros(c) + by) / F.lit(4 * reach)).cast("long")
@@ -120,7 +121,16 @@ def duplicate_pairs(existing: DataFrame, new: DataFrame, tolerance_s: int = 300)
     starts = F.abs(micros("e_date") - micros("n_date")) < tolerance_s * 1_000_000
     lasts = F.abs(F.col("e_duration_s") - F.col("n_duration_s")) < F.greatest(F.lit(300.0), F.col("e_duration_s") * F.lit(0.15))
     goes = (F.col("e_distance_m") > 0) & (F.col("n_distance_m") > 0) & (F.abs(F.col("e_distance_m") - F.col("n_distance_m")) < F.col("e_distance_m") * F.lit(0.10))
-    return both.where(starts & (lasts | goes) & (F.col("e_id") != F.col("n_id"))).select(F.col("e_id").alias("existing_id"), F.col("n_id").alias("new_id"))
+    return both.where(starts & (lasts | goes) & (F.col("e_id") != F.col("n_id")))
+
+
+#: What close_rides() compares.
+COMPARED = ("id", "athlete_id", "date", "duration_s", "distance_m")
+
+
+def duplicate_pairs(existing: DataFrame, new: DataFrame, tolerance_s: int = 300) -> DataFrame:
+    """existing_id, new_id of close_rides()."""
+    return close_rides(existing, new, tolerance_s, COMPARED).select(F.col("e_id").alias("existing_id"), F.col("n_id").alias("new_id"))
 
 
 def ride_richness(p: str = "") -> Column:
@@ -137,9 +147,22 @@ def merged_pairs(pairs: DataFrame, rides: DataFrame) -> DataFrame:
     """
     old = rides.select(*(F.col(c).alias("e_" + c) for c in rides.columns))
     new = rides.select(*(F.col(c).alias("n_" + c) for c in rides.columns))
+    return outcomes(pairs.join(old, pairs["existing_id"] == F.col("e_id")).join(new, F.col("new_id") == F.col("n_id")))
+
+
+def merged_duplicates(existing: DataFrame, new: DataFrame, tolerance_s: int = 300) -> DataFrame:
+    """merged_pairs() of duplicate_pairs(): rides bring their measures to the join by start, the pairs are not dealt out again."""
+    return outcomes(close_rides(existing, new, tolerance_s, (*COMPARED, "elevation_m", *(c for c in MEASURES if c not in COMPARED))))
+
+
+#: The measures of a pair's outcome.
+MEASURES = ("avg_hr", "max_hr", "avg_power", "max_power", "avg_cadence", "calories", "suffer_score", "distance_m", "duration_s")
+
+
+def outcomes(both: DataFrame) -> DataFrame:
+    """merged_pairs() of rows with the columns of both rides, as e_ and n_."""
     zero = F.lit(0)
     old_score = richness(*(F.coalesce(F.col("e_" + n), zero) for n in ("avg_power", "avg_hr", "distance_m")), zero, zero, zero)
-    both = pairs.join(old, pairs["existing_id"] == F.col("e_id")).join(new, F.col("new_id") == F.col("n_id"))
     wins = ride_richness("n_") >= old_score
 
     def value(c: str) -> Column:
@@ -147,8 +170,7 @@ def merged_pairs(pairs: DataFrame, rides: DataFrame) -> DataFrame:
         keep = F.coalesce("e_" + c, "n_" + c) if c in ("suffer_score", "calories", "avg_hr", "avg_power", "max_hr", "max_power", "avg_cadence") else F.col("e_" + c)
         return F.when(wins, take_over).otherwise(keep).alias(c)
 
-    measures = ("avg_hr", "max_hr", "avg_power", "max_power", "avg_cadence", "calories", "suffer_score", "distance_m", "duration_s")
-    return both.select("existing_id", "new_id", F.when(wins, F.col("n_id")).otherwise(F.col("e_id")).alias("id"), wins.alias("new_wins"), *map(value, measures))
+    return both.select(F.col("e_id").alias("existing_id"), F.col("n_id").alias("new_id"), F.when(wins, F.col("n_id")).otherwise(F.col("e_id")).alias("id"), wins.alias("new_wins"), *map(value, MEASURES))
 
 
 def upserted(table: DataFrame, new: DataFrame, key: str = "id", keep: tuple[str, ...] = ("date",)) -> DataFrame:

@@ -88,7 +88,7 @@ def h8_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def h9_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rides(spark, sf_dir)
-    return ingest.merged_pairs(ingest.duplicate_pairs(r, r, 7200), r)
+    return ingest.merged_duplicates(r, r, 7200)
 
 
 def i5_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
