@@ -189,11 +189,17 @@ class StringKernelMachine:
         size = (rows > 0).sum(1)
         marks = [m[m > 0] for m in self.landmarks]
         passed = np.zeros((len(rows), len(marks)), bool)
+        held = np.array([np.bincount(m, minlength=_CODES)[1:] for m in marks], np.float32).reshape(-1, _CODES - 1).T
         order = np.argsort(size)  # short rows need few steps
         for at in np.array_split(order, max(1, len(order) >> 13)):
             block = rows[at]
+            present = np.zeros((len(block), _CODES), np.float32)
+            present[np.arange(len(block))[:, None], block] = 1
+            shared = present[:, 1:] @ held  # of a landmark's letters, those that occur in the row at all
             for k, m in enumerate(marks):
-                passed[at, k] = common(block, m) >= np.ceil(GATE * len(m))
+                need = np.ceil(GATE * len(m))
+                some = np.flatnonzero((shared[:, k] >= need) & (size[at] >= need))
+                passed[at[some], k] = common(block[some], m) >= need
         live = np.flatnonzero(passed.any(1))
         if not len(live):
             return live, np.zeros((0, len(marks)))
