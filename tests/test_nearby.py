@@ -61,3 +61,44 @@ def test_waypoints_plan_reads_candidates_once(spark):
     """What follows the written candidates reads them once a round, without cross joins; the names of the chosen ones come from three tables."""
     plan = journeys.f7_request_waypoints(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("ExistingRDD") <= 3 and plan.count("Relation") == 3 and "Join Cross" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_elements_along_routes_by_brute_force(spark, monkeypatch, few):
+    """Long lines, high latitudes; places that are broadcast and places that are not."""
+    import math
+
+    from ridgeline.operators import routes
+
+    monkeypatch.setattr(routes, "BROADCAST_CELLS", few)
+    rng = random.Random(11)
+    points = [(r, k, lat + rng.uniform(-0.01, 0.01), rng.uniform(-0.02, 0.02)) for r, lat in enumerate((0.0, 45.0, -70.0)) for k in range(12)]
+    around = lambda p, d: (p[2] + rng.uniform(-d, d), p[3] + rng.uniform(-3 * d, 3 * d))
+    lines = [(e, [around(rng.choice(points), 0.004) for _ in range(rng.choice((1, 2, 3)))]) if e % 3 else (e, [around(rng.choice(points), 0.03), around(rng.choice(points), 0.03)]) for e in range(300)]
+    lines = [(e, line) for e, line in lines if max(abs(p[0] - line[0][0]) for p in line) < 1]
+    elements = spark.createDataFrame([(e, "way", line, "path", "wood", None, None, None) for e, line in lines], "element_id long, kind string, line array<struct<lat:double,lng:double>>, highway string, `natural` string, landuse string, leisure string, route string")
+    got = routes.along(spark.createDataFrame(points, "route_id long, seq int, lat double, lng double"), elements)
+
+    def away(p, a, b):
+        shrink = 111.0 * math.cos(math.radians(p[2]))
+        y, x, dy, dx = (p[2] - a[0]) * 111.0, (p[3] - a[1]) * shrink, (b[0] - a[0]) * 111.0, (b[1] - a[1]) * shrink
+        t = min(1.0, max(0.0, (x * dx + y * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.hypot(x - t * dx, y - t * dy)
+
+    near = lambda p, line, km: any(away(p, a, b) <= km for a, b in zip(line, line[1:] or line, strict=False))
+    want = {(s, p[0], e) for p in points for e, line in lines for s, km in (("surface", 0.03), ("safety", 0.03), ("scenery", 0.2)) if near(p, line, km)}
+    found = [(r["search"], r["route_id"], r["element_id"]) for r in got.collect()]
+    assert sorted(found) == sorted(want) and len(want) > 50
+
+
+def test_few_far_elements_are_measured(spark, monkeypatch):
+    """A place is compared with the elements of its own surroundings, and elements are not repeated by cell."""
+    from ridgeline.operators import routes
+
+    compared, met = [], nearby.met
+    monkeypatch.setattr(nearby, "met", lambda *a, **k: compared.append(met(*a, **k)) or compared[-1])
+    points = spark.createDataFrame([(1, k, 38.705, -9.145) for k in range(12)], "route_id long, seq int, lat double, lng double")
+    rows = [(i * 100 + j, "way", [(38.69 + i * 0.0003, -9.16 + j * 0.0003)], "path", None, None, None, None) for i in range(100) for j in range(100)]
+    elements = spark.createDataFrame(rows, "element_id long, kind string, line array<struct<lat:double,lng:double>>, highway string, `natural` string, landuse string, leisure string, route string")
+    assert routes.along(points, elements).count() > 0
+    assert compared[0].count() < 1_500  # of 10,000 elements; two searches
