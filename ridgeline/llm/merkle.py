@@ -95,6 +95,35 @@ class Supersteps:
             remove(self.spark, folder)
 
 
+def dealt(pairs: RDD, tasks: int) -> RDD:
+    """pairs by key. Partitions of a shuffle are put together before Python sees them: one pass of a worker a task, however many there are."""
+    return pairs.partitionBy(tasks).coalesce(tasks)
+
+
+def gathered(pairs: RDD, tasks: int) -> RDD:
+    """(key, list) with the lists of a key put together; a task holds its share of a level."""
+
+    def merge(items):
+        found = {}
+        for key, some in items:
+            found.setdefault(key, []).extend(some)
+        return iter(found.items())
+
+    return dealt(pairs.mapPartitions(merge), tasks).mapPartitions(merge)
+
+
+def matched(a: RDD, b: RDD, tasks: int) -> RDD:
+    """(key, (value of a, value of b)) of all pairs that share a key."""
+
+    def match(items):
+        found = {}
+        for key, (side, value) in items:
+            found.setdefault(key, ([], []))[side].append(value)
+        return ((key, (v, w)) for key, (x, y) in found.items() for v in x for w in y)
+
+    return dealt(a.map(lambda p: (p[0], (0, p[1]))).union(b.map(lambda p: (p[0], (1, p[1])))), tasks).mapPartitions(match)
+
+
 def parents(nodes: RDD, tasks: int) -> RDD:
     """One superstep upwards. Small levels have few tasks, whatever the number of partitions they are shuffled by."""
 
@@ -112,7 +141,7 @@ def parents(nodes: RDD, tasks: int) -> RDD:
         data = None if children[0][3] is None else [c[3] for c in children]
         return (tree, place), (math.ceil(n / FAN), sha(digests), digests, data)
 
-    return nodes.filter(lambda v: v[1][0] > 1).map(message).reduceByKey(lambda a, b: a + b, tasks).coalesce(tasks).map(complete)
+    return gathered(nodes.filter(lambda v: v[1][0] > 1).map(message), tasks).map(complete)
 
 
 def others(digests: bytes, slot: int) -> bytes:
@@ -127,7 +156,7 @@ def paths_down(level: RDD, inbox: RDD, tasks: int) -> RDD:
         for slot in range(len(digests) // 32):
             yield (tree, FAN * place + slot), (of, [(slot, others(digests, slot)), *path])
 
-    return level.join(inbox, tasks).coalesce(tasks).flatMap(tell)
+    return matched(level, inbox, tasks).flatMap(tell)
 
 
 def starts_at(starts: RDD, height: int) -> RDD:
@@ -182,7 +211,7 @@ def manifest(docs: DataFrame, changed: Column, fields: Sequence[str] = FIELDS, i
     inbox = starts_at(spark.sparkContext.parallelize([("", (len(top_levels), (None, [])))], 1), len(top_levels))
     for k, level in zip(range(len(top_levels), 0, -1), reversed(top_levels), strict=True):
         inbox = paths_down(level, inbox, steps.tasks(trees / FAN**k))
-    told = subroots.join(inbox, steps.tasks(trees)).coalesce(steps.tasks(trees))
+    told = matched(subroots, inbox, steps.tasks(trees))
     # (tree, (height, (subroot, path)))
     starts = steps.settled(told.map(lambda v: (v[1][0][2][0], (v[1][0][2][1], (v[1][0][1], v[1][1][1])))))
 
@@ -202,9 +231,9 @@ def manifest(docs: DataFrame, changed: Column, fields: Sequence[str] = FIELDS, i
         inbox = here if inbox is None else inbox.union(here)
         if k > 1:
             inbox = steps.settled(paths_down(levels[k - 1], inbox, steps.tasks(size["count"] / FAN**k)))
-    alone = single.join(starts_at(starts, 0), steps.tasks(trees)).coalesce(steps.tasks(trees)).map(lambda v: shown(v[1][1][0], v[1][0][1], v[1][0][2], v[1][1][1]))
+    alone = matched(single, starts_at(starts, 0), steps.tasks(trees)).map(lambda v: shown(v[1][1][0], v[1][0][1], v[1][0][2], v[1][1][1]))
     groups = steps.tasks(size["count"] / FAN)
-    grouped = levels[0].join(inbox, groups).coalesce(groups).map(lambda v: ((v[0], v[1][0]), v[1][1])).flatMap(leaves_of) if levels else None
+    grouped = matched(levels[0], inbox, groups).map(lambda v: ((v[0], v[1][0]), v[1][1])).flatMap(leaves_of) if levels else None
     found = kept(spark.createDataFrame(alone if grouped is None else alone.union(grouped), shape))
     steps.done()
     let_go(rows, top)

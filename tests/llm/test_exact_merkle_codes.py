@@ -267,3 +267,13 @@ def test_tables_are_let_go(spark):
     for name in ("op11_heap_lloyd", "op12_merkle_manifest", "op13_exact_duplicates"):
         entries.QUERIES[name](spark, DATA).count()
     assert len(set(folder.iterdir()) - before) == 3
+
+
+def test_python_sees_partitions_that_are_put_together(spark):
+    """One pass of a worker a task, not one for each partition of the shuffle."""
+    nodes = spark.sparkContext.parallelize([(("t", k), (64, bytes(32), None)) for k in range(64)], 2)
+    level = merkle.parents(nodes, 1)
+    between = level.toDebugString().decode().split("CoalescedRDD")[1].split("ShuffledRDD")[0]
+    assert "PythonRDD[" not in between and level.count() == 8
+    some = spark.sparkContext.parallelize([(k % 5, k) for k in range(20)], 3)
+    assert sorted(merkle.matched(some, some, 2).collect()) == sorted(some.join(some).collect())
