@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, parse, training, weather
 from ..functions.rounding import half_even
+from . import nearby
 from .history import suggested_routes
+from .waypoints import BROADCAST_ANSWERS, answered
 
 GOOD_DAY, GOOD_DAYS = 60, 3
 #: How much longer a route is than the straight line, and what the routing service is asked for by surface.
@@ -111,19 +113,13 @@ def sized(requests: DataFrame, form: DataFrame, speeds: DataFrame, by: str = "at
     return rows.withColumn("target_km", target).withColumn("minutes", lasts.cast("int")).withColumn("km", training.fitted_distance(F.col("target_km"), F.col("tsb"))).withColumn("straight", straight)
 
 
-def waypoint_arrays(chosen: DataFrame) -> DataFrame:
-    """request, points (array<struct<lat, lng>>), names: the waypoints of for_requests() by request, in their order."""
-    lists = chosen.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("place", "lat", "lng", "name"))).alias("p"))
-    return lists.select("request", F.transform("p", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("points"), F.transform("p", lambda p: p["name"]).alias("names"))
-
-
-def planned(requests: DataFrame, form: DataFrame, speeds: DataFrame, days: DataFrame, as_of: Column, by: str = "athlete_id", chosen: DataFrame | None = None) -> DataFrame:
+def planned(requests: DataFrame, form: DataFrame, speeds: DataFrame, days: DataFrame, as_of: Column, by: str = "athlete_id", answers: DataFrame | None = None) -> DataFrame:
     """Requests for a ride, worked out: distance, time, day, weather, name, and what the routing service is asked for.
 
     requests: id, athlete_id, duration, distance, surface, day, clock (texts), start and destination (struct<lat, lng>),
     destination_name, loop, safety, waypoints (array<struct<lat, lng>>, null without). form: athlete_id, tsb. speeds: as of
-    usual_speeds. days: scored days. Without a distance, duration or destination `error` tells so. chosen: the waypoints of
-    waypoints.for_requests(), for requests that name none. Towards a destination that is nearer than the wanted distance the
+    usual_speeds. days: scored days. Without a distance, duration or destination `error` tells so. answers: the
+    waypoints.answers() to requests that name none (with a column `explore`). Towards a destination that is nearer than the wanted distance the
     route makes detours instead. The waypoints' names end the ride's name.
     """
     surface, destination = F.col("surface"), F.col("destination")
@@ -131,10 +127,11 @@ def planned(requests: DataFrame, form: DataFrame, speeds: DataFrame, days: DataF
     detours = geo.corridor_points((F.col("start.lat"), F.col("start.lng")), (F.col("destination.lat"), F.col("destination.lng")), F.col("km"), F.col("straight") * F.lit(ROAD_FACTOR))
     points = F.when(destination.isNotNull(), detours)
     via = F.lit("")
-    if chosen is not None:
-        rows = rows.join(waypoint_arrays(chosen), F.col("id") == F.col("request"), "left")
-        points = F.coalesce(F.when(F.size(points) > 0, points), F.col("points"))
-        via = F.when(F.col("waypoints").isNull() & (F.size("names") > 0), F.concat(F.lit(" via "), F.array_join("names", ", "))).otherwise("")
+    if answers is not None:
+        rows = answered(rows, nearby.small(answers, BROADCAST_ANSWERS), {"athlete_id": F.col(by), "lat": F.col("start.lat"), "lng": F.col("start.lng"), "km": F.col("km"), "explore": F.col("explore")})
+        found = F.transform("chosen", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng")))
+        points = F.coalesce(F.when(F.size(points) > 0, points), found)
+        via = F.when(F.col("waypoints").isNull() & (F.size("chosen") > 0), F.concat(F.lit(" via "), F.array_join("chosen.name", ", "))).otherwise("")
     points = F.coalesce("waypoints", points)
     title = F.initcap(surface)
     named = F.coalesce(

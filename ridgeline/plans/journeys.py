@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.rounding import half_even
-from ..operators import fitness, history, metrics, planning, waypoints
+from ..operators import fitness, history, metrics, nearby, planning, waypoints
 from ..sources import driver_tables as tables
+from ..sources.scratch import settled
 from ..streaming import sync
 from . import oracle_tables as sql
 from .places import APART, FREE, HOME, PI, WEEK, away, cases
-from .rides import FITNESS, days, rides
+from .rides import ATHLETES_AT_ONCE, FITNESS, days, rides
 
 
 def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,26 +32,35 @@ def l_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(spark, sf_dir).select("id", "athlete_id", "target_km", "km", "minutes", "form", "ride_date", "clock", "name", "error", "weather", "weather_score", F.col("costing.costing").alias("costing"), F.col("costing.bicycle_type").alias("bicycle_type"), F.col("costing.use_roads").alias("use_roads"), F.col("costing.use_hills").alias("use_hills"), F.size("locations").alias("stops"))
 
 
-def request_waypoints(spark: SparkSession, sf_dir: str, asks: DataFrame) -> DataFrame:
+def form_and_speeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A row an athlete each, worked out once: all reads of the requests see the same values, and are not dealt out by athlete while these are few."""
+    form, speeds = settled(fitness.latest(days(spark, sf_dir))), settled(history.usual_speeds(rides(spark, sf_dir)))
+    return nearby.small(form, ATHLETES_AT_ONCE), nearby.small(speeds, ATHLETES_AT_ONCE)
+
+
+def request_waypoints(spark: SparkSession, sf_dir: str, asks: DataFrame, found: Callable[..., DataFrame] = waypoints.for_requests) -> DataFrame:
     """Waypoints for all requests (as sized) from the places, segments and highlights around their own starts."""
     s = tables.samples(spark, sf_dir)
     ridden = history.ridden_cells(s, tables.sample_rides(s).withColumn("athlete_id", F.col("id") % tables.ATHLETES), F.lit("2024-01-31").cast("date"))
     rows = asks.where(F.col("waypoints").isNull()).select(F.col("id").alias("request"), "athlete_id", F.col("start.lat").alias("lat"), F.col("start.lng").alias("lng"), "km", "explore")
-    return waypoints.for_requests(rows, tables.places(spark, sf_dir), tables.segments(spark, sf_dir), tables.highlights(spark, sf_dir), ridden, tables.zones(spark, sf_dir))
+    return found(rows, tables.places(spark, sf_dir), tables.segments(spark, sf_dir), tables.highlights(spark, sf_dir), ridden, tables.zones(spark, sf_dir))
 
 
 def f7_request_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    form, speeds = fitness.latest(days(spark, sf_dir)), history.usual_speeds(rides(spark, sf_dir))
+    form, speeds = form_and_speeds(spark, sf_dir)
     chosen = request_waypoints(spark, sf_dir, planning.sized(tables.travelling_requests(spark, sf_dir), form, speeds))
     return chosen.select("request", "place", "origin", "id", "name", "reason", half_even(F.col("score"), 6).alias("score"))
 
 
 def l_plan_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that name no waypoints get those of their surroundings; `route`: what the routing service is asked to connect."""
+    """Requests that name no waypoints get those of their surroundings; `route`: what the routing service is asked to connect.
+
+    Requests are read twice, first for what they ask; nothing is dealt out or written by request.
+    """
     asked = tables.travelling_requests(spark, sf_dir)
-    form, speeds = fitness.latest(days(spark, sf_dir)), history.usual_speeds(rides(spark, sf_dir))
-    chosen = request_waypoints(spark, sf_dir, planning.sized(asked, form, speeds))
-    plans = planning.planned(asked, form, speeds, scored_days(spark, sf_dir), F.col("as_of"), chosen=chosen)
+    form, speeds = form_and_speeds(spark, sf_dir)
+    answers = request_waypoints(spark, sf_dir, planning.sized(asked, form, speeds), waypoints.answers)
+    plans = planning.planned(asked, form, speeds, scored_days(spark, sf_dir), F.col("as_of"), answers=answers)
     route = F.array_join(F.transform("locations", lambda p: F.format_string("%.5f,%.5f", p["lat"], p["lng"])), " ")
     return plans.select("id", "athlete_id", "km", "name", "error", route.alias("route"))
 

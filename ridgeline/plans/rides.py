@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import training
 from ..functions.rounding import half_even
-from ..operators import arrival, fitness, history, ingest, metrics
+from ..operators import arrival, fitness, history, ingest, metrics, nearby
 from ..sources import driver_tables as tables
+from ..sources.scratch import settled
 from . import oracle_tables as sql
 
 AS_OF, AS_OF_SAMPLES = "2001-08-31", "2024-02-15"
+#: Athletes whose limits, form and speeds (about 50 bytes each) are broadcast at most.
+ATHLETES_AT_ONCE = 200_000
 
 
 def day(text: str) -> Column:
@@ -25,12 +28,13 @@ def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rides with the stress of their mean power or heart rate, by each athlete's thresholds."""
     r = rides(spark, sf_dir)
-    limits = metrics.threshold_hr(r).withColumn("ftp", F.lit(200))
+    # few athletes' limits are broadcast: rides are not dealt out to so few keys
+    limits = nearby.small(settled(metrics.threshold_hr(r)), ATHLETES_AT_ONCE).withColumn("ftp", F.lit(200))
     return metrics.with_stress(r.join(limits, "athlete_id").withColumn("np", F.lit(None).cast("double")).withColumn("ride_ftp", F.lit(None).cast("double")))
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fitness.fitness(fitness.daily(stressed(spark, sf_dir)), day(AS_OF))
+    return fitness.fitness(settled(fitness.daily(stressed(spark, sf_dir))), day(AS_OF))
 
 
 # ---- ingest

@@ -69,3 +69,13 @@ def test_merged_duplicates_join_once(spark):
     assert rides.h9_merge(spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     r = rides.rides(spark, DATA)
     assert sorted(ingest.merged_duplicates(r, r, 7200).collect()) == sorted(ingest.merged_pairs(ingest.duplicate_pairs(r, r, 7200), r).collect())
+
+
+def test_plans_are_not_dealt_out_by_request(spark):
+    """Requests meet the answers to what they ask, each once, and their athletes' values, by broadcasts: no shuffle grows with the requests' texts."""
+    from ridgeline.plans import journeys
+
+    from .test_queries import DATA
+
+    plan = journeys.l_plan_waypoints(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(id#" not in plan and "hashpartitioning(athlete_id#" not in plan
