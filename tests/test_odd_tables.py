@@ -79,3 +79,13 @@ def test_plans_are_not_dealt_out_by_request(spark):
 
     plan = journeys.l_plan_waypoints(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning(id#" not in plan and "hashpartitioning(athlete_id#" not in plan
+
+
+def test_scenery_without_a_route(spark, tmp_path):
+    """Elements whose route is null have a row of their own, as in the SQL; elements are counted once."""
+    orders = [None if k % 3 == 0 else k for k in CLASHING["l_orderkey"]]
+    got, want = compared(spark, tmp_path, "d11_scenic", lineitem={**CLASHING, "l_orderkey": pa.array(orders, pa.int64())})
+    assert got == want and len(want) == 5
+    from ridgeline.plans import places
+
+    assert "Join" not in places.d11_scenic(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
