@@ -89,3 +89,15 @@ def test_scenery_without_a_route(spark, tmp_path):
     from ridgeline.plans import places
 
     assert "Join" not in places.d11_scenic(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+#: A line number comes twice in each order; three parts further and 303 suppliers back, its element has the same id and other tags.
+LINE_TWICE = {"l_orderkey": [k for k in range(40) for _ in range(2)], "l_linenumber": pa.array([1, 1] * 40, pa.int32()), "l_partkey": [p for k in range(40) for p in (4 * (k // 10) + 1, 4 * (k // 10) + 4)], "l_suppkey": [s for k in range(40) for s in (303 + k, k)]}
+NO_ORDER = {**LINE_TWICE, "l_orderkey": pa.array([None if k % 3 == 0 else k for k in LINE_TWICE["l_orderkey"]], pa.int64())}
+
+
+@pytest.mark.parametrize("name", ["d13_safety"])
+@pytest.mark.parametrize("lineitem, routes", [(LINE_TWICE, 4), (NO_ORDER, 5)], ids=["line_twice", "no_order"])
+def test_line_items_of_one_line_number(spark, tmp_path, name, lineitem, routes):
+    got, want = compared(spark, tmp_path, name, lineitem=lineitem)
+    assert got == want and len(want) == routes
