@@ -96,8 +96,17 @@ LINE_TWICE = {"l_orderkey": [k for k in range(40) for _ in range(2)], "l_linenum
 NO_ORDER = {**LINE_TWICE, "l_orderkey": pa.array([None if k % 3 == 0 else k for k in LINE_TWICE["l_orderkey"]], pa.int64())}
 
 
-@pytest.mark.parametrize("name", ["d13_safety"])
+@pytest.mark.parametrize("name", ["d13_safety", "d15_trails"])
 @pytest.mark.parametrize("lineitem, routes", [(LINE_TWICE, 4), (NO_ORDER, 5)], ids=["line_twice", "no_order"])
 def test_line_items_of_one_line_number(spark, tmp_path, name, lineitem, routes):
     got, want = compared(spark, tmp_path, name, lineitem=lineitem)
     assert got == want and len(want) == routes
+
+
+def test_trails_do_not_deal_out_elements(spark, tmp_path):
+    """Labels are made distinct as they are: neither ids nor other tags are read or compared for them."""
+    from ridgeline.plans import places
+
+    pq.write_table(pa.table(LINE_TWICE), f"{tmp_path}/lineitem.parquet")
+    plan = places.d15_trails(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "element_id" not in plan and "highway" not in plan
