@@ -83,9 +83,13 @@ def bests(rides: DataFrame, as_of: Column, days: int = 90, by: str = "athlete_id
 
 
 def with_km(samples: DataFrame) -> DataFrame:
-    """Samples with `km`: the whole kilometres ridden before each (one second a row)."""
+    """Samples with `km`: the whole kilometres ridden before each (one second a row).
+
+    Speeds count in whole millionths of a km/h: sums of doubles fall short of kilometres that are reached exactly.
+    """
     order = Window.partitionBy("activity_id").orderBy("time_offset").rowsBetween(Window.unboundedPreceding, 0)
-    return samples.withColumn("km", F.floor(F.sum(F.coalesce("speed_kmh", F.lit(0.0))).over(order) / F.lit(3600.0)))
+    speed = F.coalesce(F.rint(F.col("speed_kmh") * F.lit(1e6)).try_cast("long"), F.lit(0).cast("long"))
+    return samples.withColumn("km", F.floor(F.try_sum(speed).over(order) / F.lit(3_600_000_000)))
 
 
 def zones_by_km(samples: DataFrame, ftp: Column, threshold_hr: Column, overall: bool = False) -> DataFrame:

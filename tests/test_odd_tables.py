@@ -110,3 +110,14 @@ def test_trails_do_not_deal_out_elements(spark, tmp_path):
     pq.write_table(pa.table(LINE_TWICE), f"{tmp_path}/lineitem.parquet")
     plan = places.d15_trails(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan and "element_id" not in plan and "highway" not in plan
+
+
+#: A ride of one athlete at 30.6 km/h: 17 km are reached with its 2,000th second; doubles added one by one fall short of them.
+STEADY = {"event_id": list(range(2100)), "ts": pa.array([1_704_067_200_000_000 + k * 1_000_000 for k in range(2100)], pa.timestamp("us")), "user_id": [1] * 2100, "event_type": ["purchase"] * 2100, "value": [15.65] * 2100, "props": ['{"k": 10}'] * 2100}
+
+
+def test_zones_of_kilometres_that_are_reached_exactly(spark, tmp_path):
+    got, want = compared(spark, tmp_path, "k6_zones", events=STEADY)
+    assert got == want
+    seconds = [sum(k * 306 // 36000 == km for k in range(1, 2101)) for km in range(18)]
+    assert sorted(r["seconds"] for r in catalog.QUERIES["k6_zones"](spark, str(tmp_path)).where("measure = 'power'").collect()) == sorted(seconds)
