@@ -121,3 +121,12 @@ def test_zones_of_kilometres_that_are_reached_exactly(spark, tmp_path):
     assert got == want
     seconds = [sum(k * 306 // 36000 == km for k in range(1, 2101)) for km in range(18)]
     assert sorted(r["seconds"] for r in catalog.QUERIES["k6_zones"](spark, str(tmp_path)).where("measure = 'power'").collect()) == sorted(seconds)
+
+
+def test_splits_of_kilometres_that_are_reached_exactly(spark, tmp_path):
+    """The last second of a kilometre counts for the next one: 117 or 118 seconds each, and their ranks follow."""
+    got, want = compared(spark, tmp_path, "k8_splits", events=STEADY)
+    assert got == want
+    found = {r["km"]: (r["seconds"], r["slowest"]) for r in catalog.QUERIES["k8_splits"](spark, str(tmp_path)).collect()}
+    seconds = {km: sum(k * 306 // 36000 == km for k in range(1, 2101)) for km in range(18)}
+    assert found == {km: (n, 1 + sum(m > n for m in seconds.values())) for km, n in seconds.items()}
