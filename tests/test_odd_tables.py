@@ -130,3 +130,26 @@ def test_splits_of_kilometres_that_are_reached_exactly(spark, tmp_path):
     found = {r["km"]: (r["seconds"], r["slowest"]) for r in catalog.QUERIES["k8_splits"](spark, str(tmp_path)).collect()}
     seconds = {km: sum(k * 306 // 36000 == km for k in range(1, 2101)) for km in range(18)}
     assert found == {km: (n, 1 + sum(m > n for m in seconds.values())) for km, n in seconds.items()}
+
+
+def test_every_place_of_every_route_is_looked_around(spark):
+    """A route of 3 points, and one of 200 that has its only elements near the last: all of them are found by each search."""
+    from ridgeline.operators import routes
+
+    points = spark.createDataFrame([(1, k, k * 0.01, 0.0) for k in range(3)] + [(2, k, min(k, 199) * 0.01, 1.0) for k in range(200)], "route_id long, seq int, lat double, lng double")
+    rows = [(e, kind, [(k * 0.01, at), (k * 0.01, at + 0.0001)], "path", "wood", None, None, "bicycle") for e, (kind, k, at) in enumerate([("way", 2, 0.0), ("relation", 1, 0.0), ("way", 199, 1.0), ("relation", 199, 1.0), ("way", 131, 1.0), ("way", 205, 1.0)])]
+    elements = spark.createDataFrame(rows, "element_id long, kind string, line array<struct<lat:double,lng:double>>, highway string, `natural` string, landuse string, leisure string, route string")
+    found = sorted((r["search"], r["route_id"], r["element_id"]) for r in routes.along(points, elements).collect())
+    ways = [(1, 0), (2, 2), (2, 4)]
+    assert found == sorted([(s, *w) for s in ("surface", "safety", "scenery") for w in ways] + [("trails", 1, 1), ("trails", 2, 3)])
+
+
+#: Events of a user, of none, and of one with few of them.
+RIDDEN = {"event_id": list(range(124)), "ts": pa.array([1_704_067_200_000_000 + k * 1_000_000 for k in range(124)], pa.timestamp("us")), "user_id": [1] * 90 + [None] * 27 + [2] * 7, "event_type": ["purchase", "click", "view"] * 41 + ["view"], "value": [15.65] * 124, "props": ['{"k": 10}'] * 124}
+
+
+def test_elements_along_whole_routes(spark, tmp_path):
+    """Also where ids of line items clash."""
+    items = {**CLASHING, "l_orderkey": [k for k in range(12000) for _ in range(3)], "l_linenumber": pa.array([1, 2, 4] * 12000, pa.int32()), "l_partkey": [p for k in range(12000) for p in (9901 + 7 * k, 7 * k, k)], "l_suppkey": [s for k in range(12000) for s in (k + 2, k, k)]}
+    got, want = compared(spark, tmp_path, "g2_along_route", events=RIDDEN, lineitem=items)
+    assert got == want and len(want) > 400 and {r[2] for r in want} == {1, 2, None}
