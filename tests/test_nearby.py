@@ -63,6 +63,31 @@ def test_waypoints_plan_reads_candidates_once(spark):
     assert plan.count("LogicalRDD") + plan.count("ExistingRDD") <= 3 and plan.count("Relation") == 3 and "Join Cross" not in plan
 
 
+@pytest.mark.parametrize("each", [7, 500])
+def test_lists_hold_all_pairs_once(spark, each):
+    """A key that most rows share, rows that are alike, a null; no list gets long."""
+    a = spark.createDataFrame([(k % 20 and 1, k) for k in range(300)] + [(9, 9)], "key long, a long")
+    b = spark.createDataFrame([(k % 10 and 1, k // 2, None if k % 3 else "x") for k in range(200)] + [(8, 8, "y")], "key long, b long, c string")
+    lists = nearby.lists_met(a, b, ["key"], ["a"], ["b", "c"], each)
+    got = lists.select("key", F.inline("a"), "b").select("key", "a", F.inline("b"))
+    order = ["key", "a", "b", F.col("c").asc_nulls_first()]
+    assert got.orderBy(*order).collect() == a.join(b, "key").select("key", "a", "b", "c").orderBy(*order).collect()
+    longest = lists.select(F.max(F.greatest(F.size("a"), F.size("b")))).first()[0]
+    assert lists.count() > 500 and longest <= 8 * each if each == 7 else lists.count() == 2
+
+
+def test_distances_along_routes_are_short(spark, monkeypatch):
+    """The condition of the join with the elements repeats little: Java does not compile methods beyond 8,000 bytes."""
+    from ridgeline.operators import routes
+    from ridgeline.sources import driver_tables as tables
+
+    seen = []
+    monkeypatch.setattr(routes, "settled", lambda df, *keys: seen.append(df) or df)
+    routes.grouped_along(tables.route_points(spark, DATA), tables.map_elements(spark, DATA), every=True)
+    joins = [line for line in seen[-1]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "SQRT" in line]
+    assert len(joins) == 1 and "COS" not in joins[0] and joins[0].count("*") < 80
+
+
 @pytest.mark.parametrize("few", [0, 1_000_000])
 def test_elements_along_routes_by_brute_force(spark, monkeypatch, few):
     """Long lines, high latitudes; places that are broadcast and places that are not."""
